@@ -163,9 +163,9 @@ def orders_page(orders: DataFrame, payments: DataFrame, items: DataFrame,
     page = (orders.select("id", "tracking_id", "customer_email", "status", "created_at")
             .orderBy(F.col("created_at").desc(), F.col("id").asc())
             .offset(off).limit(lim))
-    page = F.broadcast(page)  # size bound: at most `lim` rows
-    pay = payments.select(F.col("order_id").alias("id"), "amount").join(page.select("id"), "id", "left_semi")
-    n = item_counts(items.join(page.select(F.col("id").alias("order_id")), "order_id", "left_semi")) \
+    ids = F.broadcast(page.select("id"))  # size bound: at most `lim` rows
+    pay = payments.select(F.col("order_id").alias("id"), "amount").join(ids, "id", "left_semi")
+    n = item_counts(items.join(ids.withColumnRenamed("id", "order_id"), "order_id", "left_semi")) \
         .withColumnRenamed("order_id", "id")
     return (page.join(pay, "id", "left").join(n, "id", "left")
             .select("id", "tracking_id", "customer_email",
@@ -191,8 +191,8 @@ def _flat_order(o: DataFrame) -> DataFrame:
 
 def orders_by_id(orders: DataFrame, keys: DataFrame) -> DataFrame:
     """Key-set lookup; unmatched keys are reported as not found."""
-    k = broadcast_if_small(keys.select(F.col("order_id").alias("id")).distinct())
-    hit = _flat_order(orders).join(k, "id", "left_semi")
+    k = keys.select(F.col("order_id").alias("id")).distinct()
+    hit = _flat_order(orders).join(broadcast_if_small(k), "id", "left_semi")
     return k.join(hit, "id", "left").select(
         F.col("id").alias("requested_id"), F.col("tracking_id").isNotNull().alias("found"),
         F.when(F.col("tracking_id").isNull(), F.lit("Order not found")).alias("error"),
@@ -201,8 +201,8 @@ def orders_by_id(orders: DataFrame, keys: DataFrame) -> DataFrame:
 
 def orders_by_tracking(orders: DataFrame, keys: DataFrame) -> DataFrame:
     """Lookup by tracking id; the last order written with that id wins."""
-    k = broadcast_if_small(keys.select("tracking_id").distinct())
-    latest = latest_by_tracking(orders.join(k, "tracking_id", "left_semi"))
+    k = keys.select("tracking_id").distinct()
+    latest = latest_by_tracking(orders.join(broadcast_if_small(k), "tracking_id", "left_semi"))
     hit = _flat_order(orders).drop("tracking_id").join(latest, "id", "inner")
     return k.join(hit, "tracking_id", "left").select(
         F.col("tracking_id").alias("requested_tracking_id"), F.col("id").isNotNull().alias("found"),
@@ -212,7 +212,7 @@ def orders_by_tracking(orders: DataFrame, keys: DataFrame) -> DataFrame:
 def events_by_order(event_log: DataFrame, keys: DataFrame) -> DataFrame:
     """Events of the requested orders in append order (order id, seq)."""
     k = broadcast_if_small(keys.select("order_id").distinct())
-    return (event_log.join(k, "order_id", "inner")
+    return (event_log.join(k, "order_id", "left_semi")
             .select("order_id", "seq", F.col("id").alias("event_id"), "event_type",
                     F.col("status").alias("event_status"), "created_at")
             .orderBy("order_id", "seq"))
@@ -221,10 +221,11 @@ def events_by_order(event_log: DataFrame, keys: DataFrame) -> DataFrame:
 def payment_status(orders: DataFrame, payments: DataFrame, keys: DataFrame) -> DataFrame:
     """8-column status of requested orders (store semantics: no payment ->
     amount 0 and empty strings)."""
-    k = broadcast_if_small(keys.select(F.col("order_id").alias("id")).distinct())
+    k = keys.select(F.col("order_id").alias("id")).distinct()
+    kb = broadcast_if_small(k)
     o = orders.select("id", "tracking_id", F.col("status").alias("order_status"), "created_at",
-                      "updated_at").join(k, "id", "left_semi")
-    j = _amounts(o, payments.join(k.withColumnRenamed("id", "order_id"), "order_id", "left_semi"))
+                      "updated_at").join(kb, "id", "left_semi")
+    j = _amounts(o, payments.join(kb.withColumnRenamed("id", "order_id"), "order_id", "left_semi"))
     hit = j.select(
         F.col("id").alias("order_id"), "tracking_id",
         F.coalesce(F.col("payment_status"), F.lit("")).alias("payment_status"), "order_status",
@@ -241,8 +242,9 @@ def track_payment(orders: DataFrame, event_log: DataFrame, keys: DataFrame) -> D
     unknown tracking id yields one row with ``found = false``.  Kept flat so a
     busy order's history is never gathered into one row.
     """
-    k = broadcast_if_small(keys.select("tracking_id").distinct())
-    latest = latest_by_tracking(orders.select("id", "tracking_id", "created_at").join(k, "tracking_id", "left_semi"))
+    k = keys.select("tracking_id").distinct()
+    latest = latest_by_tracking(orders.select("id", "tracking_id", "created_at")
+                                .join(broadcast_if_small(k), "tracking_id", "left_semi"))
     o = orders.select("id", "status").join(latest, "id", "inner")
     ev = event_log.select(F.col("order_id").alias("id"), F.col("id").alias("event_id"), "event_type",
                           F.col("status").alias("event_status"), "seq")
@@ -259,9 +261,9 @@ def customer_orders(orders: DataFrame, emails: DataFrame) -> DataFrame:
     count is a partial aggregate and the order is a global sort, so a customer
     with a third of all orders is still split across tasks.
     """
-    e = broadcast_if_small(emails.select("customer_email").distinct())
+    e = emails.select("customer_email").distinct()
     o = orders.select(F.col("customer_email_at_creation").alias("customer_email"), "id", "status",
-                      "created_at").join(e, "customer_email", "left_semi")
+                      "created_at").join(broadcast_if_small(e), "customer_email", "left_semi")
     counts = o.groupBy("customer_email").agg(F.count(F.lit(1)).alias("total_orders"))
     return (e.join(counts, "customer_email", "left").join(o, "customer_email", "left")
             .select("customer_email", F.coalesce(F.col("total_orders"), F.lit(0)).alias("total_orders"),
