@@ -1 +1,394 @@
-"""Placeholder."""
+"""Webhook, command and order-state queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from paytrail.functions.status import map_provider_status
+from paytrail.operators import events as E
+from paytrail.plans.base import query
+from paytrail.sources import fixtures as fx
+
+
+def _batch(raw, horizon=None, dedup=False) -> E.EventBatch:
+    return E.EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw),
+                        fx.model_orders(raw, with_customer=False), fx.model_payments(raw),
+                        horizon=horizon, dedup=dedup)
+
+
+def _webhooks(raw):
+    return _batch(raw).webhooks
+
+
+def _matched(raw, horizon=None):
+    return _batch(raw, horizon).matched
+
+
+WEBHOOK_COLS = ["envelope_id", "type", "object_id", "amount", "currency", "payment_intent", "charge",
+                "has_customer_details", "customer_email", "customer_name", "customer_phone"]
+
+
+@query("webhook_ingest", "SELECT event_id, ts, "
+       + ", ".join(f"CASE WHEN reject_reason IS NULL THEN {'kind' if c == 'type' else c} END AS {c}"
+                   for c in WEBHOOK_COLS)
+       + ", reject_reason FROM m_webhooks")
+def webhook_ingest(raw):
+    """IO3: decode webhook envelopes; size cap 65,536 bytes; unreadable -> reason."""
+    return _webhooks(raw)
+
+
+HANDLER_CASE = """CASE kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
+  WHEN 'payment_intent.payment_failed' THEN 'payment_failed' WHEN 'payment_intent.canceled' THEN 'payment_canceled'
+  WHEN 'checkout.session.completed' THEN 'checkout_completed' WHEN 'invoice.payment_succeeded' THEN 'invoice_paid'
+  WHEN 'charge.dispute.created' THEN 'dispute_created' ELSE 'unhandled' END"""
+
+
+@query("route_webhooks", f"SELECT event_id, kind AS type, {HANDLER_CASE} AS handler FROM m_ok_webhooks")
+def route_webhooks(raw):
+    """ST1: dispatch on event type."""
+    return _batch(raw).routed.select("event_id", "type", "handler")
+
+
+@query("events_to_orders_by_intent", """
+SELECT event_id, kind AS type, object_id, order_id, order_id IS NOT NULL AS matched
+FROM m_matched WHERE kind LIKE 'payment_intent.%'""")
+def events_to_orders_by_intent(raw):
+    """Payment-intent webhooks -> order by intent id (newest wins, no horizon)."""
+    b = _batch(raw)
+    m = E.events_to_orders_by_intent(b.routed, b.orders, b.payments)
+    return m.select("event_id", "type", "object_id", "order_id", F.col("order_id").isNotNull().alias("matched"))
+
+
+@query("events_to_orders_by_intent_horizon", """
+, recent AS (SELECT id FROM m_orders ORDER BY created_at DESC, id ASC LIMIT 1000),
+idx AS (SELECT p.payment_intent_id, arg_max(p.order_id, o.created_at || '|' || p.order_id) AS order_id
+        FROM m_payments p JOIN m_orders o ON o.id = p.order_id JOIN recent r ON r.id = o.id
+        GROUP BY p.payment_intent_id)
+SELECT w.event_id, w.kind AS type, w.object_id, i.order_id, i.order_id IS NOT NULL AS matched
+FROM m_ok_webhooks w LEFT JOIN idx i ON i.payment_intent_id = w.object_id
+WHERE w.kind LIKE 'payment_intent.%'""")
+def events_to_orders_by_intent_horizon(raw):
+    """J3 with the reference's 1000-newest-orders search horizon."""
+    b = _batch(raw)
+    m = E.events_to_orders_by_intent(b.routed, b.orders, b.payments, horizon=1000)
+    return m.select("event_id", "type", "object_id", "order_id", F.col("order_id").isNotNull().alias("matched"))
+
+
+@query("events_to_orders_by_session", """
+SELECT w.event_id, w.object_id, w.payment_intent, coalesce(s.order_id, i.order_id) AS order_id,
+       CASE WHEN s.order_id IS NOT NULL THEN 'session' WHEN i.order_id IS NOT NULL THEN 'payment_intent' END
+         AS matched_by
+FROM m_ok_webhooks w
+LEFT JOIN m_session_index s ON s.session_id = w.object_id
+LEFT JOIN m_intent_index i ON i.payment_intent_id = w.payment_intent
+WHERE w.kind = 'checkout.session.completed'""")
+def events_to_orders_by_session(raw):
+    """Checkout sessions -> order by session id, else by intent id."""
+    b = _batch(raw)
+    m = E.events_to_orders_by_session(b.routed, b.orders, b.payments)
+    return m.select("event_id", "object_id", "payment_intent", "order_id", "matched_by")
+
+
+def _effects_sql(kind: str, pay: str, order: str | None) -> str:
+    order_sql = f"'{order}'" if order else "CAST(NULL AS VARCHAR)"
+    handler = {"payment_intent.succeeded": "payment_succeeded", "payment_intent.payment_failed": "payment_failed",
+               "payment_intent.canceled": "payment_canceled"}[kind]
+    return f"""SELECT event_id, ts, order_id, '{handler}' AS handler, '{pay}' AS payment_status_set,
+       {order_sql} AS order_status_set, {'true' if pay == 'succeeded' else 'false'} AS sets_processed_at_if_null
+FROM m_matched WHERE kind = '{kind}' AND order_id IS NOT NULL"""
+
+
+def _effects(raw, handler):
+    return E.handler_effects(_matched(raw)).filter(F.col("handler") == handler)
+
+
+@query("apply_payment_succeeded", _effects_sql("payment_intent.succeeded", "succeeded", "paid"))
+def apply_payment_succeeded(raw):
+    """ST2: success sets payment succeeded and the order paid."""
+    return _effects(raw, "payment_succeeded")
+
+
+@query("apply_payment_failed", _effects_sql("payment_intent.payment_failed", "failed", None))
+def apply_payment_failed(raw):
+    """ST3: failure sets the payment failed; order status unchanged."""
+    return _effects(raw, "payment_failed")
+
+
+@query("apply_payment_canceled", _effects_sql("payment_intent.canceled", "canceled", "canceled"))
+def apply_payment_canceled(raw):
+    """ST4: cancel sets payment and order canceled."""
+    return _effects(raw, "payment_canceled")
+
+
+@query("apply_checkout_completed", """
+, cs AS (SELECT * FROM m_matched WHERE kind = 'checkout.session.completed' AND order_id IS NOT NULL),
+u AS (SELECT order_id,
+             arg_max(customer_email, ts) FILTER (WHERE has_customer_details) AS new_email,
+             bool_or(has_customer_details) AS has_det,
+             arg_max(customer_name, ts) FILTER (WHERE has_customer_details AND coalesce(customer_name, '') <> '')
+               AS new_name,
+             arg_max(customer_phone, ts) FILTER (WHERE has_customer_details AND coalesce(customer_phone, '') <> '')
+               AS new_phone,
+             arg_max(object_id, ts) AS new_session,
+             arg_max(payment_intent, ts) FILTER (WHERE payment_intent IS NOT NULL) AS new_intent,
+             count(*) AS n_checkouts, max(ts) AS updated_at
+      FROM cs GROUP BY order_id)
+SELECT u.order_id, CASE WHEN u.has_det THEN u.new_email ELSE o.customer_email END AS customer_email,
+       coalesce(u.new_name, o.customer_name) AS customer_name,
+       coalesce(u.new_phone, o.customer_phone) AS customer_phone,
+       u.new_session AS session_id, coalesce(u.new_intent, p.payment_intent_id) AS payment_intent_id,
+       u.n_checkouts, u.updated_at
+FROM u LEFT JOIN m_orders o ON o.id = u.order_id LEFT JOIN m_payments p ON p.order_id = u.order_id""")
+def apply_checkout_completed(raw):
+    """ST5: customer details and payment ids after checkouts (last writer)."""
+    b = _batch(raw)
+    return E.apply_checkout_completed(b.matched, fx.model_orders(raw), b.payments)
+
+
+@query("audit_only_events", f"""
+SELECT event_id, ts, {HANDLER_CASE} AS handler, object_id AS audit_id, charge AS charge_id
+FROM m_ok_webhooks WHERE kind IN ('invoice.payment_succeeded', 'charge.dispute.created')""")
+def audit_only_events(raw):
+    """ST6: invoice / dispute events kept for audit; no state change."""
+    return E.audit_only_events(_batch(raw).routed)
+
+
+@query("dead_letter", """
+SELECT event_id, 'webhook' AS source, CAST(NULL AS VARCHAR) AS type, reject_reason AS reason
+FROM m_webhooks WHERE reject_reason IS NOT NULL
+UNION ALL
+SELECT event_id, 'webhook', kind, 'unhandled_event_type' FROM m_ok_webhooks
+WHERE kind NOT IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled',
+                   'checkout.session.completed', 'invoice.payment_succeeded', 'charge.dispute.created')
+UNION ALL
+SELECT event_id, 'webhook', kind, 'order_not_found' FROM m_matched
+WHERE order_id IS NULL AND (kind LIKE 'payment_intent.%' OR kind = 'checkout.session.completed')
+UNION ALL
+SELECT event_id, 'command', 'command.' || command, 'order_not_found' FROM m_commands
+WHERE order_id NOT IN (SELECT id FROM m_orders)""")
+def dead_letter(raw):
+    """ST8: unreadable, oversize, unhandled and unmatched input, with a reason."""
+    return _batch(raw).dead_letter()
+
+
+# -------------------------------------------------------------- order state ---
+ORDER_STATE_CTES = """
+, g AS (SELECT *, (op = 'refund' AND intent_ok) AS refund_ok FROM m_ops_guarded),
+k AS (SELECT order_id, ts, event_id,
+             CASE WHEN op = 'succeeded' THEN 'paid' WHEN op = 'canceled' THEN 'canceled'
+                  WHEN refund_ok THEN 'refunded' WHEN op = 'fulfill' THEN 'F' END AS kind
+      FROM g),
+s AS (SELECT *, lag(kind) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev
+      FROM k WHERE kind IS NOT NULL),
+a AS (SELECT *, (kind = 'F' AND coalesce(prev, 'pending') = 'paid') AS accepted FROM s),
+ls AS (SELECT order_id, kind AS setter, ts AS sts, event_id AS seid
+       FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) AS rn
+             FROM s WHERE kind <> 'F') WHERE rn = 1),
+st AS (SELECT a.order_id,
+              count(*) FILTER (WHERE accepted) AS n_acc,
+              min(a.ts) FILTER (WHERE accepted) AS first_acc,
+              max(a.ts) FILTER (WHERE accepted) AS last_acc,
+              count(*) FILTER (WHERE a.kind = 'F' AND (ls.sts IS NULL OR a.ts > ls.sts
+                               OR (a.ts = ls.sts AND a.event_id > ls.seid))) AS f_after
+       FROM a LEFT JOIN ls ON ls.order_id = a.order_id GROUP BY a.order_id),
+side AS (SELECT order_id,
+                arg_max(CASE WHEN refund_ok THEN 'refunded' ELSE op END, ts)
+                  FILTER (WHERE op IN ('succeeded', 'failed', 'canceled') OR refund_ok) AS last_pay,
+                min(ts) FILTER (WHERE op = 'succeeded') AS processed_at,
+                max(ts) FILTER (WHERE op IN ('succeeded', 'failed', 'canceled', 'checkout') OR refund_ok)
+                  AS last_applied,
+                count(*) FILTER (WHERE op IN ('succeeded', 'failed', 'canceled', 'checkout') OR refund_ok)
+                  AS n_applied,
+                count(*) FILTER (WHERE op = 'fulfill') AS n_fulfill,
+                count(*) FILTER (WHERE op = 'refund' AND NOT intent_ok) AS rejected_refunds
+         FROM g GROUP BY order_id),
+state AS (
+  SELECT side.order_id,
+         CASE WHEN ls.setter IS NULL THEN 'pending'
+              WHEN ls.setter = 'paid' AND coalesce(st.f_after, 0) > 0 THEN 'fulfilled'
+              ELSE ls.setter END AS order_status,
+         coalesce(side.last_pay, 'pending') AS payment_status,
+         side.processed_at, st.first_acc AS fulfilled_at,
+         greatest(side.last_applied, st.last_acc) AS updated_at,
+         side.n_applied + coalesce(st.n_acc, 0) AS applied_events,
+         side.n_fulfill - coalesce(st.n_acc, 0) AS rejected_fulfills,
+         side.rejected_refunds
+  FROM side LEFT JOIN ls ON ls.order_id = side.order_id LEFT JOIN st ON st.order_id = side.order_id)
+"""
+
+STATE_OUT = ("order_id", "order_status", "payment_status", "processed_at", "fulfilled_at", "updated_at",
+             "applied_events", "rejected_fulfills", "rejected_refunds")
+
+
+def _fold(raw, dedup=False):
+    b = _batch(raw, dedup=dedup)
+    return b.matched, b.ops, b.fold, b.orders, b.payments
+
+
+@query("order_state", ORDER_STATE_CTES + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+def order_state(raw):
+    """ST7: per-order fold of webhooks and commands (status, timestamps, rejects)."""
+    return _fold(raw)[2].state.select(*STATE_OUT)
+
+
+@query("touch_updated_at", ORDER_STATE_CTES + "SELECT order_id, updated_at, applied_events FROM state")
+def touch_updated_at(raw):
+    """ST10: updated_at = time of the last applied change."""
+    return _fold(raw)[2].state.select("order_id", "updated_at", "applied_events")
+
+
+def _iso_sql(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+
+@query("event_log", ORDER_STATE_CTES + f"""
+, log AS (
+  SELECT o.id AS order_id, 'order_created' AS event_type, 'pending' AS status,
+         '{{"payment_intent_id":"' || p.payment_intent_id || '"}}' AS data,
+         o.created_at, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS src
+  FROM m_orders o JOIN m_payments p ON p.order_id = o.id WHERE o.status <> 'created'
+  UNION ALL
+  SELECT order_id, 'payment_succeeded', 'succeeded',
+         '{{"payment_intent_id":"' || object_id || '","amount":' || CAST(amount AS VARCHAR)
+           || ',"currency":"' || currency || '","payment_method":"card"}}',
+         ts, event_id + 1, event_id
+  FROM m_matched WHERE kind = 'payment_intent.succeeded' AND order_id IS NOT NULL
+  UNION ALL
+  SELECT order_id, 'payment_failed', 'failed', '{{"payment_intent_id":"' || object_id || '"}}',
+         ts, event_id + 1, event_id
+  FROM m_matched WHERE kind = 'payment_intent.payment_failed' AND order_id IS NOT NULL
+  UNION ALL
+  SELECT order_id, 'payment_canceled', 'canceled',
+         '{{"payment_intent_id":"' || object_id || '","canceled_at":"' || {_iso_sql('ts')} || '"}}',
+         ts, event_id + 1, event_id
+  FROM m_matched WHERE kind = 'payment_intent.canceled' AND order_id IS NOT NULL
+  UNION ALL
+  SELECT order_id, 'checkout_completed', 'succeeded',
+         '{{"session_id":"' || object_id || '","payment_intent_id":"' || coalesce(payment_intent, '')
+           || '","customer_email":"' || coalesce(customer_email, '') || '"}}',
+         ts, event_id + 1, event_id
+  FROM m_matched WHERE kind = 'checkout.session.completed' AND order_id IS NOT NULL
+  UNION ALL
+  SELECT order_id, 'order_fulfilled', 'succeeded', '{{"fulfilled_at":"' || {_iso_sql('ts')} || '"}}',
+         ts, event_id + 1, event_id
+  FROM a WHERE kind = 'F' AND accepted
+  UNION ALL
+  SELECT order_id, 'order_refunded', 'refunded', '{{"refunded_at":"' || {_iso_sql('ts')} || '"}}',
+         ts, event_id + 1, event_id
+  FROM g WHERE refund_ok)
+SELECT 'evt_' || substr(sha256(event_type || '|' || order_id || '|' || CAST(src AS VARCHAR)), 1, 24) AS id,
+       order_id, event_type, status, data, created_at, seq
+FROM log""")
+def event_log(raw):
+    """ST9 (+IO4 append shape): the payment-event log with per-kind JSON data."""
+    matched, ops, fold, orders, payments = _fold(raw)
+    return E.event_log(matched, fold, ops, orders, payments)
+
+
+@query("events_by_order", """
+, keys AS (SELECT DISTINCT 'ORD' || CAST(user_id AS VARCHAR) AS order_id FROM events)
+SELECT m.order_id, m.event_id + 1 AS seq, 'evt_' || substr(sha256(
+         CASE m.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
+                     WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
+                     WHEN 'payment_intent.canceled' THEN 'payment_canceled'
+                     ELSE 'checkout_completed' END || '|' || m.order_id || '|' || CAST(m.event_id AS VARCHAR)), 1, 24)
+         AS event_id,
+       CASE m.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
+                   WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
+                   WHEN 'payment_intent.canceled' THEN 'payment_canceled'
+                   ELSE 'checkout_completed' END AS event_type,
+       CASE m.kind WHEN 'payment_intent.payment_failed' THEN 'failed'
+                   WHEN 'payment_intent.canceled' THEN 'canceled' ELSE 'succeeded' END AS event_status,
+       m.ts AS created_at
+FROM m_matched m WHERE m.order_id IS NOT NULL AND m.order_id IN (SELECT order_id FROM keys)""")
+def events_by_order(raw):
+    """Webhook-driven log events of every order that received events, in order."""
+    matched, ops, fold, orders, payments = _fold(raw)
+    log = E.event_log(matched, fold, ops, orders, payments).filter(
+        F.col("event_type").isin("payment_succeeded", "payment_failed", "payment_canceled", "checkout_completed"))
+    keys = raw.events.select(F.concat(F.lit("ORD"), F.col("user_id").cast("string")).alias("order_id"))
+    from paytrail.operators.reports import events_by_order as ebo
+    return ebo(log, keys)
+
+
+@query("track_payment", """
+, keys AS (SELECT DISTINCT tracking_id FROM m_keys),
+ev AS (SELECT order_id, event_id, kind FROM m_matched WHERE order_id IS NOT NULL),
+hit AS (SELECT o.tracking_id, o.id AS order_id, o.status AS order_status FROM m_orders o)
+SELECT k.tracking_id, h.order_id IS NOT NULL AS found, h.order_id, h.order_status,
+       CASE WHEN ev.event_id IS NOT NULL THEN 'evt_' || substr(sha256(
+         CASE ev.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
+                      WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
+                      WHEN 'payment_intent.canceled' THEN 'payment_canceled'
+                      ELSE 'checkout_completed' END || '|' || ev.order_id || '|' || CAST(ev.event_id AS VARCHAR)), 1, 24)
+       END AS event_id,
+       CASE ev.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
+                    WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
+                    WHEN 'payment_intent.canceled' THEN 'payment_canceled'
+                    WHEN 'checkout.session.completed' THEN 'checkout_completed' END AS event_type,
+       CASE ev.kind WHEN 'payment_intent.payment_failed' THEN 'failed'
+                    WHEN 'payment_intent.canceled' THEN 'canceled'
+                    WHEN 'payment_intent.succeeded' THEN 'succeeded'
+                    WHEN 'checkout.session.completed' THEN 'succeeded' END AS event_status,
+       ev.event_id + 1 AS seq
+FROM keys k LEFT JOIN hit h ON h.tracking_id = k.tracking_id
+LEFT JOIN ev ON ev.order_id = h.order_id""")
+def track_payment(raw):
+    """Order by tracking id with its webhook events (flat rows)."""
+    matched, ops, fold, orders, payments = _fold(raw)
+    log = E.event_log(matched, fold, ops, orders, payments).filter(
+        F.col("event_type").isin("payment_succeeded", "payment_failed", "payment_canceled", "checkout_completed"))
+    from paytrail.operators.reports import track_payment as tp
+    return tp(orders, log, fx.lookup_keys(raw))
+
+
+# ---------------------------------------------------------- provider sync ---
+PROVIDER_CASE = """CASE i.status WHEN 'succeeded' THEN 'succeeded' WHEN 'canceled' THEN 'canceled'
+  WHEN 'processing' THEN 'pending' WHEN 'requires_payment_method' THEN 'pending'
+  WHEN 'requires_confirmation' THEN 'pending' WHEN 'requires_action' THEN 'pending' ELSE 'failed' END"""
+
+
+@query("reconcile_provider_status", f"""
+, j AS (SELECT p.order_id, p.payment_intent_id, i.status AS provider_status,
+               p.status AS payment_status_before, {PROVIDER_CASE} AS payment_status_after,
+               o.status AS order_status_before, p.processed_at
+        FROM m_payments_full p JOIN m_intents i ON i.id = p.payment_intent_id JOIN m_orders o ON o.id = p.order_id
+        WHERE coalesce(p.payment_intent_id, '') <> '')
+SELECT order_id, payment_intent_id, provider_status, payment_status_before, payment_status_after,
+       order_status_before,
+       CASE WHEN payment_status_after = 'succeeded' AND processed_at IS NULL THEN 'paid'
+            ELSE order_status_before END AS order_status_after,
+       (payment_status_after = 'succeeded' AND processed_at IS NULL) AS sets_processed_at,
+       payment_status_after AS response_payment_status, order_status_before AS response_order_status
+FROM j WHERE payment_status_after IS DISTINCT FROM payment_status_before""")
+def reconcile_provider_status(raw):
+    """Provider status sync; emits orders whose mapped status differs."""
+    return E.reconcile_provider_status(fx.model_orders(raw, with_customer=False), fx.model_payments(raw),
+                                       fx.model_provider_intents(raw))
+
+
+@query("map_provider_status", f"SELECT i.id, i.status AS provider_status, {PROVIDER_CASE} AS payment_status "
+       "FROM m_intents i")
+def map_provider_status_q(raw):
+    """Provider intent state -> payment status."""
+    i = fx.model_provider_intents(raw)
+    return i.select("id", F.col("status").alias("provider_status"),
+                    map_provider_status(F.col("status")).alias("payment_status"))
+
+
+@query("fulfillable_orders", """
+SELECT id, status, status = 'paid' AS accepted,
+       CASE WHEN status <> 'paid' THEN 'Order must be paid before fulfillment' END AS reason
+FROM m_orders""")
+def fulfillable_orders(raw):
+    """P10: fulfil guard, the order must be paid."""
+    return E.fulfillable_orders(fx.model_orders(raw, with_customer=False))
+
+
+@query("refundable_orders", """
+SELECT o.id, o.status, coalesce(p.payment_intent_id, '') <> '' AS accepted,
+       CASE WHEN coalesce(p.payment_intent_id, '') = '' THEN 'No payment intent found for this order' END AS reason
+FROM m_orders o LEFT JOIN m_payments p ON p.order_id = o.id""")
+def refundable_orders(raw):
+    """Refund guard, an intent id must exist (status not checked)."""
+    return E.refundable_orders(fx.model_orders(raw, with_customer=False), fx.model_payments(raw))

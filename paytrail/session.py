@@ -23,14 +23,19 @@ SCALE_CONF = {
     # keep Catalyst's own size check for automatic broadcasts (10 MB default)
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    # remove checkpoint files once their RDD is no longer referenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "paytrail") -> SparkSession:
+              app_name: str = "paytrail", driver_memory: str | None = None) -> SparkSession:
+    """Session for local runs and tests; on a cluster the submitter's settings win."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+    if driver_memory:  # only effective before the JVM starts (local mode)
+        builder = builder.config("spark.driver.memory", driver_memory)
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
