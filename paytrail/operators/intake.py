@@ -68,6 +68,7 @@ def accepted_orders(requests: DataFrame) -> DataFrame:
         ids.order_id(F.col("request_key")).alias("order_id"),
         ids.tracking_id(F.col("request_key")).alias("tracking_id"),
         F.col("req.customer_info.email").alias("customer_email"),
+        F.col("req.metadata").alias("metadata"),
         request_total_cents(F.col("req.items")).alias("amount"),
         F.size("req.items").alias("item_count"),
     )

@@ -120,7 +120,7 @@ def apply_payment_canceled(raw):
     return _effects(raw, "payment_canceled")
 
 
-@query("apply_checkout_completed", """
+CHECKOUT_CTES = """
 , cs AS (SELECT * FROM m_matched WHERE kind = 'checkout.session.completed' AND order_id IS NOT NULL),
 u AS (SELECT order_id,
              arg_max(customer_email, ts) FILTER (WHERE has_customer_details) AS new_email,
@@ -138,7 +138,10 @@ SELECT u.order_id, CASE WHEN u.has_det THEN u.new_email ELSE o.customer_email EN
        coalesce(u.new_phone, o.customer_phone) AS customer_phone,
        u.new_session AS session_id, coalesce(u.new_intent, p.payment_intent_id) AS payment_intent_id,
        u.n_checkouts, u.updated_at
-FROM u LEFT JOIN m_orders o ON o.id = u.order_id LEFT JOIN m_payments p ON p.order_id = u.order_id""")
+FROM u LEFT JOIN m_orders o ON o.id = u.order_id LEFT JOIN m_payments p ON p.order_id = u.order_id"""
+
+
+@query("apply_checkout_completed", CHECKOUT_CTES)
 def apply_checkout_completed(raw):
     """ST5: customer details and payment ids after checkouts (last writer)."""
     b = _batch(raw)
@@ -241,7 +244,7 @@ def _iso_sql(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
 
-@query("event_log", ORDER_STATE_CTES + f"""
+EVENT_LOG_CTES = ORDER_STATE_CTES + f"""
 , log AS (
   SELECT o.id AS order_id, 'order_created' AS event_type, 'pending' AS status,
          '{{"payment_intent_id":"' || p.payment_intent_id || '"}}' AS data,
@@ -275,10 +278,15 @@ def _iso_sql(c: str) -> str:
   UNION ALL
   SELECT order_id, 'order_refunded', 'refunded', '{{"refunded_at":"' || {_iso_sql('ts')} || '"}}',
          ts, event_id + 1, event_id
-  FROM g WHERE refund_ok)
-SELECT 'evt_' || substr(sha256(event_type || '|' || order_id || '|' || CAST(src AS VARCHAR)), 1, 24) AS id,
-       order_id, event_type, status, data, created_at, seq
-FROM log""")
+  FROM g WHERE refund_ok),
+elog AS (
+  SELECT 'evt_' || substr(sha256(event_type || '|' || order_id || '|' || CAST(src AS VARCHAR)), 1, 24) AS id,
+         order_id, event_type, status, data, created_at, seq
+  FROM log)
+"""
+
+
+@query("event_log", EVENT_LOG_CTES + "SELECT * FROM elog")
 def event_log(raw):
     """ST9 (+IO4 append shape): the payment-event log with per-kind JSON data."""
     matched, ops, fold, orders, payments = _fold(raw)

@@ -1 +1,248 @@
-"""Placeholder."""
+"""Data-quality, outbox and sink queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from paytrail.operators import intake as I
+from paytrail.operators import outbox as N
+from paytrail.operators import quality as D
+from paytrail.operators import reports as R
+from paytrail.plans.base import query
+from paytrail.plans.oracle import AS_OF
+from paytrail.plans.q_events import CHECKOUT_CTES, EVENT_LOG_CTES, _batch
+from paytrail.schemas import LENGTH_LIMITS
+from paytrail.sources import fixtures as fx
+from paytrail.sources import sinks as S
+
+SQL_TABLE = {"orders": "m_orders", "order_items": "m_items", "payments": "m_payments", "payment_events": "elog"}
+
+
+def _tables(raw, with_log=True):
+    t = {"orders": fx.model_orders(raw), "order_items": fx.model_items(raw), "payments": fx.model_payments(raw)}
+    if with_log:
+        t["payment_events"] = _batch(raw).event_log()
+    return t
+
+
+def _enum_sql() -> str:
+    parts = []
+    for (table, column), allowed in D.ENUM_RULES.items():
+        vals = ", ".join(f"'{v}'" for v in allowed)
+        parts.append(f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS checked_rows, "
+                     f"count(*) FILTER (WHERE {column} IS NOT NULL AND {column} NOT IN ({vals})) AS invalid_rows "
+                     f"FROM {SQL_TABLE[table]}")
+    return EVENT_LOG_CTES + " UNION ALL ".join(parts)
+
+
+@query("check_enums", _enum_sql())
+def check_enums(raw):
+    """Enum membership of statuses and methods."""
+    return D.check_enums(_tables(raw))
+
+
+def _required_sql() -> str:
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count "
+             f"FROM {SQL_TABLE[t]}" for t, cols in D.REQUIRED.items() for c in cols]
+    return EVENT_LOG_CTES + " UNION ALL ".join(parts)
+
+
+@query("check_required", _required_sql())
+def check_required(raw):
+    """NOT NULL violations per column."""
+    return D.check_required(_tables(raw))
+
+
+def _unique_sql() -> str:
+    parts = [f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE n > 1) AS duplicate_keys, "
+             f"CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS duplicate_rows "
+             f"FROM (SELECT {c}, count(*) AS n FROM {SQL_TABLE[t]} WHERE {c} IS NOT NULL GROUP BY {c})"
+             for t, c in D.UNIQUE]
+    return ", unused AS (SELECT 1) " + " UNION ALL ".join(parts)
+
+
+@query("check_unique", _unique_sql())
+def check_unique(raw):
+    """D3: duplicate order ids, tracking ids and payments per order."""
+    return D.check_unique(_tables(raw, with_log=False))
+
+
+def _lengths_sql() -> str:
+    parts = []
+    for t, limits in LENGTH_LIMITS.items():
+        for c, n in limits.items():
+            parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({n} AS INTEGER) AS max_allowed, "
+                         f"count(*) FILTER (WHERE length({c}) > {n}) AS too_long, "
+                         f"CAST(coalesce(max(length({c})), 0) AS INTEGER) AS max_length FROM {SQL_TABLE[t]}")
+    parts.append("SELECT 'order_items', 'price', 10, count(*) FILTER (WHERE abs(price) >= 100000000 "
+                 "OR abs(price * 100.0 - round(price * 100.0)) > 1e-6), CAST(NULL AS INTEGER) FROM m_items")
+    return EVENT_LOG_CTES + " UNION ALL ".join(parts)
+
+
+@query("check_lengths", _lengths_sql())
+def check_lengths(raw):
+    """VARCHAR(n) and DECIMAL(10,2) overflow."""
+    return D.check_lengths(_tables(raw))
+
+
+VALID_REQ_SQL = """(SELECT o.o_orderkey AS k, o.o_custkey AS custkey, n.cents
+  FROM orders o JOIN (SELECT order_id, CAST(sum(line_cents) AS BIGINT) AS cents FROM m_item_cents GROUP BY order_id) n
+    ON n.order_id = 'ORD' || CAST(o.o_orderkey AS VARCHAR)
+  WHERE o.o_orderkey % 97 <> 0 AND o.o_orderkey % 53 <> 0)"""
+NEW_ID_SQL = "'ORD' || substr(sha256(CAST(r.k AS VARCHAR)), 1, 16)"
+
+
+def _intake_rows(raw):
+    """New orders and their payments from accepted requests, omitted columns NULL."""
+    a = I.accepted_orders(fx.order_requests(raw))
+    orders = a.select(F.col("order_id").alias("id"), "customer_email", "metadata",
+                      F.lit(None).cast("string").alias("status"),
+                      F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                      F.lit(None).cast("timestamp_ntz").alias("updated_at"))
+    payments = a.select("order_id", "amount", F.lit(None).cast("string").alias("currency"),
+                        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("method"))
+    return orders, payments
+
+
+@query("apply_defaults", f"""
+SELECT {NEW_ID_SQL} AS id, 'created' AS status, 1 AS n_metadata, {AS_OF} AS created_at, {AS_OF} AS updated_at,
+       r.cents AS amount, 'usd' AS currency, 'pending' AS payment_status, 'card' AS method
+FROM {VALID_REQ_SQL} r""")
+def apply_defaults(raw):
+    """Schema defaults for omitted columns of newly taken orders."""
+    o, p = _intake_rows(raw)
+    d = D.apply_defaults(o, p, fx.AS_OF)
+    return d.select("id", "status", F.size("metadata").alias("n_metadata"), "created_at", "updated_at",
+                    "amount", "currency", "payment_status", "method")
+
+
+@query("check_foreign_keys", EVENT_LOG_CTES + """
+SELECT 'order_items' AS table_name, count(*) AS checked_rows, count(*) FILTER (WHERE o.id IS NULL) AS orphan_rows
+FROM m_items c LEFT JOIN m_orders o ON o.id = c.order_id
+UNION ALL
+SELECT 'payments', count(*), count(*) FILTER (WHERE o.id IS NULL)
+FROM m_payments c LEFT JOIN m_orders o ON o.id = c.order_id
+UNION ALL
+SELECT 'payment_events', count(*), count(*) FILTER (WHERE o.id IS NULL)
+FROM elog c LEFT JOIN m_orders o ON o.id = c.order_id""")
+def check_foreign_keys(raw):
+    """Children without an order (one report)."""
+    t = _tables(raw)
+    return D.check_foreign_keys(t["orders"], {k: t[k] for k in ("order_items", "payments", "payment_events")})
+
+
+@query("cascade_delete", EVENT_LOG_CTES + """
+, gone AS (SELECT id FROM m_orders WHERE status = 'canceled')
+SELECT 'order_items' AS table_name, count(*) FILTER (WHERE d.id IS NULL) AS kept_rows,
+       count(*) FILTER (WHERE d.id IS NOT NULL) AS deleted_rows
+FROM m_items c LEFT JOIN gone d ON d.id = c.order_id
+UNION ALL
+SELECT 'payments', count(*) FILTER (WHERE d.id IS NULL), count(*) FILTER (WHERE d.id IS NOT NULL)
+FROM m_payments c LEFT JOIN gone d ON d.id = c.order_id
+UNION ALL
+SELECT 'payment_events', count(*) FILTER (WHERE d.id IS NULL), count(*) FILTER (WHERE d.id IS NOT NULL)
+FROM elog c LEFT JOIN gone d ON d.id = c.order_id""")
+def cascade_delete(raw):
+    """Deleting canceled orders removes their items, payments and events."""
+    t = _tables(raw)
+    gone = t["orders"].filter(F.col("status") == "canceled").select("id")
+    return D.cascade_summary(gone, {k: t[k] for k in ("order_items", "payments", "payment_events")})
+
+
+# ------------------------------------------------------------------- outbox ---
+NOTICE_CASE = """CASE o.status WHEN 'pending' THEN 'order_confirmation' WHEN 'paid' THEN 'payment_confirmation'
+  WHEN 'fulfilled' THEN 'order_fulfillment' WHEN 'refunded' THEN 'refund_notification' END"""
+SUBJECT_CASE = """CASE o.status WHEN 'pending' THEN 'Order Confirmation - ' WHEN 'paid' THEN 'Payment Confirmed - '
+  WHEN 'fulfilled' THEN 'Your Order is Ready for Download - ' WHEN 'refunded' THEN 'Refund Processed - ' END"""
+LINK_SQL = ("CASE WHEN coalesce(p.download_url, '') <> '' THEN p.download_url "
+            "ELSE 'Download link will be available shortly' END")
+
+
+@query("notification_outbox", f"""
+, lines AS (
+  SELECT i.order_id, count(*) AS n_lines,
+         string_agg(i.product_name || ' (' || i.file_type || ') x' || CAST(i.quantity AS VARCHAR) || ' $'
+                    || printf('%.2f', i.price)
+                    || CASE WHEN o.status = 'fulfilled' THEN ' -> ' || {LINK_SQL} ELSE '' END,
+                    chr(10) ORDER BY i.line_no, i.product_id, i.product_name, i.file_type, i.price, i.quantity)
+           AS item_lines
+  FROM m_items i JOIN m_orders o ON o.id = i.order_id LEFT JOIN m_products p ON p.id = i.product_id
+  GROUP BY i.order_id)
+SELECT {NOTICE_CASE} AS kind, o.id AS order_id, o.customer_email AS recipient,
+       {SUBJECT_CASE} || o.tracking_id AS subject,
+       'https://yourdomain.com/track-order?id=' || o.tracking_id AS tracking_url, o.customer_name,
+       printf('%.2f', CAST(coalesce(pm.amount, 0) AS DOUBLE) / 100.0) AS amount_text,
+       strftime(o.created_at, '%B %-d, %Y') AS date_text,
+       CAST(coalesce(l.n_lines, 0) AS INTEGER) AS n_lines, coalesce(l.item_lines, '') AS item_lines
+FROM m_orders o LEFT JOIN m_payments pm ON pm.order_id = o.id LEFT JOIN lines l ON l.order_id = o.id
+WHERE o.status IN ('pending', 'paid', 'fulfilled', 'refunded')""")
+def notification_outbox(raw):
+    """One notice per order (confirmation / payment / fulfilment / refund)."""
+    return N.notification_outbox(fx.model_orders(raw), fx.model_payments(raw), fx.model_items(raw),
+                                 fx.model_products(raw))
+
+
+@query("item_download_links", f"""
+SELECT i.order_id, i.line_no, i.product_id, {LINK_SQL} AS download_link
+FROM m_items i LEFT JOIN m_products p ON p.id = i.product_id""")
+def item_download_links(raw):
+    """Download link per order item, placeholder when absent."""
+    return N.item_download_links(fx.model_items(raw), fx.model_products(raw))
+
+
+# -------------------------------------------------------------------- sinks ---
+@query("event_log_append", EVENT_LOG_CTES + f"""
+SELECT * FROM elog
+UNION ALL
+SELECT 'evt_' || substr(sha256('order_created|' || {NEW_ID_SQL} || '|0'), 1, 24), {NEW_ID_SQL},
+       'order_created', 'pending', '{{}}', {AS_OF}, CAST(0 AS BIGINT)
+FROM {VALID_REQ_SQL} r""")
+def event_log_append(raw):
+    """IO4: the event log after appending creation events of new orders
+    (ids assigned when empty, append time stamped)."""
+    log = _batch(raw).event_log()
+    a = I.accepted_orders(fx.order_requests(raw))
+    new = a.select(F.lit("").alias("id"), "order_id", F.lit("order_created").alias("event_type"),
+                   F.lit("pending").alias("status"), F.lit(None).cast("string").alias("data"),
+                   F.lit(0).cast("long").alias("seq"))
+    return S.event_log_append(log, new, fx.AS_OF)
+
+
+@query("order_upsert", CHECKOUT_CTES.replace("SELECT u.order_id, CASE", ", ck AS (SELECT u.order_id, CASE", 1)
+       .rstrip() + f""")
+SELECT o.id,
+       CASE WHEN ck.order_id IS NOT NULL THEN ck.customer_email ELSE o.customer_email END AS customer_email,
+       CASE WHEN ck.order_id IS NOT NULL THEN ck.customer_name ELSE o.customer_name END AS customer_name,
+       CASE WHEN ck.order_id IS NOT NULL THEN ck.customer_phone ELSE o.customer_phone END AS customer_phone,
+       o.status, o.created_at,
+       CASE WHEN ck.order_id IS NOT NULL THEN ck.updated_at ELSE o.updated_at END AS updated_at,
+       CASE WHEN ck.order_id IS NOT NULL THEN 'updated' ELSE 'kept' END AS change
+FROM m_orders_full o LEFT JOIN ck ON ck.order_id = o.id
+UNION ALL
+SELECT {NEW_ID_SQL}, 'c' || CAST(r.custkey AS VARCHAR) || '@example.com', NULL, NULL, 'created',
+       {AS_OF}, {AS_OF}, 'inserted'
+FROM {VALID_REQ_SQL} r""")
+def order_upsert(raw):
+    """IO5: orders after checkout updates (latest wins) and new orders from intake."""
+    from paytrail.operators.events import apply_checkout_completed
+    b = _batch(raw)
+    base = fx.model_orders(raw).select("id", "customer_email", "customer_name", "customer_phone", "status",
+                                       "created_at", "updated_at")
+    upd = apply_checkout_completed(b.matched, fx.model_orders(raw), b.payments).select(
+        F.col("order_id").alias("id"), "customer_email", "customer_name", "customer_phone", "updated_at",
+        F.lit(1).alias("seq"))
+    a = I.accepted_orders(fx.order_requests(raw))
+    now = F.lit(fx.AS_OF).cast("timestamp_ntz")
+    ins = a.select(F.col("order_id").alias("id"), "customer_email", F.lit(None).cast("string").alias("customer_name"),
+                   F.lit(None).cast("string").alias("customer_phone"), F.lit("created").alias("status"),
+                   now.alias("created_at"), now.alias("updated_at"))
+    snapshot, _rejects = S.order_upsert(base, upd, ins)
+    return snapshot
+
+
+@query("order_documents")
+def order_documents(raw):
+    """IO6: nested JSON order documents with omitempty rules (no SQL oracle:
+    JSON text formatting is engine-specific; round trip tested in tests/)."""
+    nested = R.assemble_orders(fx.model_orders(raw), fx.model_items(raw), fx.model_payments(raw))
+    return S.order_documents(nested)
