@@ -400,3 +400,18 @@ FROM m_orders o LEFT JOIN m_payments p ON p.order_id = o.id""")
 def refundable_orders(raw):
     """Refund guard, an intent id must exist (status not checked)."""
     return E.refundable_orders(fx.model_orders(raw, with_customer=False), fx.model_payments(raw))
+
+
+# ---------------------------------------------------------------- streaming ---
+@query("order_state_stream", ORDER_STATE_CTES + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+def order_state_stream(raw):
+    """ST7 through Structured Streaming: the feed replayed in four time slices,
+    folded by foreachBatch onto per-batch state snapshots; must equal the
+    batch fold."""
+    from paytrail.session import scratch_path
+    from paytrail.streaming import webhooks as W
+    orders = fx.model_orders(raw, with_customer=False)
+    payments = fx.model_payments(raw)
+    f = W.feed(fx.webhook_payloads(raw), fx.model_commands(raw))
+    handler = W.replay(f, orders, payments, scratch_path(raw.spark, "order-state-stream"))
+    return handler.latest_state().select(*STATE_OUT)
