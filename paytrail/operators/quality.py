@@ -115,22 +115,30 @@ def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(out)
 
 
-def apply_defaults(orders: DataFrame, payments: DataFrame, as_of) -> DataFrame:
-    """Fill omitted columns with the schema's defaults.
+def order_defaults(orders: DataFrame, as_of) -> DataFrame:
+    """D5 for orders: status created, metadata {}, created_at / updated_at = the clock.
 
-    NULL input is treated as omitted.  orders: status created, metadata {},
-    created_at / updated_at = the clock; payments: currency usd, status
-    pending, method card.  Returns one row per order with its payment.
+    NULL input is treated as an omitted column.
     """
     now = F.lit(str(as_of)).cast("timestamp_ntz")
-    o = orders.select(
-        "id", F.coalesce("status", F.lit("created")).alias("status"),
-        F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"),
-        F.coalesce("created_at", now).alias("created_at"), F.coalesce("updated_at", now).alias("updated_at"))
-    p = payments.select(
-        F.col("order_id").alias("id"), "amount", F.coalesce("currency", F.lit("usd")).alias("currency"),
-        F.coalesce("status", F.lit("pending")).alias("payment_status"),
-        F.coalesce("method", F.lit("card")).alias("method"))
+    return (orders.withColumn("status", F.coalesce("status", F.lit("created")))
+            .withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))
+            .withColumn("created_at", F.coalesce("created_at", now))
+            .withColumn("updated_at", F.coalesce("updated_at", now)))
+
+
+def payment_defaults(payments: DataFrame, status_col: str = "status") -> DataFrame:
+    """D5 for payments: currency usd, status pending, method card."""
+    return (payments.withColumn("currency", F.coalesce("currency", F.lit("usd")))
+            .withColumn(status_col, F.coalesce(status_col, F.lit("pending")))
+            .withColumn("method", F.coalesce("method", F.lit("card"))))
+
+
+def apply_defaults(orders: DataFrame, payments: DataFrame, as_of) -> DataFrame:
+    """Defaults on both tables, one row per order with its payment."""
+    o = order_defaults(orders.select("id", "status", "metadata", "created_at", "updated_at"), as_of)
+    p = payment_defaults(payments.select(F.col("order_id").alias("id"), "amount", "currency",
+                                         F.col("status").alias("payment_status"), "method"), "payment_status")
     return o.join(p, "id", "left")
 
 

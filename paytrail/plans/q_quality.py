@@ -93,15 +93,14 @@ NEW_ID_SQL = "'ORD' || substr(sha256(CAST(r.k AS VARCHAR)), 1, 16)"
 
 
 def _intake_rows(raw):
-    """New orders and their payments from accepted requests, omitted columns NULL."""
+    """Accepted requests as new order rows with their payment; omitted columns NULL."""
     a = I.accepted_orders(fx.order_requests(raw))
-    orders = a.select(F.col("order_id").alias("id"), "customer_email", "metadata",
-                      F.lit(None).cast("string").alias("status"),
-                      F.lit(None).cast("timestamp_ntz").alias("created_at"),
-                      F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    payments = a.select("order_id", "amount", F.lit(None).cast("string").alias("currency"),
-                        F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("method"))
-    return orders, payments
+    return a.select(F.col("order_id").alias("id"), "customer_email", "metadata",
+                    F.lit(None).cast("string").alias("status"),
+                    F.lit(None).cast("timestamp_ntz").alias("created_at"),
+                    F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+                    "amount", F.lit(None).cast("string").alias("currency"),
+                    F.lit(None).cast("string").alias("payment_status"), F.lit(None).cast("string").alias("method"))
 
 
 @query("apply_defaults", f"""
@@ -110,8 +109,7 @@ SELECT {NEW_ID_SQL} AS id, 'created' AS status, 1 AS n_metadata, {AS_OF} AS crea
 FROM {VALID_REQ_SQL} r""")
 def apply_defaults(raw):
     """Schema defaults for omitted columns of newly taken orders."""
-    o, p = _intake_rows(raw)
-    d = D.apply_defaults(o, p, fx.AS_OF)
+    d = D.payment_defaults(D.order_defaults(_intake_rows(raw), fx.AS_OF), "payment_status")
     return d.select("id", "status", F.size("metadata").alias("n_metadata"), "created_at", "updated_at",
                     "amount", "currency", "payment_status", "method")
 

@@ -23,6 +23,7 @@ SCALE_CONF = {
     # keep Catalyst's own size check for automatic broadcasts (10 MB default)
     "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # remove checkpoint files once their RDD is no longer referenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
