@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from paytrail.functions import ids
 from paytrail.functions.status import map_provider_status, payment_method
 from paytrail.functions.text import or_empty
+from paytrail.operators.broadcast import broadcast_if_small
 from paytrail.operators.fold import FoldResult, fold_order_state, guard_refunds
 from paytrail.schemas import MAX_WEBHOOK_BYTES, WEBHOOK_ENVELOPE
 
@@ -87,16 +88,21 @@ def newest_orders(orders: DataFrame, horizon: int) -> DataFrame:
     return orders.select("id", "created_at").orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(horizon)
 
 
-def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int | None = None) -> DataFrame:
+def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int | None = None,
+                wanted: DataFrame | None = None) -> DataFrame:
     """key (payment_intent_id or session_id) -> newest order carrying it.
 
     Empty keys never match.  ``horizon`` keeps only the newest N orders
-    searchable, for parity with the reference's 1000-order scan.
+    searchable, for parity with the reference's 1000-order scan.  ``wanted``
+    (one column named ``key``) restricts the index to the keys a batch
+    actually mentions, so a batch never joins every payment with every order.
     """
     o = orders.select("id", "created_at")
     if horizon is not None:
         o = o.join(F.broadcast(newest_orders(orders, horizon).select("id")), "id", "left_semi")
     p = payments.select(F.col("order_id").alias("id"), key).filter(or_empty(F.col(key)) != "")
+    if wanted is not None:
+        p = p.join(broadcast_if_small(wanted.filter(F.col(key).isNotNull()).distinct()), key, "left_semi")
     return (p.join(o, "id", "inner").groupBy(key)
             .agg(F.max_by("id", F.struct("created_at", "id")).alias("order_id")))
 
@@ -104,7 +110,8 @@ def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int |
 def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: DataFrame,
                                horizon: int | None = None) -> DataFrame:
     pi = routed.filter(F.col("type").startswith("payment_intent."))
-    idx = order_index(orders, payments, "payment_intent_id", horizon)
+    idx = order_index(orders, payments, "payment_intent_id", horizon,
+                      wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
     return pi.join(idx, pi["object_id"] == idx["payment_intent_id"], "left").drop("payment_intent_id")
 
 
@@ -112,8 +119,11 @@ def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments:
                                 horizon: int | None = None) -> DataFrame:
     """Checkout sessions: by session id, else by the session's intent id."""
     cs = routed.filter(F.col("type") == "checkout.session.completed")
-    by_s = order_index(orders, payments, "session_id", horizon).withColumnRenamed("order_id", "s_order")
-    by_i = order_index(orders, payments, "payment_intent_id", horizon).withColumnRenamed("order_id", "i_order")
+    by_s = order_index(orders, payments, "session_id", horizon,
+                       wanted=cs.select(F.col("object_id").alias("session_id"))).withColumnRenamed("order_id", "s_order")
+    by_i = order_index(orders, payments, "payment_intent_id", horizon,
+                       wanted=cs.select(F.col("payment_intent").alias("payment_intent_id"))) \
+        .withColumnRenamed("order_id", "i_order")
     j = (cs.join(by_s, cs["object_id"] == by_s["session_id"], "left").drop("session_id")
          .join(by_i, cs["payment_intent"] == by_i["payment_intent_id"], "left").drop("payment_intent_id"))
     return j.withColumn("order_id", F.coalesce("s_order", "i_order")).withColumn(
@@ -203,9 +213,8 @@ def intent_known(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(F.max(or_empty(F.col("payment_intent_id")) != "").alias("intent_known"))
 
 
-def build_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
-              dedup: bool = False, known: DataFrame | None = None) -> DataFrame:
-    """Webhook + command ops with the refund guard evaluated.
+def raw_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, dedup: bool = False) -> DataFrame:
+    """Webhook + command ops before the refund guard.
 
     ``dedup=True`` drops replayed events (same event id); the reference does
     not, so a replayed success can move a fulfilled order back to paid.
@@ -213,7 +222,25 @@ def build_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, paymen
     ops = webhook_ops(matched).unionByName(command_ops(commands, orders))
     if dedup:
         ops = ops.dropDuplicates(["order_id", "event_id", "op"])
-    return guard_refunds(ops, known if known is not None else intent_known(payments))
+    return ops
+
+
+def guard_ops(ops: DataFrame, payments: DataFrame, prior_known: DataFrame | None = None) -> DataFrame:
+    """Evaluate the refund guard.  Reads only the payments of orders in
+    ``ops``; ``prior_known`` (order_id, intent_known) adds earlier batches."""
+    touched = broadcast_if_small(ops.select("order_id").distinct())
+    known = intent_known(payments.join(touched, "order_id", "left_semi"))
+    if prior_known is not None:
+        prior = prior_known.select("order_id", F.col("intent_known").alias("prior")).join(touched, "order_id", "left_semi")
+        known = known.join(prior, "order_id", "full").select(
+            "order_id", (F.coalesce("intent_known", F.lit(False)) | F.coalesce("prior", F.lit(False))).alias("intent_known"))
+    return guard_refunds(ops, known)
+
+
+def build_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
+              dedup: bool = False, prior_known: DataFrame | None = None) -> DataFrame:
+    """Webhook + command ops with the refund guard evaluated."""
+    return guard_ops(raw_ops(matched, commands, orders, dedup), payments, prior_known)
 
 
 def order_state(matched: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
@@ -354,15 +381,16 @@ class EventBatch:
 
     Every stage is built once and shared by the outputs: decoded webhooks,
     routed and matched webhooks, guarded ops, the order-state fold, the event
-    log and the dead letter.
+    log and the dead letter.  ``initial`` is the state before the batch,
+    either a DataFrame or a function of the touched order ids (so a stream
+    reads only the state rows it needs).
     """
 
     def __init__(self, payloads: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
-                 horizon: int | None = None, dedup: bool = False, initial: DataFrame | None = None,
-                 known: DataFrame | None = None, checkpoint: bool = True):
+                 horizon: int | None = None, dedup: bool = False, initial=None, checkpoint: bool = True):
         self.payloads, self.commands = payloads, commands
         self.orders, self.payments = orders, payments
-        self.horizon, self.dedup, self.initial, self.known = horizon, dedup, initial, known
+        self.horizon, self.dedup, self._initial = horizon, dedup, initial
         self._keep = materialize if checkpoint else (lambda df: df)
 
     @cached_property
@@ -377,10 +405,20 @@ class EventBatch:
     def matched(self) -> DataFrame:
         return self._keep(match_webhooks(self.routed, self.orders, self.payments, self.horizon))
 
+    @cached_property
+    def unguarded_ops(self) -> DataFrame:
+        return raw_ops(self.matched, self.commands, self.orders, self.dedup)
+
+    @cached_property
+    def initial(self) -> DataFrame | None:
+        if callable(self._initial):
+            return self._initial(self.unguarded_ops.select("order_id").distinct())
+        return self._initial
+
     @cached_property
     def ops(self) -> DataFrame:
-        return self._keep(build_ops(self.matched, self.commands, self.orders, self.payments,
-                                    self.dedup, self.known))
+        prior = None if self.initial is None else self.initial.select("order_id", "intent_known")
+        return self._keep(guard_ops(self.unguarded_ops, self.payments, prior))
 
     @cached_property
     def fold(self) -> FoldResult:

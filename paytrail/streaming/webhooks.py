@@ -5,10 +5,16 @@ A file stream of feed rows (webhook payloads and commands) is processed with
 path, with the previous state snapshot as the fold's initial state, and
 writes:
 
-* ``state/batch=<id>``  -- the full per-order state after this batch,
+* ``state/batch=<id>``  -- the state rows of the orders this batch changed
+                          (every ``compact_every`` batches: the full state,
+                          marked with a ``_FULL`` file),
 * ``log/batch=<id>``    -- event-log rows appended by this batch,
 * ``dead/batch=<id>``   -- dead-letter rows of this batch.
 
+A batch reads only the rows of the orders it touches: the last full snapshot
+and the deltas after it, semi-joined with the touched order ids, latest row
+per order.  So a micro-batch costs in proportion to its own size plus one
+scan of the state, never a rewrite of the whole state (except at compaction).
 Each batch id has its own directories, written with ``overwrite``, so a batch
 retried after a failure replaces its own output and never doubles it.
 Across batches events are applied in arrival order (the reference's rule);
@@ -24,7 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.operators.events import EventBatch, intent_known
+from paytrail.operators.broadcast import broadcast_if_small
+from paytrail.operators.events import EventBatch
 from paytrail.operators.fold import STATE_COLUMNS
 
 FEED_SCHEMA = T.StructType([
@@ -65,39 +72,63 @@ def committed_batches(spark: SparkSession, root: str) -> list[int]:
 
 
 class OrderStateStream:
-    """foreachBatch handler folding each micro-batch onto the last snapshot."""
+    """foreachBatch handler folding each micro-batch onto the stored state."""
 
-    def __init__(self, orders: DataFrame, payments: DataFrame, out_root: str):
+    def __init__(self, orders: DataFrame, payments: DataFrame, out_root: str, compact_every: int = 16):
         self.orders, self.payments = orders, payments
         self.out_root = out_root.rstrip("/")
         self.spark = orders.sparkSession
+        self.compact_every = compact_every
 
     def path(self, kind: str, batch_id: int) -> str:
         return f"{self.out_root}/{kind}/batch={batch_id}"
 
-    def state_before(self, batch_id: int) -> DataFrame | None:
-        done = [b for b in committed_batches(self.spark, f"{self.out_root}/state") if b < batch_id]
-        return self.spark.read.parquet(self.path("state", done[-1])) if done else None
+    def _is_full(self, batch_id: int) -> bool:
+        fs, p = _fs(self.spark, f"{self.path('state', batch_id)}/_FULL")
+        return bool(fs.exists(p))
+
+    def _live_snapshots(self, before: int | None = None) -> list[int]:
+        """The last full snapshot and the deltas after it."""
+        done = [b for b in committed_batches(self.spark, f"{self.out_root}/state") if before is None or b < before]
+        full = [b for b in done if self._is_full(b)]
+        start = full[-1] if full else -1
+        return [b for b in done if b >= start]
+
+    def state(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Latest state row per order (optionally only ``touched`` orders)."""
+        ids = self._live_snapshots(before)
+        if not ids:
+            return None
+        df = self.spark.read.parquet(*[self.path("state", b) for b in ids])
+        if touched is not None:
+            df = df.join(broadcast_if_small(touched.select("order_id").distinct()), "order_id", "left_semi")
+        latest = df.groupBy("order_id").agg(
+            F.max_by(F.struct(*[c for c in STATE_COLUMNS if c != "order_id"]), F.col("batch_id")).alias("s"))
+        return latest.select("order_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLUMNS if c != "order_id"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         payloads = batch.filter(F.col("source") == "webhook").select("event_id", "ts", "payload")
         commands = batch.filter(F.col("source") == "command").select("event_id", "ts", "order_id", "command")
-        prev = self.state_before(batch_id)
-        known = intent_known(self.payments)
-        if prev is not None:
-            known = (known.join(prev.select("order_id", F.col("intent_known").alias("prev_known")), "order_id", "full")
-                     .select("order_id", (F.coalesce("intent_known", F.lit(False))
-                                          | F.coalesce("prev_known", F.lit(False))).alias("intent_known")))
-        eb = EventBatch(payloads, commands, self.orders, self.payments, initial=prev, known=known)
-        new = eb.fold.state.select(*STATE_COLUMNS)
-        merged = new if prev is None else prev.join(new.select("order_id"), "order_id", "left_anti").unionByName(new)
-        merged.write.mode("overwrite").parquet(self.path("state", batch_id))
+        eb = EventBatch(payloads, commands, self.orders, self.payments,
+                        initial=lambda touched: self.state(before=batch_id, touched=touched))
+        changed = eb.fold.state.select(*STATE_COLUMNS)
+        compact = (batch_id + 1) % self.compact_every == 0
+        if compact:
+            prev = self.state(before=batch_id)
+            out = changed if prev is None else \
+                prev.join(changed.select("order_id"), "order_id", "left_anti").unionByName(changed)
+        else:
+            out = changed
+        target = self.path("state", batch_id)
+        out.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(target)
+        if compact:
+            fs, p = _fs(self.spark, f"{target}/_FULL")
+            fs.create(p, True).close()
         eb.event_log().write.mode("overwrite").parquet(self.path("log", batch_id))
         eb.dead_letter().write.mode("overwrite").parquet(self.path("dead", batch_id))
 
     def latest_state(self) -> DataFrame | None:
-        done = committed_batches(self.spark, f"{self.out_root}/state")
-        return self.spark.read.parquet(self.path("state", done[-1])) if done else None
+        return self.state()
 
 
 def start(spark: SparkSession, source_dir: str, handler: OrderStateStream, checkpoint_dir: str,
@@ -113,7 +144,7 @@ def start(spark: SparkSession, source_dir: str, handler: OrderStateStream, check
 
 
 def replay(feed_df: DataFrame, orders: DataFrame, payments: DataFrame, work_root: str,
-           parts: int = 4) -> OrderStateStream:
+           parts: int = 4, compact_every: int = 16) -> OrderStateStream:
     """Replay a feed table as a live stream: ``parts`` time slices, each
     written (in parallel) into the source folder and then consumed by an
     ``availableNow`` run, so every micro-batch is one slice in arrival order.
@@ -122,7 +153,7 @@ def replay(feed_df: DataFrame, orders: DataFrame, payments: DataFrame, work_root
     src, ckpt, out = (os.path.join(work_root, d) for d in ("source", "checkpoint", "out"))
     bounds = feed_df.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
-    handler = OrderStateStream(orders, payments, out)
+    handler = OrderStateStream(orders, payments, out, compact_every)
     if lo is None:
         return handler
     span = F.unix_micros(F.lit(hi).cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp")) + 1

@@ -9,12 +9,17 @@ from paytrail.streaming import webhooks as W
 COLS = [c for c in STATE_COLUMNS if c != "intent_known"]
 
 
-def test_stream_equals_batch(spark, raw):
+import pytest
+
+
+@pytest.mark.parametrize("compact_every", [16, 2])
+def test_stream_equals_batch(spark, raw, compact_every):
     orders = fx.model_orders(raw, with_customer=False)
     payments = fx.model_payments(raw)
     payloads, commands = fx.webhook_payloads(raw), fx.model_commands(raw)
     batch = EventBatch(payloads, commands, orders, payments).fold.state.select(*COLS)
-    handler = W.replay(W.feed(payloads, commands), orders, payments, scratch_path(spark, "stream-test"), parts=3)
+    handler = W.replay(W.feed(payloads, commands), orders, payments, scratch_path(spark, "stream-test"), parts=3,
+                       compact_every=compact_every)
     stream = handler.latest_state().select(*COLS)
     assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
     # one state snapshot per micro-batch, each batch id in its own folder
