@@ -274,12 +274,14 @@ def _iso(ts: Column) -> Column:
 
 
 def event_log(matched: DataFrame, fold: FoldResult, ops: DataFrame,
-              orders: DataFrame, payments: DataFrame) -> DataFrame:
+              orders: DataFrame, payments: DataFrame, include_created: bool = True) -> DataFrame:
     """The payment-event log the service appends, with per-kind ``data`` JSON.
 
     ``order_created`` for every order whose intent was created (status past
     ``created``), then one row per applied webhook or accepted command.
     ``seq`` orders the log: 0 for creation, the source event id + 1 after.
+    ``include_created=False`` leaves out the creation rows (a stream's
+    micro-batch appends only what the batch did).
     """
     created = (orders.filter(F.col("status") != "created").select(F.col("id").alias("order_id"), "created_at")
                .join(payments.select("order_id", "payment_intent_id"), "order_id", "inner")
@@ -311,11 +313,13 @@ def event_log(matched: DataFrame, fold: FoldResult, ops: DataFrame,
         "order_id", F.lit("order_fulfilled").alias("event_type"), F.lit("succeeded").alias("status"),
         F.to_json(F.struct(_iso(F.col("ts")).alias("fulfilled_at"))).alias("data"),
         F.col("ts").alias("created_at"), (F.col("event_id") + 1).alias("seq"), F.col("event_id").alias("src"))
-    ref = ops.filter((F.col("op") == "refund") & F.col("intent_ok")).select(
+    ref = ops.filter((F.col("op") == "refund") & F.coalesce(F.col("intent_ok"), F.lit(False))).select(
         "order_id", F.lit("order_refunded").alias("event_type"), F.lit("refunded").alias("status"),
         F.to_json(F.struct(_iso(F.col("ts")).alias("refunded_at"))).alias("data"),
         F.col("ts").alias("created_at"), (F.col("event_id") + 1).alias("seq"), F.col("event_id").alias("src"))
-    log = created.unionByName(pi).unionByName(cs).unionByName(ful).unionByName(ref)
+    log = pi.unionByName(cs).unionByName(ful).unionByName(ref)
+    if include_created:
+        log = created.unionByName(log)
     return log.select(ids.event_id(F.col("event_type"), F.col("order_id"), F.col("src")).alias("id"),
                       "order_id", "event_type", "status", "data", "created_at", "seq")
 
@@ -424,8 +428,8 @@ class EventBatch:
     def fold(self) -> FoldResult:
         return fold_order_state(self.ops, self.initial)
 
-    def event_log(self) -> DataFrame:
-        return event_log(self.matched, self.fold, self.ops, self.orders, self.payments)
+    def event_log(self, include_created: bool = True) -> DataFrame:
+        return event_log(self.matched, self.fold, self.ops, self.orders, self.payments, include_created)
 
     def dead_letter(self) -> DataFrame:
         return dead_letter(self.webhooks, self.matched, self.commands, self.orders)

@@ -47,17 +47,22 @@ class FoldResult(NamedTuple):
 
 
 def guard_refunds(ops: DataFrame, intents: DataFrame) -> DataFrame:
-    """Add ``intent_ok``: an intent id is known at the op's position.
+    """Add ``intent_ok`` to refund ops: an intent id is known at their position.
 
     Known = the order's intent id before this batch (``intents``: order_id,
     intent_known) or set by an earlier checkout carrying a non-empty intent.
+    Only refunds are joined; other ops carry a null ``intent_ok``.
     """
     seq = F.struct("ts", "event_id")
+    refunds = ops.filter(F.col("op") == "refund")
     first_set = (ops.filter((F.col("op") == "checkout") & (or_empty(F.col("set_intent")) != ""))
                  .groupBy("order_id").agg(F.min(seq).alias("first_intent_seq")))
-    j = ops.join(first_set, "order_id", "left").join(intents.select("order_id", "intent_known"), "order_id", "left")
+    j = (refunds.join(first_set, "order_id", "left")
+         .join(intents.select("order_id", "intent_known"), "order_id", "left"))
     ok = F.coalesce(F.col("intent_known"), F.lit(False)) | F.coalesce(seq > F.col("first_intent_seq"), F.lit(False))
-    return j.withColumn("intent_ok", ok).drop("first_intent_seq", "intent_known")
+    guarded = j.withColumn("intent_ok", ok).drop("first_intent_seq", "intent_known")
+    rest = ops.filter(F.col("op") != "refund").withColumn("intent_ok", F.lit(None).cast("boolean"))
+    return rest.unionByName(guarded)
 
 
 def _num_segments(ops: DataFrame) -> int:
@@ -73,7 +78,7 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
     """
     op = F.col("op")
     seq = F.struct("ts", "event_id")
-    refund_ok = (op == "refund") & F.col("intent_ok")
+    refund_ok = (op == "refund") & F.coalesce(F.col("intent_ok"), F.lit(False))
     kind = (F.when(op == "succeeded", "paid").when(op == "canceled", "canceled")
             .when(refund_ok, "refunded").when(op == "fulfill", "F"))
     pay = (F.when(op == "succeeded", "succeeded").when(op == "failed", "failed")
@@ -86,7 +91,7 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
         F.max(F.when(always_applied, F.col("ts"))).alias("last_applied_ts"),
         F.count_if(always_applied).alias("n_applied"),
         F.count_if(op == "fulfill").alias("n_fulfill"),
-        F.count_if((op == "refund") & ~F.col("intent_ok")).alias("n_rejected_refunds"),
+        F.count_if((op == "refund") & ~refund_ok).alias("n_rejected_refunds"),
         F.max(F.when((op == "checkout") & (or_empty(F.col("set_intent")) != ""), F.lit(True))).alias("sets_intent"),
     )
 

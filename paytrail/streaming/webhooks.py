@@ -124,7 +124,7 @@ class OrderStateStream:
         if compact:
             fs, p = _fs(self.spark, f"{target}/_FULL")
             fs.create(p, True).close()
-        eb.event_log().write.mode("overwrite").parquet(self.path("log", batch_id))
+        eb.event_log(include_created=False).write.mode("overwrite").parquet(self.path("log", batch_id))
         eb.dead_letter().write.mode("overwrite").parquet(self.path("dead", batch_id))
 
     def latest_state(self) -> DataFrame | None:
