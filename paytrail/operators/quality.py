@@ -42,14 +42,17 @@ def _unpivot(agg: DataFrame, table: str, names: list[str], value: str) -> DataFr
 
 
 def check_enums(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per enum column, rows checked and rows whose value is not a member."""
+    """Per enum column, rows checked and rows whose value is not a member
+    (one aggregate pass per table)."""
     out = []
-    for (table, column), allowed in ENUM_RULES.items():
-        df = tables[table]
-        bad = F.col(column).isNotNull() & ~F.col(column).isin(*allowed)
-        out.append(df.agg(F.count(F.lit(1)).alias("checked_rows"), F.count_if(bad).alias("invalid_rows"))
-                   .select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-                           "checked_rows", "invalid_rows"))
+    for table in dict.fromkeys(t for t, _ in ENUM_RULES):
+        rules = [(c, allowed) for (t, c), allowed in ENUM_RULES.items() if t == table]
+        aggs = [F.count(F.lit(1)).alias("checked_rows")]
+        aggs += [F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*allowed)).alias(c) for c, allowed in rules]
+        agg = tables[table].agg(*aggs)
+        pairs = ", ".join(f"'{c}', `{c}`" for c, _ in rules)
+        out.append(agg.selectExpr("checked_rows", f"stack({len(rules)}, {pairs}) AS (column_name, invalid_rows)")
+                   .select(F.lit(table).alias("table_name"), "column_name", "checked_rows", "invalid_rows"))
     return _union(out)
 
 
