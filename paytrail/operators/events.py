@@ -108,22 +108,25 @@ def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int |
 
 
 def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: DataFrame,
-                               horizon: int | None = None) -> DataFrame:
+                               horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
+    """Payment-intent webhooks -> order by intent id (newest order wins)."""
     pi = routed.filter(F.col("type").startswith("payment_intent."))
-    idx = order_index(orders, payments, "payment_intent_id", horizon,
-                      wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
+    if idx is None:
+        idx = order_index(orders, payments, "payment_intent_id", horizon,
+                          wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
     return pi.join(idx, pi["object_id"] == idx["payment_intent_id"], "left").drop("payment_intent_id")
 
 
 def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments: DataFrame,
-                                horizon: int | None = None) -> DataFrame:
-    """Checkout sessions: by session id, else by the session's intent id."""
+                                horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
+    """Checkout sessions -> order by session id, else by the session's intent id."""
     cs = routed.filter(F.col("type") == "checkout.session.completed")
     by_s = order_index(orders, payments, "session_id", horizon,
                        wanted=cs.select(F.col("object_id").alias("session_id"))).withColumnRenamed("order_id", "s_order")
-    by_i = order_index(orders, payments, "payment_intent_id", horizon,
-                       wanted=cs.select(F.col("payment_intent").alias("payment_intent_id"))) \
-        .withColumnRenamed("order_id", "i_order")
+    if idx is None:
+        idx = order_index(orders, payments, "payment_intent_id", horizon,
+                          wanted=cs.select(F.col("payment_intent").alias("payment_intent_id")))
+    by_i = idx.withColumnRenamed("order_id", "i_order")
     j = (cs.join(by_s, cs["object_id"] == by_s["session_id"], "left").drop("session_id")
          .join(by_i, cs["payment_intent"] == by_i["payment_intent_id"], "left").drop("payment_intent_id"))
     return j.withColumn("order_id", F.coalesce("s_order", "i_order")).withColumn(
@@ -133,9 +136,19 @@ def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments:
 
 def match_webhooks(routed: DataFrame, orders: DataFrame, payments: DataFrame,
                    horizon: int | None = None) -> DataFrame:
-    """All state-changing webhooks with their order id (null = unmatched)."""
-    pi = events_to_orders_by_intent(routed, orders, payments, horizon).withColumn("matched_by", F.lit("payment_intent"))
-    cs = events_to_orders_by_session(routed, orders, payments, horizon)
+    """All state-changing webhooks with their order id (null = unmatched).
+
+    One intent index serves both the payment-intent webhooks and the
+    checkout fallback; it covers only the intent ids this batch mentions.
+    """
+    t = F.col("type")
+    wanted = routed.filter(t.startswith("payment_intent.") | (t == "checkout.session.completed")).select(
+        F.when(t == "checkout.session.completed", F.col("payment_intent")).otherwise(F.col("object_id"))
+        .alias("payment_intent_id"))
+    idx = order_index(orders, payments, "payment_intent_id", horizon, wanted=wanted)
+    pi = events_to_orders_by_intent(routed, orders, payments, horizon, idx).withColumn(
+        "matched_by", F.when(F.col("order_id").isNotNull(), F.lit("payment_intent")))
+    cs = events_to_orders_by_session(routed, orders, payments, horizon, idx)
     return pi.unionByName(cs)
 
 

@@ -244,3 +244,30 @@ def order_documents(raw):
     JSON text formatting is engine-specific; round trip tested in tests/)."""
     nested = R.assemble_orders(fx.model_orders(raw), fx.model_items(raw), fx.model_payments(raw))
     return S.order_documents(nested)
+
+
+@query("order_documents_roundtrip", """
+SELECT o.id, o.customer_email AS email, coalesce(o.customer_name, '') <> '' AS has_name,
+       coalesce(o.customer_phone, '') <> '' AS has_phone, coalesce(n.n, 0) AS n_items,
+       coalesce(p.amount, 0) AS payment_amount, coalesce(p.status, '') AS payment_status,
+       coalesce(p.payment_intent_id, '') <> '' AS has_intent, o.metadata_priority IS NOT NULL AS has_metadata,
+       o.fulfilled_at IS NOT NULL AS has_fulfilled_at, o.status
+FROM m_orders_full o
+LEFT JOIN m_payments p ON p.order_id = o.id
+LEFT JOIN (SELECT order_id, CAST(count(*) AS INTEGER) AS n FROM m_items GROUP BY order_id) n ON n.order_id = o.id""")
+def order_documents_roundtrip(raw):
+    """IO6 checked: fields read back from the JSON documents (omitempty keys
+    absent, required keys present even when empty)."""
+    d = order_documents(raw)
+    doc = F.col("document")
+
+    def has(path):
+        return F.get_json_object(doc, path).isNotNull()
+    return d.select(
+        "id", F.get_json_object(doc, "$.customer_info.email").alias("email"),
+        has("$.customer_info.name").alias("has_name"), has("$.customer_info.phone").alias("has_phone"),
+        F.json_array_length(F.get_json_object(doc, "$.items")).alias("n_items"),
+        F.get_json_object(doc, "$.payment.amount").cast("long").alias("payment_amount"),
+        F.get_json_object(doc, "$.payment.status").alias("payment_status"),
+        has("$.payment.payment_intent_id").alias("has_intent"), has("$.metadata").alias("has_metadata"),
+        has("$.fulfilled_at").alias("has_fulfilled_at"), F.get_json_object(doc, "$.status").alias("status"))
