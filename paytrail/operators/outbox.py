@@ -29,33 +29,28 @@ def item_download_links(items: DataFrame, products: DataFrame) -> DataFrame:
     return with_download_links(items.select("order_id", "line_no", "product_id"), products)
 
 
-def notification_outbox(orders: DataFrame, payments: DataFrame, items: DataFrame,
-                        products: DataFrame) -> DataFrame:
-    """One notice per order in a notifiable status.
-
-    Item lines are gathered per order (bounded by the order's lines) after
-    the download links are attached.
-    """
+def _notices(orders: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     subject_prefix = F.lit(None).cast("string")
     for status, (k, prefix) in reversed(list(NOTICE_BY_STATUS.items())):
         kind = F.when(F.col("status") == status, F.lit(k)).otherwise(kind)
         subject_prefix = F.when(F.col("status") == status, F.lit(prefix)).otherwise(subject_prefix)
-    o = orders.filter(F.col("status").isin(*NOTICE_BY_STATUS.keys())).select(
+    return orders.filter(F.col("status").isin(*NOTICE_BY_STATUS.keys())).select(
         "id", "tracking_id", "customer_email", "customer_name", "status", "created_at",
         kind.alias("kind"), subject_prefix.alias("subject_prefix"))
+
+
+def notification_outbox(orders: DataFrame, payments: DataFrame, items: DataFrame) -> DataFrame:
+    """One notice per order in a notifiable status (header fields).
+
+    The item lines of each notice are a separate flat table
+    (``notification_lines``), so no order's lines are gathered into one row;
+    ``n_lines`` is a partial + final count.
+    """
+    o = _notices(orders)
     amt = payments.select(F.col("order_id").alias("id"), "amount")
-    it = with_download_links(
-        items.select("order_id", "line_no", "product_id", "product_name", "file_type", "price", "quantity"), products)
-    line = F.concat(F.col("product_name"), F.lit(" ("), F.col("file_type"), F.lit(") x"),
-                    F.col("quantity").cast("string"), F.lit(" $"), F.format_string("%.2f", F.col("price")))
-    lines = it.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "product_id", "product_name", "file_type", "price",
-                                             "quantity", line.alias("text"), "download_link"))).alias("lines"))
-    j = o.join(amt, "id", "left").join(lines.withColumnRenamed("order_id", "id"), "id", "left")
-    text = F.transform(F.coalesce(F.col("lines"), F.array().cast(lines.schema["lines"].dataType)),
-                       lambda x: F.when(F.col("kind") == "order_fulfillment",
-                                        F.concat(x["text"], F.lit(" -> "), x["download_link"])).otherwise(x["text"]))
+    n = items.groupBy(F.col("order_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("n_lines"))
+    j = o.join(amt, "id", "left").join(n, "id", "left")
     return j.select(
         "kind", F.col("id").alias("order_id"), F.col("customer_email").alias("recipient"),
         F.concat(F.col("subject_prefix"), F.col("tracking_id")).alias("subject"),
@@ -63,5 +58,18 @@ def notification_outbox(orders: DataFrame, payments: DataFrame, items: DataFrame
         "customer_name",
         money_text(F.coalesce(F.col("amount"), F.lit(0))).alias("amount_text"),
         long_date_text(F.col("created_at")).alias("date_text"),
-        F.size(text).alias("n_lines"),
-        F.array_join(text, "\n").alias("item_lines"))
+        F.coalesce(F.col("n_lines"), F.lit(0)).alias("n_lines"))
+
+
+def notification_lines(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """N1 body lines: one row per item of each notice; fulfilment notices
+    carry the download link (or the placeholder text)."""
+    o = _notices(orders).select(F.col("id").alias("order_id"), "kind")
+    it = with_download_links(
+        items.select("order_id", "line_no", "product_id", "product_name", "file_type", "price", "quantity"), products)
+    j = it.join(o, "order_id", "inner")
+    text = F.concat(F.col("product_name"), F.lit(" ("), F.col("file_type"), F.lit(") x"),
+                    F.col("quantity").cast("string"), F.lit(" $"), F.format_string("%.2f", F.col("price")))
+    text = F.when(F.col("kind") == "order_fulfillment",
+                  F.concat(text, F.lit(" -> "), F.col("download_link"))).otherwise(text)
+    return j.select("order_id", "kind", "line_no", "product_id", text.alias("text"))

@@ -157,27 +157,30 @@ LINK_SQL = ("CASE WHEN coalesce(p.download_url, '') <> '' THEN p.download_url "
 
 
 @query("notification_outbox", f"""
-, lines AS (
-  SELECT i.order_id, count(*) AS n_lines,
-         string_agg(i.product_name || ' (' || i.file_type || ') x' || CAST(i.quantity AS VARCHAR) || ' $'
-                    || printf('%.2f', i.price)
-                    || CASE WHEN o.status = 'fulfilled' THEN ' -> ' || {LINK_SQL} ELSE '' END,
-                    chr(10) ORDER BY i.line_no, i.product_id, i.product_name, i.file_type, i.price, i.quantity)
-           AS item_lines
-  FROM m_items i JOIN m_orders o ON o.id = i.order_id LEFT JOIN m_products p ON p.id = i.product_id
-  GROUP BY i.order_id)
 SELECT {NOTICE_CASE} AS kind, o.id AS order_id, o.customer_email AS recipient,
        {SUBJECT_CASE} || o.tracking_id AS subject,
        'https://yourdomain.com/track-order?id=' || o.tracking_id AS tracking_url, o.customer_name,
        printf('%.2f', CAST(coalesce(pm.amount, 0) AS DOUBLE) / 100.0) AS amount_text,
        strftime(o.created_at, '%B %-d, %Y') AS date_text,
-       CAST(coalesce(l.n_lines, 0) AS INTEGER) AS n_lines, coalesce(l.item_lines, '') AS item_lines
-FROM m_orders o LEFT JOIN m_payments pm ON pm.order_id = o.id LEFT JOIN lines l ON l.order_id = o.id
+       CAST(coalesce(l.n_lines, 0) AS INTEGER) AS n_lines
+FROM m_orders o LEFT JOIN m_payments pm ON pm.order_id = o.id
+LEFT JOIN (SELECT order_id, count(*) AS n_lines FROM m_items GROUP BY order_id) l ON l.order_id = o.id
 WHERE o.status IN ('pending', 'paid', 'fulfilled', 'refunded')""")
 def notification_outbox(raw):
     """One notice per order (confirmation / payment / fulfilment / refund)."""
-    return N.notification_outbox(fx.model_orders(raw), fx.model_payments(raw), fx.model_items(raw),
-                                 fx.model_products(raw))
+    return N.notification_outbox(fx.model_orders(raw), fx.model_payments(raw), fx.model_items(raw))
+
+
+@query("notification_lines", f"""
+SELECT i.order_id, {NOTICE_CASE} AS kind, i.line_no, i.product_id,
+       i.product_name || ' (' || i.file_type || ') x' || CAST(i.quantity AS VARCHAR) || ' $' || printf('%.2f', i.price)
+         || CASE WHEN o.status = 'fulfilled' THEN ' -> ' || {LINK_SQL} ELSE '' END AS text
+FROM m_items i JOIN m_orders o ON o.id = i.order_id LEFT JOIN m_products p ON p.id = i.product_id
+WHERE o.status IN ('pending', 'paid', 'fulfilled', 'refunded')""")
+def notification_lines(raw):
+    """N1 body: one row per item line of each notice (download links on fulfilment)."""
+    return N.notification_lines(fx.model_orders(raw, with_customer=False), fx.model_items(raw),
+                                fx.model_products(raw))
 
 
 @query("item_download_links", f"""
