@@ -23,6 +23,9 @@ QUERIES: dict[str, QueryFn] = {}
 def query(name: str, sql: str | None = None):
     def deco(fn: Callable[[RawTables], DataFrame]) -> Callable[[RawTables], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # model timestamps are TIMESTAMP_NTZ; day/month truncation must not
+            # depend on the caller's session zone
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return fn(RawTables(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__
