@@ -42,8 +42,9 @@ STATE_COLUMNS = ("order_id", "order_status", "payment_status", "processed_at", "
 
 
 class FoldResult(NamedTuple):
-    state: DataFrame            # one row per order with ops
+    state: DataFrame              # one row per order with ops
     fulfill_decisions: DataFrame  # order_id, ts, event_id, accepted (one per fulfill)
+    segments: DataFrame           # one summary row per (order_id, seg): how a hot order was split
 
 
 def guard_refunds(ops: DataFrame, intents: DataFrame) -> DataFrame:
@@ -175,4 +176,4 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
                  .select("order_id", "ts", "event_id",
                          (F.col("acc") | (F.col("prev").isNull()
                                           & F.coalesce(F.col("incoming") == "paid", F.lit(False)))).alias("accepted")))
-    return FoldResult(state, decisions)
+    return FoldResult(state, decisions, segs)

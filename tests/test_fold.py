@@ -63,9 +63,11 @@ def test_hot_order_is_split_and_still_exact(spark):
     known = {"hot": True, "a": False, "b": True}
     got, res = _run(spark, rows, known, 16)
     assert got == _expected(rows, known)
-    # the hot order really spans several segments
+    # the hot order really is cut into several segments (tasks)
     plan = res.state._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan.lower()
+    n_seg = res.segments.filter(F.col("order_id") == "hot").count()
+    assert n_seg >= 8, n_seg
 
 
 def test_fulfill_decisions_cover_every_fulfill(spark):
