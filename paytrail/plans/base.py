@@ -10,10 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paytrail.plans import oracle
-from paytrail.sources import fixtures as fx
 from paytrail.sources.tables import RawTables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
