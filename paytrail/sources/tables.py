@@ -45,3 +45,36 @@ class RawTables:
     @cached_property
     def events(self) -> DataFrame:
         return self.read("events")
+
+
+# ------------------------------------------------------- stored model tables ---
+def model_schemas():
+    from paytrail import schemas as S
+    return {"orders": S.ORDERS, "order_items": S.ORDER_ITEMS, "payments": S.PAYMENTS,
+            "payment_events": S.PAYMENT_EVENTS}
+
+
+def write_model(tables: dict[str, DataFrame], root: str, mode: str = "errorifexists") -> None:
+    """Store the flat model tables as parquet, each clustered by order id.
+
+    Rows are range-partitioned on the order key before writing, so each file
+    covers a contiguous key range and parquet min/max statistics let a lookup
+    by id skip most files.
+    """
+    schemas = model_schemas()
+    for name, df in tables.items():
+        key = "id" if name == "orders" else "order_id"
+        cols = [f.name for f in schemas[name].fields]
+        out = df.select(*cols).repartitionByRange(key).sortWithinPartitions(key)
+        out.write.mode(mode).parquet(os.path.join(root, name))
+
+
+def read_model(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """IO1: read stored model tables with their declared schemas (no inference)."""
+    out = {}
+    for name, schema in model_schemas().items():
+        path = os.path.join(root, name)
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+            out[name] = spark.read.schema(schema).parquet(path)
+    return out
