@@ -17,18 +17,13 @@ from paytrail.functions.status import map_provider_status, payment_method
 from paytrail.functions.text import or_empty
 from paytrail.operators.broadcast import broadcast_if_small
 from paytrail.operators.fold import FoldResult, fold_order_state, guard_refunds
-from paytrail.schemas import MAX_WEBHOOK_BYTES, WEBHOOK_ENVELOPE
+from paytrail.schemas import (MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE,
+                              WEBHOOK_TYPES)
 
-HANDLERS = {
-    "payment_intent.succeeded": "payment_succeeded",
-    "payment_intent.payment_failed": "payment_failed",
-    "payment_intent.canceled": "payment_canceled",
-    "checkout.session.completed": "checkout_completed",
-    "invoice.payment_succeeded": "invoice_paid",
-    "charge.dispute.created": "dispute_created",
-}
-PI_OPS = {"payment_intent.succeeded": "succeeded", "payment_intent.payment_failed": "failed",
-          "payment_intent.canceled": "canceled"}
+# handler name per handled webhook type (names are ours; types are fixed values)
+HANDLERS = dict(zip(WEBHOOK_TYPES, ["payment_succeeded", "payment_failed", "payment_canceled",
+                                    "checkout_completed", "invoice_paid", "dispute_created"]))
+PI_OPS = dict(zip(WEBHOOK_TYPES[:3], ["succeeded", "failed", "canceled"]))
 
 
 def _map(col: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
@@ -368,7 +363,7 @@ def reconcile_provider_status(orders: DataFrame, payments: DataFrame, intents: D
 def fulfillable_orders(orders: DataFrame) -> DataFrame:
     ok = F.col("status") == "paid"
     return orders.select("id", "status", ok.alias("accepted"),
-                         F.when(~ok, F.lit("Order must be paid before fulfillment")).alias("reason"))
+                         F.when(~ok, F.lit(MSG_NOT_PAID)).alias("reason"))
 
 
 def refundable_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
@@ -377,7 +372,7 @@ def refundable_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
     j = orders.select("id", "status").join(k, "id", "left")
     ok = F.coalesce(F.col("intent_known"), F.lit(False))
     return j.select("id", "status", ok.alias("accepted"),
-                    F.when(~ok, F.lit("No payment intent found for this order")).alias("reason"))
+                    F.when(~ok, F.lit(MSG_NO_INTENT)).alias("reason"))
 
 
 # ------------------------------------------------------------ batch driver ---

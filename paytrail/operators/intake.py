@@ -13,12 +13,10 @@ from pyspark.sql import functions as F
 from paytrail.functions import ids
 from paytrail.functions.money import line_cents
 from paytrail.functions.text import or_empty
-from paytrail.schemas import (DEFAULT_CANCEL_URL, DEFAULT_CURRENCY, DEFAULT_SUCCESS_URL,
-                              ORDER_REQUEST)
+from paytrail.schemas import (DEFAULT_CANCEL_URL, DEFAULT_CURRENCY, DEFAULT_SUCCESS_URL, MSG_BAD_BODY,
+                              MSG_NO_EMAIL, MSG_NO_ITEMS, ORDER_REQUEST)
 
-REASON_BAD_BODY = "Invalid request body"
-REASON_NO_EMAIL = "Customer email is required"
-REASON_NO_ITEMS = "At least one item is required"
+REASON_BAD_BODY, REASON_NO_EMAIL, REASON_NO_ITEMS = MSG_BAD_BODY, MSG_NO_EMAIL, MSG_NO_ITEMS
 
 
 def decode_order_requests(requests: DataFrame, payload_col: str = "payload") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paytrail.functions.money import cents_to_dollars, line_cents
 from paytrail.functions.text import int_param
 from paytrail.operators.broadcast import broadcast_if_small
-from paytrail.schemas import DEFAULT_PAGE_LIMIT
+from paytrail.schemas import DEFAULT_PAGE_LIMIT, MSG_ORDER_NOT_FOUND
 
 COMPLETED = ("paid", "fulfilled")
 
@@ -195,7 +195,7 @@ def orders_by_id(orders: DataFrame, keys: DataFrame) -> DataFrame:
     hit = _flat_order(orders).join(broadcast_if_small(k), "id", "left_semi")
     return k.join(hit, "id", "left").select(
         F.col("id").alias("requested_id"), F.col("tracking_id").isNotNull().alias("found"),
-        F.when(F.col("tracking_id").isNull(), F.lit("Order not found")).alias("error"),
+        F.when(F.col("tracking_id").isNull(), F.lit(MSG_ORDER_NOT_FOUND)).alias("error"),
         *[c for c in hit.columns if c != "id"])
 
 

@@ -53,6 +53,14 @@ DEFAULT_SUCCESS_URL = "https://your-domain.com/success"
 DEFAULT_CANCEL_URL = "https://your-domain.com/cancel"
 TRACKING_URL_PREFIX = "https://yourdomain.com/track-order?id="
 DOWNLOAD_PENDING_TEXT = "Download link will be available shortly"
+# Messages of rejected requests and commands.
+MSG_BAD_BODY = "Invalid request body"
+MSG_NO_EMAIL = "Customer email is required"
+MSG_NO_ITEMS = "At least one item is required"
+MSG_ORDER_NOT_FOUND = "Order not found"
+MSG_NOT_PAID = "Order must be paid before fulfillment"
+MSG_NO_INTENT = "No payment intent found for this order"
+MSG_EMPTY_ID = "order ID cannot be empty"
 # Column length limits of the SQL schema (VARCHAR(n)); DECIMAL(10,2) price.
 LENGTH_LIMITS = {
     "orders": {"id": 50, "tracking_id": 50, "customer_email": 255,

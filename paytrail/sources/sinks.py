@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paytrail.functions import ids
 from paytrail.functions.text import null_if_empty
+from paytrail.schemas import MSG_EMPTY_ID
 
 POINTER = "_CURRENT"
 
@@ -66,7 +67,7 @@ def order_upsert(base: DataFrame, updates: DataFrame, inserts: DataFrame) -> tup
     bad_ins = (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("_exists").isNotNull()
     ins_rejects = ins.filter(bad_ins).select(
         "id", F.lit("insert").alias("operation"),
-        F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit("order ID cannot be empty"))
+        F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit(MSG_EMPTY_ID))
         .otherwise(F.lit("order already exists")).alias("reason"))
     good = ins.filter(~bad_ins).drop("_exists").withColumn("change", F.lit("inserted"))
     snapshot = snapshot.unionByName(good.select(*snapshot.columns))
