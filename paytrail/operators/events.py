@@ -109,6 +109,7 @@ def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: D
     if idx is None:
         idx = order_index(orders, payments, "payment_intent_id", horizon,
                           wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
+    idx = broadcast_if_small(idx)
     return pi.join(idx, pi["object_id"] == idx["payment_intent_id"], "left").drop("payment_intent_id")
 
 
@@ -121,7 +122,8 @@ def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments:
     if idx is None:
         idx = order_index(orders, payments, "payment_intent_id", horizon,
                           wanted=cs.select(F.col("payment_intent").alias("payment_intent_id")))
-    by_i = idx.withColumnRenamed("order_id", "i_order")
+    by_s = broadcast_if_small(by_s)
+    by_i = broadcast_if_small(idx.withColumnRenamed("order_id", "i_order"))
     j = (cs.join(by_s, cs["object_id"] == by_s["session_id"], "left").drop("session_id")
          .join(by_i, cs["payment_intent"] == by_i["payment_intent_id"], "left").drop("payment_intent_id"))
     return j.withColumn("order_id", F.coalesce("s_order", "i_order")).withColumn(

@@ -46,6 +46,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def size_for_scale(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 * 1024 * 1024,
+                   max_partitions: int = 200_000) -> int:
+    """Shuffle partitions for an input of ``input_bytes``.
+
+    Starts from about ``target_partition_bytes`` per shuffle partition (so a
+    partition's sort and hash buffers fit in an executor without heavy spill)
+    and lets AQE coalesce the ones that come out small.  The fold uses the
+    same number as its segment count, so a hot order is cut that finely.
+    """
+    n = max(200, min(max_partitions, -(-int(input_bytes) // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes // 2))
+    return n
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and snapshots.
 

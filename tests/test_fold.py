@@ -101,3 +101,20 @@ def test_guards(spark):
     assert got["p"]["rejected_fulfills"] == 1
     assert got["p"]["rejected_refunds"] == 1
     assert got["p"]["order_status"] == "refunded" and got["p"]["payment_status"] == "refunded"
+
+
+def test_result_does_not_depend_on_partitioning(spark):
+    rng = random.Random(11)
+    rows = _random_rows(rng, 4, 500)
+    known = {f"o{i}": i % 2 == 0 for i in range(4)}
+    base, _ = _run(spark, rows, known, 1)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for seg in (2, 7, 32):
+                got, _ = _run(spark, rows, known, seg)
+                assert got == base
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert base == _expected(rows, known)
