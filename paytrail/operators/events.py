@@ -209,14 +209,16 @@ def webhook_ops(matched: DataFrame) -> DataFrame:
     op = _map(t, {**PI_OPS, "checkout.session.completed": "checkout"})
     return matched.filter(F.col("order_id").isNotNull() & op.isNotNull()).select(
         "order_id", "ts", "event_id", op.alias("op"),
-        F.when(t == "checkout.session.completed", F.col("payment_intent")).alias("set_intent"))
+        F.when(t == "checkout.session.completed", F.col("payment_intent")).alias("set_intent"),
+        F.coalesce(F.col("envelope_id"), F.concat(F.lit("feed_"), F.col("event_id").cast("string"))).alias("delivery_key"))
 
 
 def command_ops(commands: DataFrame, orders: DataFrame) -> DataFrame:
     """Commands addressed to existing orders (others go to the dead letter)."""
     c = commands.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
     return c.select("order_id", "ts", "event_id", F.col("command").alias("op"),
-                    F.lit(None).cast("string").alias("set_intent"))
+                    F.lit(None).cast("string").alias("set_intent"),
+                    F.concat(F.lit("cmd_"), F.col("event_id").cast("string")).alias("delivery_key"))
 
 
 def intent_known(payments: DataFrame) -> DataFrame:
@@ -231,7 +233,11 @@ def raw_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, dedup: b
     """
     ops = webhook_ops(matched).unionByName(command_ops(commands, orders))
     if dedup:
-        ops = ops.dropDuplicates(["order_id", "event_id", "op"])
+        # a redelivered webhook carries the same envelope id: keep its first delivery
+        cols = [c for c in ops.columns if c not in ("order_id", "delivery_key")]
+        ops = (ops.groupBy("order_id", "delivery_key")
+               .agg(F.min_by(F.struct(*cols), F.struct("ts", "event_id")).alias("d"))
+               .select("order_id", "delivery_key", *[F.col(f"d.{c}").alias(c) for c in cols]))
     return ops
 
 

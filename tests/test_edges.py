@@ -101,3 +101,18 @@ def test_checkout_overwrite_rules(spark):
     assert r.customer_name == "Ann"               # only non-empty names overwrite
     assert r.customer_phone == "555"
     assert r.payment_intent_id == "pi_new" and r.session_id == "cs_1"
+
+
+def test_redelivered_webhook_dedup_option(spark):
+    """Q6: a redelivered success moves a fulfilled order back to paid unless dedup=True."""
+    o, p, _ = _fixture(spark)
+    ok = {"id": "pi_1"}
+    env = json.dumps({"id": "evt_same", "type": "payment_intent.succeeded", "data": {"object": ok}})
+    payloads = spark.createDataFrame([(1, T, env), (3, T + dt.timedelta(hours=2), env)],
+                                     "event_id long, ts timestamp_ntz, payload string")
+    commands = spark.createDataFrame([(2, T + dt.timedelta(hours=1), "o1", "fulfill")],
+                                     "event_id long, ts timestamp_ntz, order_id string, command string")
+    plain = E.EventBatch(payloads, commands, o, p, checkpoint=False).fold.state.first()
+    dedup = E.EventBatch(payloads, commands, o, p, dedup=True, checkpoint=False).fold.state.first()
+    assert plain.order_status == "paid" and plain.fulfilled_at == T + dt.timedelta(hours=1)
+    assert dedup.order_status == "fulfilled" and dedup.applied_events == 2
