@@ -239,8 +239,10 @@ def track_payment(orders: DataFrame, event_log: DataFrame, keys: DataFrame) -> D
     """Order by tracking id plus its events, one row per event (flat).
 
     An order without events yields one row with null event columns; an
-    unknown tracking id yields one row with ``found = false``.  Kept flat so a
-    busy order's history is never gathered into one row.
+    unknown tracking id yields one row with ``found = false``.  The event log
+    is always the streamed side of its join (an order with a huge history
+    is split by AQE or meets a broadcast), and the "no events" rows come
+    from an anti join against the distinct order ids of the log.
     """
     k = keys.select("tracking_id").distinct()
     latest = latest_by_tracking(orders.select("id", "tracking_id", "created_at")
@@ -248,26 +250,43 @@ def track_payment(orders: DataFrame, event_log: DataFrame, keys: DataFrame) -> D
     o = orders.select("id", "status").join(latest, "id", "inner")
     ev = event_log.select(F.col("order_id").alias("id"), F.col("id").alias("event_id"), "event_type",
                           F.col("status").alias("event_status"), "seq")
-    hit = o.join(ev, "id", "left")
-    return k.join(hit, "tracking_id", "left").select(
-        "tracking_id", F.col("id").isNotNull().alias("found"), F.col("id").alias("order_id"),
+    cols = ["tracking_id", "found", "order_id", "order_status", "event_id", "event_type", "event_status", "seq"]
+    with_events = ev.join(broadcast_if_small(o), "id", "inner").select(
+        "tracking_id", F.lit(True).alias("found"), F.col("id").alias("order_id"),
         F.col("status").alias("order_status"), "event_id", "event_type", "event_status", "seq")
+    ev_ids = ev.select("id").distinct()  # partial aggregate: a hot order collapses map-side
+    without_events = o.join(ev_ids, "id", "left_anti").select(
+        "tracking_id", F.lit(True).alias("found"), F.col("id").alias("order_id"),
+        F.col("status").alias("order_status"), F.lit(None).cast("string").alias("event_id"),
+        F.lit(None).cast("string").alias("event_type"), F.lit(None).cast("string").alias("event_status"),
+        F.lit(None).cast("long").alias("seq"))
+    unknown = k.join(latest.select("tracking_id"), "tracking_id", "left_anti").select(
+        "tracking_id", F.lit(False).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("order_id", "string"), ("order_status", "string"), ("event_id", "string"), ("event_type", "string"),
+            ("event_status", "string"), ("seq", "long"))])
+    return with_events.select(*cols).unionByName(without_events.select(*cols)).unionByName(unknown.select(*cols))
 
 
 def customer_orders(orders: DataFrame, emails: DataFrame) -> DataFrame:
     """A customer's orders newest first, with ``total_orders``.
 
     Keyed by the email at creation (the reference never re-indexes).  The
-    count is a partial aggregate and the order is a global sort, so a customer
-    with a third of all orders is still split across tasks.
+    orders are the streamed side of an inner join with the per-customer
+    counts (a partial aggregate), so a customer holding a third of all
+    orders is split by AQE or meets a broadcast; customers without orders
+    come from an anti join.  The final order is a global range sort.
     """
     e = emails.select("customer_email").distinct()
     o = orders.select(F.col("customer_email_at_creation").alias("customer_email"), "id", "status",
                       "created_at").join(broadcast_if_small(e), "customer_email", "left_semi")
     counts = o.groupBy("customer_email").agg(F.count(F.lit(1)).alias("total_orders"))
-    return (e.join(counts, "customer_email", "left").join(o, "customer_email", "left")
-            .select("customer_email", F.coalesce(F.col("total_orders"), F.lit(0)).alias("total_orders"),
-                    F.col("id").alias("order_id"), F.col("status").alias("order_status"), "created_at")
+    with_orders = o.join(broadcast_if_small(counts), "customer_email", "inner").select(
+        "customer_email", "total_orders", F.col("id").alias("order_id"), F.col("status").alias("order_status"),
+        "created_at")
+    without = e.join(counts.select("customer_email"), "customer_email", "left_anti").select(
+        "customer_email", F.lit(0).cast("long").alias("total_orders"), F.lit(None).cast("string").alias("order_id"),
+        F.lit(None).cast("string").alias("order_status"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    return (with_orders.unionByName(without)
             .orderBy("customer_email", F.col("created_at").desc(), F.col("order_id").asc()))
 
 

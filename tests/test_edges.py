@@ -116,3 +116,29 @@ def test_redelivered_webhook_dedup_option(spark):
     dedup = E.EventBatch(payloads, commands, o, p, dedup=True, checkpoint=False).fold.state.first()
     assert plain.order_status == "paid" and plain.fulfilled_at == T + dt.timedelta(hours=1)
     assert dedup.order_status == "fulfilled" and dedup.applied_events == 2
+
+
+def test_hot_keys_stay_on_the_streamed_side(spark):
+    """A customer with most orders and an order with a long history."""
+    orders = spark.createDataFrame(
+        [(f"h{i}", f"TH{i}", "hot@x", "hot@x", "n", "paid", T + dt.timedelta(minutes=i)) for i in range(400)]
+        + [("c1", "TC1", "cold@x", "cold@x", "n", "paid", T)], ORDER_SCHEMA)
+    emails = spark.createDataFrame([("hot@x",), ("cold@x",), ("none@x",)], "customer_email string")
+    co = R.customer_orders(orders, emails)
+    got = {}
+    for r in co.collect():
+        got.setdefault(r.customer_email, []).append(r)
+    assert len(got["hot@x"]) == 400 and got["hot@x"][0].total_orders == 400
+    assert got["hot@x"][0].order_id == "h399"                      # newest first
+    assert got["none@x"][0].total_orders == 0 and got["none@x"][0].order_id is None
+    log = spark.range(3000).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("id"),
+                                   F.lit("h7").alias("order_id"), F.lit("payment_failed").alias("event_type"),
+                                   F.lit("failed").alias("status"), F.col("id").alias("seq"))
+    keys = spark.createDataFrame([("TH7",), ("TC1",), ("T-none",)], "tracking_id string")
+    tp = R.track_payment(orders, log, keys)
+    rows = tp.collect()
+    assert sum(r.tracking_id == "TH7" for r in rows) == 3000
+    assert [r.found for r in rows if r.tracking_id == "T-none"] == [False]
+    assert [r.event_id for r in rows if r.tracking_id == "TC1"] == [None]
+    for df in (co, tp):
+        assert "LeftOuter" not in df._jdf.queryExecution().executedPlan().toString()
