@@ -150,28 +150,49 @@ def order_summary_projection(orders: DataFrame, payments: DataFrame, items: Data
 
 
 # ----------------------------------------------------------------------- O1 ---
+def _summaries_for_page(page: DataFrame, payments: DataFrame, items: DataFrame, lim: int) -> DataFrame:
+    """Join one page of orders (at most ``lim`` rows) to amounts and item counts."""
+    ids = F.broadcast(page.select("id"))  # size bound: at most `lim` rows
+    pay = payments.select(F.col("order_id").alias("id"), "amount").join(ids, "id", "left_semi")
+    n = item_counts(items.join(ids.withColumnRenamed("id", "order_id"), "order_id", "left_semi")) \
+        .withColumnRenamed("order_id", "id")
+    return (page.join(pay, "id", "left").join(n, "id", "left")
+            .select("id", "tracking_id", "customer_email",
+                    cents_to_dollars(F.coalesce(F.col("amount"), F.lit(0))).alias("total_amount"),
+                    "status", F.coalesce(F.col("item_count"), F.lit(0)).alias("item_count"), "created_at")
+            .orderBy(F.col("created_at").desc(), F.col("id").asc()))
+
+
 def orders_page(orders: DataFrame, payments: DataFrame, items: DataFrame,
                 limit=None, offset=None) -> DataFrame:
-    """All orders newest first, one page.
+    """All orders newest first, one page (limit default 50, offset default 0).
 
     The page is cut on the orders alone (``TakeOrderedAndProject`` keeps at
     most offset+limit rows per partition); only the page's ids are then joined
-    to payments and item counts, so the joins touch ``limit`` orders.
+    to payments and item counts.  Deep pages should use ``orders_page_after``.
     """
     lim = int_param(None if limit is None else str(limit), DEFAULT_PAGE_LIMIT, 1)
     off = int_param(None if offset is None else str(offset), 0, 0)
     page = (orders.select("id", "tracking_id", "customer_email", "status", "created_at")
             .orderBy(F.col("created_at").desc(), F.col("id").asc())
             .offset(off).limit(lim))
-    ids = F.broadcast(page.select("id"))  # size bound: at most `lim` rows
-    pay = payments.select(F.col("order_id").alias("id"), "amount").join(ids, "id", "left_semi")
-    n = item_counts(items.join(ids.withColumnRenamed("id", "order_id"), "order_id", "left_semi")) \
-        .withColumnRenamed("order_id", "id")
-    return (page.join(pay, "id", "left").join(n, "id", "left")
-            .select("id", "tracking_id", "customer_email",
-                    cents_to_dollars(F.coalesce(F.col("amount"), F.lit(0))).alias("total_amount"),
-                    "status", F.coalesce(F.col("item_count"), F.lit(0)).alias("item_count"), "created_at")
-            .orderBy(F.col("created_at").desc(), F.col("id").asc()))
+    return _summaries_for_page(page, payments, items, lim)
+
+
+def orders_page_after(orders: DataFrame, payments: DataFrame, items: DataFrame,
+                      after_created_at=None, after_id: str | None = None, limit=None) -> DataFrame:
+    """Keyset form of ``orders_page``: the ``limit`` orders that follow the
+    cursor ``(after_created_at, after_id)`` in the same order (newest first,
+    id ascending).  Each partition keeps only ``limit`` rows however deep the
+    page is.  No cursor gives the first page.
+    """
+    lim = int_param(None if limit is None else str(limit), DEFAULT_PAGE_LIMIT, 1)
+    o = orders.select("id", "tracking_id", "customer_email", "status", "created_at")
+    if after_created_at is not None:
+        ts = F.lit(str(after_created_at)).cast("timestamp_ntz")
+        o = o.filter((F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("id") > F.lit(after_id))))
+    page = o.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(lim)
+    return _summaries_for_page(page, payments, items, lim)
 
 
 # ------------------------------------------------------------------ lookups ---

@@ -256,3 +256,22 @@ def assemble_orders(raw):
     """Flat tables -> nested documents -> exploded back (round trip)."""
     nested = R.assemble_orders(fx.model_orders(raw), fx.model_items(raw), fx.model_payments(raw))
     return R.explode_orders(nested)
+
+
+PAGE_CURSOR = ("2001-07-01 00:00:00", "ORD100")
+
+
+@query("orders_page_after", f"""
+SELECT o.id, o.tracking_id, o.customer_email,
+       CAST(coalesce(p.amount, 0) AS DOUBLE) / 100.0 AS total_amount, o.status,
+       coalesce(n.item_count, 0) AS item_count, o.created_at
+FROM m_orders o
+LEFT JOIN m_payments p ON p.order_id = o.id
+LEFT JOIN (SELECT order_id, count(*) AS item_count FROM m_items GROUP BY order_id) n ON n.order_id = o.id
+WHERE o.created_at < TIMESTAMP '{PAGE_CURSOR[0]}'
+   OR (o.created_at = TIMESTAMP '{PAGE_CURSOR[0]}' AND o.id > '{PAGE_CURSOR[1]}')
+ORDER BY o.created_at DESC, o.id ASC LIMIT {PAGE_LIMIT}""")
+def orders_page_after(raw):
+    """O1, keyset form: the 25 orders after a (created_at, id) cursor."""
+    return R.orders_page_after(fx.model_orders(raw, with_customer=False), fx.model_payments(raw),
+                               fx.model_items(raw), *PAGE_CURSOR, limit=PAGE_LIMIT)

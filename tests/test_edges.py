@@ -142,3 +142,15 @@ def test_hot_keys_stay_on_the_streamed_side(spark):
     assert [r.event_id for r in rows if r.tracking_id == "TC1"] == [None]
     for df in (co, tp):
         assert "LeftOuter" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyset_pages_equal_offset_pages(spark, raw):
+    from paytrail.sources import fixtures as fx
+    o, p, i = fx.model_orders(raw, with_customer=False), fx.model_payments(raw), fx.model_items(raw)
+    cursor, seen = None, []
+    for k in range(4):
+        page = R.orders_page_after(o, p, i, *(cursor or (None, None)), limit=7).collect()
+        assert [tuple(r) for r in page] == [tuple(r) for r in R.orders_page(o, p, i, 7, 7 * k).collect()]
+        seen += [r.id for r in page]
+        cursor = (page[-1].created_at, page[-1].id)
+    assert len(set(seen)) == 28
