@@ -23,7 +23,10 @@ from paytrail.schemas import (MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WE
 # handler name per handled webhook type (names are ours; types are fixed values)
 HANDLERS = dict(zip(WEBHOOK_TYPES, ["payment_succeeded", "payment_failed", "payment_canceled",
                                     "checkout_completed", "invoice_paid", "dispute_created"]))
-PI_OPS = dict(zip(WEBHOOK_TYPES[:3], ["succeeded", "failed", "canceled"]))
+PI_TYPES = WEBHOOK_TYPES[:3]   # the payment-intent types: succeeded, payment_failed, canceled
+CHECKOUT_TYPE = WEBHOOK_TYPES[3]
+PI_OPS = dict(zip(PI_TYPES, ["succeeded", "failed", "canceled"]))   # op == payment status set
+PI_ORDER_STATUS = {PI_TYPES[0]: "paid", PI_TYPES[2]: "canceled"}    # failure leaves the order alone
 
 
 def _map(col: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
@@ -105,7 +108,7 @@ def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int |
 def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: DataFrame,
                                horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
     """Payment-intent webhooks -> order by intent id (newest order wins)."""
-    pi = routed.filter(F.col("type").startswith("payment_intent."))
+    pi = routed.filter(F.col("type").isin(*PI_TYPES))
     if idx is None:
         idx = order_index(orders, payments, "payment_intent_id", horizon,
                           wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
@@ -116,7 +119,7 @@ def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: D
 def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments: DataFrame,
                                 horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
     """Checkout sessions -> order by session id, else by the session's intent id."""
-    cs = routed.filter(F.col("type") == "checkout.session.completed")
+    cs = routed.filter(F.col("type") == CHECKOUT_TYPE)
     by_s = order_index(orders, payments, "session_id", horizon,
                        wanted=cs.select(F.col("object_id").alias("session_id"))).withColumnRenamed("order_id", "s_order")
     if idx is None:
@@ -139,8 +142,8 @@ def match_webhooks(routed: DataFrame, orders: DataFrame, payments: DataFrame,
     checkout fallback; it covers only the intent ids this batch mentions.
     """
     t = F.col("type")
-    wanted = routed.filter(t.startswith("payment_intent.") | (t == "checkout.session.completed")).select(
-        F.when(t == "checkout.session.completed", F.col("payment_intent")).otherwise(F.col("object_id"))
+    wanted = routed.filter(t.isin(*PI_TYPES) | (t == CHECKOUT_TYPE)).select(
+        F.when(t == CHECKOUT_TYPE, F.col("payment_intent")).otherwise(F.col("object_id"))
         .alias("payment_intent_id"))
     idx = order_index(orders, payments, "payment_intent_id", horizon, wanted=wanted)
     pi = events_to_orders_by_intent(routed, orders, payments, horizon, idx).withColumn(
@@ -153,12 +156,11 @@ def match_webhooks(routed: DataFrame, orders: DataFrame, payments: DataFrame,
 def handler_effects(matched: DataFrame) -> DataFrame:
     """Per matched payment-intent webhook: the statuses it sets and its log kind."""
     t = F.col("type")
-    return matched.filter(t.startswith("payment_intent.") & F.col("order_id").isNotNull()).select(
+    return matched.filter(t.isin(*PI_TYPES) & F.col("order_id").isNotNull()).select(
         "event_id", "ts", "order_id", "handler",
-        _map(t, {"payment_intent.succeeded": "succeeded", "payment_intent.payment_failed": "failed",
-                 "payment_intent.canceled": "canceled"}).alias("payment_status_set"),
-        _map(t, {"payment_intent.succeeded": "paid", "payment_intent.canceled": "canceled"}).alias("order_status_set"),
-        (t == "payment_intent.succeeded").alias("sets_processed_at_if_null"),
+        _map(t, PI_OPS).alias("payment_status_set"),
+        _map(t, PI_ORDER_STATUS).alias("order_status_set"),
+        (t == PI_TYPES[0]).alias("sets_processed_at_if_null"),
     )
 
 
@@ -171,7 +173,7 @@ def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: Da
     when the session carries one.  Last writer by ``(ts, event_id)``.
     """
     seq = F.struct("ts", "event_id")
-    cs = matched.filter((F.col("type") == "checkout.session.completed") & F.col("order_id").isNotNull())
+    cs = matched.filter((F.col("type") == CHECKOUT_TYPE) & F.col("order_id").isNotNull())
     det = F.coalesce(F.col("has_customer_details"), F.lit(False))
     upd = cs.groupBy("order_id").agg(
         F.max_by("customer_email", F.when(det, seq)).alias("new_email"),
@@ -206,10 +208,10 @@ def audit_only_events(routed: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- ops (fold) ---
 def webhook_ops(matched: DataFrame) -> DataFrame:
     t = F.col("type")
-    op = _map(t, {**PI_OPS, "checkout.session.completed": "checkout"})
+    op = _map(t, {**PI_OPS, CHECKOUT_TYPE: "checkout"})
     return matched.filter(F.col("order_id").isNotNull() & op.isNotNull()).select(
         "order_id", "ts", "event_id", op.alias("op"),
-        F.when(t == "checkout.session.completed", F.col("payment_intent")).alias("set_intent"),
+        F.when(t == CHECKOUT_TYPE, F.col("payment_intent")).alias("set_intent"),
         F.coalesce(F.col("envelope_id"), F.concat(F.lit("feed_"), F.col("event_id").cast("string"))).alias("delivery_key"))
 
 
@@ -306,20 +308,18 @@ def event_log(matched: DataFrame, fold: FoldResult, ops: DataFrame,
                        "created_at", F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("src")))
     t = F.col("type")
     m = matched.filter(F.col("order_id").isNotNull())
-    pi = m.filter(t.startswith("payment_intent.")).select(
+    pi = m.filter(t.isin(*PI_TYPES)).select(
         "order_id",
-        _map(t, {"payment_intent.succeeded": "payment_succeeded", "payment_intent.payment_failed": "payment_failed",
-                 "payment_intent.canceled": "payment_canceled"}).alias("event_type"),
-        _map(t, {"payment_intent.succeeded": "succeeded", "payment_intent.payment_failed": "failed",
-                 "payment_intent.canceled": "canceled"}).alias("status"),
-        F.when(t == "payment_intent.succeeded",
+        _map(t, {k: HANDLERS[k] for k in PI_TYPES}).alias("event_type"),
+        _map(t, PI_OPS).alias("status"),
+        F.when(t == PI_TYPES[0],
                F.to_json(F.struct(F.col("object_id").alias("payment_intent_id"), "amount", "currency",
                                   payment_method().alias("payment_method"))))
-        .when(t == "payment_intent.canceled",
+        .when(t == PI_TYPES[2],
               F.to_json(F.struct(F.col("object_id").alias("payment_intent_id"), _iso(F.col("ts")).alias("canceled_at"))))
         .otherwise(F.to_json(F.struct(F.col("object_id").alias("payment_intent_id")))).alias("data"),
         F.col("ts").alias("created_at"), (F.col("event_id") + 1).alias("seq"), F.col("event_id").alias("src"))
-    cs = m.filter(t == "checkout.session.completed").select(
+    cs = m.filter(t == CHECKOUT_TYPE).select(
         "order_id", F.lit("checkout_completed").alias("event_type"), F.lit("succeeded").alias("status"),
         F.to_json(F.struct(F.col("object_id").alias("session_id"),
                            or_empty(F.col("payment_intent")).alias("payment_intent_id"),

@@ -118,13 +118,13 @@ m_webhooks AS (
          CASE WHEN event_id % 997 = 0 THEN 'payload_too_large'
               WHEN event_id % 101 = 0 THEN 'unreadable_payload' END AS reject_reason,
          'evt_' || CAST(event_id AS VARCHAR) AS envelope_id,
-         CASE WHEN kind LIKE 'payment_intent.%' THEN 'pi_' || CAST(user_id AS VARCHAR)
+         CASE WHEN kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') THEN 'pi_' || CAST(user_id AS VARCHAR)
               WHEN kind = 'checkout.session.completed' THEN 'cs_' || CAST(user_id AS VARCHAR)
               WHEN kind = 'invoice.payment_succeeded' THEN 'in_' || CAST(event_id AS VARCHAR)
               WHEN kind = 'charge.dispute.created' THEN 'dp_' || CAST(event_id AS VARCHAR)
               ELSE 'cus_' || CAST(user_id AS VARCHAR) END AS object_id,
-         CASE WHEN kind LIKE 'payment_intent.%' THEN CAST(trunc(value * 100) AS BIGINT) END AS amount,
-         CASE WHEN kind LIKE 'payment_intent.%' THEN 'usd' END AS currency,
+         CASE WHEN kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') THEN CAST(trunc(value * 100) AS BIGINT) END AS amount,
+         CASE WHEN kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') THEN 'usd' END AS currency,
          CASE WHEN kind = 'checkout.session.completed' THEN 'pi_' || CAST(user_id AS VARCHAR) END AS payment_intent,
          CASE WHEN kind = 'charge.dispute.created' THEN 'ch_' || CAST(user_id AS VARCHAR) END AS charge,
          (kind = 'checkout.session.completed' AND event_id % 5 <> 0) AS has_customer_details,
@@ -161,9 +161,9 @@ m_session_index AS (
 m_matched AS (
   SELECT w.*,
          CASE WHEN w.kind = 'checkout.session.completed' THEN coalesce(s.order_id, i2.order_id)
-              WHEN w.kind LIKE 'payment_intent.%' THEN i.order_id END AS order_id
+              WHEN w.kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') THEN i.order_id END AS order_id
   FROM m_ok_webhooks w
-  LEFT JOIN m_intent_index i ON w.kind LIKE 'payment_intent.%' AND i.payment_intent_id = w.object_id
+  LEFT JOIN m_intent_index i ON w.kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') AND i.payment_intent_id = w.object_id
   LEFT JOIN m_session_index s ON w.kind = 'checkout.session.completed' AND s.session_id = w.object_id
   LEFT JOIN m_intent_index i2 ON w.kind = 'checkout.session.completed' AND i2.payment_intent_id = w.payment_intent
 ),

@@ -51,7 +51,7 @@ def route_webhooks(raw):
 
 @query("events_to_orders_by_intent", """
 SELECT event_id, kind AS type, object_id, order_id, order_id IS NOT NULL AS matched
-FROM m_matched WHERE kind LIKE 'payment_intent.%'""")
+FROM m_matched WHERE kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled')""")
 def events_to_orders_by_intent(raw):
     """Payment-intent webhooks -> order by intent id (newest wins, no horizon)."""
     b = _batch(raw)
@@ -66,7 +66,7 @@ idx AS (SELECT p.payment_intent_id, arg_max(p.order_id, o.created_at || '|' || p
         GROUP BY p.payment_intent_id)
 SELECT w.event_id, w.kind AS type, w.object_id, i.order_id, i.order_id IS NOT NULL AS matched
 FROM m_ok_webhooks w LEFT JOIN idx i ON i.payment_intent_id = w.object_id
-WHERE w.kind LIKE 'payment_intent.%'""")
+WHERE w.kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled')""")
 def events_to_orders_by_intent_horizon(raw):
     """J3 with the reference's 1000-newest-orders search horizon."""
     b = _batch(raw)
@@ -165,7 +165,7 @@ WHERE kind NOT IN ('payment_intent.succeeded', 'payment_intent.payment_failed',
                    'checkout.session.completed', 'invoice.payment_succeeded', 'charge.dispute.created')
 UNION ALL
 SELECT event_id, 'webhook', kind, 'order_not_found' FROM m_matched
-WHERE order_id IS NULL AND (kind LIKE 'payment_intent.%' OR kind = 'checkout.session.completed')
+WHERE order_id IS NULL AND (kind IN ('payment_intent.succeeded', 'payment_intent.payment_failed', 'payment_intent.canceled') OR kind = 'checkout.session.completed')
 UNION ALL
 SELECT event_id, 'command', 'command.' || command, 'order_not_found' FROM m_commands
 WHERE order_id NOT IN (SELECT id FROM m_orders)""")

@@ -154,3 +154,13 @@ def test_keyset_pages_equal_offset_pages(spark, raw):
         seen += [r.id for r in page]
         cursor = (page[-1].created_at, page[-1].id)
     assert len(set(seen)) == 28
+
+
+def test_unhandled_intent_type_reported_once(spark):
+    o, p, _ = _fixture(spark)
+    payloads = spark.createDataFrame([_payload(1, "payment_intent.created", {"id": "pi_1"})],
+                                     "event_id long, ts timestamp_ntz, payload string")
+    commands = spark.createDataFrame([], "event_id long, ts timestamp_ntz, order_id string, command string")
+    b = E.EventBatch(payloads, commands, o, p, checkpoint=False)
+    assert [(r.event_id, r.reason) for r in b.dead_letter().collect()] == [(1, "unhandled_event_type")]
+    assert b.fold.state.count() == 0
