@@ -23,6 +23,7 @@ within a batch by ``(ts, event_id)``.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 
@@ -164,3 +165,26 @@ def replay(feed_df: DataFrame, orders: DataFrame, payments: DataFrame, work_root
         q = start(spark, src, handler, ckpt, available_now=True)
         q.awaitTermination()
     return handler
+
+
+def run_stream(spark: SparkSession, source_dir: str, model_root: str, out_root: str,
+               trigger_seconds: int = 10, compact_every: int = 16, available_now: bool = False,
+               checkpoint_location: str | None = None):
+    """Production entry: fold a live feed folder onto stored model tables.
+
+    ``model_root`` holds tables written by ``sources.tables.write_model``;
+    the stream's checkpoint lives under ``spark.checkpoint.dir`` (shared),
+    its outputs under ``out_root``.
+    """
+    from paytrail.session import checkpoint_root
+    from paytrail.sources.tables import read_model
+    tables = read_model(spark, model_root)
+    handler = OrderStateStream(tables["orders"], tables["payments"], out_root, compact_every)
+    # one streaming checkpoint per output folder, under the shared checkpoint root
+    ckpt = checkpoint_location or os.path.join(
+        checkpoint_root(spark), "streams", hashlib.sha1(out_root.encode()).hexdigest()[:16])
+    reader = spark.readStream.schema(FEED_SCHEMA).parquet(source_dir)
+    writer = reader.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
+    writer = writer.trigger(availableNow=True) if available_now else \
+        writer.trigger(processingTime=f"{trigger_seconds} seconds")
+    return writer.start(), handler

@@ -45,3 +45,18 @@ def test_retried_batch_is_idempotent(spark, raw):
     assert spark.read.parquet(h.path("log", 1)).count() == log_once
     batch = EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments).fold.state.select(*COLS)
     assert once == sorted(map(tuple, batch.collect()))
+
+
+def test_run_stream_over_stored_model(spark, raw):
+    from paytrail.sources.tables import write_model
+    root = scratch_path(spark, "run-stream")
+    orders = fx.model_orders(raw, with_customer=False)
+    payments = fx.model_payments(raw)
+    write_model({"orders": fx.model_orders(raw), "payments": payments}, f"{root}/model")
+    W.feed(fx.webhook_payloads(raw), fx.model_commands(raw)).write.parquet(f"{root}/feed")
+    q, handler = W.run_stream(spark, f"{root}/feed", f"{root}/model", f"{root}/out", available_now=True)
+    q.awaitTermination()
+    got = sorted(map(tuple, handler.latest_state().select(*COLS).collect()))
+    want = sorted(map(tuple, EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments)
+                      .fold.state.select(*COLS).collect()))
+    assert got == want
