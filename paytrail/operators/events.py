@@ -2,7 +2,7 @@
 
 Batch and streaming share these functions; a micro-batch is just a smaller
 DataFrame.  Lookups of orders by intent or session id are equi-joins against
-an index built with ``max_by`` (newest order wins), never a scan per event.
+an index built with one aggregate (newest order wins), never a scan per event.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int |
     if wanted is not None:
         p = p.join(broadcast_if_small(wanted.filter(F.col(key).isNotNull()).distinct()), key, "left_semi")
     return (p.join(o, "id", "inner").groupBy(key)
-            .agg(F.max_by("id", F.struct("created_at", "id")).alias("order_id")))
+            .agg(F.max(F.struct("created_at", "id"))["id"].alias("order_id")))
 
 
 def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: DataFrame,
@@ -175,13 +175,18 @@ def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: Da
     seq = F.struct("ts", "event_id")
     cs = matched.filter((F.col("type") == CHECKOUT_TYPE) & F.col("order_id").isNotNull())
     det = F.coalesce(F.col("has_customer_details"), F.lit(False))
+    def last(value: str, cond: Column | None = None) -> Column:
+        """value of the latest row (by ts, event_id) where ``cond`` holds"""
+        s = F.struct("ts", "event_id", F.col(value).alias("v"))
+        return F.max(s if cond is None else F.when(cond, s))["v"]
+
     upd = cs.groupBy("order_id").agg(
-        F.max_by("customer_email", F.when(det, seq)).alias("new_email"),
+        last("customer_email", det).alias("new_email"),
         F.max(F.when(det, seq)).alias("email_seq"),
-        F.max_by("customer_name", F.when(det & (or_empty(F.col("customer_name")) != ""), seq)).alias("new_name"),
-        F.max_by("customer_phone", F.when(det & (or_empty(F.col("customer_phone")) != ""), seq)).alias("new_phone"),
-        F.max_by("object_id", seq).alias("new_session"),
-        F.max_by("payment_intent", F.when(F.col("payment_intent").isNotNull(), seq)).alias("new_intent"),
+        last("customer_name", det & (or_empty(F.col("customer_name")) != "")).alias("new_name"),
+        last("customer_phone", det & (or_empty(F.col("customer_phone")) != "")).alias("new_phone"),
+        last("object_id").alias("new_session"),
+        last("payment_intent", F.col("payment_intent").isNotNull()).alias("new_intent"),
         F.count(F.lit(1)).alias("n_checkouts"),
         F.max("ts").alias("updated_at"),
     )

@@ -25,7 +25,7 @@ status events, which we evaluate without putting a whole order in one task:
    order with the higher-order ``aggregate`` function.
 
 Payment status, processed_at and counters are order-independent aggregates
-(``max_by`` / ``min`` / ``count_if``) with map-side partial aggregation.
+(``max`` / ``min`` / ``count_if``) with map-side partial aggregation.
 """
 
 from __future__ import annotations
@@ -66,16 +66,37 @@ def guard_refunds(ops: DataFrame, intents: DataFrame) -> DataFrame:
     return rest.unionByName(guarded)
 
 
+# An order is "hot" (cut into segments) when it holds more than HOT_FACTOR times an
+# average partition's share of the status events, and at least MIN_HOT_ROWS of them.
+HOT_FACTOR = 2.0
+MIN_HOT_ROWS = 100_000
+
+
 def _num_segments(ops: DataFrame) -> int:
     return int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _has_hot_order(status_ops: DataFrame, n_partitions: int, hot_rows: int | None) -> bool:
+    """One partial + final aggregate: does any order hold more than its share?"""
+    top = (status_ops.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+           .agg(F.max("n").alias("m"), F.sum("n").alias("t")).first())
+    if top is None or top["m"] is None:
+        return False
+    limit = hot_rows if hot_rows is not None else max(MIN_HOT_ROWS, HOT_FACTOR * top["t"] / n_partitions)
+    return top["m"] > limit
+
+
 def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
-                     num_segments: int | None = None) -> FoldResult:
+                     num_segments: int | None = None, hot_rows: int | None = None) -> FoldResult:
     """Fold ``ops`` (order_id, ts, event_id, op, intent_ok, set_intent) into order state.
 
     ``initial`` (optional) holds the state before these ops in the columns of
     ``STATE_COLUMNS``; without it every order starts pending/pending.
+    Orders are cut into range segments when ``num_segments`` is given or when
+    some order is hot: more than ``hot_rows`` status events (default: twice an
+    average partition's share, at least ``MIN_HOT_ROWS``), checked with one
+    partial aggregate.  Otherwise each order is one segment and the range
+    exchange with its sampling pass is skipped.
     """
     op = F.col("op")
     seq = F.struct("ts", "event_id")
@@ -86,8 +107,10 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
            .when(op == "canceled", "canceled").when(refund_ok, "refunded"))
     always_applied = op.isin("succeeded", "failed", "canceled", "checkout") | refund_ok
 
+    # "value at the greatest (ts, event_id)" is written max(struct(ts, event_id, value)).value:
+    # the ordering key leads the struct, which aggregates faster than max_by with a struct key
     side = ops.groupBy("order_id").agg(
-        F.max_by(pay, F.when(pay.isNotNull(), seq)).alias("last_payment_status"),
+        F.max(F.when(pay.isNotNull(), F.struct("ts", "event_id", pay.alias("v"))))["v"].alias("last_payment_status"),
         F.min(F.when(op == "succeeded", F.col("ts"))).alias("first_success_ts"),
         F.max(F.when(always_applied, F.col("ts"))).alias("last_applied_ts"),
         F.count_if(always_applied).alias("n_applied"),
@@ -97,23 +120,25 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
     )
 
     # --- status events, split into ordered segments --------------------------
+    st = ops.select("order_id", "ts", "event_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
     n = num_segments or _num_segments(ops)
-    st = (ops.select("order_id", "ts", "event_id", kind.alias("kind"))
-          .filter(F.col("kind").isNotNull())
-          .repartitionByRange(n, "order_id", "ts", "event_id")
-          .withColumn("seg", F.spark_partition_id()))
+    if num_segments is not None or _has_hot_order(st, n, hot_rows):
+        st = (st.repartitionByRange(n, "order_id", "ts", "event_id")
+              .withColumn("seg", F.spark_partition_id()))
+    else:
+        st = st.withColumn("seg", F.lit(0))
     w = Window.partitionBy("order_id", "seg").orderBy("ts", "event_id")
     st = st.withColumn("prev", F.lag("kind").over(w)).withColumn(
         "acc", (F.col("kind") == "F") & F.coalesce(F.col("prev") == "paid", F.lit(False)))
     is_f = F.col("kind") == "F"
     segs = st.groupBy("order_id", "seg").agg(
-        F.min_by("kind", seq).alias("first_kind"),
-        F.min_by("ts", seq).alias("first_ts"),
+        F.min(F.struct("ts", "event_id", "kind"))["kind"].alias("first_kind"),
+        F.min("ts").alias("first_ts"),
         F.count_if("acc").alias("inner_acc"),
         F.min(F.when(F.col("acc"), F.col("ts"))).alias("inner_acc_min"),
         F.max(F.when(F.col("acc"), F.col("ts"))).alias("inner_acc_max"),
         F.count_if(is_f).alias("n_f"),
-        F.max_by("kind", F.when(~is_f, seq)).alias("last_setter"),
+        F.max(F.when(~is_f, F.struct("ts", "event_id", "kind")))["kind"].alias("last_setter"),
         F.max(F.when(~is_f, seq)).alias("last_setter_seq"),
         F.max(F.when(is_f, seq)).alias("last_f_seq"),
     )

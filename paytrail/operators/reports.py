@@ -200,7 +200,7 @@ def latest_by_tracking(orders: DataFrame) -> DataFrame:
     """One order per tracking id; the most recently created wins (ties: id)."""
     return (orders.filter(F.coalesce(F.col("tracking_id"), F.lit("")) != "")
             .groupBy("tracking_id")
-            .agg(F.max_by(F.col("id"), F.struct("created_at", "id")).alias("id")))
+            .agg(F.max(F.struct("created_at", "id"))["id"].alias("id")))
 
 
 def _flat_order(o: DataFrame) -> DataFrame:

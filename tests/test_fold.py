@@ -118,3 +118,19 @@ def test_result_does_not_depend_on_partitioning(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert base == _expected(rows, known)
+
+
+def test_split_is_chosen_by_size(spark):
+    """Without a hot order each order is one segment; above the budget it is cut."""
+    rng = random.Random(5)
+    rows = _random_rows(rng, 0, 1200, (["hot", "a"], [0.9, 0.1]))
+    known = {"hot": True, "a": True}
+    ops = guard_refunds(_ops_df(spark, rows),
+                        spark.createDataFrame(list(known.items()), "order_id string, intent_known boolean"))
+    whole = fold_order_state(ops)                 # small data: below the 100k floor, no split
+    cut = fold_order_state(ops, hot_rows=100)    # budget 100: the hot order is cut
+    assert whole.segments.filter(F.col("order_id") == "hot").count() == 1
+    assert cut.segments.filter(F.col("order_id") == "hot").count() > 1
+    exp = _expected(rows, known)
+    for res in (whole, cut):
+        assert {r["order_id"]: {c: r[c] for c in COLS} for r in res.state.collect()} == exp
