@@ -9,6 +9,8 @@ query cheaper.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,23 @@ from paytrail.sources.tables import RawTables
 AS_OF = "2001-07-15 12:00:00"
 
 
+def stored(name: str, key: str | None = None, **fixed):
+    """Serve an adapter from the session's model store when ``raw`` has one.
+
+    ``fixed`` pins keyword arguments of the stored variant (e.g. orders are
+    stored with the customer name; callers that skip it just ignore the column).
+    """
+    def deco(fn):
+        @functools.wraps(fn)
+        def wrapper(raw, *args, **kwargs):
+            store = getattr(raw, "store", None)
+            if store is None:
+                return fn(raw, *args, **kwargs)
+            return store.table(name, lambda: fn(raw, *args, **{**kwargs, **fixed}), key)
+        return wrapper
+    return deco
+
+
 def ts_lit(value: str) -> Column:
     return F.lit(value).cast("timestamp_ntz")
 
@@ -27,6 +46,7 @@ def _key_id(prefix: str, key: Column) -> Column:
 
 
 # ---------------------------------------------------------------- orders ---
+@stored("orders", "id", with_customer=True)
 def model_orders(raw: RawTables, with_customer: bool = True) -> DataFrame:
     o = raw.orders
     k = F.col("o_orderkey")
@@ -65,6 +85,7 @@ def model_orders(raw: RawTables, with_customer: bool = True) -> DataFrame:
 
 
 # -------------------------------------------------------------- payments ---
+@stored("payments", "order_id")
 def model_payments(raw: RawTables) -> DataFrame:
     o = raw.orders.filter(F.col("o_orderkey") % 10 != 9)
     k = F.col("o_orderkey")
@@ -91,6 +112,7 @@ def model_payments(raw: RawTables) -> DataFrame:
 
 
 # ----------------------------------------------------------------- items ---
+@stored("order_items", "order_id")
 def model_items(raw: RawTables) -> DataFrame:
     li = raw.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
     p = raw.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
@@ -113,6 +135,7 @@ def item_price(partkey: Column) -> Column:
 
 
 # -------------------------------------------------------------- products ---
+@stored("products", "id")
 def model_products(raw: RawTables) -> DataFrame:
     p = raw.part
     k = F.col("p_partkey")
@@ -133,6 +156,7 @@ PROVIDER_STATES = ["succeeded", "canceled", "processing", "requires_payment_meth
                    "requires_confirmation", "requires_action", "requires_capture"]
 
 
+@stored("provider_intents", "id")
 def model_provider_intents(raw: RawTables) -> DataFrame:
     o = raw.orders.filter(F.col("o_orderkey") % 10 != 9)
     k = F.col("o_orderkey")
@@ -145,6 +169,7 @@ def model_provider_intents(raw: RawTables) -> DataFrame:
 
 
 # ----------------------------------------------------------- lookup keys ---
+@stored("lookup_keys", "order_id")
 def lookup_keys(raw: RawTables) -> DataFrame:
     """Requested keys: one per customer, some past the last order (not found)."""
     k = F.col("c_custkey") * 11
@@ -157,6 +182,7 @@ def lookup_keys(raw: RawTables) -> DataFrame:
 
 
 # ---------------------------------------------------- order request JSON ---
+@stored("order_requests", "request_key")
 def order_requests(raw: RawTables) -> DataFrame:
     """One JSON request document per order (as a client would POST it)."""
     items = model_items(raw).groupBy("order_id").agg(
@@ -199,11 +225,13 @@ def _event_kind() -> Column:
             .otherwise("customer.created"))
 
 
+@stored("event_feed", "event_id")
 def model_event_feed(raw: RawTables) -> DataFrame:
     """Driver events -> (event_id, ts, user_id, kind) in arrival order."""
     return raw.events.select("event_id", "ts", "user_id", "value", _event_kind().alias("kind"))
 
 
+@stored("webhook_payloads", "event_id")
 def webhook_payloads(raw: RawTables) -> DataFrame:
     """Provider webhook bodies as text (one envelope per webhook event)."""
     e = model_event_feed(raw).filter(~F.col("kind").startswith("command."))
@@ -239,6 +267,7 @@ def webhook_payloads(raw: RawTables) -> DataFrame:
         .otherwise(F.col("env")).alias("payload"))
 
 
+@stored("commands", "event_id")
 def model_commands(raw: RawTables) -> DataFrame:
     """Operator commands (fulfill / refund) addressed by order id."""
     e = model_event_feed(raw).filter(F.col("kind").startswith("command."))

@@ -17,11 +17,20 @@ RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lin
 
 
 class RawTables:
-    """Driver-provided parquet tables of one scale factor."""
+    """Driver-provided parquet tables of one scale factor.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    ``store=True`` (default) keeps the adapted model tables in a per-session
+    ``ModelStore`` so each is built from the driver tables once.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, store: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        if store:
+            from paytrail.sources.store import ModelStore
+            self.store = ModelStore.for_session(spark, sf_dir)
+        else:
+            self.store = None
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
