@@ -46,8 +46,8 @@ class ModelStore:
         path = f"{self.root}/{name}"
         if not self._done(path):
             df = build()
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(n, key) if key else df.repartition(n)
+            # no fixed count: AQE sizes the files (many for big tables, few for tiny ones)
+            df = df.repartitionByRange(key) if key else df.hint("rebalance")
             df.write.mode("overwrite").parquet(path)
         self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]

@@ -13,4 +13,3 @@ def test_second_use_reads_the_stored_copy(spark):
     assert "model-store" in plan and "orders.parquet" not in plan
     direct = fx.model_orders(RawTables(spark, SF_SMALL, store=False))
     assert sorted(map(str, a.drop("metadata").collect())) == sorted(map(str, direct.drop("metadata").collect()))
-    assert a.rdd.getNumPartitions() >= 2                # stored copy is split even though the input is one row group
