@@ -37,10 +37,6 @@ def stored(name: str, key: str | None = None, **fixed):
     return deco
 
 
-def ts_lit(value: str) -> Column:
-    return F.lit(value).cast("timestamp_ntz")
-
-
 def _key_id(prefix: str, key: Column) -> Column:
     return F.concat(F.lit(prefix), key.cast("string"))
 
