@@ -87,7 +87,8 @@ def _has_hot_order(status_ops: DataFrame, n_partitions: int, hot_rows: int | Non
 
 
 def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
-                     num_segments: int | None = None, hot_rows: int | None = None) -> FoldResult:
+                     num_segments: int | None = None, hot_rows: int | None = None,
+                     total_rows: int | None = None) -> FoldResult:
     """Fold ``ops`` (order_id, ts, event_id, op, intent_ok, set_intent) into order state.
 
     ``initial`` (optional) holds the state before these ops in the columns of
@@ -96,7 +97,9 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
     some order is hot: more than ``hot_rows`` status events (default: twice an
     average partition's share, at least ``MIN_HOT_ROWS``), checked with one
     partial aggregate.  Otherwise each order is one segment and the range
-    exchange with its sampling pass is skipped.
+    exchange with its sampling pass is skipped.  ``total_rows`` (the number
+    of ops, when the caller already knows it) skips that check when there are
+    too few ops for any order to be hot.
     """
     op = F.col("op")
     seq = F.struct("ts", "event_id")
@@ -122,7 +125,9 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
     # --- status events, split into ordered segments --------------------------
     st = ops.select("order_id", "ts", "event_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
     n = num_segments or _num_segments(ops)
-    if num_segments is not None or _has_hot_order(st, n, hot_rows):
+    floor = hot_rows if hot_rows is not None else MIN_HOT_ROWS
+    too_small = total_rows is not None and total_rows <= floor
+    if num_segments is not None or (not too_small and _has_hot_order(st, n, hot_rows)):
         st = (st.repartitionByRange(n, "order_id", "ts", "event_id")
               .withColumn("seg", F.spark_partition_id()))
     else:
