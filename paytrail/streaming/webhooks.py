@@ -103,8 +103,9 @@ class OrderStateStream:
         df = self.spark.read.parquet(*[self.path("state", b) for b in ids])
         if touched is not None:
             df = df.join(broadcast_if_small(touched.select("order_id").distinct()), "order_id", "left_semi")
+        # latest row per order: the batch id leads the struct, so max() picks the newest
         latest = df.groupBy("order_id").agg(
-            F.max_by(F.struct(*[c for c in STATE_COLUMNS if c != "order_id"]), F.col("batch_id")).alias("s"))
+            F.max(F.struct("batch_id", *[c for c in STATE_COLUMNS if c != "order_id"])).alias("s"))
         return latest.select("order_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLUMNS if c != "order_id"])
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
