@@ -190,8 +190,10 @@ def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: Da
         F.count(F.lit(1)).alias("n_checkouts"),
         F.max("ts").alias("updated_at"),
     )
-    o = orders.select(F.col("id").alias("order_id"), "customer_email", "customer_name", "customer_phone")
-    p = payments.select("order_id", "session_id", "payment_intent_id")
+    ids = broadcast_if_small(upd.select("order_id"))  # one row per updated order
+    o = orders.select(F.col("id").alias("order_id"), "customer_email", "customer_name", "customer_phone") \
+        .join(ids, "order_id", "left_semi")
+    p = payments.select("order_id", "session_id", "payment_intent_id").join(ids, "order_id", "left_semi")
     j = upd.join(o, "order_id", "left").join(p, "order_id", "left")
     return j.select(
         "order_id",
@@ -220,9 +222,19 @@ def webhook_ops(matched: DataFrame) -> DataFrame:
         F.coalesce(F.col("envelope_id"), F.concat(F.lit("feed_"), F.col("event_id").cast("string"))).alias("delivery_key"))
 
 
+def existing_orders(orders: DataFrame, ids: DataFrame) -> DataFrame:
+    """The order ids among ``ids`` that exist.
+
+    The orders table is the streamed side and the batch's ids the (size-
+    checked) broadcast side, so a micro-batch never shuffles all orders.
+    """
+    wanted = broadcast_if_small(ids.select("order_id").distinct())
+    return orders.select(F.col("id").alias("order_id")).join(wanted, "order_id", "left_semi")
+
+
 def command_ops(commands: DataFrame, orders: DataFrame) -> DataFrame:
     """Commands addressed to existing orders (others go to the dead letter)."""
-    c = commands.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    c = commands.join(existing_orders(orders, commands), "order_id", "left_semi")
     return c.select("order_id", "ts", "event_id", F.col("command").alias("op"),
                     F.lit(None).cast("string").alias("set_intent"),
                     F.concat(F.lit("cmd_"), F.col("event_id").cast("string")).alias("delivery_key"))
@@ -285,7 +297,7 @@ def dead_letter(webhooks: DataFrame, matched: DataFrame, commands: DataFrame, or
         "event_id", F.lit("webhook").alias("source"), "type", F.lit("unhandled_event_type").alias("reason"))
     unmatched = matched.filter(F.col("order_id").isNull()).select(
         "event_id", F.lit("webhook").alias("source"), "type", F.lit("order_not_found").alias("reason"))
-    lost = commands.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti").select(
+    lost = commands.join(existing_orders(orders, commands), "order_id", "left_anti").select(
         "event_id", F.lit("command").alias("source"), F.concat(F.lit("command."), F.col("command")).alias("type"),
         F.lit("order_not_found").alias("reason"))
     return rejected.unionByName(unhandled).unionByName(unmatched).unionByName(lost)
