@@ -30,14 +30,15 @@ SCALE_CONF = {
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "paytrail", driver_memory: str | None = None) -> SparkSession:
+              app_name: str = "paytrail", driver_memory: str | None = None,
+              extra_conf: dict[str, str] | None = None) -> SparkSession:
     """Session for local runs and tests; on a cluster the submitter's settings win."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     if driver_memory:  # only effective before the JVM starts (local mode)
         builder = builder.config("spark.driver.memory", driver_memory)
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **(extra_conf or {})}.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
