@@ -16,10 +16,11 @@ DEFAULT_MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 def estimated_size_bytes(df: DataFrame) -> int | None:
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes().toString()))
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     except Exception:  # statistics unavailable (e.g. streaming plan)
         return None
+    # py4j hands back a Python int for Scala BigInt; keep a string fallback
+    return int(size) if isinstance(size, int) else int(str(size.toString()))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
