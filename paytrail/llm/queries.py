@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytrail.llm import bpe, decontam, kneser_ney, sharding, tokenio, toxicity, warc, winnowing
+from paytrail.llm import backoff, bpe, decontam, jaccard_join, kneser_ney, sharding, tokenio, toxicity, warc, winnowing
 from paytrail.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.scores(table(spark, sf_dir, "documents"))
+    return found.withColumns({"log_score": F.round("log_score", 4), "score": F.round("score", 6)})
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
@@ -47,12 +52,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_winnowing, op4_decontamination, op5_token_files, op6_sharding, op7_kneser_ney, op8_bpe, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_winnowing, op3_stupid_backoff, op4_decontamination, op5_token_files, op6_sharding, op7_kneser_ney, op8_bpe, op9_jaccard_join, op10_warc)
 }
 
 # windows of the benchmark are looked for by their joined words; words hold no space
@@ -78,4 +87,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN words_hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE: dict[str, str] = {"op4_decontamination": _DECONTAMINATION}
+# counts over the whole corpus; an n-gram of fewer than two occurrences backs off with 0.4
+_BACKOFF = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+p AS (
+  SELECT r, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+  FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+n AS (SELECT count(*) AS n FROM p),
+one AS (SELECT c, count(*) AS k FROM p GROUP BY c),
+two AS (SELECT b, c, count(*) AS k FROM p WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS k FROM p WHERE a IS NOT NULL GROUP BY a, b, c),
+s AS (
+  SELECT p.r, p.a IS NOT NULL AND three.k >= 2 AS top,
+    CASE WHEN three.k >= 2 THEN ln(three.k / ab.k)
+      ELSE CASE WHEN p.a IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN bc.k >= 2 THEN ln(bc.k / ob.k)
+        ELSE CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END + ln(oc.k / n.n) END END AS x
+  FROM p CROSS JOIN n JOIN one oc ON oc.c = p.c LEFT JOIN one ob ON ob.c = p.b
+    LEFT JOIN two bc ON bc.b = p.b AND bc.c = p.c LEFT JOIN two ab ON ab.b = p.a AND ab.c = p.b
+    LEFT JOIN three ON three.a = p.a AND three.b = p.b AND three.c = p.c),
+g AS (SELECT r, count(*) FILTER (top) AS h, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h, 0) AS n_highest, round(coalesce(x, 0.0), 4) AS log_score,
+  CASE WHEN len(w) > 0 THEN round(x / len(w), 6) END AS score
+FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op3_stupid_backoff": _BACKOFF, "op4_decontamination": _DECONTAMINATION}
