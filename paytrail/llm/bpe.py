@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from paytrail.llm.common import pick, small_batches
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 # split() takes these for white space, the Unicode property does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -123,7 +123,15 @@ class Bpe:
             missing = set(tokens)
         for token in missing:
             pieces = words(token)
-            cache[token] = self.word(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.word, pieces)))
+            if pieces == [token]:
+                cache[token] = self.word(token)
+                continue
+            out: list[int] = []
+            for piece in pieces:  # a word without its punctuation is a token of its own
+                if (ids := cache.get(piece)) is None:
+                    ids = cache[piece] = self.word(piece)
+                out += ids
+            cache[token] = tuple(out)
         return map(cache.__getitem__, tokens)
 
     def encode(self, text: str | None) -> list[int]:
