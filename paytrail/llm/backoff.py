@@ -178,7 +178,7 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alph
     spark = docs.sparkSession
     small_batches(spark)
     src = pick(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    n_shards = shards or shuffle_partitions(spark)
+    n_shards = shards or 2 * shuffle_partitions(spark)
 
     def send(batches):
         for number, block in _blocks(batches, block_words):

@@ -111,23 +111,30 @@ def _lots(df: DataFrame, n: int) -> Column:
         F.coalesce(F.size(F.filter(F.lit(cuts or [0]), lambda c: c < F.col("id"))), F.lit(0)))
 
 
-def with_next(df: DataFrame, columns: list[str], lots: int) -> DataFrame:
-    """Adds ``next_<column>`` from the next row by (id, text): one shuffle into lots of neighbouring ids; the lots'
-    first rows (one a lot) close the gaps."""
-    src = df.withColumn("lot", _lots(df, lots))
-    order = Window.partitionBy("lot").orderBy(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    nxt = src.select("*", F.lead(F.struct(*columns)).over(order).alias("n"), F.row_number().over(order).alias("k"))
-    # which lot follows which: lots that have rows, numbered by the driver
-    used = [r[0] for r in src.select("lot").distinct().orderBy("lot").collect()]
-    after = dict(zip(used, used[1:] + used[:1], strict=True))
-    if not after:
-        return nxt.select("*", *[F.col(f"n.{c}").alias(f"next_{c}") for c in columns]).drop("n", "k", "lot")
-    follow = F.create_map(*[F.lit(x) for kv in after.items() for x in kv])
-    firsts = src.groupBy("lot").agg(F.min(F.struct(F.col("id").isNotNull().alias("a"), F.col("id").alias("b"), F.col("text").isNotNull().alias("c"), F.col("text").alias("d"), *[F.col(c).alias(f"e_{c}") for c in columns])).alias("f"))
-    firsts = firsts.select(F.col("lot").alias("f_lot"), F.struct(*[F.col(f"f.e_{c}").alias(c) for c in columns]).alias("f"))
-    last = nxt.withColumn("want", F.when(F.col("n").isNull(), F.get(F.map_values(follow), F.array_position(F.map_keys(follow), F.col("lot")).cast("int") - 1)))
-    out = last.join(firsts, F.col("want") == F.col("f_lot"), "left").withColumn("n", F.coalesce("n", "f"))
-    return out.select(*df.columns, *[F.col(f"n.{c}").alias(f"next_{c}") for c in columns])
+def with_next(df: DataFrame, derive: dict[str, Column], lots: int) -> DataFrame:
+    """(id, text, derived columns) with ``next_text`` and ``next_<derived>`` of the next row by (id, text).
+
+    One shuffle into lots of neighbouring ids.  The first row of every lot (one a lot, found by a scan of the ids)
+    is copied behind the last row of the lot before, so nothing is joined.
+    """
+    src = df.select("id", "text").withColumn("lot", _lots(df, lots))
+    heads = src.groupBy("lot").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("null")).orderBy("lot").collect()
+    body = src.withColumn("behind", F.lit(False))
+    if heads:
+        used = [r["lot"] for r in heads]
+        before = F.create_map(*[F.lit(x) for lot, prev in zip(used, used[-1:] + used[:-1], strict=True) for x in (lot, prev)])
+        firsts = [r["first"] for r in heads if not r["null"]]
+        wanted = F.col("id").isin(firsts) if firsts else F.lit(False)
+        nulls = [r["lot"] for r in heads if r["null"]]
+        if nulls:
+            wanted = wanted | F.col("id").isNull()
+        first = (src.filter(wanted).groupBy("lot").agg(F.min(F.struct(F.col("id").isNotNull().alias("a"), "id", F.col("text").isNotNull().alias("b"), "text")).alias("f"))
+                 .select(F.col("f.id").alias("id"), F.col("f.text").alias("text"), F.element_at(before, F.col("lot")).alias("lot"), F.lit(True).alias("behind")))
+        body = body.unionAll(first)
+    rows = body.select("*", *[c.alias(n) for n, c in derive.items()])
+    order = Window.partitionBy("lot").orderBy("behind", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    names = ["text", *derive]
+    return rows.select("*", *[F.lead(n).over(order).alias(f"next_{n}") for n in names]).filter(~F.col("behind")).drop("lot", "behind")
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -135,8 +142,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the next document's first ones), with the likeness to the edited text and to the next document."""
     spark = df.sparkSession
     src = pick(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    own = src.withColumn("fp", fingerprint(F.col("text"), k, window))
-    both = with_next(own, ["text", "fp"], max(2, shuffle_partitions(spark)))
+    both = with_next(src, {"fp": fingerprint(F.col("text"), k, window)}, max(2, shuffle_partitions(spark)))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
