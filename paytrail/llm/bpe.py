@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paytrail.llm.common import pick, small_batches
+from paytrail.llm.common import no_cycles, pick, small_batches
 
 CACHE_WORDS = 600_000
 # split() takes these for white space, the Unicode property does not
@@ -188,6 +188,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     shared = _Definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
+        no_cycles()
         model = _model(shared)
         for batch in batches:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
@@ -204,6 +205,7 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_c
     shared = _Definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
+        no_cycles()
         model = _model(shared)
         for batch in batches:
             out = [model.decode(x or []) for x in batch.column(1).to_pylist()]
@@ -224,6 +226,7 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     shared = _Definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
+        no_cycles()
         model = _model(shared)
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:

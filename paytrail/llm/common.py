@@ -7,6 +7,7 @@ Spark itself or through ``pyarrow.fs``, never through a machine-local folder.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from pathlib import Path
@@ -64,6 +65,11 @@ def _ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def no_cycles() -> None:
+    """In a Python worker whose task makes no reference cycles: millions of cached words would keep the cyclic collector busy."""
+    gc.disable()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

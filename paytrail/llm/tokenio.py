@@ -22,11 +22,13 @@ input are not read.  A file holds at most ``file_ids`` ids or one document.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import unicodedata
 import uuid
 import zlib
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,31 +37,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.common import make_folder, pick, shuffle_partitions, small_batches, write_file
+from paytrail.llm.bpe import byte_alphabet
+from paytrail.llm.common import make_folder, no_cycles, pick, shuffle_partitions, small_batches, write_file
 from paytrail.session import scratch_path
 
 MAGIC = b"PTTOK1\0\0"
 FILE_IDS = 4_000_000
-CACHE_TOKENS = 300_000
+CACHE_TOKENS = 1_000_000
+
+# fixed value: the word pattern of the vocabulary file
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# the same for a lower-case ASCII token without an apostrophe
+_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
 
 #: control byte -> the lengths of its four ids
 LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
 
+def _control(codes: np.ndarray) -> bytes:
+    """Four 2-bit codes to a byte."""
+    padded = np.zeros(-(-len(codes) // 4) * 4, dtype=np.uint8)
+    padded[: len(codes)] = codes
+    a, b, c, d = (padded[k::4] for k in range(4))
+    return (a | b << 2 | c << 4 | d << 6).tobytes()
+
+
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of non-negative integers under 2**32."""
     v = values.astype(np.uint32)
+    if len(v) and int(v.max()) < 1 << 16:  # one or two bytes each
+        big = v > 0xFF
+        keep = np.ones((len(v), 2), dtype=bool)
+        keep[:, 1] = big
+        return _control(big.astype(np.uint8)), v.astype("<u2").view(np.uint8).reshape(-1, 2)[keep].tobytes()
     size = 1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    codes = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    codes[: len(v)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1).astype(np.uint8)
     ends = np.cumsum(size, dtype=np.int64)
     data = np.empty(int(ends[-1]) if len(v) else 0, dtype=np.uint8)
     at = ends - size
     for b in range(4):
         has = size > b
         data[at[has] + b] = v[has] >> (8 * b) & 0xFF
-    return control.tobytes(), data.tobytes()
+    return _control((size - 1).astype(np.uint8)), data.tobytes()
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -75,11 +93,19 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One file's content."""
-    values, ranks_of, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), dtype=np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    control, data = pack(rank[ranks_of.ravel()])
+    if len(ids) and int(ids.max()) < 1 << 22:  # a vocabulary: count by id
+        every = np.bincount(ids)
+        values = np.flatnonzero(every)
+        order = np.lexsort((values, -every[values]))
+        rank = np.zeros(len(every), dtype=np.uint32)
+        rank[values[order]] = np.arange(len(values), dtype=np.uint32)
+        control, data = pack(rank[ids])
+    else:
+        values, ranks_of, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        order = np.lexsort((values, -counts))
+        rank = np.empty(len(values), dtype=np.uint32)
+        rank[order] = np.arange(len(values), dtype=np.uint32)
+        control, data = pack(rank[ranks_of.ravel()])
     return b"".join([
         MAGIC, np.array([len(doc_ids), len(ids), len(values), len(data)], dtype="<i8").tobytes(),
         np.array([x or 0 for x in doc_ids], dtype="<i8").tobytes(), np.array([x is None for x in doc_ids], dtype=np.uint8).tobytes(),
@@ -105,12 +131,11 @@ def parse(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 class LibraryEncoder:
-    """The tokenizers library, called once per distinct white-space token.
+    """The tokenizers library, asked once per distinct white-space token of a batch.
 
     The vocabulary drops white space and no word spans it, so a text's ids are
-    its tokens' ids in a row.  Texts where that could differ (special tokens,
-    separators that are no Unicode white space, not NFC, a final sigma) go to
-    the library whole.
+    its tokens' ids in a row.  Texts where that could differ (special tokens, separators that are
+    no Unicode white space, not NFC, a final sigma) go to the library whole.
     """
 
     def __init__(self, definition: str):
@@ -120,28 +145,58 @@ class LibraryEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, array] = {}
+        self.alphabet, self.tokenize = byte_alphabet(), self.lib.model.tokenize
+        # the pattern whose pieces this class cuts itself; for another one every token goes to the library
+        split = (json.loads(definition).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
+        self.cuts = split == SPLIT
+        self.cache: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bool:
         if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
             return True
         return any(c in text for c in "\x1c\x1d\x1e\x1f") or "<" in text and any(s in text for s in self.special)
 
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self.whole(text):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        cache, tokens = self.cache, text.lower().split()
-        missing = set(tokens).difference(cache)
+    def ids(self, text: str) -> bytes:
+        return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def piece(self, word: str) -> bytes:
+        """Ids of one pre-tokenized word: the library's model on its byte symbols."""
+        symbols = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode("utf-8")])
+        return array("I", [t.id for t in self.tokenize(symbols)]).tobytes()
+
+    def learn(self, token: str) -> bytes:
+        """Ids of a white-space token; plain words and ASCII tokens without an apostrophe are cut here."""
+        cache = self.cache
+        if not self.cuts or "'" in token:
+            ids = self.ids(token)
+        elif token.isalpha():
+            ids = self.piece(token)
+        elif token.isascii() or token[-1] in ".," and token[:-1].isalpha():
+            parts = []
+            for part in _PIECES(token) if token.isascii() else (token[:-1], token[-1]):
+                if (got := cache.get(part)) is None:
+                    got = cache[part] = self.piece(part)
+                parts.append(got)
+            ids = b"".join(parts)
+        else:
+            ids = self.ids(token)
+        cache[token] = ids
+        return ids
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of every text as little-endian unsigned 32-bit integers."""
+        plain = [None if t and self.whole(t) else (t or "").lower().split() for t in texts]
+        cache, seen = self.cache, set()
+        for tokens in plain:
+            seen.update(tokens or ())
+        missing = seen.difference(cache)
         if len(cache) + len(missing) > CACHE_TOKENS:
             cache.clear()
-            missing = set(tokens)
-        if missing:
-            new = list(missing)
-            for token, e in zip(new, self.lib.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[token] = array("I", e.ids)
-        return list(chain.from_iterable(map(cache.__getitem__, tokens)))
+            missing = seen
+        for token in missing:
+            self.learn(token)
+        get = cache.__getitem__
+        return [self.ids(t) if tokens is None else b"".join(map(get, tokens)) for t, tokens in zip(texts, plain, strict=True)]
 
 
 _ENCODER: dict[str, LibraryEncoder] = {}
@@ -160,11 +215,11 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: i
     key = uuid.uuid4().hex
     src = pick(df, id_col, text_col).withColumn("id", F.col("id").cast("long")).withColumn("tie", F.xxhash64("text"))
     src = src.repartitionByRange(shuffle_partitions(spark), "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
-    end = [] if end_id is None else [end_id]
+    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        no_cycles()
         if key not in _ENCODER:
             _ENCODER.clear()
             _ENCODER[key] = LibraryEncoder(shared.value)
@@ -172,23 +227,25 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: i
         part, attempt, seq = task.partitionId(), str(task.taskAttemptId()), 0
         docs: list[int | None] = []
         lengths: list[int] = []
-        ids = array("I")
+        ids: list[bytes] = []
+        size = 0
 
         def flush():
-            nonlocal docs, lengths, ids, seq
-            write_file(f"{folder}/tok-{part:07d}-{seq:07d}.bin", file_bytes(docs, lengths, np.frombuffer(ids, dtype=np.uint32)), attempt)
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([len(ids)], pa.int64())], ["part", "seq", "n_docs", "n_ids"])
-            docs, lengths, ids, seq = [], [], array("I"), seq + 1
+            nonlocal docs, lengths, ids, size, seq
+            write_file(f"{folder}/tok-{part:07d}-{seq:07d}.bin", file_bytes(docs, lengths, np.frombuffer(b"".join(ids), dtype="<u4")), attempt)
+            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64())], ["part", "seq", "n_docs", "n_ids"])
+            docs, lengths, ids, size, seq = [], [], [], 0, seq + 1
             return row
 
         for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = encode(text) + end
-                if docs and len(ids) + len(got) > file_ids:
+            for i, got in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                n = (len(got) + len(end)) // 4
+                if docs and size + n > file_ids:
                     yield flush()
                 docs.append(i)
-                lengths.append(len(got))
-                ids.extend(got)
+                lengths.append(n)
+                ids += [got, end]
+                size += n
         if docs:
             yield flush()
 
