@@ -49,6 +49,16 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class _Learned(dict):
+    """token -> ids; a token that is not there yet is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        return self.encode(token)
+
+
 class Bpe:
     """A word-end BPE vocabulary: NFC, lower case, split by its pattern, byte-level symbols."""
 
@@ -72,7 +82,7 @@ class Bpe:
         pattern = split["pattern"]["Regex"].replace(r"[^\s", r"[^\p{White_Space}")
         self.words = regex.compile(pattern).findall
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = _Learned(self.token)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply merges by rank, leftmost first, until none applies."""
@@ -116,23 +126,23 @@ class Bpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         if _SEPARATORS.search(text):
             return map(self.word, words(text.lower()))
-        cache, tokens = self.cache, text.lower().split()
-        missing = set(tokens).difference(cache)
-        if len(cache) + len(missing) > CACHE_WORDS:
-            cache.clear()
-            missing = set(tokens)
-        for token in missing:
-            pieces = words(token)
-            if pieces == [token]:
-                cache[token] = self.word(token)
-                continue
-            out: list[int] = []
-            for piece in pieces:  # a word without its punctuation is a token of its own
-                if (ids := cache.get(piece)) is None:
-                    ids = cache[piece] = self.word(piece)
-                out += ids
-            cache[token] = tuple(out)
-        return map(cache.__getitem__, tokens)
+        if len(self.cache) > CACHE_WORDS:
+            self.cache.clear()
+        return map(self.cache.__getitem__, text.lower().split())
+
+    def token(self, token: str) -> tuple[int, ...]:
+        """Ids of a white-space token, kept."""
+        cache, pieces = self.cache, self.words(token)
+        if pieces == [token]:
+            cache[token] = out = self.word(token)
+            return out
+        ids: list[int] = []
+        for piece in pieces:  # a word without its punctuation is a token of its own
+            if (known := cache.get(piece)) is None:
+                known = cache[piece] = self.word(piece)
+            ids += known
+        cache[token] = out = tuple(ids)
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         if not text:

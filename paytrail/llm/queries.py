@@ -44,8 +44,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return kneser_ney.classify(docs, kneser_ney.fit(docs, labels))
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,8 +83,8 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     size = LENGTHS[control].ravel()[:n].astype(np.int64)
     at = np.cumsum(size) - size
-    out = np.zeros(n, dtype=np.uint32)
-    for b in range(4):
+    out = data[at].astype(np.uint32)
+    for b in range(1, int(size.max(initial=1))):
         has = size > b
         if has.any():
             out[has] |= data[at[has] + b].astype(np.uint32) << np.uint32(8 * b)
@@ -130,6 +130,16 @@ def parse(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if m else d for d, m in zip(doc_ids.tolist(), null.tolist(), strict=True)], lengths, ids
 
 
+class _Learned(dict):
+    """token -> ids; a token that is not there yet is learned."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, token: str) -> bytes:
+        return self.learn(token)
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once per distinct white-space token of a batch.
 
@@ -149,7 +159,7 @@ class LibraryEncoder:
         # the pattern whose pieces this class cuts itself; for another one every token goes to the library
         split = (json.loads(definition).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0].get("pattern", {}).get("Regex")
         self.cuts = split == SPLIT
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Learned(self.learn)
 
     def whole(self, text: str) -> bool:
         if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
@@ -174,7 +184,7 @@ class LibraryEncoder:
         elif token.isascii() or token[-1] in ".," and token[:-1].isalpha():
             parts = []
             for part in _PIECES(token) if token.isascii() else (token[:-1], token[-1]):
-                if (got := cache.get(part)) is None:
+                if (got := cache.get(part)) is None:  # not by [], which would learn it as a token
                     got = cache[part] = self.piece(part)
                 parts.append(got)
             ids = b"".join(parts)
@@ -185,18 +195,12 @@ class LibraryEncoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
-        plain = [None if t and self.whole(t) else (t or "").lower().split() for t in texts]
-        cache, seen = self.cache, set()
-        for tokens in plain:
-            seen.update(tokens or ())
-        missing = seen.difference(cache)
-        if len(cache) + len(missing) > CACHE_TOKENS:
-            cache.clear()
-            missing = seen
-        for token in missing:
-            self.learn(token)
-        get = cache.__getitem__
-        return [self.ids(t) if tokens is None else b"".join(map(get, tokens)) for t, tokens in zip(texts, plain, strict=True)]
+        out, get = [], self.cache.__getitem__
+        for t in texts:
+            if len(self.cache) > CACHE_TOKENS:
+                self.cache.clear()
+            out.append(self.ids(t) if t and self.whole(t) else b"".join(map(get, (t or "").lower().split())))
+        return out
 
 
 _ENCODER: dict[str, LibraryEncoder] = {}
