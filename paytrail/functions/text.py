@@ -43,3 +43,8 @@ def int_param(value: str | None, default: int, minimum: int) -> int:
     except ValueError:
         return default
     return parsed if parsed >= minimum else default
+
+
+def provider_id(c: Column) -> Column:
+    """Id of a provider reference, given as the id itself or as the expanded object."""
+    return F.when(F.startswith(F.ltrim(c), F.lit("{")), F.get_json_object(c, "$.id")).otherwise(c)

@@ -27,8 +27,8 @@ def products_by_id(products: DataFrame, keys: DataFrame) -> DataFrame:
     """Key-set product lookup; unmatched ids are reported."""
     k = keys.select(F.col("product_id").alias("id")).distinct()
     hit = _product_cols(products.join(broadcast_if_small(k), "id", "left_semi"))
-    return k.join(hit, "id", "left").select(
-        F.col("id").alias("requested_id"), F.col("name").isNotNull().alias("found"),
+    return k.join(hit.withColumn("found", F.lit(True)), "id", "left").select(
+        F.col("id").alias("requested_id"), F.coalesce("found", F.lit(False)).alias("found"),
         "name", "description", "image_1", "n_images", "brand")
 
 
@@ -36,5 +36,5 @@ def verify_payment(intents: DataFrame, keys: DataFrame) -> DataFrame:
     """Provider intent by id -> id, status, amount."""
     k = keys.select(F.col("payment_intent_id").alias("id")).distinct()
     hit = intents.select("id", "status", "amount").join(broadcast_if_small(k), "id", "left_semi")
-    return k.join(hit, "id", "left").select(
-        F.col("id").alias("requested_id"), F.col("status").isNotNull().alias("found"), "status", "amount")
+    return k.join(hit.withColumn("found", F.lit(True)), "id", "left").select(
+        F.col("id").alias("requested_id"), F.coalesce("found", F.lit(False)).alias("found"), "status", "amount")

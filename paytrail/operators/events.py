@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paytrail.functions import ids
 from paytrail.functions.status import map_provider_status, payment_method
-from paytrail.functions.text import or_empty
+from paytrail.functions.text import or_empty, provider_id
 from paytrail.operators.broadcast import broadcast_if_small
 from paytrail.operators.fold import FoldResult, fold_order_state, guard_refunds
 from paytrail.schemas import (MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE,
@@ -63,8 +63,8 @@ def webhook_ingest(payloads: DataFrame, payload_col: str = "payload") -> DataFra
         keep(F.col(f"{obj}.id")).alias("object_id"),
         keep(F.col(f"{obj}.amount")).alias("amount"),
         keep(F.col(f"{obj}.currency")).alias("currency"),
-        keep(F.col(f"{obj}.payment_intent")).alias("payment_intent"),
-        keep(F.col(f"{obj}.charge")).alias("charge"),
+        keep(provider_id(F.col(f"{obj}.payment_intent"))).alias("payment_intent"),
+        keep(provider_id(F.col(f"{obj}.charge"))).alias("charge"),
         keep(F.col(f"{obj}.customer_details").isNotNull()).alias("has_customer_details"),
         keep(F.col(f"{obj}.customer_details.email")).alias("customer_email"),
         keep(F.col(f"{obj}.customer_details.name")).alias("customer_name"),
@@ -197,7 +197,7 @@ def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: Da
     j = upd.join(o, "order_id", "left").join(p, "order_id", "left")
     return j.select(
         "order_id",
-        F.when(F.col("email_seq").isNotNull(), F.col("new_email")).otherwise(F.col("customer_email")).alias("customer_email"),
+        F.when(F.col("email_seq").isNotNull(), or_empty(F.col("new_email"))).otherwise(F.col("customer_email")).alias("customer_email"),
         F.coalesce("new_name", "customer_name").alias("customer_name"),
         F.coalesce("new_phone", "customer_phone").alias("customer_phone"),
         F.col("new_session").alias("session_id"),

@@ -110,8 +110,8 @@ def check_lengths(tables: dict[str, DataFrame]) -> DataFrame:
                    .select(F.lit(table).alias("table_name"), "column_name", F.col("max_allowed").cast("int"),
                            "too_long", F.col("max_length").cast("int")))
     items = tables["order_items"]
-    cents = F.col("price") * F.lit(100.0)
-    bad_price = (F.abs(F.col("price")) >= PRICE_MAX_ABS) | (F.abs(cents - F.round(cents)) > F.lit(1e-6))
+    # DECIMAL(10,2) rounds further decimals; only the rounded value can overflow
+    bad_price = F.abs(F.round(F.col("price"), 2)) >= PRICE_MAX_ABS
     out.append(items.agg(F.count_if(bad_price).alias("too_long")).select(
         F.lit("order_items").alias("table_name"), F.lit("price").alias("column_name"),
         F.lit(10).alias("max_allowed"), "too_long", F.lit(None).cast("int").alias("max_length")))

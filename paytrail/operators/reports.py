@@ -214,9 +214,11 @@ def orders_by_id(orders: DataFrame, keys: DataFrame) -> DataFrame:
     """Key-set lookup; unmatched keys are reported as not found."""
     k = keys.select(F.col("order_id").alias("id")).distinct()
     hit = _flat_order(orders).join(broadcast_if_small(k), "id", "left_semi")
-    return k.join(hit, "id", "left").select(
-        F.col("id").alias("requested_id"), F.col("tracking_id").isNotNull().alias("found"),
-        F.when(F.col("tracking_id").isNull(), F.lit(MSG_ORDER_NOT_FOUND)).alias("error"),
+    # the marker comes from the matched side: an order may lack any other field
+    found = F.coalesce(F.col("matched"), F.lit(False))
+    return k.join(hit.withColumn("matched", F.lit(True)), "id", "left").select(
+        F.col("id").alias("requested_id"), found.alias("found"),
+        F.when(~found, F.lit(MSG_ORDER_NOT_FOUND)).alias("error"),
         *[c for c in hit.columns if c != "id"])
 
 
@@ -252,8 +254,8 @@ def payment_status(orders: DataFrame, payments: DataFrame, keys: DataFrame) -> D
         F.coalesce(F.col("payment_status"), F.lit("")).alias("payment_status"), "order_status",
         F.coalesce(F.col("amount"), F.lit(0)).alias("amount"),
         F.coalesce(F.col("currency"), F.lit("")).alias("currency"), "created_at", "updated_at")
-    return k.withColumnRenamed("id", "order_id").join(hit, "order_id", "left") \
-        .withColumn("found", F.col("tracking_id").isNotNull())
+    return k.withColumnRenamed("id", "order_id").join(hit.withColumn("found", F.lit(True)), "order_id", "left") \
+        .withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 
 def track_payment(orders: DataFrame, event_log: DataFrame, keys: DataFrame) -> DataFrame:

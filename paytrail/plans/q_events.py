@@ -293,59 +293,28 @@ def event_log(raw):
     return E.event_log(matched, fold, ops, orders, payments)
 
 
-@query("events_by_order", """
+@query("events_by_order", EVENT_LOG_CTES + """
 , keys AS (SELECT DISTINCT 'ORD' || CAST(user_id AS VARCHAR) AS order_id FROM events)
-SELECT m.order_id, m.event_id + 1 AS seq, 'evt_' || substr(sha256(
-         CASE m.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
-                     WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
-                     WHEN 'payment_intent.canceled' THEN 'payment_canceled'
-                     ELSE 'checkout_completed' END || '|' || m.order_id || '|' || CAST(m.event_id AS VARCHAR)), 1, 24)
-         AS event_id,
-       CASE m.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
-                   WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
-                   WHEN 'payment_intent.canceled' THEN 'payment_canceled'
-                   ELSE 'checkout_completed' END AS event_type,
-       CASE m.kind WHEN 'payment_intent.payment_failed' THEN 'failed'
-                   WHEN 'payment_intent.canceled' THEN 'canceled' ELSE 'succeeded' END AS event_status,
-       m.ts AS created_at
-FROM m_matched m WHERE m.order_id IS NOT NULL AND m.order_id IN (SELECT order_id FROM keys)""")
+SELECT order_id, seq, id AS event_id, event_type, status AS event_status, created_at
+FROM elog WHERE order_id IN (SELECT order_id FROM keys)""")
 def events_by_order(raw):
-    """Webhook-driven log events of every order that received events, in order."""
+    """The whole history, all event kinds, of every order that received events, in order."""
     matched, ops, fold, orders, payments = _fold(raw)
-    log = E.event_log(matched, fold, ops, orders, payments).filter(
-        F.col("event_type").isin("payment_succeeded", "payment_failed", "payment_canceled", "checkout_completed"))
+    log = E.event_log(matched, fold, ops, orders, payments)
     keys = raw.events.select(F.concat(F.lit("ORD"), F.col("user_id").cast("string")).alias("order_id"))
     from paytrail.operators.reports import events_by_order as ebo
     return ebo(log, keys)
 
 
-@query("track_payment", """
-, keys AS (SELECT DISTINCT tracking_id FROM m_keys),
-ev AS (SELECT order_id, event_id, kind FROM m_matched WHERE order_id IS NOT NULL),
-hit AS (SELECT o.tracking_id, o.id AS order_id, o.status AS order_status FROM m_orders o)
-SELECT k.tracking_id, h.order_id IS NOT NULL AS found, h.order_id, h.order_status,
-       CASE WHEN ev.event_id IS NOT NULL THEN 'evt_' || substr(sha256(
-         CASE ev.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
-                      WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
-                      WHEN 'payment_intent.canceled' THEN 'payment_canceled'
-                      ELSE 'checkout_completed' END || '|' || ev.order_id || '|' || CAST(ev.event_id AS VARCHAR)), 1, 24)
-       END AS event_id,
-       CASE ev.kind WHEN 'payment_intent.succeeded' THEN 'payment_succeeded'
-                    WHEN 'payment_intent.payment_failed' THEN 'payment_failed'
-                    WHEN 'payment_intent.canceled' THEN 'payment_canceled'
-                    WHEN 'checkout.session.completed' THEN 'checkout_completed' END AS event_type,
-       CASE ev.kind WHEN 'payment_intent.payment_failed' THEN 'failed'
-                    WHEN 'payment_intent.canceled' THEN 'canceled'
-                    WHEN 'payment_intent.succeeded' THEN 'succeeded'
-                    WHEN 'checkout.session.completed' THEN 'succeeded' END AS event_status,
-       ev.event_id + 1 AS seq
-FROM keys k LEFT JOIN hit h ON h.tracking_id = k.tracking_id
-LEFT JOIN ev ON ev.order_id = h.order_id""")
+@query("track_payment", EVENT_LOG_CTES + """
+, keys AS (SELECT DISTINCT tracking_id FROM m_keys)
+SELECT k.tracking_id, o.id IS NOT NULL AS found, o.id AS order_id, o.status AS order_status,
+       e.id AS event_id, e.event_type, e.status AS event_status, e.seq
+FROM keys k LEFT JOIN m_orders o ON o.tracking_id = k.tracking_id LEFT JOIN elog e ON e.order_id = o.id""")
 def track_payment(raw):
-    """Order by tracking id with its webhook events (flat rows)."""
+    """Order by tracking id with its whole history, all event kinds (flat rows)."""
     matched, ops, fold, orders, payments = _fold(raw)
-    log = E.event_log(matched, fold, ops, orders, payments).filter(
-        F.col("event_type").isin("payment_succeeded", "payment_failed", "payment_canceled", "checkout_completed"))
+    log = E.event_log(matched, fold, ops, orders, payments)
     from paytrail.operators.reports import track_payment as tp
     return tp(orders, log, fx.lookup_keys(raw))
 

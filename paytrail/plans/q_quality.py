@@ -74,8 +74,7 @@ def _lengths_sql() -> str:
             parts.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({n} AS INTEGER) AS max_allowed, "
                          f"count(*) FILTER (WHERE length({c}) > {n}) AS too_long, "
                          f"CAST(coalesce(max(length({c})), 0) AS INTEGER) AS max_length FROM {SQL_TABLE[t]}")
-    parts.append("SELECT 'order_items', 'price', 10, count(*) FILTER (WHERE abs(price) >= 100000000 "
-                 "OR abs(price * 100.0 - round(price * 100.0)) > 1e-6), CAST(NULL AS INTEGER) FROM m_items")
+    parts.append("SELECT 'order_items', 'price', 10, count(*) FILTER (WHERE abs(round(price, 2)) >= 100000000), CAST(NULL AS INTEGER) FROM m_items")
     return EVENT_LOG_CTES + " UNION ALL ".join(parts)
 
 

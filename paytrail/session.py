@@ -2,8 +2,8 @@
 
 The engine never picks a machine-local scratch folder on a cluster: lineage
 cuts and streaming state go under ``spark.checkpoint.dir``, which the cluster
-names.  Only when that setting is absent (unit tests on a laptop) do we fall
-back to a fresh folder of our own.
+names.  Only on a ``local[...]`` master without that setting (unit tests on a
+laptop) do we fall back to a fresh folder of our own; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="paytrail-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)

@@ -90,9 +90,11 @@ def write_snapshot(df: DataFrame, root: str) -> str:
     out = fs.create(tmp, True)
     out.write(bytearray(target.encode("utf-8")))
     out.close()
-    if fs.exists(ptr):
-        fs.delete(ptr, False)
-    fs.rename(tmp, ptr)
+    # an overwriting rename: a reader finds the old pointer or the new one, never none
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(ptr.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(tmp, ptr, options)
     return target
 
 
