@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytrail.functions import ids
@@ -429,7 +429,6 @@ class EventBatch:
         self.orders, self.payments = orders, payments
         self.horizon, self.dedup, self._initial = horizon, dedup, initial
         self.materialized = checkpoint
-        self.ops_count: int | None = None
         self._keep = materialize if checkpoint else (lambda df: df)
 
     @cached_property
@@ -460,16 +459,11 @@ class EventBatch:
         ops = guard_ops(self.unguarded_ops, self.payments, prior)
         if not self.materialized:
             return ops
-        # the op count rides along with the materialising job (no extra pass)
-        obs = Observation("ops")
-        ops = self._keep(ops.observe(obs, F.count(F.lit(1)).alias("n")))
-        self.ops_count = obs.get["n"]
-        return ops
+        return self._keep(ops)
 
     @cached_property
     def fold(self) -> FoldResult:
-        _ = self.ops
-        return fold_order_state(self.ops, self.initial, total_rows=self.ops_count)
+        return fold_order_state(self.ops, self.initial)
 
     def event_log(self, include_created: bool = True) -> DataFrame:
         return event_log(self.matched, self.fold, self.ops, self.orders, self.payments, include_created)

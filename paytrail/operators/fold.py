@@ -66,40 +66,43 @@ def guard_refunds(ops: DataFrame, intents: DataFrame) -> DataFrame:
     return rest.unionByName(guarded)
 
 
-# An order is "hot" (cut into segments) when it holds more than HOT_FACTOR times an
-# average partition's share of the status events, and at least MIN_HOT_ROWS of them.
-HOT_FACTOR = 2.0
-MIN_HOT_ROWS = 100_000
+# An order is cut into at most this many segments of time.
+MAX_SEGMENTS = 256
 
 
 def _num_segments(ops: DataFrame) -> int:
-    return int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MAX_SEGMENTS, int(ops.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _has_hot_order(status_ops: DataFrame, n_partitions: int, hot_rows: int | None) -> bool:
-    """One partial + final aggregate: does any order hold more than its share?"""
-    top = (status_ops.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
-           .agg(F.max("n").alias("m"), F.sum("n").alias("t")).first())
-    if top is None or top["m"] is None:
-        return False
-    limit = hot_rows if hot_rows is not None else max(MIN_HOT_ROWS, HOT_FACTOR * top["t"] / n_partitions)
-    return top["m"] > limit
+def _segment(status_ops: DataFrame, n: int) -> Column:
+    """Segment number of an op: which of n quantiles of all status events' times it lies in.
+
+    The cut points are computed once and become constants, so an op's segment follows from the op alone however
+    often Spark evaluates it.  An order with a large share of the events is cut as finely as the events are; events
+    of one instant share a segment.
+    """
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    found = status_ops.select(F.percentile_approx(micros, F.lit([i / n for i in range(1, n)] or [0.5]), 10_000)).first()[0]
+    cuts = sorted(set(found or [])) if n > 1 else []
+
+    def tree(lo: int, hi: int) -> Column:  # a balanced search over cuts[lo:hi]
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(micros <= F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(cuts))
 
 
 def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
-                     num_segments: int | None = None, hot_rows: int | None = None,
-                     total_rows: int | None = None) -> FoldResult:
+                     num_segments: int | None = None) -> FoldResult:
     """Fold ``ops`` (order_id, ts, event_id, op, intent_ok, set_intent) into order state.
 
     ``initial`` (optional) holds the state before these ops in the columns of
     ``STATE_COLUMNS``; without it every order starts pending/pending.
-    Orders are cut into range segments when ``num_segments`` is given or when
-    some order is hot: more than ``hot_rows`` status events (default: twice an
-    average partition's share, at least ``MIN_HOT_ROWS``), checked with one
-    partial aggregate.  Otherwise each order is one segment and the range
-    exchange with its sampling pass is skipped.  ``total_rows`` (the number
-    of ops, when the caller already knows it) skips that check when there are
-    too few ops for any order to be hot.
+    One path at every size: each order is cut into segments of time
+    (``num_segments``, by default the shuffle partitions up to
+    ``MAX_SEGMENTS``), segments are folded in parallel and composed in order.
     """
     op = F.col("op")
     seq = F.struct("ts", "event_id")
@@ -124,14 +127,7 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
 
     # --- status events, split into ordered segments --------------------------
     st = ops.select("order_id", "ts", "event_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
-    n = num_segments or _num_segments(ops)
-    floor = hot_rows if hot_rows is not None else MIN_HOT_ROWS
-    too_small = total_rows is not None and total_rows <= floor
-    if num_segments is not None or (not too_small and _has_hot_order(st, n, hot_rows)):
-        st = (st.repartitionByRange(n, "order_id", "ts", "event_id")
-              .withColumn("seg", F.spark_partition_id()))
-    else:
-        st = st.withColumn("seg", F.lit(0))
+    st = st.withColumn("seg", _segment(st, num_segments or _num_segments(ops)))
     w = Window.partitionBy("order_id", "seg").orderBy("ts", "event_id")
     st = st.withColumn("prev", F.lag("kind").over(w)).withColumn(
         "acc", (F.col("kind") == "F") & F.coalesce(F.col("prev") == "paid", F.lit(False)))
