@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from paytrail.llm.common import no_cycles, pick, small_batches
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 # split() takes these for white space, the Unicode property does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

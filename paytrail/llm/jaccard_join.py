@@ -57,7 +57,7 @@ _SEEDS = _mix(np.arange(1, 4097, dtype=np.uint64) * _G)
 class WordHash:
     """64-bit hashes of words, with a bounded cache."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         self.cache: dict[bytes, int] = {}
         self.limit = limit
 
