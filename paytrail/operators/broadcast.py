@@ -28,3 +28,18 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_MAX_BROADCAST_BYT
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+# order ids are short strings: this many stay under the byte limit above
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def broadcast_if_few(keys: DataFrame, max_rows: int = MAX_BROADCAST_KEYS) -> DataFrame:
+    """Broadcast a column of short keys whose estimate is small, or whose rows, counted, are few.
+
+    Keys that come from a checkpoint carry no estimate; they are counted, up
+    to ``max_rows + 1`` rows.
+    """
+    size = estimated_size_bytes(keys)
+    few = size is not None and size <= DEFAULT_MAX_BROADCAST_BYTES
+    return F.broadcast(keys) if few or keys.limit(max_rows + 1).count() <= max_rows else keys

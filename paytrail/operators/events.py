@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from paytrail.functions import ids
 from paytrail.functions.status import map_provider_status, payment_method
 from paytrail.functions.text import or_empty, provider_id
-from paytrail.operators.broadcast import broadcast_if_small
-from paytrail.operators.fold import FoldResult, fold_order_state, guard_refunds
-from paytrail.schemas import (MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE,
-                              WEBHOOK_TYPES)
+from paytrail.operators.broadcast import broadcast_if_few, broadcast_if_small
+from paytrail.operators.fold import STATE_COLUMNS, FoldResult, fold_order_state, guard_refunds
+from paytrail.schemas import MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE
 
 # handler name per handled webhook type (names are ours; types are fixed values)
-HANDLERS = dict(zip(WEBHOOK_TYPES, ["payment_succeeded", "payment_failed", "payment_canceled",
-                                    "checkout_completed", "invoice_paid", "dispute_created"]))
-PI_TYPES = WEBHOOK_TYPES[:3]   # the payment-intent types: succeeded, payment_failed, canceled
-CHECKOUT_TYPE = WEBHOOK_TYPES[3]
-PI_OPS = dict(zip(PI_TYPES, ["succeeded", "failed", "canceled"]))   # op == payment status set
-PI_ORDER_STATUS = {PI_TYPES[0]: "paid", PI_TYPES[2]: "canceled"}    # failure leaves the order alone
+PI_SUCCEEDED, PI_FAILED, PI_CANCELED = "payment_intent.succeeded", "payment_intent.payment_failed", "payment_intent.canceled"
+CHECKOUT_TYPE = "checkout.session.completed"
+HANDLERS = {PI_SUCCEEDED: "payment_succeeded", PI_FAILED: "payment_failed", PI_CANCELED: "payment_canceled",
+            CHECKOUT_TYPE: "checkout_completed", "invoice.payment_succeeded": "invoice_paid",
+            "charge.dispute.created": "dispute_created"}
+PI_TYPES = [PI_SUCCEEDED, PI_FAILED, PI_CANCELED]
+PI_OPS = {PI_SUCCEEDED: "succeeded", PI_FAILED: "failed", PI_CANCELED: "canceled"}   # op == payment status set
+PI_ORDER_STATUS = {PI_SUCCEEDED: "paid", PI_CANCELED: "canceled"}                    # failure leaves the order alone
 
 
 def _map(col: Column, mapping: dict[str, str], default: Column | None = None) -> Column:
@@ -86,45 +87,66 @@ def newest_orders(orders: DataFrame, horizon: int) -> DataFrame:
     return orders.select("id", "created_at").orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(horizon)
 
 
+# What a completed checkout writes: customer details and payment ids.
+CHECKOUT_CUSTOMER = ("customer_email", "customer_name", "customer_phone")
+CHECKOUT_IDS = ("session_id", "payment_intent_id")
+
+
+def with_checkouts(rows: DataFrame, checkouts: DataFrame | None, keep: DataFrame | None = None) -> DataFrame:
+    """``rows`` (order_id first) with the rows of orders in ``checkouts`` replaced by those of ``checkouts``."""
+    if checkouts is None:
+        return rows
+    newer = checkouts.select(*rows.columns)
+    if keep is not None:
+        newer = newer.join(keep, keep.columns[0], "left_semi")
+    return rows.join(checkouts.select("order_id"), "order_id", "left_anti").unionByName(newer)
+
+
 def order_index(orders: DataFrame, payments: DataFrame, key: str, horizon: int | None = None,
-                wanted: DataFrame | None = None) -> DataFrame:
+                wanted: DataFrame | None = None, checkouts: DataFrame | None = None) -> DataFrame:
     """key (payment_intent_id or session_id) -> newest order carrying it.
 
     Empty keys never match.  ``horizon`` keeps only the newest N orders
     searchable, for parity with the reference's 1000-order scan.  ``wanted``
     (one column named ``key``) restricts the index to the keys a batch
     actually mentions, so a batch never joins every payment with every order.
+    ``checkouts`` (order_id, session_id, payment_intent_id) overlays the ids
+    that checkouts of earlier batches wrote.
     """
     o = orders.select("id", "created_at")
     if horizon is not None:
-        o = o.join(F.broadcast(newest_orders(orders, horizon).select("id")), "id", "left_semi")
-    p = payments.select(F.col("order_id").alias("id"), key).filter(or_empty(F.col(key)) != "")
+        o = o.join(broadcast_if_small(newest_orders(orders, horizon).select("id")), "id", "left_semi")
+    p = payments.select("order_id", key)
     if wanted is not None:
-        p = p.join(broadcast_if_small(wanted.filter(F.col(key).isNotNull()).distinct()), key, "left_semi")
-    return (p.join(o, "id", "inner").groupBy(key)
+        wanted = broadcast_if_few(wanted.filter(F.col(key).isNotNull()).distinct())
+        p = p.join(wanted, key, "left_semi")
+    p = with_checkouts(p.select("order_id", key), checkouts, wanted).filter(or_empty(F.col(key)) != "")
+    return (p.withColumnRenamed("order_id", "id").join(o, "id", "inner").groupBy(key)
             .agg(F.max(F.struct("created_at", "id"))["id"].alias("order_id")))
 
 
 def events_to_orders_by_intent(routed: DataFrame, orders: DataFrame, payments: DataFrame,
-                               horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
+                               horizon: int | None = None, idx: DataFrame | None = None,
+                               checkouts: DataFrame | None = None) -> DataFrame:
     """Payment-intent webhooks -> order by intent id (newest order wins)."""
     pi = routed.filter(F.col("type").isin(*PI_TYPES))
     if idx is None:
         idx = order_index(orders, payments, "payment_intent_id", horizon,
-                          wanted=pi.select(F.col("object_id").alias("payment_intent_id")))
+                          wanted=pi.select(F.col("object_id").alias("payment_intent_id")), checkouts=checkouts)
     idx = broadcast_if_small(idx)
     return pi.join(idx, pi["object_id"] == idx["payment_intent_id"], "left").drop("payment_intent_id")
 
 
 def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments: DataFrame,
-                                horizon: int | None = None, idx: DataFrame | None = None) -> DataFrame:
+                                horizon: int | None = None, idx: DataFrame | None = None,
+                                checkouts: DataFrame | None = None) -> DataFrame:
     """Checkout sessions -> order by session id, else by the session's intent id."""
     cs = routed.filter(F.col("type") == CHECKOUT_TYPE)
     by_s = order_index(orders, payments, "session_id", horizon,
-                       wanted=cs.select(F.col("object_id").alias("session_id"))).withColumnRenamed("order_id", "s_order")
+                       wanted=cs.select(F.col("object_id").alias("session_id")), checkouts=checkouts).withColumnRenamed("order_id", "s_order")
     if idx is None:
         idx = order_index(orders, payments, "payment_intent_id", horizon,
-                          wanted=cs.select(F.col("payment_intent").alias("payment_intent_id")))
+                          wanted=cs.select(F.col("payment_intent").alias("payment_intent_id")), checkouts=checkouts)
     by_s = broadcast_if_small(by_s)
     by_i = broadcast_if_small(idx.withColumnRenamed("order_id", "i_order"))
     j = (cs.join(by_s, cs["object_id"] == by_s["session_id"], "left").drop("session_id")
@@ -135,7 +157,7 @@ def events_to_orders_by_session(routed: DataFrame, orders: DataFrame, payments:
 
 
 def match_webhooks(routed: DataFrame, orders: DataFrame, payments: DataFrame,
-                   horizon: int | None = None) -> DataFrame:
+                   horizon: int | None = None, checkouts: DataFrame | None = None) -> DataFrame:
     """All state-changing webhooks with their order id (null = unmatched).
 
     One intent index serves both the payment-intent webhooks and the
@@ -145,10 +167,10 @@ def match_webhooks(routed: DataFrame, orders: DataFrame, payments: DataFrame,
     wanted = routed.filter(t.isin(*PI_TYPES) | (t == CHECKOUT_TYPE)).select(
         F.when(t == CHECKOUT_TYPE, F.col("payment_intent")).otherwise(F.col("object_id"))
         .alias("payment_intent_id"))
-    idx = order_index(orders, payments, "payment_intent_id", horizon, wanted=wanted)
+    idx = order_index(orders, payments, "payment_intent_id", horizon, wanted=wanted, checkouts=checkouts)
     pi = events_to_orders_by_intent(routed, orders, payments, horizon, idx).withColumn(
         "matched_by", F.when(F.col("order_id").isNotNull(), F.lit("payment_intent")))
-    cs = events_to_orders_by_session(routed, orders, payments, horizon, idx)
+    cs = events_to_orders_by_session(routed, orders, payments, horizon, idx, checkouts)
     return pi.unionByName(cs)
 
 
@@ -160,14 +182,18 @@ def handler_effects(matched: DataFrame) -> DataFrame:
         "event_id", "ts", "order_id", "handler",
         _map(t, PI_OPS).alias("payment_status_set"),
         _map(t, PI_ORDER_STATUS).alias("order_status_set"),
-        (t == PI_TYPES[0]).alias("sets_processed_at_if_null"),
+        (t == PI_SUCCEEDED).alias("sets_processed_at_if_null"),
     )
 
 
 # --------------------------------------------------------------------- ST5 ---
-def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: DataFrame) -> DataFrame:
+def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: DataFrame,
+                             checkouts: DataFrame | None = None) -> DataFrame:
     """Customer and payment ids after all matched checkouts of each order.
 
+    ``checkouts`` holds what earlier batches wrote (the columns of this
+    result); it takes the place of the stored rows.
+
     Email is overwritten whenever customer details exist (even by ''); name
     and phone only by non-empty values; the session id always; the intent id
     when the session carries one.  Last writer by ``(ts, event_id)``.
@@ -190,10 +216,10 @@ def apply_checkout_completed(matched: DataFrame, orders: DataFrame, payments: Da
         F.count(F.lit(1)).alias("n_checkouts"),
         F.max("ts").alias("updated_at"),
     )
-    ids = broadcast_if_small(upd.select("order_id"))  # one row per updated order
-    o = orders.select(F.col("id").alias("order_id"), "customer_email", "customer_name", "customer_phone") \
-        .join(ids, "order_id", "left_semi")
-    p = payments.select("order_id", "session_id", "payment_intent_id").join(ids, "order_id", "left_semi")
+    ids = broadcast_if_few(upd.select("order_id"))  # one row per updated order
+    o = orders.select(F.col("id").alias("order_id"), *CHECKOUT_CUSTOMER).join(ids, "order_id", "left_semi")
+    p = payments.select("order_id", *CHECKOUT_IDS).join(ids, "order_id", "left_semi")
+    o, p = with_checkouts(o, checkouts, ids), with_checkouts(p, checkouts, ids)
     j = upd.join(o, "order_id", "left").join(p, "order_id", "left")
     return j.select(
         "order_id",
@@ -228,7 +254,7 @@ def existing_orders(orders: DataFrame, ids: DataFrame) -> DataFrame:
     The orders table is the streamed side and the batch's ids the (size-
     checked) broadcast side, so a micro-batch never shuffles all orders.
     """
-    wanted = broadcast_if_small(ids.select("order_id").distinct())
+    wanted = broadcast_if_few(ids.select("order_id").distinct())
     return orders.select(F.col("id").alias("order_id")).join(wanted, "order_id", "left_semi")
 
 
@@ -260,29 +286,18 @@ def raw_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, dedup: b
     return ops
 
 
-def guard_ops(ops: DataFrame, payments: DataFrame, prior_known: DataFrame | None = None) -> DataFrame:
-    """Evaluate the refund guard.  Reads only the payments of orders in
-    ``ops``; ``prior_known`` (order_id, intent_known) adds earlier batches."""
-    touched = broadcast_if_small(ops.select("order_id").distinct())
-    known = intent_known(payments.join(touched, "order_id", "left_semi"))
-    if prior_known is not None:
-        prior = prior_known.select("order_id", F.col("intent_known").alias("prior")).join(touched, "order_id", "left_semi")
-        known = known.join(prior, "order_id", "full").select(
-            "order_id", (F.coalesce("intent_known", F.lit(False)) | F.coalesce("prior", F.lit(False))).alias("intent_known"))
-    return guard_refunds(ops, known)
-
-
-def build_ops(matched: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
-              dedup: bool = False, prior_known: DataFrame | None = None) -> DataFrame:
-    """Webhook + command ops with the refund guard evaluated."""
-    return guard_ops(raw_ops(matched, commands, orders, dedup), payments, prior_known)
-
-
-def order_state(matched: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
-                dedup: bool = False, initial: DataFrame | None = None,
-                num_segments: int | None = None) -> FoldResult:
-    ops = build_ops(matched, commands, orders, payments, dedup)
-    return fold_order_state(ops, initial, num_segments)
+def stored_state(orders: DataFrame, payments: DataFrame, touched: DataFrame) -> DataFrame:
+    """The state of the ``touched`` orders (order_id) as their stored rows have it: where a fold starts."""
+    o = orders.withColumnRenamed("id", "order_id").join(touched, "order_id", "left_semi").select(
+        "order_id", F.col("status").alias("order_status"), "fulfilled_at", "updated_at")
+    p = payments.join(touched, "order_id", "left_semi").groupBy("order_id").agg(
+        F.max(F.struct("processed_at", "status")).alias("p"),
+        F.max(or_empty(F.col("payment_intent_id")) != "").alias("intent_known"))
+    none = F.lit(0).cast("long")
+    return o.join(p, "order_id", "left").select(
+        "order_id", "order_status", F.col("p.status").alias("payment_status"), F.col("p.processed_at").alias("processed_at"),
+        "fulfilled_at", "updated_at", none.alias("applied_events"), none.alias("rejected_fulfills"),
+        none.alias("rejected_refunds"), F.coalesce("intent_known", F.lit(False)).alias("intent_known")).select(*STATE_COLUMNS)
 
 
 # --------------------------------------------------------------------- ST8 ---
@@ -329,10 +344,10 @@ def event_log(matched: DataFrame, fold: FoldResult, ops: DataFrame,
         "order_id",
         _map(t, {k: HANDLERS[k] for k in PI_TYPES}).alias("event_type"),
         _map(t, PI_OPS).alias("status"),
-        F.when(t == PI_TYPES[0],
+        F.when(t == PI_SUCCEEDED,
                F.to_json(F.struct(F.col("object_id").alias("payment_intent_id"), "amount", "currency",
                                   payment_method().alias("payment_method"))))
-        .when(t == PI_TYPES[2],
+        .when(t == PI_CANCELED,
               F.to_json(F.struct(F.col("object_id").alias("payment_intent_id"), _iso(F.col("ts")).alias("canceled_at"))))
         .otherwise(F.to_json(F.struct(F.col("object_id").alias("payment_intent_id")))).alias("data"),
         F.col("ts").alias("created_at"), (F.col("event_id") + 1).alias("seq"), F.col("event_id").alias("src"))
@@ -418,17 +433,19 @@ class EventBatch:
 
     Every stage is built once and shared by the outputs: decoded webhooks,
     routed and matched webhooks, guarded ops, the order-state fold, the event
-    log and the dead letter.  ``initial`` is the state before the batch,
-    either a DataFrame or a function of the touched order ids (so a stream
-    reads only the state rows it needs).
+    log and the dead letter.  The fold starts from the stored order and
+    payment rows.  ``later`` (a function of the touched order ids) gives the
+    state rows that earlier batches left, in ``STATE_COLUMNS``; they take the
+    place of the stored rows.  ``checkouts`` does the same for the customer
+    details and payment ids written by earlier checkouts.
     """
 
     def __init__(self, payloads: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
-                 horizon: int | None = None, dedup: bool = False, initial=None, checkpoint: bool = True):
+                 horizon: int | None = None, dedup: bool = False, later=None, checkouts: DataFrame | None = None,
+                 checkpoint: bool = True):
         self.payloads, self.commands = payloads, commands
         self.orders, self.payments = orders, payments
-        self.horizon, self.dedup, self._initial = horizon, dedup, initial
-        self.materialized = checkpoint
+        self.horizon, self.dedup, self._later, self._checkouts = horizon, dedup, later, checkouts
         self._keep = materialize if checkpoint else (lambda df: df)
 
     @cached_property
@@ -441,30 +458,35 @@ class EventBatch:
 
     @cached_property
     def matched(self) -> DataFrame:
-        return self._keep(match_webhooks(self.routed, self.orders, self.payments, self.horizon))
+        return self._keep(match_webhooks(self.routed, self.orders, self.payments, self.horizon, self._checkouts))
 
     @cached_property
     def unguarded_ops(self) -> DataFrame:
         return raw_ops(self.matched, self.commands, self.orders, self.dedup)
 
     @cached_property
-    def initial(self) -> DataFrame | None:
-        if callable(self._initial):
-            return self._initial(self.unguarded_ops.select("order_id").distinct())
-        return self._initial
+    def initial(self) -> DataFrame:
+        """State of the orders this batch names, before it."""
+        named = self.matched.filter(F.col("order_id").isNotNull()).select("order_id").unionByName(self.commands.select("order_id"))
+        touched = broadcast_if_few(named.distinct())
+        stored = stored_state(self.orders, self.payments, touched)
+        later = None if self._later is None else self._later(touched)
+        if later is not None:
+            stored = stored.join(later.select("order_id"), "order_id", "left_anti").unionByName(later)
+        return self._keep(stored)
 
     @cached_property
     def ops(self) -> DataFrame:
-        prior = None if self.initial is None else self.initial.select("order_id", "intent_known")
-        ops = guard_ops(self.unguarded_ops, self.payments, prior)
-        if not self.materialized:
-            return ops
-        return self._keep(ops)
+        return self._keep(guard_refunds(self.unguarded_ops, self.initial.select("order_id", "intent_known")))
 
     @cached_property
     def fold(self) -> FoldResult:
         return fold_order_state(self.ops, self.initial)
 
+    def checkouts(self) -> DataFrame:
+        """Customer details and payment ids of the orders with a checkout in this batch."""
+        return apply_checkout_completed(self.matched, self.orders, self.payments, self._checkouts)
+
     def event_log(self, include_created: bool = True) -> DataFrame:
         return event_log(self.matched, self.fold, self.ops, self.orders, self.payments, include_created)
 

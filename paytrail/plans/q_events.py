@@ -17,11 +17,8 @@ def _batch(raw, horizon=None, dedup=False) -> E.EventBatch:
 
 
 def _webhooks(raw):
-    return _batch(raw).webhooks
-
-
-def _matched(raw, horizon=None):
-    return _batch(raw, horizon).matched
+    """Decoded webhooks for a query with one output: nothing is written on the way."""
+    return E.webhook_ingest(fx.webhook_payloads(raw))
 
 
 WEBHOOK_COLS = ["envelope_id", "type", "object_id", "amount", "currency", "payment_intent", "charge",
@@ -46,7 +43,7 @@ HANDLER_CASE = """CASE kind WHEN 'payment_intent.succeeded' THEN 'payment_succee
 @query("route_webhooks", f"SELECT event_id, kind AS type, {HANDLER_CASE} AS handler FROM m_ok_webhooks")
 def route_webhooks(raw):
     """ST1: dispatch on event type."""
-    return _batch(raw).routed.select("event_id", "type", "handler")
+    return E.route_webhooks(_webhooks(raw)).select("event_id", "type", "handler")
 
 
 @query("events_to_orders_by_intent", """
@@ -98,26 +95,29 @@ def _effects_sql(kind: str, pay: str, order: str | None) -> str:
 FROM m_matched WHERE kind = '{kind}' AND order_id IS NOT NULL"""
 
 
-def _effects(raw, handler):
-    return E.handler_effects(_matched(raw)).filter(F.col("handler") == handler)
+def _effects(raw, webhook_type):
+    """Effects of one webhook type; only that type is matched."""
+    routed = E.route_webhooks(_webhooks(raw)).filter(F.col("type") == webhook_type)
+    return E.handler_effects(E.events_to_orders_by_intent(
+        routed, fx.model_orders(raw, with_customer=False), fx.model_payments(raw)))
 
 
 @query("apply_payment_succeeded", _effects_sql("payment_intent.succeeded", "succeeded", "paid"))
 def apply_payment_succeeded(raw):
     """ST2: success sets payment succeeded and the order paid."""
-    return _effects(raw, "payment_succeeded")
+    return _effects(raw, E.PI_SUCCEEDED)
 
 
 @query("apply_payment_failed", _effects_sql("payment_intent.payment_failed", "failed", None))
 def apply_payment_failed(raw):
     """ST3: failure sets the payment failed; order status unchanged."""
-    return _effects(raw, "payment_failed")
+    return _effects(raw, E.PI_FAILED)
 
 
 @query("apply_payment_canceled", _effects_sql("payment_intent.canceled", "canceled", "canceled"))
 def apply_payment_canceled(raw):
     """ST4: cancel sets payment and order canceled."""
-    return _effects(raw, "payment_canceled")
+    return _effects(raw, E.PI_CANCELED)
 
 
 CHECKOUT_CTES = """
@@ -153,7 +153,7 @@ SELECT event_id, ts, {HANDLER_CASE} AS handler, object_id AS audit_id, charge AS
 FROM m_ok_webhooks WHERE kind IN ('invoice.payment_succeeded', 'charge.dispute.created')""")
 def audit_only_events(raw):
     """ST6: invoice / dispute events kept for audit; no state change."""
-    return E.audit_only_events(_batch(raw).routed)
+    return E.audit_only_events(E.route_webhooks(_webhooks(raw)))
 
 
 @query("dead_letter", """
@@ -183,7 +183,8 @@ k AS (SELECT order_id, ts, event_id,
       FROM g),
 s AS (SELECT *, lag(kind) OVER (PARTITION BY order_id ORDER BY ts, event_id) AS prev
       FROM k WHERE kind IS NOT NULL),
-a AS (SELECT *, (kind = 'F' AND coalesce(prev, 'pending') = 'paid') AS accepted FROM s),
+a AS (SELECT s.*, (kind = 'F' AND coalesce(prev, o.status) = 'paid') AS accepted
+      FROM s JOIN m_orders o ON o.id = s.order_id),
 ls AS (SELECT order_id, kind AS setter, ts AS sts, event_id AS seid
        FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, event_id DESC) AS rn
              FROM s WHERE kind <> 'F') WHERE rn = 1),
@@ -207,16 +208,18 @@ side AS (SELECT order_id,
          FROM g GROUP BY order_id),
 state AS (
   SELECT side.order_id,
-         CASE WHEN ls.setter IS NULL THEN 'pending'
-              WHEN ls.setter = 'paid' AND coalesce(st.f_after, 0) > 0 THEN 'fulfilled'
-              ELSE ls.setter END AS order_status,
-         coalesce(side.last_pay, 'pending') AS payment_status,
-         side.processed_at, st.first_acc AS fulfilled_at,
-         greatest(side.last_applied, st.last_acc) AS updated_at,
+         CASE WHEN coalesce(ls.setter, o.status) = 'paid' AND coalesce(st.f_after, 0) > 0 THEN 'fulfilled'
+              ELSE coalesce(ls.setter, o.status) END AS order_status,
+         coalesce(side.last_pay, p.status, 'pending') AS payment_status,
+         coalesce(p.processed_at, side.processed_at) AS processed_at,
+         coalesce(o.fulfilled_at, st.first_acc) AS fulfilled_at,
+         greatest(o.updated_at, side.last_applied, st.last_acc) AS updated_at,
          side.n_applied + coalesce(st.n_acc, 0) AS applied_events,
          side.n_fulfill - coalesce(st.n_acc, 0) AS rejected_fulfills,
          side.rejected_refunds
-  FROM side LEFT JOIN ls ON ls.order_id = side.order_id LEFT JOIN st ON st.order_id = side.order_id)
+  FROM side JOIN m_orders_full o ON o.id = side.order_id
+  LEFT JOIN m_payments_full p ON p.order_id = side.order_id
+  LEFT JOIN ls ON ls.order_id = side.order_id LEFT JOIN st ON st.order_id = side.order_id)
 """
 
 STATE_OUT = ("order_id", "order_status", "payment_status", "processed_at", "fulfilled_at", "updated_at",
@@ -372,15 +375,23 @@ def refundable_orders(raw):
 
 
 # ---------------------------------------------------------------- streaming ---
+def _replayed(raw):
+    from paytrail.session import scratch_path
+    from paytrail.streaming import webhooks as W
+    f = W.feed(fx.webhook_payloads(raw), fx.model_commands(raw))
+    return W.replay(f, fx.model_orders(raw), fx.model_payments(raw), scratch_path(raw.spark, "order-state-stream"))
+
+
 @query("order_state_stream", ORDER_STATE_CTES + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
 def order_state_stream(raw):
     """ST7 through Structured Streaming: the feed replayed in four time slices,
     folded by foreachBatch onto per-batch state snapshots; must equal the
     batch fold."""
-    from paytrail.session import scratch_path
-    from paytrail.streaming import webhooks as W
-    orders = fx.model_orders(raw, with_customer=False)
-    payments = fx.model_payments(raw)
-    f = W.feed(fx.webhook_payloads(raw), fx.model_commands(raw))
-    handler = W.replay(f, orders, payments, scratch_path(raw.spark, "order-state-stream"))
-    return handler.latest_state().select(*STATE_OUT)
+    return _replayed(raw).latest_state().select(*STATE_OUT)
+
+
+@query("checkout_updates_stream", CHECKOUT_CTES.replace("       u.n_checkouts, u.updated_at", "       u.updated_at"))
+def checkout_updates_stream(raw):
+    """ST5 through Structured Streaming: customer details and payment ids that the replayed feed's checkouts
+    wrote; later slices match on them."""
+    return _replayed(raw).checkouts()

@@ -240,10 +240,56 @@ def order_upsert(raw):
     return snapshot
 
 
-@query("order_documents")
+@query("order_upsert_rejects", """
+SELECT DISTINCT order_id AS id, 'update' AS operation, 'order not found' AS reason
+FROM m_keys WHERE order_id NOT IN (SELECT id FROM m_orders)""")
+def order_upsert_rejects(raw):
+    """IO5: what an upsert refuses: here status updates by looked-up ids, of which some orders are not stored."""
+    base = fx.model_orders(raw, with_customer=False).select("id", "status", "updated_at")
+    upd = fx.lookup_keys(raw).select(F.col("order_id").alias("id"), F.lit("canceled").alias("status"),
+                                     F.lit(fx.AS_OF).cast("timestamp_ntz").alias("updated_at"), F.lit(1).alias("seq"))
+    return S.order_upsert(base, upd, base.limit(0))[1]
+
+
+def _key(name: str, value: str) -> str:
+    """SQL text of a JSON member that is left out when empty."""
+    return f"""CASE WHEN coalesce({value}, '') <> '' THEN ',"{name}":' || CAST(to_json({value}) AS VARCHAR) ELSE '' END"""
+
+
+def _ts(name: str, value: str) -> str:
+    return (f"""CASE WHEN {value} IS NOT NULL THEN ',"{name}":"' || """
+            f"""rtrim(rtrim(strftime({value}, '%Y-%m-%dT%H:%M:%S.%f'), '0'), '.') || 'Z"' ELSE '' END""")
+
+
+def _text(value: str) -> str:
+    return f"CAST(to_json(coalesce({value}, '')) AS VARCHAR)"
+
+
+@query("order_documents", f"""
+, li AS (
+  SELECT order_id, string_agg('{{"product_id":' || {_text('product_id')} || ',"product_name":' || {_text('product_name')}
+           || ',"file_type":' || {_text('file_type')} || ',"price":' || CAST(price AS VARCHAR)
+           || ',"quantity":' || CAST(quantity AS VARCHAR) || {_key('download_url', 'download_url')} || '}}',
+           ',' ORDER BY line_no, product_id, product_name, file_type, price, quantity) AS lines
+  FROM m_items GROUP BY order_id),
+pay AS (
+  SELECT o.id AS order_id,
+         {_key(S.DOC_INTENT_KEY, 'p.payment_intent_id')} || {_key(S.DOC_SESSION_KEY, 'p.session_id')}
+         || ',"amount":' || CAST(coalesce(p.amount, 0) AS VARCHAR) || ',"currency":' || {_text('p.currency')}
+         || ',"status":' || {_text('p.status')} || {_key('method', 'p.method')}
+         || {_ts('processed_at', 'p.processed_at')} || {_ts('refunded_at', 'p.refunded_at')} AS members
+  FROM m_orders o LEFT JOIN m_payments_full p ON p.order_id = o.id)
+SELECT o.id, '{{"id":' || {_text('o.id')} || ',"tracking_id":' || {_text('o.tracking_id')}
+       || ',"customer_info":{{"email":' || {_text('o.customer_email')} || {_key('name', 'o.customer_name')}
+       || {_key('phone', 'o.customer_phone')} || {_key('ip_address', 'o.customer_ip_address')}
+       || '}},"items":[' || coalesce(li.lines, '') || '],"payment":{{' || substr(pay.members, 2)
+       || '}},"status":' || {_text('o.status')}
+       || ',"metadata":{{"priority":' || {_text('o.metadata_priority')} || '}}'
+       || {_ts('created_at', 'o.created_at')} || {_ts('updated_at', 'o.updated_at')}
+       || {_ts('fulfilled_at', 'o.fulfilled_at')} || '}}' AS document
+FROM m_orders_full o JOIN pay ON pay.order_id = o.id LEFT JOIN li ON li.order_id = o.id""")
 def order_documents(raw):
-    """IO6: nested JSON order documents with omitempty rules (no SQL oracle:
-    JSON text formatting is engine-specific; round trip tested in tests/)."""
+    """IO6: nested JSON order documents with the service's keys and omitempty rules."""
     nested = R.assemble_orders(fx.model_orders(raw), fx.model_items(raw), fx.model_payments(raw))
     return S.order_documents(nested)
 
@@ -271,5 +317,5 @@ def order_documents_roundtrip(raw):
         F.json_array_length(F.get_json_object(doc, "$.items")).alias("n_items"),
         F.get_json_object(doc, "$.payment.amount").cast("long").alias("payment_amount"),
         F.get_json_object(doc, "$.payment.status").alias("payment_status"),
-        has("$.payment.payment_intent_id").alias("has_intent"), has("$.metadata").alias("has_metadata"),
+        has(f"$.payment.{S.DOC_INTENT_KEY}").alias("has_intent"), has("$.metadata").alias("has_metadata"),
         has("$.fulfilled_at").alias("has_fulfilled_at"), F.get_json_object(doc, "$.status").alias("status"))

@@ -24,25 +24,6 @@ PROVIDER_STATUS_MAP = {
     "requires_confirmation": "pending",
     "requires_action": "pending",
 }
-# Webhook types with a handler; any other type is "unhandled".
-WEBHOOK_TYPES = [
-    "payment_intent.succeeded",
-    "payment_intent.payment_failed",
-    "payment_intent.canceled",
-    "checkout.session.completed",
-    "invoice.payment_succeeded",
-    "charge.dispute.created",
-]
-# Event-log kinds and the payment status each is logged with.
-EVENT_LOG_KINDS = {
-    "order_created": "pending",
-    "payment_succeeded": "succeeded",
-    "payment_failed": "failed",
-    "payment_canceled": "canceled",
-    "checkout_completed": "succeeded",
-    "order_fulfilled": "succeeded",
-    "order_refunded": "refunded",
-}
 MAX_WEBHOOK_BYTES = 65536
 WEBHOOK_ORDER_HORIZON = 1000
 DEFAULT_PAGE_LIMIT = 50

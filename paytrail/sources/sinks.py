@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytrail.functions import ids
@@ -18,6 +18,9 @@ from paytrail.functions.text import null_if_empty
 from paytrail.schemas import MSG_EMPTY_ID
 
 POINTER = "_CURRENT"
+# fixed keys of the payment ids in an order document
+DOC_INTENT_KEY = "stripe_payment_intent_id"
+DOC_SESSION_KEY = "stripe_session_id"
 
 
 # --------------------------------------------------------------------- IO4 ---
@@ -43,35 +46,43 @@ def write_append(df: DataFrame, path: str) -> None:
 
 # --------------------------------------------------------------------- IO5 ---
 def order_upsert(base: DataFrame, updates: DataFrame, inserts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply ``updates`` (id + changed columns + seq) and ``inserts`` to ``base``.
-
-    Updates: the latest per id wins (``max_by`` with map-side partial
-    aggregation); an update for a missing id is rejected.  Inserts: an empty
-    id or an id that already exists is rejected.  Returns (snapshot, rejects).
+    """Apply ``inserts`` (whole rows) and ``updates`` (id + changed columns + seq) to ``base``.
+
+    A whole row replaces the stored row of its id; of several the greatest
+    ``seq`` wins (0 where ``inserts`` has no such column).  Then the latest
+    update of the id applies.  An empty id and an update of an id that is
+    neither stored nor inserted are rejected.  One grouped pass by id over
+    all three.  Returns (snapshot, rejects); ``change`` is kept, updated,
+    replaced or inserted.
     """
-    upd_cols = [c for c in updates.columns if c not in ("id", "seq", "updated_at")]
-    latest = updates.groupBy("id").agg(
-        F.max_by(F.struct(*upd_cols, "updated_at"), F.struct("seq")).alias("u"))
-    exists = base.select("id").withColumn("_exists", F.lit(True))
-    upd_rejects = latest.join(exists, "id", "left").filter(F.col("_exists").isNull()).select(
-        "id", F.lit("update").alias("operation"), F.lit("order not found").alias("reason"))
-    j = base.join(latest, "id", "left")
+    upd_cols = [c for c in updates.columns if c not in ("id", "seq")]
+    row, delta = F.struct(*base.columns), F.struct(*upd_cols)
+    seq = F.col("seq").cast("long") if "seq" in inserts.columns else F.lit(0).cast("long")
+    empty = F.coalesce(F.col("id"), F.lit("")) == ""
+    schema_of = base.select(row.alias("r")).schema["r"].dataType
+    none_row, none_delta = F.lit(None).cast(schema_of), F.lit(None).cast(updates.select(delta.alias("r")).schema["r"].dataType)
+    zero = F.lit(0).cast("long")
+    changes = (base.select("id", F.lit("base").alias("kind"), zero.alias("seq"), row.alias("r"), none_delta.alias("u"))
+               .unionByName(inserts.filter(~empty).select("id", F.lit("insert").alias("kind"), seq.alias("seq"),
+                                                          row.cast(schema_of).alias("r"), none_delta.alias("u")))
+               .unionByName(updates.select("id", F.lit("update").alias("kind"), F.col("seq").cast("long").alias("seq"),
+                                           none_row.alias("r"), delta.alias("u"))))
+    kind = F.col("kind")
+    g = changes.groupBy("id").agg(
+        F.first(F.when(kind == "base", F.col("r")), ignorenulls=True).alias("b"),
+        F.max_by("r", F.when(kind == "insert", F.col("seq"))).alias("i"),
+        F.max_by("u", F.when(kind == "update", F.col("seq"))).alias("u"))
+    known = F.col("b").isNotNull() | F.col("i").isNotNull()
     changed = F.col("u").isNotNull()
-    snapshot = j.select(
+    snapshot = g.filter(known).select(
         "id",
-        *[F.when(changed, F.col(f"u.{c}")).otherwise(F.col(c)).alias(c) if c in upd_cols else F.col(c)
-          for c in base.columns if c not in ("id", "updated_at")],
-        F.when(changed, F.col("u.updated_at")).otherwise(F.col("updated_at")).alias("updated_at"),
-        F.when(changed, F.lit("updated")).otherwise(F.lit("kept")).alias("change"))
-    ins = inserts.join(exists, "id", "left")
-    bad_ins = (F.coalesce(F.col("id"), F.lit("")) == "") | F.col("_exists").isNotNull()
-    ins_rejects = ins.filter(bad_ins).select(
-        "id", F.lit("insert").alias("operation"),
-        F.when(F.coalesce(F.col("id"), F.lit("")) == "", F.lit(MSG_EMPTY_ID))
-        .otherwise(F.lit("order already exists")).alias("reason"))
-    good = ins.filter(~bad_ins).drop("_exists").withColumn("change", F.lit("inserted"))
-    snapshot = snapshot.unionByName(good.select(*snapshot.columns))
-    return snapshot, upd_rejects.unionByName(ins_rejects)
+        *[F.when(changed, F.col(f"u.{c}")).otherwise(F.coalesce(F.col("i"), F.col("b"))[c]).alias(c) if c in upd_cols
+          else F.coalesce(F.col("i"), F.col("b"))[c].alias(c) for c in base.columns if c != "id"],
+        F.when(F.col("b").isNull(), F.lit("inserted")).when(F.col("i").isNotNull(), F.lit("replaced"))
+        .when(changed, F.lit("updated")).otherwise(F.lit("kept")).alias("change"))
+    rejects = (inserts.filter(empty).select("id", F.lit("insert").alias("operation"), F.lit(MSG_EMPTY_ID).alias("reason"))
+               .unionByName(g.filter(~known).select("id", F.lit("update").alias("operation"), F.lit("order not found").alias("reason"))))
+    return snapshot, rejects
 
 
 def _fs(spark: SparkSession, path: str):
@@ -80,36 +91,50 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write_snapshot(df: DataFrame, root: str) -> str:
-    """Write a new snapshot directory under ``root`` and swap the pointer."""
-    spark = df.sparkSession
-    target = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(target)
-    fs, ptr = _fs(spark, f"{root.rstrip('/')}/{POINTER}")
-    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{POINTER}.{uuid.uuid4().hex}")
+def swap_small(spark: SparkSession, path: str, text: str) -> None:
+    """Replace the one-line file ``path``: a reader finds the old line or the new one, never none."""
+    fs, ptr = _fs(spark, path)
+    tmp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
-    out.write(bytearray(target.encode("utf-8")))
+    out.write(bytearray(text.encode("utf-8")))
     out.close()
-    # an overwriting rename: a reader finds the old pointer or the new one, never none
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(ptr.toUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(tmp, ptr, options)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The line of ``path``; None where there is no such file."""
+    fs, ptr = _fs(spark, path)
+    if not fs.exists(ptr):
+        return None
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(ptr)))
+    line = reader.readLine()
+    reader.close()
+    return line
+
+
+def write_snapshot(df: DataFrame, root: str) -> str:
+    """Write a new snapshot directory under ``root`` and swap the pointer."""
+    target = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(target)
+    swap_small(df.sparkSession, f"{root.rstrip('/')}/{POINTER}", target)
     return target
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    fs, ptr = _fs(spark, f"{root.rstrip('/')}/{POINTER}")
-    stream = fs.open(ptr)
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream))
-    target = reader.readLine()
-    reader.close()
-    return spark.read.parquet(target)
+    return spark.read.parquet(read_small(spark, f"{root.rstrip('/')}/{POINTER}"))
 
 
 # --------------------------------------------------------------------- IO6 ---
+def rfc3339(ts: Column) -> Column:
+    """A UTC timestamp as RFC 3339 text: fraction without trailing zeros, zone Z."""
+    return F.concat(F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0+$", ""), F.lit("Z"))
+
+
 def order_documents(nested: DataFrame) -> DataFrame:
-    """Nested orders -> JSON documents with the service's ``omitempty`` rules.
+    """Nested orders -> JSON documents with the service's keys and ``omitempty`` rules.
 
     Empty optional strings, an empty metadata map and unset timestamps are
     left out; required fields stay even when empty (a missing payment is
@@ -125,15 +150,15 @@ def order_documents(nested: DataFrame) -> DataFrame:
         null_if_empty(x["download_url"]).alias("download_url")))
     pm = F.col("payment")
     payment = F.struct(
-        null_if_empty(pm["payment_intent_id"]).alias("payment_intent_id"),
-        null_if_empty(pm["session_id"]).alias("session_id"),
+        null_if_empty(pm["payment_intent_id"]).alias(DOC_INTENT_KEY),
+        null_if_empty(pm["session_id"]).alias(DOC_SESSION_KEY),
         F.coalesce(pm["amount"], F.lit(0).cast("long")).alias("amount"),
         F.coalesce(pm["currency"], F.lit("")).alias("currency"),
         F.coalesce(pm["status"], F.lit("")).alias("status"),
         null_if_empty(pm["method"]).alias("method"),
-        pm["processed_at"].alias("processed_at"), pm["refunded_at"].alias("refunded_at"))
+        rfc3339(pm["processed_at"]).alias("processed_at"), rfc3339(pm["refunded_at"]).alias("refunded_at"))
     meta = F.when(F.size(F.coalesce(F.col("metadata"), F.create_map())) > 0, F.col("metadata"))
     doc = F.struct(F.col("id"), F.col("tracking_id"), customer.alias("customer_info"), items.alias("items"),
-                   payment.alias("payment"), F.col("status"), meta.alias("metadata"), F.col("created_at"),
-                   F.col("updated_at"), F.col("fulfilled_at"))
-    return nested.select("id", F.to_json(doc, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("document"))
+                   payment.alias("payment"), F.col("status"), meta.alias("metadata"),
+                   *[rfc3339(F.col(c)).alias(c) for c in ("created_at", "updated_at", "fulfilled_at")])
+    return nested.select("id", F.to_json(doc).alias("document"))

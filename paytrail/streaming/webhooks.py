@@ -2,19 +2,24 @@
 
 A file stream of feed rows (webhook payloads and commands) is processed with
 ``foreachBatch``.  Each micro-batch runs the same ``EventBatch`` as the batch
-path, with the previous state snapshot as the fold's initial state, and
+path, starting from the stored rows and what earlier batches left, and
 writes:
 
-* ``state/batch=<id>``  -- the state rows of the orders this batch changed
-                          (every ``compact_every`` batches: the full state,
-                          marked with a ``_FULL`` file),
-* ``log/batch=<id>``    -- event-log rows appended by this batch,
-* ``dead/batch=<id>``   -- dead-letter rows of this batch.
+* ``checkouts/batch=<id>`` -- customer details and payment ids of the orders
+                              with a checkout in this batch,
+* ``log/batch=<id>``       -- event-log rows appended by this batch,
+* ``dead/batch=<id>``      -- dead-letter rows of this batch,
+* ``state/batch=<id>``     -- the state rows of the orders this batch changed.
+
+Every ``compact_every`` batches ``state`` and ``checkouts`` are written in
+full, and the small ``_FULL`` file then names that batch.
 
 A batch reads only the rows of the orders it touches: the last full snapshot
 and the deltas after it, semi-joined with the touched order ids, latest row
-per order.  So a micro-batch costs in proportion to its own size plus one
-scan of the state, never a rewrite of the whole state (except at compaction).
+per order.  Later batches match webhooks on the payment ids that checkouts
+wrote.  So a micro-batch costs in proportion to its own size plus one
+scan of the state, never a rewrite of the whole state (except at compaction),
+and looks at no more than ``compact_every`` batch folders.
 Each batch id has its own directories, written with ``overwrite``, so a batch
 retried after a failure replaces its own output and never doubles it.
 Across batches events are applied in arrival order (the reference's rule);
@@ -31,9 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.operators.broadcast import broadcast_if_small
-from paytrail.operators.events import EventBatch
+from paytrail.operators.events import CHECKOUT_CUSTOMER, CHECKOUT_IDS, EventBatch
 from paytrail.operators.fold import STATE_COLUMNS
+from paytrail.sources.sinks import read_small, swap_small
+
+CHECKOUT_COLUMNS = ("order_id", *CHECKOUT_CUSTOMER, *CHECKOUT_IDS, "updated_at")
 
 FEED_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -84,50 +91,66 @@ class OrderStateStream:
     def path(self, kind: str, batch_id: int) -> str:
         return f"{self.out_root}/{kind}/batch={batch_id}"
 
-    def _is_full(self, batch_id: int) -> bool:
-        fs, p = _fs(self.spark, f"{self.path('state', batch_id)}/_FULL")
+    def _done(self, batch_id: int) -> bool:
+        fs, p = _fs(self.spark, f"{self.path('state', batch_id)}/_SUCCESS")
         return bool(fs.exists(p))
 
     def _live_snapshots(self, before: int | None = None) -> list[int]:
-        """The last full snapshot and the deltas after it."""
-        done = [b for b in committed_batches(self.spark, f"{self.out_root}/state") if before is None or b < before]
-        full = [b for b in done if self._is_full(b)]
-        start = full[-1] if full else -1
-        return [b for b in done if b >= start]
-
-    def state(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
-        """Latest state row per order (optionally only ``touched`` orders)."""
+        """The last full snapshot before batch ``before`` and the deltas after it.
+
+        Batch ids are consecutive, and a batch starts only after the one
+        before it is written.
+        """
+        named = read_small(self.spark, f"{self.out_root}/_FULL")
+        full = 0 if named is None else int(named)
+        if before is None:
+            ids = []
+            while self._done(full + len(ids)):
+                ids.append(full + len(ids))
+            return ids
+        if full >= before:  # a compacting batch runs again: go back to the full snapshot before it
+            full = max(0, before - self.compact_every)
+        return [b for b in range(full, before) if self._done(b)]
+
+    def _latest(self, kind: str, columns: tuple[str, ...], before: int | None, touched: DataFrame | None = None) -> DataFrame | None:
         ids = self._live_snapshots(before)
         if not ids:
             return None
-        df = self.spark.read.parquet(*[self.path("state", b) for b in ids])
+        df = self.spark.read.parquet(*[self.path(kind, b) for b in ids])
         if touched is not None:
-            df = df.join(broadcast_if_small(touched.select("order_id").distinct()), "order_id", "left_semi")
+            df = df.join(touched, "order_id", "left_semi")
         # latest row per order: the batch id leads the struct, so max() picks the newest
-        latest = df.groupBy("order_id").agg(
-            F.max(F.struct("batch_id", *[c for c in STATE_COLUMNS if c != "order_id"])).alias("s"))
-        return latest.select("order_id", *[F.col(f"s.{c}").alias(c) for c in STATE_COLUMNS if c != "order_id"])
+        rest = [c for c in columns if c != "order_id"]
+        latest = df.groupBy("order_id").agg(F.max(F.struct("batch_id", *rest)).alias("s"))
+        return latest.select("order_id", *[F.col(f"s.{c}").alias(c) for c in rest])
+
+    def state(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Latest state row per order (optionally only of the ``touched`` order ids)."""
+        return self._latest("state", STATE_COLUMNS, before, touched)
+
+    def checkouts(self, before: int | None = None) -> DataFrame | None:
+        """Latest customer details and payment ids of every order that had a checkout."""
+        return self._latest("checkouts", CHECKOUT_COLUMNS, before)
+
+    def _write(self, kind: str, batch_id: int, changed: DataFrame, prev: DataFrame | None) -> None:
+        if prev is not None:
+            changed = prev.join(changed.select("order_id"), "order_id", "left_anti").unionByName(changed)
+        changed.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(self.path(kind, batch_id))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         payloads = batch.filter(F.col("source") == "webhook").select("event_id", "ts", "payload")
         commands = batch.filter(F.col("source") == "command").select("event_id", "ts", "order_id", "command")
-        eb = EventBatch(payloads, commands, self.orders, self.payments,
-                        initial=lambda touched: self.state(before=batch_id, touched=touched))
-        changed = eb.fold.state.select(*STATE_COLUMNS)
+        checkouts = self.checkouts(before=batch_id)
+        eb = EventBatch(payloads, commands, self.orders, self.payments, checkouts=checkouts,
+                        later=lambda touched: self.state(before=batch_id, touched=touched))
         compact = (batch_id + 1) % self.compact_every == 0
-        if compact:
-            prev = self.state(before=batch_id)
-            out = changed if prev is None else \
-                prev.join(changed.select("order_id"), "order_id", "left_anti").unionByName(changed)
-        else:
-            out = changed
-        target = self.path("state", batch_id)
-        out.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(target)
-        if compact:
-            fs, p = _fs(self.spark, f"{target}/_FULL")
-            fs.create(p, True).close()
+        self._write("checkouts", batch_id, eb.checkouts().select(*CHECKOUT_COLUMNS), checkouts if compact else None)
         eb.event_log(include_created=False).write.mode("overwrite").parquet(self.path("log", batch_id))
         eb.dead_letter().write.mode("overwrite").parquet(self.path("dead", batch_id))
+        # the state comes last: its _SUCCESS marks the whole batch as written
+        self._write("state", batch_id, eb.fold.state.select(*STATE_COLUMNS), self.state(before=batch_id) if compact else None)
+        if compact:
+            swap_small(self.spark, f"{self.out_root}/_FULL", str(batch_id))
 
     def latest_state(self) -> DataFrame | None:
         return self.state()

@@ -20,6 +20,9 @@ def _fixture(spark):
         [(f"o{i}", f"T{i}", "e@x", "e@x", "n", "paid", T + dt.timedelta(hours=i)) for i in range(5)], ORDER_SCHEMA)
     payments = spark.createDataFrame([(f"o{i}", f"pi_{i}", f"cs_{i}" if i == 1 else None, 100 * i, "usd", "succeeded")
                                       for i in range(4)], PAY_SCHEMA)  # o4 has no payment
+    orders = orders.withColumn("updated_at", F.col("created_at")).withColumn("fulfilled_at", F.lit(None).cast("timestamp_ntz"))
+    payments = payments.withColumn("processed_at", F.lit(None).cast("timestamp_ntz"))
+    orders = orders.withColumn("customer_phone", F.lit(None).cast("string"))
     items = spark.createDataFrame([("o0", 1, "p", 1.0, 1), ("o0", 2, "p", 2.0, 0)], ITEM_SCHEMA)
     return orders, payments, items
 
@@ -96,7 +99,7 @@ def test_checkout_overwrite_rules(spark):
     ], "event_id long, ts timestamp_ntz, payload string")
     b = E.EventBatch(payloads, spark.createDataFrame([], "event_id long, ts timestamp_ntz, order_id string, "
                                                        "command string"), o, p, checkpoint=False)
-    r = E.apply_checkout_completed(b.matched, o.withColumn("customer_phone", F.lit(None).cast("string")), p).first()
+    r = E.apply_checkout_completed(b.matched, o, p).first()
     assert r.customer_email == ""                 # overwritten even by ""
     assert r.customer_name == "Ann"               # only non-empty names overwrite
     assert r.customer_phone == "555"
@@ -164,3 +167,20 @@ def test_unhandled_intent_type_reported_once(spark):
     b = E.EventBatch(payloads, commands, o, p, checkpoint=False)
     assert [(r.event_id, r.reason) for r in b.dead_letter().collect()] == [(1, "unhandled_event_type")]
     assert b.fold.state.count() == 0
+
+
+def test_fold_starts_from_the_stored_rows(spark):
+    """A stored paid order is fulfilled by a command; times already stored stay."""
+    o, p, _ = _fixture(spark)
+    p = p.withColumn("processed_at", F.lit("2024-06-01 00:00:00").cast("timestamp_ntz"))
+    payloads = spark.createDataFrame([_payload(4, "payment_intent.succeeded", {"id": "pi_2"})], "event_id long, ts timestamp_ntz, payload string")
+    commands = spark.createDataFrame([(1, T + dt.timedelta(days=1), "o1", "fulfill"), (2, T + dt.timedelta(days=2), "o1", "fulfill"),
+                                      (3, T, "o4", "refund")],
+                                     "event_id long, ts timestamp_ntz, order_id string, command string")
+    b = E.EventBatch(payloads, commands, o, p, checkpoint=False)
+    s = {r.order_id: r for r in b.fold.state.collect()}
+    assert (s["o1"].order_status, s["o1"].payment_status, s["o1"].applied_events, s["o1"].rejected_fulfills) == ("fulfilled", "succeeded", 1, 1)
+    assert s["o1"].fulfilled_at == T + dt.timedelta(days=1)
+    assert s["o2"].processed_at == dt.datetime(2024, 6, 1)          # already processed: not set again
+    assert (s["o4"].order_status, s["o4"].payment_status, s["o4"].rejected_refunds) == ("paid", "pending", 1)   # no payment row
+    assert [r.event_type for r in b.event_log(include_created=False).filter("order_id = 'o1'").collect()] == ["order_fulfilled"]

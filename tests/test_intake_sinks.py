@@ -61,10 +61,22 @@ def test_upsert_rejects_and_latest_wins(spark):
     snap, rej = S.order_upsert(base, upd, ins)
     s = {r.id: r for r in snap.collect()}
     assert s["a"].customer_email == "new2@x" and s["a"].updated_at == t2 and s["a"].change == "updated"
-    assert s["b"].change == "kept" and s["c"].change == "inserted" and len(s) == 3
+    # a whole row with a stored id replaces the stored row
+    assert s["b"].change == "replaced" and s["b"].customer_email == "dup@x" and s["b"].status == "created"
+    assert s["c"].change == "inserted" and len(s) == 3
     reasons = sorted((r.operation, r.reason) for r in rej.collect())
-    assert reasons == [("insert", "order ID cannot be empty"), ("insert", "order already exists"),
-                       ("update", "order not found")]
+    assert reasons == [("insert", "order ID cannot be empty"), ("update", "order not found")]
+
+
+def test_upsert_of_one_new_id_twice_keeps_the_latest(spark):
+    base = spark.createDataFrame([("a", "a@x", T)], "id string, customer_email string, updated_at timestamp_ntz")
+    ins = spark.createDataFrame([("n", "one@x", T, 1), ("n", "two@x", T, 2)],
+                                "id string, customer_email string, updated_at timestamp_ntz, seq long")
+    upd = spark.createDataFrame([("n", "three@x", T, 3)], "id string, customer_email string, updated_at timestamp_ntz, seq long")
+    for u, want in ((upd.limit(0), "two@x"), (upd, "three@x")):
+        snap, rej = S.order_upsert(base, u, ins)
+        assert sorted((r.id, r.customer_email, r.change) for r in snap.collect()) == [("a", "a@x", "kept"), ("n", want, "inserted")]
+        assert rej.count() == 0
 
 
 def test_snapshot_pointer_swap(spark, tmp_path):
@@ -98,3 +110,14 @@ def test_documents_omitempty_round_trip(spark, raw):
         assert d["customer_info"].get("phone", "x") != ""
         assert ("fulfilled_at" in d) == (d["status"] == "fulfilled")
         assert all("download_url" not in i for i in d["items"])
+
+
+def test_document_keys_and_times(spark, raw):
+    from paytrail.operators import reports as R
+    from paytrail.sources import fixtures as fx
+    nested = R.assemble_orders(fx.model_orders(raw), fx.model_items(raw), fx.model_payments(raw))
+    docs = [json.loads(r.document) for r in S.order_documents(nested).collect()]
+    assert all(d["created_at"].endswith("Z") for d in docs)
+    assert any("stripe_payment_intent_id" in d["payment"] for d in docs)
+    one = spark.createDataFrame([(dt.datetime(2024, 6, 15, 9, 0, 0, 120000),), (dt.datetime(2024, 6, 15, 9, 0),)], "t timestamp_ntz")
+    assert [r[0] for r in one.select(S.rfc3339(F.col("t"))).collect()] == ["2024-06-15T09:00:00.12Z", "2024-06-15T09:00:00Z"]

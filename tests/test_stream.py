@@ -9,12 +9,15 @@ from paytrail.streaming import webhooks as W
 COLS = [c for c in STATE_COLUMNS if c != "intent_known"]
 
 
+import datetime as dt
+import json
+
 import pytest
 
 
 @pytest.mark.parametrize("compact_every", [16, 2])
 def test_stream_equals_batch(spark, raw, compact_every):
-    orders = fx.model_orders(raw, with_customer=False)
+    orders = fx.model_orders(raw)
     payments = fx.model_payments(raw)
     payloads, commands = fx.webhook_payloads(raw), fx.model_commands(raw)
     batch = EventBatch(payloads, commands, orders, payments).fold.state.select(*COLS)
@@ -29,7 +32,7 @@ def test_stream_equals_batch(spark, raw, compact_every):
 def test_retried_batch_is_idempotent(spark, raw):
     """Re-running a micro-batch id rewrites its own output; nothing doubles."""
     from pyspark.sql import functions as F
-    orders = fx.model_orders(raw, with_customer=False)
+    orders = fx.model_orders(raw)
     payments = fx.model_payments(raw)
     feed = W.feed(fx.webhook_payloads(raw), fx.model_commands(raw))
     lo = feed.agg(F.min("ts")).first()[0]
@@ -50,7 +53,7 @@ def test_retried_batch_is_idempotent(spark, raw):
 def test_run_stream_over_stored_model(spark, raw):
     from paytrail.sources.tables import write_model
     root = scratch_path(spark, "run-stream")
-    orders = fx.model_orders(raw, with_customer=False)
+    orders = fx.model_orders(raw)
     payments = fx.model_payments(raw)
     write_model({"orders": fx.model_orders(raw), "payments": payments}, f"{root}/model")
     W.feed(fx.webhook_payloads(raw), fx.model_commands(raw)).write.parquet(f"{root}/feed")
@@ -60,3 +63,31 @@ def test_run_stream_over_stored_model(spark, raw):
     want = sorted(map(tuple, EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments)
                       .fold.state.select(*COLS).collect()))
     assert got == want
+
+
+@pytest.mark.parametrize("compact_every", [16, 1])
+def test_checkout_repoints_the_intent_for_later_batches(spark, compact_every):
+    """Batch 0's checkout writes a new intent id and customer; batch 1's webhook for it finds the order, one for the old id does not."""
+    t = dt.datetime(2024, 6, 15, 9, 0)
+    orders = spark.createDataFrame([("o1", "a@x", "Ann", None, "pending", t, t, None)],
+                                   "id string, customer_email string, customer_name string, customer_phone string, status string, "
+                                   "created_at timestamp_ntz, updated_at timestamp_ntz, fulfilled_at timestamp_ntz")
+    payments = spark.createDataFrame([("o1", "pi_old", "cs_1", "pending", None)],
+                                     "order_id string, payment_intent_id string, session_id string, status string, processed_at timestamp_ntz")
+
+    def webhook(eid, typ, obj):
+        return (eid, t + dt.timedelta(minutes=eid), "webhook", json.dumps({"id": f"evt_{eid}", "type": typ, "data": {"object": obj}}), None, None)
+
+    h = W.OrderStateStream(orders, payments, scratch_path(spark, "checkout-test"), compact_every)
+    h(spark.createDataFrame([webhook(1, "checkout.session.completed", {"id": "cs_1", "payment_intent": "pi_new",
+                                                                       "customer_details": {"email": "b@x", "name": "", "phone": "5"}})], W.FEED_SCHEMA), 0)
+    h(spark.createDataFrame([webhook(2, "payment_intent.succeeded", {"id": "pi_new"}),
+                             webhook(3, "payment_intent.payment_failed", {"id": "pi_old"})], W.FEED_SCHEMA), 1)
+    h(spark.createDataFrame([webhook(4, "checkout.session.completed", {"id": "cs_1", "customer_details": {"email": "c@x", "name": "Cy", "phone": ""}})],
+                            W.FEED_SCHEMA), 2)
+    s = h.latest_state().first()
+    assert (s.order_status, s.payment_status, s.applied_events) == ("paid", "succeeded", 3)
+    assert [r.event_id for r in spark.read.parquet(h.path("dead", 1)).collect()] == [3]
+    c = h.checkouts().first()
+    assert (c.customer_email, c.customer_name, c.customer_phone) == ("c@x", "Cy", "5")
+    assert (c.session_id, c.payment_intent_id) == ("cs_1", "pi_new")
