@@ -18,6 +18,7 @@ from paytrail.functions.text import or_empty, provider_id
 from paytrail.operators.broadcast import broadcast_if_few, broadcast_if_small
 from paytrail.operators.fold import STATE_COLUMNS, FoldResult, fold_order_state, guard_refunds
 from paytrail.schemas import MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE
+from paytrail.session import materialize
 
 # handler name per handled webhook type (names are ours; types are fixed values)
 PI_SUCCEEDED, PI_FAILED, PI_CANCELED = "payment_intent.succeeded", "payment_intent.payment_failed", "payment_intent.canceled"
@@ -416,18 +417,6 @@ def refundable_orders(orders: DataFrame, payments: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ batch driver ---
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint under ``spark.checkpoint.dir``.
-
-    Parsed and matched events feed several branches (state, logs, dead
-    letter); materialising them once avoids re-reading and re-parsing the
-    JSON for every branch, and a lost executor does not recompute upstream.
-    """
-    from paytrail.session import checkpoint_root
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class EventBatch:
     """One batch (or micro-batch) of webhook payloads and commands.
 

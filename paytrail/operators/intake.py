@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paytrail.functions import ids
-from paytrail.functions.money import line_cents
+from paytrail.functions.money import effective_quantity, line_cents
 from paytrail.functions.text import or_empty
 from paytrail.schemas import (DEFAULT_CANCEL_URL, DEFAULT_CURRENCY, DEFAULT_SUCCESS_URL, MSG_BAD_BODY,
                               MSG_NO_EMAIL, MSG_NO_ITEMS, ORDER_REQUEST)
@@ -66,12 +66,39 @@ def accepted_orders(requests: DataFrame) -> DataFrame:
         ids.order_id(F.col("request_key")).alias("order_id"),
         ids.tracking_id(F.col("request_key")).alias("tracking_id"),
         F.col("req.customer_info.email").alias("customer_email"),
+        F.col("req.customer_info.name").alias("customer_name"),
+        F.col("req.customer_info.phone").alias("customer_phone"),
+        F.col("req.customer_info.ip_address").alias("customer_ip_address"),
         F.col("req.metadata").alias("metadata"),
+        F.col("req.items").alias("items"),
         request_total_cents(F.col("req.items")).alias("amount"),
         F.size("req.items").alias("item_count"),
     )
 
 
+def stored_rows(accepted: DataFrame, as_of) -> dict[str, DataFrame]:
+    """``accepted_orders`` as rows of the orders, order_items and payments tables.
+
+    A new order is ``created`` and its payment ``pending`` without an intent.
+    Lines keep their place in the request; a quantity of zero or less is one.
+    """
+    now = F.lit(str(as_of)).cast("timestamp_ntz")
+    no_time, no_text = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string")
+    orders = accepted.select(
+        F.col("order_id").alias("id"), "tracking_id", "customer_email",
+        F.col("customer_email").alias("customer_email_at_creation"), "customer_name", "customer_phone",
+        "customer_ip_address", F.lit("created").alias("status"), "metadata", now.alias("created_at"),
+        now.alias("updated_at"), no_time.alias("fulfilled_at"))
+    items = accepted.select("order_id", F.posexplode("items").alias("pos", "i")).select(
+        "order_id", (F.col("pos") + 1).alias("line_no"), "i.product_id", "i.product_name", "i.file_type", "i.price",
+        effective_quantity(F.col("i.quantity")).alias("quantity"), no_text.alias("download_url"), now.alias("created_at"))
+    payments = accepted.select(
+        "order_id", no_text.alias("payment_intent_id"), no_text.alias("session_id"), "amount",
+        F.lit(DEFAULT_CURRENCY).alias("currency"), F.lit("pending").alias("status"), F.lit("card").alias("method"),
+        no_time.alias("processed_at"), no_time.alias("refunded_at"), now.alias("created_at"), now.alias("updated_at"))
+    return {"orders": orders, "order_items": items, "payments": payments}
+
+
 def payment_intent_requests(requests: DataFrame) -> DataFrame:
     """The outbox of intents to create for accepted orders."""
     o = accepted_orders(requests)

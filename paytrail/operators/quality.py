@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paytrail.operators.broadcast import broadcast_if_small
 from paytrail.schemas import (LENGTH_LIMITS, ORDER_STATUSES, PAYMENT_METHODS, PAYMENT_STATUSES,
                               PRICE_MAX_ABS)
 
@@ -145,30 +146,30 @@ def apply_defaults(orders: DataFrame, payments: DataFrame, as_of) -> DataFrame:
     return o.join(p, "id", "left")
 
 
-def default_quantity(items: DataFrame) -> DataFrame:
-    return items.withColumn("quantity", F.coalesce("quantity", F.lit(1)))
+# ----------------------------------------------------------------- J8 / J9 ---
+def _per_order(child: DataFrame) -> DataFrame:
+    """Rows per order id: an order with very many rows reaches the join as one."""
+    return child.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _sum(c) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0))
 
 
-# ----------------------------------------------------------------- J8 / J9 ---
 def check_foreign_keys(orders: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
-    """Per child table, rows whose order does not exist (left anti join)."""
+    """Per child table, rows whose order does not exist."""
     ids = orders.select(F.col("id").alias("order_id")).distinct().withColumn("parent", F.lit(True))
     out = []
     for table, df in children.items():
-        j = df.select("order_id").join(ids, "order_id", "left")
-        out.append(j.agg(F.count(F.lit(1)).alias("checked_rows"),
-                         F.count_if(F.col("parent").isNull()).alias("orphan_rows"))
+        j = _per_order(df).join(ids, "order_id", "left")
+        out.append(j.agg(_sum("n").alias("checked_rows"), _sum(F.when(F.col("parent").isNull(), F.col("n"))).alias("orphan_rows"))
                    .select(F.lit(table).alias("table_name"), "checked_rows", "orphan_rows"))
     return _union(out)
 
 
-def orphan_rows(orders: DataFrame, child: DataFrame) -> DataFrame:
-    return child.join(orders.select(F.col("id").alias("order_id")), "order_id", "left_anti")
-
-
 def cascade_delete(deleted_ids: DataFrame, children: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Children of deleted orders removed (ON DELETE CASCADE)."""
-    d = deleted_ids.select(F.col("id").alias("order_id"))
+    d = broadcast_if_small(deleted_ids.select(F.col("id").alias("order_id")))
     return {t: df.join(d, "order_id", "left_anti") for t, df in children.items()}
 
 
@@ -176,8 +177,8 @@ def cascade_summary(deleted_ids: DataFrame, children: dict[str, DataFrame]) -> D
     d = deleted_ids.select(F.col("id").alias("order_id")).withColumn("gone", F.lit(True))
     out = []
     for t, df in children.items():
-        j = df.select("order_id").join(d, "order_id", "left")
-        out.append(j.agg(F.count_if(F.col("gone").isNull()).alias("kept_rows"),
-                         F.count_if(F.col("gone")).alias("deleted_rows"))
+        j = _per_order(df).join(d, "order_id", "left")
+        out.append(j.agg(_sum(F.when(F.col("gone").isNull(), F.col("n"))).alias("kept_rows"),
+                         _sum(F.when(F.col("gone"), F.col("n"))).alias("deleted_rows"))
                    .select(F.lit(t).alias("table_name"), "kept_rows", "deleted_rows"))
     return _union(out)

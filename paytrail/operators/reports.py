@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from paytrail.functions.money import cents_to_dollars, line_cents
 from paytrail.functions.text import int_param
-from paytrail.operators.broadcast import broadcast_if_small
+from paytrail.operators.broadcast import broadcast_if_few, broadcast_if_small
 from paytrail.schemas import DEFAULT_PAGE_LIMIT, MSG_ORDER_NOT_FOUND
+from paytrail.session import materialize
 
 COMPLETED = ("paid", "fulfilled")
 
@@ -150,9 +151,13 @@ def order_summary_projection(orders: DataFrame, payments: DataFrame, items: Data
 
 
 # ----------------------------------------------------------------------- O1 ---
-def _summaries_for_page(page: DataFrame, payments: DataFrame, items: DataFrame, lim: int) -> DataFrame:
-    """Join one page of orders (at most ``lim`` rows) to amounts and item counts."""
-    ids = F.broadcast(page.select("id"))  # size bound: at most `lim` rows
+def _summaries_for_page(page: DataFrame, payments: DataFrame, items: DataFrame) -> DataFrame:
+    """Join one page of orders to amounts and item counts.
+
+    The page is cut once: it is checkpointed, then used by every join.
+    """
+    page = materialize(page)
+    ids = broadcast_if_few(page.select("id"))
     pay = payments.select(F.col("order_id").alias("id"), "amount").join(ids, "id", "left_semi")
     n = item_counts(items.join(ids.withColumnRenamed("id", "order_id"), "order_id", "left_semi")) \
         .withColumnRenamed("order_id", "id")
@@ -176,7 +181,7 @@ def orders_page(orders: DataFrame, payments: DataFrame, items: DataFrame,
     page = (orders.select("id", "tracking_id", "customer_email", "status", "created_at")
             .orderBy(F.col("created_at").desc(), F.col("id").asc())
             .offset(off).limit(lim))
-    return _summaries_for_page(page, payments, items, lim)
+    return _summaries_for_page(page, payments, items)
 
 
 def orders_page_after(orders: DataFrame, payments: DataFrame, items: DataFrame,
@@ -192,7 +197,7 @@ def orders_page_after(orders: DataFrame, payments: DataFrame, items: DataFrame,
         ts = F.lit(str(after_created_at)).cast("timestamp_ntz")
         o = o.filter((F.col("created_at") < ts) | ((F.col("created_at") == ts) & (F.col("id") > F.lit(after_id))))
     page = o.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(lim)
-    return _summaries_for_page(page, payments, items, lim)
+    return _summaries_for_page(page, payments, items)
 
 
 # ------------------------------------------------------------------ lookups ---

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paytrail.operators import catalogue as C
 from paytrail.operators import intake as I
 from paytrail.plans.base import query
+from paytrail.plans.oracle import AS_OF
 from paytrail.sources import fixtures as fx
 
 REQ_ITEMS_SQL = "(SELECT order_id, count(*) AS n, CAST(sum(line_cents) AS BIGINT) AS cents FROM m_item_cents GROUP BY order_id)"
@@ -37,6 +38,52 @@ def validate_order_requests(raw):
     return I.validate_order_requests(fx.order_requests(raw))
 
 
+NEW_ORDER = "'ORD' || substr(sha256(CAST(o.o_orderkey AS VARCHAR)), 1, 16)"
+VALID = "o.o_orderkey % 97 <> 0 AND o.o_orderkey % 53 <> 0"
+
+
+def _stored(raw, table):
+    return I.stored_rows(I.accepted_orders(fx.order_requests(raw)), fx.AS_OF)[table]
+
+
+@query("intake_orders", f"""
+SELECT {NEW_ORDER} AS id, 'TRK' || substr(sha256('t:' || CAST(o.o_orderkey AS VARCHAR)), 1, 16) AS tracking_id,
+       'c' || CAST(o.o_custkey AS VARCHAR) || '@example.com' AS customer_email,
+       'c' || CAST(o.o_custkey AS VARCHAR) || '@example.com' AS customer_email_at_creation,
+       CAST(NULL AS VARCHAR) AS customer_name, CAST(NULL AS VARCHAR) AS customer_phone,
+       CAST(NULL AS VARCHAR) AS customer_ip_address, 'created' AS status, o.o_orderpriority AS metadata_priority,
+       {AS_OF} AS created_at, {AS_OF} AS updated_at, CAST(NULL AS TIMESTAMP) AS fulfilled_at
+FROM orders o WHERE {VALID}
+  AND 'ORD' || CAST(o.o_orderkey AS VARCHAR) IN (SELECT order_id FROM m_items)""")
+def intake_orders(raw):
+    """Accepted requests as rows of the orders table, all columns."""
+    return _stored(raw, "orders").withColumn("metadata_priority", F.col("metadata").getItem("priority")).drop("metadata")
+
+
+@query("intake_items", f"""
+SELECT {NEW_ORDER} AS order_id,
+       CAST(row_number() OVER (PARTITION BY i.order_id ORDER BY i.line_no, i.product_id, i.product_name, i.file_type,
+                               i.price, i.quantity) AS INTEGER) AS line_no,
+       i.product_id, i.product_name, i.file_type, i.price,
+       CASE WHEN i.quantity <= 0 THEN 1 ELSE i.quantity END AS quantity, CAST(NULL AS VARCHAR) AS download_url,
+       {AS_OF} AS created_at
+FROM orders o JOIN m_items i ON i.order_id = 'ORD' || CAST(o.o_orderkey AS VARCHAR) WHERE {VALID}""")
+def intake_items(raw):
+    """The lines of accepted requests as rows of the order_items table."""
+    return _stored(raw, "order_items")
+
+
+@query("intake_payments", f"""
+SELECT {NEW_ORDER} AS order_id, CAST(NULL AS VARCHAR) AS payment_intent_id, CAST(NULL AS VARCHAR) AS session_id,
+       n.cents AS amount, 'usd' AS currency, 'pending' AS status, 'card' AS method,
+       CAST(NULL AS TIMESTAMP) AS processed_at, CAST(NULL AS TIMESTAMP) AS refunded_at,
+       {AS_OF} AS created_at, {AS_OF} AS updated_at
+FROM orders o JOIN {REQ_ITEMS_SQL} n ON n.order_id = 'ORD' || CAST(o.o_orderkey AS VARCHAR) WHERE {VALID}""")
+def intake_payments(raw):
+    """The pending payments of accepted requests as rows of the payments table."""
+    return _stored(raw, "payments")
+
+
 @query("payment_intent_requests", f"""
 SELECT o.o_orderkey AS request_key,
        'ORD' || substr(sha256(CAST(o.o_orderkey AS VARCHAR)), 1, 16) AS order_id,

@@ -146,6 +146,24 @@ def cascade_delete(raw):
     return D.cascade_summary(gone, {k: t[k] for k in ("order_items", "payments", "payment_events")})
 
 
+@query("cascade_survivors", EVENT_LOG_CTES + """
+, gone AS (SELECT id FROM m_orders WHERE status = 'canceled')
+SELECT 'order_items' AS table_name, order_id, CAST(line_no AS VARCHAR) AS row_key FROM m_items
+WHERE order_id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'payments', order_id, payment_intent_id FROM m_payments WHERE order_id NOT IN (SELECT id FROM gone)
+UNION ALL
+SELECT 'payment_events', order_id, id FROM elog WHERE order_id NOT IN (SELECT id FROM gone)""")
+def cascade_survivors(raw):
+    """The item, payment and event rows that remain after canceled orders are deleted."""
+    t = _tables(raw)
+    gone = t["orders"].filter(F.col("status") == "canceled").select("id")
+    keys = {"order_items": F.col("line_no").cast("string"), "payments": F.col("payment_intent_id"), "payment_events": F.col("id")}
+    left = D.cascade_delete(gone, {k: t[k] for k in keys})
+    rows = [left[k].select(F.lit(k).alias("table_name"), "order_id", c.alias("row_key")) for k, c in keys.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 # ------------------------------------------------------------------- outbox ---
 NOTICE_CASE = """CASE o.status WHEN 'pending' THEN 'order_confirmation' WHEN 'paid' THEN 'payment_confirmation'
   WHEN 'fulfilled' THEN 'order_fulfillment' WHEN 'refunded' THEN 'refund_notification' END"""

@@ -12,7 +12,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale; all are plain Spark SQL configs.
 SCALE_CONF = {
@@ -82,6 +82,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint under ``spark.checkpoint.dir``.
+
+    For rows that several branches use: they are computed once, and a lost
+    executor does not recompute what is upstream of them.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
