@@ -16,7 +16,7 @@ from paytrail.functions import ids
 from paytrail.functions.status import map_provider_status, payment_method
 from paytrail.functions.text import or_empty, provider_id
 from paytrail.operators.broadcast import broadcast_if_few, broadcast_if_small
-from paytrail.operators.fold import STATE_COLUMNS, FoldResult, fold_order_state, guard_refunds
+from paytrail.operators.fold import STATE_COLUMNS, FoldResult, fold_order_state, guard_refunds, guard_syncs
 from paytrail.schemas import MAX_WEBHOOK_BYTES, MSG_NO_INTENT, MSG_NOT_PAID, WEBHOOK_ENVELOPE
 from paytrail.session import materialize
 
@@ -400,6 +400,14 @@ def reconcile_provider_status(orders: DataFrame, payments: DataFrame, intents: D
         F.col("order_status_before").alias("response_order_status"))
 
 
+def sync_ops(reconciled: DataFrame, as_of) -> DataFrame:
+    """The rows of ``reconcile_provider_status`` as ops of a fold, at the time of the sync."""
+    return reconciled.select(
+        "order_id", F.lit(str(as_of)).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("event_id"),
+        F.concat(F.lit("sync_"), F.col("payment_status_after")).alias("op"), F.lit(None).cast("string").alias("set_intent"),
+        F.concat(F.lit("sync_"), F.col("payment_intent_id")).alias("delivery_key"))
+
+
 # ---------------------------------------------------------------- P10/P11 ---
 def fulfillable_orders(orders: DataFrame) -> DataFrame:
     ok = F.col("status") == "paid"
@@ -426,15 +434,17 @@ class EventBatch:
     payment rows.  ``later`` (a function of the touched order ids) gives the
     state rows that earlier batches left, in ``STATE_COLUMNS``; they take the
     place of the stored rows.  ``checkouts`` does the same for the customer
-    details and payment ids written by earlier checkouts.
+    details and payment ids written by earlier checkouts.  ``syncs`` adds
+    provider-status syncs (``sync_ops``) to the ops.
     """
 
     def __init__(self, payloads: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame,
                  horizon: int | None = None, dedup: bool = False, later=None, checkouts: DataFrame | None = None,
-                 checkpoint: bool = True):
+                 syncs: DataFrame | None = None, checkpoint: bool = True):
         self.payloads, self.commands = payloads, commands
         self.orders, self.payments = orders, payments
         self.horizon, self.dedup, self._later, self._checkouts = horizon, dedup, later, checkouts
+        self.syncs = syncs
         self._keep = materialize if checkpoint else (lambda df: df)
 
     @cached_property
@@ -451,12 +461,15 @@ class EventBatch:
 
     @cached_property
     def unguarded_ops(self) -> DataFrame:
-        return raw_ops(self.matched, self.commands, self.orders, self.dedup)
+        ops = raw_ops(self.matched, self.commands, self.orders, self.dedup)
+        return ops if self.syncs is None else ops.unionByName(self.syncs)
 
     @cached_property
     def initial(self) -> DataFrame:
         """State of the orders this batch names, before it."""
         named = self.matched.filter(F.col("order_id").isNotNull()).select("order_id").unionByName(self.commands.select("order_id"))
+        if self.syncs is not None:
+            named = named.unionByName(self.syncs.select("order_id"))
         touched = broadcast_if_few(named.distinct())
         stored = stored_state(self.orders, self.payments, touched)
         later = None if self._later is None else self._later(touched)
@@ -466,7 +479,8 @@ class EventBatch:
 
     @cached_property
     def ops(self) -> DataFrame:
-        return self._keep(guard_refunds(self.unguarded_ops, self.initial.select("order_id", "intent_known")))
+        ops = guard_refunds(self.unguarded_ops, self.initial.select("order_id", "intent_known"))
+        return self._keep(ops if self.syncs is None else guard_syncs(ops, self.initial))
 
     @cached_property
     def fold(self) -> FoldResult:

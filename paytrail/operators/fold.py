@@ -10,18 +10,19 @@ State machine (per order, in arrival order ``seq = (ts, event_id)``):
     refund      refunded         refunded        only when an intent id is known
     fulfill     unchanged        fulfilled       only when the status is paid
                                                  (fulfilled_at set once)
+    sync_<s>    s                paid            only when s is succeeded and
+                                                 processed_at was not set
 
 Only "setters" (succeeded, canceled, accepted refund) and fulfills move the
 order status, and a fulfill is accepted exactly when the previous status
 event of the order is a ``succeeded``.  That makes the fold a lag over the
 status events, which we evaluate without putting a whole order in one task:
 
-1. Status events are range-partitioned on ``(order_id, ts, event_id)``.
-   Spark's range partitioner samples the keys, so one hot order is cut into
-   several contiguous *segments* (segment id = partition index).
+1. Every order is cut into *segments* of time at constant cut points, so one
+   hot order is spread over many tasks.
 2. Inside a segment, ``lag`` decides every fulfill except the segment's first
    event; a segment is summarised by a handful of aggregates.
-3. Segment summaries (at most one per partition per order) are composed in
+3. Segment summaries (at most ``MAX_SEGMENTS`` per order) are composed in
    order with the higher-order ``aggregate`` function.
 
 Payment status, processed_at and counters are order-independent aggregates
@@ -66,6 +67,20 @@ def guard_refunds(ops: DataFrame, intents: DataFrame) -> DataFrame:
     return rest.unionByName(guarded)
 
 
+def guard_syncs(ops: DataFrame, initial: DataFrame) -> DataFrame:
+    """Add ``first_success`` to provider syncs to succeeded: no success came before, stored (``initial``) or in ``ops``.
+
+    Only these syncs are joined; other ops carry a null ``first_success``.
+    """
+    seq = F.struct("ts", "event_id")
+    is_sync = F.col("op") == "sync_succeeded"
+    first = ops.filter(F.col("op").isin("succeeded", "sync_succeeded")).groupBy("order_id").agg(F.min(seq).alias("first_seq"))
+    j = (ops.filter(is_sync).join(first, "order_id", "left")
+         .join(initial.select("order_id", F.col("processed_at").alias("stored")), "order_id", "left"))
+    guarded = j.withColumn("first_success", (seq == F.col("first_seq")) & F.col("stored").isNull()).drop("first_seq", "stored")
+    return ops.filter(~is_sync).withColumn("first_success", F.lit(None).cast("boolean")).unionByName(guarded)
+
+
 # An order is cut into at most this many segments of time.
 MAX_SEGMENTS = 256
 
@@ -96,7 +111,7 @@ def _segment(status_ops: DataFrame, n: int) -> Column:
 
 def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
                      num_segments: int | None = None) -> FoldResult:
-    """Fold ``ops`` (order_id, ts, event_id, op, intent_ok, set_intent) into order state.
+    """Fold ``ops`` (order_id, ts, event_id, op, intent_ok, set_intent, first_success if there are syncs) into order state.
 
     ``initial`` (optional) holds the state before these ops in the columns of
     ``STATE_COLUMNS``; without it every order starts pending/pending.
@@ -107,17 +122,20 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
     op = F.col("op")
     seq = F.struct("ts", "event_id")
     refund_ok = (op == "refund") & F.coalesce(F.col("intent_ok"), F.lit(False))
-    kind = (F.when(op == "succeeded", "paid").when(op == "canceled", "canceled")
+    synced = op.startswith("sync_")
+    success = op.isin("succeeded", "sync_succeeded")
+    first_sync = (op == "sync_succeeded") & F.coalesce(F.col("first_success"), F.lit(False)) if "first_success" in ops.columns else F.lit(False)
+    kind = (F.when((op == "succeeded") | first_sync, "paid").when(op == "canceled", "canceled")
             .when(refund_ok, "refunded").when(op == "fulfill", "F"))
-    pay = (F.when(op == "succeeded", "succeeded").when(op == "failed", "failed")
-           .when(op == "canceled", "canceled").when(refund_ok, "refunded"))
-    always_applied = op.isin("succeeded", "failed", "canceled", "checkout") | refund_ok
+    pay = (F.when(op.isin("succeeded", "failed", "canceled"), op).when(refund_ok, "refunded")
+           .when(synced, F.substring(op, len("sync_") + 1, 20)))
+    always_applied = op.isin("succeeded", "failed", "canceled", "checkout") | refund_ok | synced
 
     # "value at the greatest (ts, event_id)" is written max(struct(ts, event_id, value)).value:
     # the ordering key leads the struct, which aggregates faster than max_by with a struct key
     side = ops.groupBy("order_id").agg(
         F.max(F.when(pay.isNotNull(), F.struct("ts", "event_id", pay.alias("v"))))["v"].alias("last_payment_status"),
-        F.min(F.when(op == "succeeded", F.col("ts"))).alias("first_success_ts"),
+        F.min(F.when(success, F.col("ts"))).alias("first_success_ts"),
         F.max(F.when(always_applied, F.col("ts"))).alias("last_applied_ts"),
         F.count_if(always_applied).alias("n_applied"),
         F.count_if(op == "fulfill").alias("n_fulfill"),

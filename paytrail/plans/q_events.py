@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paytrail.functions.status import map_provider_status
 from paytrail.operators import events as E
 from paytrail.plans.base import query
+from paytrail.plans.oracle import AS_OF
 from paytrail.sources import fixtures as fx
 
 
@@ -374,6 +375,35 @@ def refundable_orders(raw):
     return E.refundable_orders(fx.model_orders(raw, with_customer=False), fx.model_payments(raw))
 
 
+SYNCED_CTES = (
+    f"""
+, sy AS (SELECT p.order_id, {AS_OF} AS ts, CAST(0 AS BIGINT) AS event_id, 'sync_' || {PROVIDER_CASE} AS op
+         FROM m_payments p JOIN m_intents i ON i.id = p.payment_intent_id
+         WHERE p.status IS DISTINCT FROM {PROVIDER_CASE}),
+og AS (SELECT order_id, ts, event_id, op, intent_ok FROM m_ops_guarded
+       UNION ALL SELECT order_id, ts, event_id, op, false FROM sy),
+fs AS (SELECT order_id, ts AS fts, event_id AS feid
+       FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts, event_id) AS rn
+             FROM og WHERE op IN ('succeeded', 'sync_succeeded')) WHERE rn = 1),
+g AS (SELECT og.order_id, og.ts, og.event_id, og.intent_ok, (og.op = 'refund' AND og.intent_ok) AS refund_ok,
+             CASE WHEN og.op = 'sync_succeeded' AND og.ts = fs.fts AND og.event_id = fs.feid AND p.processed_at IS NULL
+                  THEN 'succeeded' ELSE og.op END AS op
+      FROM og LEFT JOIN fs ON fs.order_id = og.order_id LEFT JOIN m_payments_full p ON p.order_id = og.order_id),
+k AS (""" + ORDER_STATE_CTES.split("k AS (", 1)[1]
+    .replace("ELSE op END, ts)", "ELSE replace(op, 'sync_', '') END, ts)")
+    .replace("'canceled') OR refund_ok", "'canceled') OR op LIKE 'sync%' OR refund_ok")
+    .replace("'checkout') OR refund_ok", "'checkout') OR op LIKE 'sync%' OR refund_ok"))
+
+
+@query("order_state_synced", SYNCED_CTES + "SELECT " + ", ".join(STATE_OUT) + " FROM state")
+def order_state_synced(raw):
+    """ST7 with J7 written back: webhooks, commands and provider syncs in one fold."""
+    orders, payments = fx.model_orders(raw, with_customer=False), fx.model_payments(raw)
+    syncs = E.sync_ops(E.reconcile_provider_status(orders, payments, fx.model_provider_intents(raw)), fx.AS_OF)
+    b = E.EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments, syncs=syncs)
+    return b.fold.state.select(*STATE_OUT)
+
+
 # ---------------------------------------------------------------- streaming ---
 def _replayed(raw):
     from paytrail.session import scratch_path
