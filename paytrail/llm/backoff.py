@@ -16,8 +16,9 @@ The join runs on 64-bit n-gram hashes in three shuffles of packed rows:
    n-grams and sums the log scores per document.
 
 A frequent n-gram is one hash per block, so no shard gets more of it than there
-are blocks; shards are even, as hashes are.  Blocks are bounded by ``BLOCK_WORDS``
-and shards by the corpus size over ``shards``.
+are blocks; shards are even, as hashes are.  Blocks are bounded by ``BLOCK_WORDS``,
+and there is a shard for every ``SHARD_WORDS`` words of the corpus at least, so one
+shard's n-grams do not grow with the corpus.
 
 Words are the ASCII-lower-cased words of :func:`words_of`; n-grams do not cross
 documents, and a document's first words have shorter contexts.
@@ -45,6 +46,7 @@ from paytrail.llm.common import pick, shuffle_partitions, small_batches, words_o
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 BLOCK_WORDS = 2_000_000
+SHARD_WORDS = 4_000_000
 _M1, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,13 +174,19 @@ BACK = "block long, kind int, shard int, body binary"
 
 
 def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text",
-           shards: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+           shards: int | None = None, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """(id, n_words, n_highest, log_score, score): n_highest counts the positions that no longer context could
     improve (those scored at the full order); score is the mean log score per word."""
     spark = docs.sparkSession
     small_batches(spark)
     src = pick(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
-    n_shards = shards or 2 * shuffle_partitions(spark)
+
+    def count(batches):
+        n = sum(len(words_of(t)) for batch in batches for t in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    total = src.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    n_shards = shards or max(2 * shuffle_partitions(spark), -(-total // shard_words))
 
     def send(batches):
         for number, block in _blocks(batches, block_words):
@@ -206,12 +214,6 @@ def scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alph
         for number, block in _blocks(batches, block_words):
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([block.dump()], pa.binary())], ["block", "kind", "shard", "body"])
 
-    def count(batches):
-        n = sum(len(words_of(t)) for batch in batches for t in batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    total = src.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-
     def add(rows: pd.DataFrame) -> pd.DataFrame:
         block = Block.load(rows.loc[rows["kind"] == 0, "body"].iloc[0])
         size = len(block.words)

@@ -38,6 +38,14 @@ def test_backoff_equals_brute_force(spark, order, block):
     assert backoff.scores(df.limit(0)).count() == 0
 
 
+def test_backoff_shards_follow_the_words(spark):
+    """More shards for more words change no score."""
+    texts = ["a b c a b c d", "a b c", "d a b"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = ({r.doc_id: r.log_score for r in backoff.scores(df, shard_words=n).collect()} for n in (4_000_000, 3))
+    assert few == pytest.approx(many) and len(few) == 60
+
+
 def corpus():
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
