@@ -472,9 +472,12 @@ class EventBatch:
             named = named.unionByName(self.syncs.select("order_id"))
         touched = broadcast_if_few(named.distinct())
         stored = stored_state(self.orders, self.payments, touched)
-        later = None if self._later is None else self._later(touched)
+        if self._later is None:
+            return stored
+        later = self._later(touched)
         if later is not None:
             stored = stored.join(later.select("order_id"), "order_id", "left_anti").unionByName(later)
+        # a micro-batch has several outputs: each reads these rows, none the stored tables again
         return self._keep(stored)
 
     @cached_property
