@@ -7,25 +7,29 @@ with chance 1 / (threshold * n), and the sets that share a sampled token meet in
 its child node.  Two sets of Jaccard similarity ``threshold`` or more are expected
 to share at least one child.  The sampling needs the set alone, so each document
 writes down its paths to ``DEPTH`` once; what is decided from the data, level by
-level, is where to stop: a node of at most ``BUCKET`` different sets is compared
-by brute force, a larger one is split by its children.  A node that is still
-larger at the last depth holds sets that share nearly all tokens; each run
-compares its members with one member drawn at random (a star), so no node emits
-all pairs of an unbounded group.  ``runs`` repeats the whole until the target
-recall: a pair is missed with chance exp(-runs) at depth 1, under 1 % at depth 3.
-
-Candidates are compared by 128 one-byte min-hashes first.  Estimates far above or
-below the threshold (four standard deviations) decide; the pairs between are
-checked exactly on their whole sets.  Classes are the connected components of the
-links, by min-label propagation with pointer jumping; every round is written to
-the shared folder.
+level, is where to stop: a node of at most ``BLOCK`` different sets is compared
+whole, in a larger one each member is compared with one member drawn at random.
+What the drawn member does not hold is compared with the whole node, block by
+block, where it is at most ``BLOCK`` sets or the depth is used up; else the node
+is split by its children.  So no pair that meets in a last node is dropped.
+``runs`` repeats the whole until the target recall: a pair is missed with chance
+exp(-runs) at depth 1, under 1 % at depth 3.
+
+These comparisons are by 128 one-byte min-hashes and only drop estimates far below
+the threshold (four standard deviations); of the rest they keep edges enough to
+hold the likely links together.  In each connected component of them all pairs are
+then compared exactly on their whole sets, in salted blocks of at most about
+``BLOCK`` sets where the component is larger: that gives the links, their numbers
+and the classes, which are the connected components of the links.  Pairs are
+counted inside a task and never become rows.  Components are found by min-label
+propagation with pointer jumping; every round is written to the shared folder.
 
 Defined results: documents with the same shingle set are one node (its copies are
 not expanded into pairs) and always share a class; null and empty texts are the
 same text; a null id is an id; repeated rows are each reported; the class id is the
 smallest document id of the class (nulls last).  ``n_links`` counts the other
-documents with the same set and those of every set linked to it (in a star: to the
-drawn members).  An empty table gives an empty result; other columns are not read.
+documents with the same set and those of every set linked to it.  An empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,6 +45,8 @@ from paytrail.llm.common import pick, small_batches, stored, words_of
 
 K, THRESHOLD = 5, 0.8
 RUNS, DEPTH, BUCKET = 12, 3, 32
+# sets and tokens of a block that is compared with another in one task; columns of one dense lot
+BLOCK, BLOCK_TOKENS, COLUMNS = 512, 2_000_000, 4096
 SKETCH = 128
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,9 +151,10 @@ def features(df: DataFrame, id_col: str, text_col: str, k: int, runs: int, depth
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), *T._parse_datatype_string(FEATURES).fields]))
 
 
-def candidates(sets: DataFrame, depth: int, bucket: int) -> DataFrame:
-    """Distinct (a, b) keys that meet in a small node, or with the drawn member of a last-level node."""
-    found = []
+def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block: int) -> DataFrame:
+    """(a, b) keys of likely links that connect all sets that meet in a node and are likely links there."""
+    slim = sets.select("key", "n", "sketch")
+    pairs, near = [], []
     ends = sets.select("key", F.explode("paths").alias("p"))
     hot = None
     for level in range(depth):
@@ -155,50 +162,147 @@ def candidates(sets: DataFrame, depth: int, bucket: int) -> DataFrame:
         if hot is not None:
             rows = rows.select("key", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
         node = F.get("p", F.lit(level))
-        members = rows.select(node.alias("node"), "key").distinct()
+        members = stored(rows.select(node.alias("node"), "key").distinct(), "jaccard-members")
         counts = members.groupBy("node").agg(F.count("*").alias("m"))
         small = members.join(counts.filter(F.col("m").between(2, bucket)).select("node"), "node")
         # at most ``bucket`` keys a node: the pairs of a node are bounded
         lists = small.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        pairs = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-        found.append(lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
-        large = counts.filter(F.col("m") > bucket)
-        if level == depth - 1:
-            drawn = members.join(large.select("node"), "node").groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), F.col("key"))).alias("d"))
-            star = members.join(drawn.select("node", F.col("d.key").alias("c")), "node").filter(F.col("key") != F.col("c"))
-            found.append(star.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")))
-        else:
-            hot = stored(large.select(F.col("node").alias("parent")), "jaccard-hot")
-    out = found[0]
-    for x in found[1:]:
+        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        pairs.append(lists.select(F.explode(both).alias("p")).select("p.a", "p.b"))
+        middle = members.join(counts.filter((F.col("m") > bucket) & (F.col("m") <= block)).select("node"), "node").join(slim, "key")
+        near.append(middle.groupBy("node").applyInArrow(_inside(threshold), EDGE))
+        large = members.join(counts.filter(F.col("m") > block), "node").join(slim, "key")
+        star = stored(_star(large, threshold), "jaccard-star")
+        near.append(star.filter("near").select(F.col("key").alias("a"), F.col("c").alias("b")))
+        # the drawn member holds its likely links together: only the rest has to meet the whole node
+        left = star.filter("not near").groupBy("node").agg(F.count("*").alias("r"), F.first("m").alias("m"))
+        if level < depth - 1:
+            hot = stored(left.filter(F.col("r") > block).select(F.col("node").alias("parent")), "jaccard-hot")
+            left = left.filter(F.col("r") <= block)
+        packed = F.collect_list(F.struct("key", "n", "sketch"))
+        rest = (star.filter("not near").select("node", "key", "n", "sketch").join(left, "node")
+                .withColumn("i", _block_of("key", F.ceil(F.col("r") / block))).groupBy("node", "i").agg(packed.alias("xs")))
+        whole = (star.select("node", "key", "n", "sketch").join(left, "node")
+                 .withColumn("j", _block_of("key", F.ceil(F.col("m") / block))).groupBy("node", "j").agg(packed.alias("ys")))
+        near.append(rest.join(whole, "node").groupBy("node", "i", "j").applyInArrow(_across(threshold), EDGE))
+    out = _estimate(_union(pairs).distinct(), sets, threshold)
+    return _union([out, *near]).distinct()
+
+
+EDGE = "a binary, b binary"
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
         out = out.unionAll(x)
-    return out.distinct()
+    return out
+
+
+def _block_of(key: str, blocks) -> Column:
+    """The salted block of a key: one of ``blocks``."""
+    return F.pmod(F.xxhash64(F.lit("block"), key), F.greatest(blocks, F.lit(1)).cast("long"))
+
+
+def _margin(threshold: float) -> float:
+    return 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5
+
+
+def _bytes(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+
+
+def _likely(nx: np.ndarray, sx: np.ndarray, ny: np.ndarray, sy: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows of x, columns of y: may the two sets be a link?"""
+    out = np.empty((len(nx), len(ny)), dtype=bool)
+    least = threshold - _margin(threshold)
+    for i in range(len(nx)):
+        j = ((sy == sx[i]).mean(axis=1) - 1 / 256) * 256 / 255
+        out[i] = (j >= least) & (np.minimum(ny, nx[i]) >= threshold * np.maximum(ny, nx[i]) - 1e-9)
+    return out
+
+
+def _forest(adjacent: np.ndarray) -> np.ndarray:
+    """The first member of each row's component."""
+    label = np.full(len(adjacent), -1)
+    for s in range(len(adjacent)):
+        if label[s] < 0:
+            label[s] = s
+            front = np.array([s])
+            while len(front):
+                front = np.nonzero(adjacent[front].any(axis=0) & (label < 0))[0]
+                label[front] = s
+    return label
+
+
+def _square(links: np.ndarray) -> np.ndarray:
+    """Adjacency of the members of x, then of y, for links between x and y."""
+    x, y = links.shape
+    out = np.zeros((x + y, x + y), dtype=bool)
+    out[:x, x:], out[x:, :x] = links, links.T
+    return out
+
+
+def _edges(keys: list[bytes], label: np.ndarray) -> pa.Table:
+    moved = [(keys[i], keys[x]) for i, x in enumerate(label.tolist()) if keys[i] != keys[x]]
+    return pa.table([pa.array([x[0] for x in moved], pa.binary()), pa.array([x[1] for x in moved], pa.binary())], ["a", "b"])
+
+
+def _inside(threshold: float):
+    """All pairs of one node: edges that hold its likely links together."""
+    def run(table):
+        n, s = table["n"].to_numpy(), _bytes(table["sketch"])
+        return _edges(table["key"].to_pylist(), _forest(_likely(n, s, n, s, threshold)))
+    return run
+
+
+def _across(threshold: float):
+    """All pairs of two blocks of a node."""
+    def run(table):
+        x, y = (table[c].combine_chunks().flatten() for c in ("xs", "ys"))
+        links = _likely(x.field("n").to_numpy(), _bytes(x.field("sketch")), y.field("n").to_numpy(), _bytes(y.field("sketch")), threshold)
+        return _edges(x.field("key").to_pylist() + y.field("key").to_pylist(), _forest(_square(links)))
+    return run
+
+
+def _star(members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` with the drawn member ``c`` of their node, and ``near``: it is a likely link, or the drawn member itself."""
+    drawn = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "key", "n", "sketch")).alias("d"))
+    both = members.select("node", "key", "n", "sketch", "m").join(drawn.select("node", F.col("d.key").alias("c"), F.col("d.n").alias("nc"), F.col("d.sketch").alias("sc")), "node")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n", "nc"))
+            j = ((_bytes(batch.column("sketch")) == _bytes(batch.column("sc"))).mean(axis=1) - 1 / 256) * 256 / 255
+            near = (j >= threshold - _margin(threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "n", "sketch", "m", "c")), pa.array(near)], ["node", "key", "n", "sketch", "m", "c", "near"])
+
+    return both.mapInArrow(run, "node long, key binary, n int, sketch binary, m long, c binary, near boolean")
 
 
 def _estimate(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, sure): the pairs that may be links; ``sure`` where the sketches settle it."""
+    """The (a, b) that may be links."""
     slim = sets.select("key", "n", "sketch")
     both = (pairs.join(slim.toDF("a", "na", "sa"), "a").join(slim.toDF("b", "nb", "sb"), "b")
             .filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b", "sa", "sb"))
-    margin = 4 * (threshold * (1 - threshold) / SKETCH) ** 0.5
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) for i in (2, 3))
-            j = ((x == y).mean(axis=1) - 1 / 256) * 256 / 255
-            keep = pa.array(j >= threshold - margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(j >= threshold + margin).filter(keep)], ["a", "b", "sure"])
+            j = ((_bytes(batch.column(2)) == _bytes(batch.column(3))).mean(axis=1) - 1 / 256) * 256 / 255
+            keep = pa.array(j >= threshold - _margin(threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    return both.mapInArrow(run, "a binary, b binary, sure boolean")
+    return both.mapInArrow(run, EDGE)
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct()
+def _tokens(wanted: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(key, tokens): the whole sets of ``wanted`` keys."""
     # one document of each wanted set
-    owners = feats.select("id", "key").join(wanted, "key").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id"))).alias("o"))
+    owners = feats.select("id", "key").join(wanted.select("key"), "key").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("x"), F.col("id"))).alias("o"))
     owners = stored(owners.select(F.col("o.id").alias("owner")), "jaccard-owners")
     src = pick(docs, id_col, text_col)
     texts = src.join(owners, F.col("id").eqNullSafe(F.col("owner")), "left_semi").select("text")
@@ -209,20 +313,73 @@ def _exact(pairs: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, tex
             tokens = [shingles(t, hasher, k) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in tokens], pa.binary()), pa.array([x.tobytes() for x in tokens], pa.binary())], ["key", "tokens"])
 
-    whole = texts.mapInArrow(sets, "key binary, tokens binary").dropDuplicates(["key"])
-    both = pairs.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b")
-
-    def check(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(2).filter(keep), batch.column(3).filter(keep)], ["a", "b"])
-
-    return both.select("ta", "tb", "a", "b").mapInArrow(check, "a binary, b binary")
+    return texts.mapInArrow(sets, "key binary, tokens binary").dropDuplicates(["key"])
+
+
+def _linked(xs: list[np.ndarray], ys: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Exact links of the sets ``xs`` with the sets ``ys``, or with one another."""
+    sets = xs + (ys or [])
+    n = np.array([len(x) for x in sets])
+    tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    first = np.r_[True, tokens[1:] != tokens[:-1]]
+    often = np.diff(np.r_[np.nonzero(first)[0], len(tokens)])
+    kept = np.repeat(often > 1, often)  # a token of one set alone is in no intersection
+    owner, column = owner[kept], np.cumsum(first[kept]) - 1
+    x = len(xs)
+    shared = np.zeros((x, x if ys is None else len(ys)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        dense = np.zeros((len(sets), min(COLUMNS, int(column[b - 1]) + 1 - low)), dtype=np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        shared += dense[:x] @ (dense if ys is None else dense[x:]).T
+    both = n[:x, None] + n[None, : x if ys is None else None][:, 0 if ys is None else x :]
+    links = shared >= threshold * (both - shared) - 1e-9
+    if ys is None:
+        np.fill_diagonal(links, False)
+    return links
+
+
+def _counted(keys: list[bytes], label: np.ndarray, links: np.ndarray) -> pa.Table:
+    return pa.table([pa.array(keys, pa.binary()), pa.array([keys[x] for x in label.tolist()], pa.binary()), pa.array(links, pa.int64())], ["a", "b", "links"])
+
+
+def _exact(label: DataFrame, sets: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, text_col: str, k: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """(key, root) of the exact classes and (key, partners), from all pairs in each component ``label`` of likely links.
+
+    A component goes to one task, or in salted blocks to one task for each pair of blocks; no pair becomes a row.
+    """
+    size = label.join(sets.select("key", "n", "copies"), "key")
+    lots = size.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("lots"))
+    size = stored(size.join(lots, "root").select("root", "key", "copies", "lots"), "jaccard-likely")
+    whole = size.join(_tokens(size, docs, feats, id_col, text_col, k), "key")
+
+    def alone(table):
+        keys, copies = table["key"].to_pylist(), table["copies"].to_numpy()
+        links = _linked([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], None, threshold)
+        return _counted(keys, _forest(links), links @ copies)
+
+    def crossed(table):
+        x, y = (table[c].combine_chunks().flatten() for c in ("xs", "ys"))
+        kx, ky = (z.field("key").to_pylist() for z in (x, y))
+        cx, cy = (z.field("copies").to_numpy() for z in (x, y))
+        tx, ty = ([np.frombuffer(t, np.uint64) for t in z.field("tokens").to_pylist()] for z in (x, y))
+        if table["i"][0].as_py() == table["j"][0].as_py():
+            links = _linked(tx, None, threshold)
+            return _counted(kx, _forest(links), links @ cx)
+        links = _linked(tx, ty, threshold)
+        return _counted(kx + ky, _forest(_square(links)), np.r_[links @ cy, links.T @ cx])
+
+    counted = "a binary, b binary, links long"
+    one = stored(whole.filter("lots = 1").select("root", "key", "copies", "tokens").groupBy("root").applyInArrow(alone, counted), "jaccard-alone")
+    blocks = stored(whole.filter("lots > 1").withColumn("i", _block_of("key", F.col("lots"))).groupBy("root", "i").agg(F.collect_list(F.struct("key", "copies", "tokens")).alias("xs")), "jaccard-blocks")
+    crossing = blocks.join(blocks.toDF("root", "j", "ys"), "root").filter(F.col("i") <= F.col("j"))
+    many = stored(crossing.groupBy("root", "i", "j").applyInArrow(crossed, counted), "jaccard-crossed")
+    roots = one.select(F.col("a").alias("key"), F.col("b").alias("root"))
+    if not many.isEmpty():
+        roots = roots.unionAll(components(many.select("a", "b").distinct()))
+    return roots, one.unionAll(many).groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("partners"))
 
 
 def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -245,35 +402,29 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return label
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, runs: int = RUNS,
-          depth: int = DEPTH, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(features per document, sets, links between different sets): the join itself."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, runs: int = RUNS,
+            depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(features per document, (key, first id, copies, root, partners) per set): the join itself; ``root`` is the key of the class."""
     spark = docs.sparkSession
     small_batches(spark)
     feats = stored(features(docs, id_col, text_col, k, runs, depth, threshold), "jaccard-features")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"))
     sets = stored(feats.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
                   .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "paths"), "jaccard-sets")
-    likely = stored(_estimate(candidates(sets, depth, bucket), sets, threshold), "jaccard-likely")
-    checked = _exact(likely.filter("not sure").select("a", "b"), docs, feats, id_col, text_col, k, threshold)
-    return feats, sets, stored(likely.filter("sure").select("a", "b").unionAll(checked), "jaccard-links")
+    likely = components(candidates(sets, depth, bucket, threshold, block))
+    roots, partners = _exact(likely, sets, docs, feats, id_col, text_col, k, threshold, block)
+    linked = roots.join(partners, "key")
+    by_set = sets.select("key", "first", "copies").join(linked, "key", "left")
+    return feats.select("id", "key"), stored(by_set.select("key", "first", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("partners", F.lit(0)).alias("partners")), "jaccard-classes")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, runs: int = RUNS,
-                    depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """(id, class_id, n_links, n_copies) per document."""
-    feats, sets, edges = links(docs, id_col, text_col, k, threshold, runs, depth, bucket)
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    slim = sets.select("key", "first", "copies")
-    root = components(edges)
-    partners = both.join(slim.select(F.col("key").alias("b"), F.col("copies").alias("m")), "b").groupBy(F.col("a").alias("key")).agg(F.sum("m").alias("partners"))
-    linked = slim.join(root, "key").join(partners, "key", "left")
+    feats, sets = classes(docs, id_col, text_col, **settings)
     place = F.struct(F.col("first").isNull().alias("x"), F.col("first"))
-    heads = linked.groupBy("root").agg(F.min(place).alias("h")).select("root", F.col("h.first").alias("head"))
-    by_set = (slim.join(linked.join(heads, "root").select("key", "head", "partners"), "key", "left")
-              .select("key", F.when(F.col("head").isNull() & F.col("partners").isNull(), F.col("first")).otherwise(F.col("head")).alias("class_id"),
-                      (F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).alias("n_links"), F.col("copies").alias("n_copies")))
-    return feats.select("id", "key").join(by_set, "key").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
+    heads = sets.groupBy("root").agg(F.min(place).alias("h")).select("root", F.col("h.first").alias("class_id"))
+    by_set = sets.join(heads, "root").select("key", "class_id", (F.col("copies") - 1 + F.col("partners")).alias("n_links"), F.col("copies").alias("n_copies"))
+    return feats.join(by_set, "key").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

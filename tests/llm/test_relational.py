@@ -105,6 +105,30 @@ def test_classes_equal_brute_force(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def copies_of_one(n=300, words=400, changed=7):
+    """An original and copies that are links of it more than of one another."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(n):
+        copy = base[:]
+        for i in r.sample(range(words), changed):
+            copy[i] = word()
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 64}])
+def test_many_copies_around_one_original(spark, settings):
+    """Hot nodes, whole or in blocks: the classes of all exact links."""
+    texts = copies_of_one()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want, _ = brute_classes(texts)
+    got = {r.doc_id: r.class_id for r in jaccard_join.near_duplicates(df, **settings).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 10
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words here")], "doc_id long, text string")
     got = jaccard_join.near_duplicates(df).collect()
