@@ -244,7 +244,11 @@ def _square(links: np.ndarray) -> np.ndarray:
 
 
 def _edges(keys: list[bytes], label: np.ndarray) -> pa.Table:
-    moved = [(keys[i], keys[x]) for i, x in enumerate(label.tolist()) if keys[i] != keys[x]]
+    # to the smallest key: other nodes of the same sets give the same edges
+    least: dict[int, bytes] = {}
+    for key, x in zip(keys, label.tolist(), strict=True):
+        least[x] = min(key, least.get(x, key))
+    moved = [(key, least[x]) for key, x in zip(keys, label.tolist(), strict=True) if key != least[x]]
     return pa.table([pa.array([x[0] for x in moved], pa.binary()), pa.array([x[1] for x in moved], pa.binary())], ["a", "b"])
 
 
@@ -267,7 +271,7 @@ def _across(threshold: float):
 
 def _star(members: DataFrame, threshold: float) -> DataFrame:
     """``members`` with the drawn member ``c`` of their node, and ``near``: it is a likely link, or the drawn member itself."""
-    drawn = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "key").alias("h"), "key", "n", "sketch")).alias("d"))
+    drawn = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "sketch")).alias("d"))
     both = members.select("node", "key", "n", "sketch", "m").join(drawn.select("node", F.col("d.key").alias("c"), F.col("d.n").alias("nc"), F.col("d.sketch").alias("sc")), "node")
 
     def run(batches):
@@ -360,22 +364,35 @@ def _exact(label: DataFrame, sets: DataFrame, docs: DataFrame, feats: DataFrame,
         links = _linked([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], None, threshold)
         return _counted(keys, _forest(links), links @ copies)
 
+    def within(table):
+        keys, copies = table["key"].to_pylist(), table["copies"].to_numpy()
+        links = _linked([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], None, threshold)
+        found = _counted(keys, _forest(links), links @ copies)
+        return table.append_column("b", found["b"]).append_column("links", found["links"])
+
     def crossed(table):
         x, y = (table[c].combine_chunks().flatten() for c in ("xs", "ys"))
-        kx, ky = (z.field("key").to_pylist() for z in (x, y))
+        (kx, ky), (bx, by) = ([z.field(c).to_pylist() for z in (x, y)] for c in ("key", "b"))
         cx, cy = (z.field("copies").to_numpy() for z in (x, y))
         tx, ty = ([np.frombuffer(t, np.uint64) for t in z.field("tokens").to_pylist()] for z in (x, y))
-        if table["i"][0].as_py() == table["j"][0].as_py():
-            links = _linked(tx, None, threshold)
-            return _counted(kx, _forest(links), links @ cx)
         links = _linked(tx, ty, threshold)
-        return _counted(kx + ky, _forest(_square(links)), np.r_[links @ cy, links.T @ cx])
+        own = _counted(kx + ky, np.arange(len(kx) + len(ky)), np.r_[links @ cy, links.T @ cx]).set_column(1, "b", pa.array(bx + by, pa.binary()))
+        # links join the blocks' own classes: one edge for each two of them
+        i, j = np.nonzero(links)
+        nx, ny = ({b: n for n, b in enumerate(sorted(set(z)))} for z in (bx, by))
+        codes = np.unique(np.array([nx[b] for b in bx])[i] * len(ny) + np.array([ny[b] for b in by])[j])
+        rx, ry = list(nx), list(ny)
+        between = [(rx[c // len(ry)], ry[c % len(ry)]) for c in codes.tolist()]
+        edges = pa.table([pa.array([e[0] for e in between], pa.binary()), pa.array([e[1] for e in between], pa.binary()), pa.array([0] * len(between), pa.int64())], ["a", "b", "links"])
+        return pa.concat_tables([own, edges])
 
     counted = "a binary, b binary, links long"
     one = stored(whole.filter("lots = 1").select("root", "key", "copies", "tokens").groupBy("root").applyInArrow(alone, counted), "jaccard-alone")
-    blocks = stored(whole.filter("lots > 1").withColumn("i", _block_of("key", F.col("lots"))).groupBy("root", "i").agg(F.collect_list(F.struct("key", "copies", "tokens")).alias("xs")), "jaccard-blocks")
-    crossing = blocks.join(blocks.toDF("root", "j", "ys"), "root").filter(F.col("i") <= F.col("j"))
-    many = stored(crossing.groupBy("root", "i", "j").applyInArrow(crossed, counted), "jaccard-crossed")
+    parts = stored(whole.filter("lots > 1").select("root", _block_of("key", F.col("lots")).alias("i"), "key", "copies", "tokens").groupBy("root", "i")
+                   .applyInArrow(within, "root binary, i long, key binary, copies long, tokens binary, b binary, links long"), "jaccard-within")
+    blocks = stored(parts.groupBy("root", "i").agg(F.collect_list(F.struct("key", "copies", "tokens", "b")).alias("xs")), "jaccard-blocks")
+    crossing = blocks.join(blocks.toDF("root", "j", "ys"), "root").filter(F.col("i") < F.col("j"))
+    many = stored(parts.select(F.col("key").alias("a"), "b", "links").unionAll(crossing.groupBy("root", "i", "j").applyInArrow(crossed, counted)), "jaccard-crossed")
     roots = one.select(F.col("a").alias("key"), F.col("b").alias("root"))
     if not many.isEmpty():
         roots = roots.unionAll(components(many.select("a", "b").distinct()))

@@ -129,6 +129,15 @@ def test_many_copies_around_one_original(spark, settings):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < 10
 
 
+@pytest.mark.parametrize("settings", [{}, {"block": 16}])
+def test_links_of_large_groups_are_counted(spark, settings):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want, n_links = brute_classes(texts)
+    got = {r.doc_id: r for r in jaccard_join.near_duplicates(df, **settings).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == list(zip(want, n_links, strict=True))
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words here")], "doc_id long, text string")
     got = jaccard_join.near_duplicates(df).collect()
