@@ -444,8 +444,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return feats.join(by_set, "key").select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies")
 
 
-def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """``docs`` with all columns: of every class only the row with the class's smallest id (one row of a repeated id)."""
-    found = near_duplicates(docs, id_col, text_col, **settings)
-    heads = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__pt_id")).distinct()
-    return docs.join(heads, docs[id_col].eqNullSafe(F.col("__pt_id")), "left_semi").dropDuplicates([id_col])
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, **settings) -> DataFrame:
+    """``docs`` with all columns: of every class one row, that of its smallest (id, set key); nulls last.
+
+    Rows of one id and one set go by their JSON form.  A row is found by its id where no other row has it, else by id and set.
+    """
+    feats, sets = classes(docs, id_col, text_col, k=k, **settings)
+    place = F.struct(F.col("first").isNull().alias("x"), "first", "key")
+    best = sets.groupBy("root").agg(F.min(place).alias("h")).select(F.col("h.first").alias("__pt_id"), F.col("h.key").alias("__pt_key"))
+    best = stored(best, "jaccard-best")
+    many = stored(feats.filter("id is not null").groupBy("id").count().filter("count > 1").select(F.col("id").alias("__pt_id")), "jaccard-repeated")
+    alone = best.filter("__pt_id is not null").join(many, "__pt_id", "left_anti").select("__pt_id")
+    out = docs.join(alone, docs[id_col] == F.col("__pt_id"), "left_semi")
+    unclear = docs.filter(docs[id_col].isNull()).unionAll(docs.join(many, docs[id_col] == F.col("__pt_id"), "left_semi"))
+
+    @F.arrow_udf("binary")
+    def set_key(texts):
+        hasher = WordHash()
+        return pa.array([xxhash.xxh3_128_digest(shingles(t, hasher, k).tobytes()) for t in texts.to_pylist()], pa.binary())
+
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    rows = (unclear.select(row.alias("row"), F.col(id_col).alias("id"), set_key(F.col(text_col).cast("string")).alias("key"))
+            .groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row")))
+    found = rows.join(best, (F.col("key") == F.col("__pt_key")) & F.col("id").eqNullSafe(F.col("__pt_id")), "left_semi")
+    return out.unionAll(found.select("row.*"))

@@ -138,6 +138,15 @@ def test_links_of_large_groups_are_counted(spark, settings):
     assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == list(zip(want, n_links, strict=True))
 
 
+def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(x + str(i) for i in range(20)) for x in "abcde")
+    rows = [(None, a), (None, a), (None, b), (4, c), (4, d), (4, d), (5, d), (7, e), (None, e)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int")
+    left = jaccard_join.one_per_class(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, a), (0, b), (4, c), (4, d), (7, e)])
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words here")], "doc_id long, text string")
     got = jaccard_join.near_duplicates(df).collect()
