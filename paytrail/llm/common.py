@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow.fs as pafs
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,56 @@ def no_cycles() -> None:
     gc.disable()
 
 
+class WordHash:
+    """64-bit hashes of words; the cache is bounded in words and, as long words are not kept, in bytes."""
+
+    def __init__(self, limit: int = 200_000, longest: int = 64):
+        self.cache: dict[bytes | str, int] = {}
+        self.limit, self.longest = limit, longest
+
+    def __call__(self, words: list) -> np.ndarray:
+        cache = self.cache
+        missing = set(words).difference(cache)
+        if len(cache) + len(missing) > self.limit:
+            cache.clear()
+            missing = set(words)
+        for w in missing:
+            cache[w] = xxhash.xxh3_64_intdigest(w)
+        out = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+        for w in missing:
+            if len(w) > self.longest:
+                del cache[w]
+        return out
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, build):
+    """The one thing that this Python worker keeps between tasks.
+
+    Workers are used again by later stages and operators: what another operator left is dropped before ``build`` runs.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+class Shared:
+    """A value broadcast once, opened once per Python worker by ``opened`` and kept until another operator runs there.
+
+    The caller knows a bound of the value's size.
+    """
+
+    def __init__(self, spark: SparkSession, value, opened=lambda x: x):
+        self.key, self.value, self.opened = uuid.uuid4().hex, spark.sparkContext.broadcast(value), opened
+
+    def get(self):
+        return held(self.key, lambda: self.opened(self.value.value))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

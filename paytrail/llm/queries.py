@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytrail.llm import backoff, bpe, decontam, jaccard_join, kneser_ney, sharding, tokenio, toxicity, warc, winnowing
+from paytrail.llm import alignment, backoff, bpe, decontam, jaccard_join, kneser_ney, pieces, ranked, sharding, tokenio, toxicity, warc, winnowing
 from paytrail.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +61,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_winnowing, op3_stupid_backoff, op4_decontamination, op5_token_files, op6_sharding, op7_kneser_ney, op8_bpe, op9_jaccard_join, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_winnowing, op3_stupid_backoff, op4_decontamination, op5_token_files, op6_sharding, op7_kneser_ney, op8_bpe, op9_jaccard_join, op10_warc, op11_alignment, op12_sentencepiece, op13_ranked_search)
 }
 
 # windows of the benchmark are looked for by their joined words; words hold no space
@@ -112,4 +126,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h, 0) AS n_highest, r
 FROM d LEFT JOIN g USING (r)
 """
 
-ORACLE: dict[str, str] = {"op3_stupid_backoff": _BACKOFF, "op4_decontamination": _DECONTAMINATION}
+# scores are integers; only the weights pass through doubles
+_RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+z AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+q AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+terms AS (SELECT DISTINCT i, t.term FROM q, unnest(q.w) AS t(term)),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), z),
+damped AS (SELECT r, doc_id, 50 + (50 * len(w) * n_docs) // l AS m FROM d, z WHERE len(w) > 0),
+scored AS (
+  SELECT i, r, doc_id, CAST(sum(weights.w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM terms JOIN tf USING (term) JOIN weights USING (term) JOIN damped USING (r) GROUP BY i, r, doc_id),
+best AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM best JOIN q USING (i) WHERE rank <= 50
+"""
+
+ORACLE: dict[str, str] = {"op3_stupid_backoff": _BACKOFF, "op4_decontamination": _DECONTAMINATION, "op13_ranked_search": _RANKED}
