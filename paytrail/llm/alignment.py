@@ -55,11 +55,12 @@ SHARDS, FAN = 256, 32
 LOT_PAIRS = 4_000_000
 # distinct pairs that a task holds before it writes them
 TASK_PAIRS = 2_000_000
-# cached pieces and the longest that is kept: their product bounds the cache's bytes
-CACHE_PIECES, LONG_PIECE = 150_000, 64
+# pieces and characters that a task keeps between batches
+CACHE_PIECES, CACHE_CHARS = 300_000, 8_000_000
 # links of one group that are written out one by one; a larger group is counted by its distinct ids
 GROUP_LINKS = 200_000
 JOINED = 500
+_KEYS = 1 << 31  # more than there are pairs of ids; checked where the encoders are read
 _LETTER, _NEXT = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-@\[-`{-~\n\t\r"
 _SPLIT = re.compile(rf" ?[{_LETTER}]+(?![^ {_NEXT}])|.+?(?:(?<=[^\s᠎])(?= )|(?<=[{_LETTER}])(?=[{_NEXT}])|\Z)", re.S).findall
 
@@ -153,12 +154,14 @@ class Encoders:
         if any(re.search("[^▁]▁", p) or re.search(rf"[{_LETTER}][^{_LETTER}]", p) for p in plain):
             raise ValueError("a piece of B spans a place where texts are cut")
         self.bytes_b = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace("▁", " ").encode() if p.type == 1 else b"" for p in model.pieces]
+        if len(self.bytes_a) * len(self.bytes_b) >= _KEYS:
+            raise ValueError("too many pairs of ids")
         rules.add_dummy_prefix = False  # the space in front is part of the pieces here
         self.b = model.SerializeToString()
 
 
 class Aligner:
-    """Encoders in a Python worker, and what a pass wants of every piece."""
+    """Encoders in a Python worker, and what a pass keeps of every piece, by the piece's number."""
 
     def __init__(self, enc: Encoders):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,7 +174,19 @@ class Aligner:
         self.bytes_a, self.bytes_b = enc.bytes_a, enc.bytes_b
         self.len_a, self.len_b = (np.array([len(x) for x in xs], dtype=np.int64) for xs in (enc.bytes_a, enc.bytes_b))
         self.many_b = len(enc.bytes_b)
-        self.cache: dict[str, tuple | None] = {}
+        # a token's number with what follows it in the text of the groups
+        a, b = ([str(i) for i in range(len(x))] for x in (enc.bytes_a, enc.bytes_b))
+        self.written = [x + "," for x in a] + [x + "|" for x in a] + [x + "," for x in b] + [x + ";" for x in b] + b
+        self.cleared()
+
+    def cleared(self) -> None:
+        self.cache: dict[str, int] = {}  # piece -> its number
+        self.chars = 0
+        self.bad = np.zeros(0, dtype=bool)
+        # first pass: the pieces' distinct link keys, piece by piece
+        self.keys_of, self.many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # second pass: six sums and the text of the groups of each piece
+        self.sums_of, self.names = np.zeros((0, 6), np.int64), []
 
     def pieces(self, text: str | None) -> list[str]:
         return _SPLIT(" " + text) if text else []
@@ -234,83 +249,82 @@ class Aligner:
             parts.append(((xs[:, None] * self.many_b + ys[None, :]).ravel(), (cx[:, None] * cy[None, :]).ravel(), np.full(len(xs) * len(ys), g)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)), na, nb
 
-    def known(self, split: list[list[str]], learn) -> list[str]:
-        """Learns the new pieces of these texts; the long ones are to be forgotten afterwards."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
+    def numbered(self, texts: list[str | None], learn) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all pieces of all texts, pieces per text); ``learn`` is given the new pieces."""
+        split = [self.pieces(t) for t in texts]
         missing = list(set(chain.from_iterable(split)).difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE_PIECES:
+            self.cleared()
+            missing = list(set(chain.from_iterable(split)))
+        self.chars += sum(map(len, missing))
         if missing:
+            self.cache.update(zip(missing, range(len(self.bad), len(self.bad) + len(missing)), strict=True))
             learn(missing)
-        return [p for p in missing if len(p) > LONG_PIECE]
-
-    def forget(self, pieces: list[str]) -> None:
-        for p in pieces:
-            del self.cache[p]
+        flat = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        return flat, np.fromiter(map(len, split), np.int64, len(split))
 
-    # first pass: piece -> its distinct link keys, none if its bytes differ
+    def trim(self) -> None:
+        if self.chars > CACHE_CHARS:
+            self.cleared()
 
     def learn_keys(self, pieces: list[str]) -> None:
         a, group_a, b, group_b, piece_of, bad = self.align(pieces)
         (keys, _, group), _, _ = self.links(a, group_a, b, group_b, len(piece_of))
-        piece = piece_of[group]
-        order = np.lexsort((keys, piece))
-        keys, piece = keys[order], piece[order]
-        new = np.r_[True, (keys[1:] != keys[:-1]) | (piece[1:] != piece[:-1])][: len(keys)]
-        keys, piece = keys[new], piece[new]
-        cuts = np.searchsorted(piece, np.arange(1, len(pieces)))
-        for p, own, x in zip(pieces, np.split(keys, cuts), bad.tolist(), strict=True):
-            self.cache[p] = None if x else own.copy()
-
-    def keys(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Each text's distinct link keys; texts without tokens have none."""
-        split = [self.pieces(t) for t in texts]
-        long = self.known(split, self.learn_keys)
-        out, get = [], self.cache.__getitem__
-        for ps in split:
-            own = list(map(get, set(ps)))
-            if own and not any(x is None for x in own):
-                out.append(np.unique(np.concatenate(own)))
-        self.forget(long)
-        return out
-
-    # second pass: piece -> (A tokens, B tokens, groups, links, links that are best, sum of counts, text of the groups)
+        both = np.unique(piece_of[group] * _KEYS + keys)
+        self.keys_of = np.r_[self.keys_of, both % _KEYS]
+        self.many = np.r_[self.many, np.bincount(both // _KEYS, minlength=len(pieces))]
+        self.bad = np.r_[self.bad, bad]
+
+    def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct link keys of some texts and in how many of the texts each is."""
+        flat, per = self.numbered(texts, self.learn_keys)
+        text = np.repeat(np.arange(len(texts)), per)
+        wrong = np.zeros(len(texts), dtype=bool)
+        wrong[text[self.bad[flat]]] = True
+        known = len(self.bad)
+        pairs = np.unique((text * known + flat)[~wrong[text]])
+        text, flat = pairs // max(known, 1), pairs % max(known, 1)
+        first, many = np.cumsum(self.many) - self.many, self.many[flat]
+        total = int(many.sum())
+        at = np.arange(total) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[flat], many)
+        both = np.unique(np.repeat(text, many) * _KEYS + self.keys_of[at])
+        self.trim()
+        return np.unique(both % _KEYS, return_counts=True)
 
     def learn_sums(self, pieces: list[str], table: Table) -> None:
         a, group_a, b, group_b, piece_of, bad = self.align(pieces)
         (keys, often, group), na, nb = self.links(a, group_a, b, group_b, len(piece_of))
         counts, best = table.counts(keys)
         many = len(pieces)
-
-        def per_piece(group, x):
-            out = np.zeros(many, dtype=np.int64)
-            np.add.at(out, piece_of[group], x)
-            return out.tolist()
-
-        each = np.arange(len(piece_of))
-        columns = [per_piece(each, na), per_piece(each, nb), per_piece(each, 1), per_piece(each, na * nb), per_piece(group, often * best), per_piece(group, often * counts)]
-        cut_a, cut_b = np.cumsum(na).tolist(), np.cumsum(nb).tolist()
-        sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        names, at_a, at_b = [[] for _ in pieces], 0, 0
-        for p, x, y in zip(piece_of.tolist(), cut_a, cut_b, strict=True):
-            names[p].append(",".join(sa[at_a:x]) + "|" + ",".join(sb[at_b:y]))
-            at_a, at_b = x, y
-        for p, row, name, x in zip(pieces, zip(*columns, strict=True), names, bad.tolist(), strict=True):
-            self.cache[p] = None if x else (*row, ";".join(name))
-
-    def sums(self, texts: list[str | None], table: Table) -> list[tuple]:
-        """Per text the seven sums of its pieces; texts without tokens have none."""
-        split = [self.pieces(t) for t in texts]
-        long = self.known(split, lambda new: self.learn_sums(new, table))
-        out, get = [], self.cache.__getitem__
-        for ps in split:
-            own = list(map(get, ps))
-            if not own or None in own:
-                out.append((0, 0, 0, 0, 0, 0, ""))
-            else:
-                *numbers, names = zip(*own, strict=True)
-                out.append((*map(sum, numbers), hashlib.sha256(";".join(names).encode()).hexdigest()))
-        self.forget(long)
-        return out
+        sums = np.zeros((many, 6), dtype=np.int64)
+        for column, where, x in ((0, piece_of, na), (1, piece_of, nb), (2, piece_of, 1), (3, piece_of, na * nb), (4, piece_of[group], often * best), (5, piece_of[group], often * counts)):
+            np.add.at(sums[:, column], where, x)
+        # the text of the groups: every token's number with its mark, A before B in each group
+        size_a, size_b = len(self.bytes_a), self.many_b
+        last_a, last_b = (np.r_[g[1:] != g[:-1], True][: len(g)] for g in (group_a, group_b))
+        ends = np.r_[piece_of[1:] != piece_of[:-1], True][: len(piece_of)][group_b] & last_b
+        code = np.r_[a + size_a * last_a, 2 * size_a + b + size_b * last_b + size_b * ends]
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        tokens = list(map(self.written.__getitem__, code[order].tolist()))
+        cuts = np.cumsum(sums[:, 0] + sums[:, 1]).tolist()
+        self.names += ["".join(tokens[x:y]) for x, y in zip([0, *cuts], cuts, strict=False)]
+        self.sums_of = np.r_[self.sums_of, sums]
+        self.bad = np.r_[self.bad, bad]
+
+    def sums(self, texts: list[str | None], table: Table) -> tuple[np.ndarray, list[str]]:
+        """Per text the six sums of its pieces and the digest of its groups; texts without tokens have none."""
+        flat, per = self.numbered(texts, lambda new: self.learn_sums(new, table))
+        out, digests, name, low = np.zeros((len(texts), 6), dtype=np.int64), [], self.names.__getitem__, 0
+        for i, n in enumerate(per.tolist()):
+            own = flat[low : low + n]
+            low += n
+            if not n or self.bad[own].any():
+                digests.append("")
+                continue
+            out[i] = self.sums_of[own].sum(axis=0)
+            digests.append(hashlib.sha256(";".join(map(name, own.tolist())).encode()).hexdigest())
+        self.trim()
+        return out, digests
 
 
 class Table:
@@ -362,9 +376,7 @@ def _partial(docs: DataFrame, shared: Shared) -> DataFrame:
                 ["shard", "part", "keys", "counts"])
 
         for batch in batches:
-            found = aligner.keys(batch.column(1).to_pylist())
-            if found:
-                waiting.append(np.unique(np.concatenate(found), return_counts=True))
+            waiting.append(aligner.keys(batch.column(1).to_pylist()))
             if sum(len(k) for k, _ in waiting) > TASK_PAIRS:
                 (keys, counts), waiting = merged(), []
                 if len(keys) > TASK_PAIRS:
@@ -452,9 +464,8 @@ def _looked_up(src: DataFrame, key: str, encoders: Shared, shards: Shared) -> Da
         no_cycles()
         aligner, table = held(key, lambda: (Aligner(encoders.value.value), shards.value.value.open()))
         for batch in batches:
-            rows = aligner.sums(batch.column("text").to_pylist(), table)
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            arrays = [pa.array(c, pa.string() if n == "groups_sha256" else pa.int64()) for n, c in zip(names, columns, strict=True)]
+            sums, digests = aligner.sums(batch.column("text").to_pylist(), table)
+            arrays = [*(pa.array(np.ascontiguousarray(c)) for c in sums.T), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [batch.schema.names[0], *names])
 
     first = src.schema.fields[0]
