@@ -240,13 +240,14 @@ def audit_only_events(routed: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- ops (fold) ---
-def webhook_ops(matched: DataFrame) -> DataFrame:
+def webhook_ops(matched: DataFrame, *carried: str) -> DataFrame:
+    """Matched webhooks as ops; ``carried`` columns are kept beside them."""
     t = F.col("type")
     op = _map(t, {**PI_OPS, CHECKOUT_TYPE: "checkout"})
     return matched.filter(F.col("order_id").isNotNull() & op.isNotNull()).select(
         "order_id", "ts", "event_id", op.alias("op"),
         F.when(t == CHECKOUT_TYPE, F.col("payment_intent")).alias("set_intent"),
-        F.coalesce(F.col("envelope_id"), F.concat(F.lit("feed_"), F.col("event_id").cast("string"))).alias("delivery_key"))
+        F.coalesce(F.col("envelope_id"), F.concat(F.lit("feed_"), F.col("event_id").cast("string"))).alias("delivery_key"), *carried)
 
 
 def existing_orders(orders: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -95,3 +97,23 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package's sources to Spark for the Python workers, once per application.
+
+    Spark's own file server delivers the archive; no task reads the driver's folder.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="paytrail-package-")) / "paytrail_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent).as_posix())
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)

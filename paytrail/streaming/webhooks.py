@@ -1,214 +1,279 @@
-"""Structured Streaming twin of the webhook / command fold.
-
-A file stream of feed rows (webhook payloads and commands) is processed with
-``foreachBatch``.  Each micro-batch runs the same ``EventBatch`` as the batch
-path, starting from the stored rows and what earlier batches left, and
-writes:
-
-* ``checkouts/batch=<id>`` -- customer details and payment ids of the orders
-                              with a checkout in this batch,
-* ``log/batch=<id>``       -- event-log rows appended by this batch,
-* ``dead/batch=<id>``      -- dead-letter rows of this batch,
-* ``state/batch=<id>``     -- the state rows of the orders this batch changed.
-
-Every ``compact_every`` batches ``state`` and ``checkouts`` are written in
-full, and the small ``_FULL`` file then names that batch.
-
-A batch reads only the rows of the orders it touches: the last full snapshot
-and the deltas after it, semi-joined with the touched order ids, latest row
-per order.  Later batches match webhooks on the payment ids that checkouts
-wrote.  So a micro-batch costs in proportion to its own size plus one
-scan of the state, never a rewrite of the whole state (except at compaction),
-and looks at no more than ``compact_every`` batch folders.
-Each batch id has its own directories, written with ``overwrite``, so a batch
-retried after a failure replaces its own output and never doubles it.
-Across batches events are applied in arrival order (the reference's rule);
-within a batch by ``(ts, event_id)``.
+"""The webhook and command feed as Structured Streaming queries.
+
+Four queries, each with its own checkpoint and a plain Parquet sink:
+
+* ``webhooks`` -- raw deliveries (text lines) decoded under the size cap,
+                  optionally without redeliveries inside the watermark;
+* ``rejects``  -- deliveries that are too large or unreadable, with a reason;
+* ``matched``  -- state-changing webhooks with the order of their payment ids
+                  (``MatchOrders``, keyed by id);
+* ``decisions``-- what every webhook and command did to its order
+                  (``OrderSegments``, keyed by order and segment of time).
+
+Order state, checkout updates, event log and dead letter are read from the
+state store and the sinks with the batch operators.  A delivery is one line:
+arrival number, arrival time and body, separated by tabs; the body comes last
+and may hold anything but a line end.
 """
 
 from __future__ import annotations
 
-import hashlib
 import os
-import re
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from paytrail.operators.events import CHECKOUT_CUSTOMER, CHECKOUT_IDS, EventBatch
-from paytrail.operators.fold import STATE_COLUMNS
-from paytrail.sources.sinks import read_small, swap_small
-
-CHECKOUT_COLUMNS = ("order_id", *CHECKOUT_CUSTOMER, *CHECKOUT_IDS, "updated_at")
-
-FEED_SCHEMA = T.StructType([
-    T.StructField("event_id", T.LongType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("payload", T.StringType()),
-    T.StructField("order_id", T.StringType()),
-    T.StructField("command", T.StringType()),
-])
-
-
-def feed(payloads: DataFrame, commands: DataFrame) -> DataFrame:
-    """Union of webhook payloads and commands in the stream's row shape."""
-    w = payloads.select("event_id", "ts", F.lit("webhook").alias("source"), "payload",
-                        F.lit(None).cast("string").alias("order_id"), F.lit(None).cast("string").alias("command"))
-    c = commands.select("event_id", "ts", F.lit("command").alias("source"), F.lit(None).cast("string").alias("payload"),
-                        "order_id", "command")
-    return w.unionByName(c)
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def committed_batches(spark: SparkSession, root: str) -> list[int]:
-    """Batch ids under ``root`` whose write finished (``_SUCCESS`` present)."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"batch=(\d+)", st.getPath().getName())
-        if m and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-class OrderStateStream:
-    """foreachBatch handler folding each micro-batch onto the stored state."""
-
-    def __init__(self, orders: DataFrame, payments: DataFrame, out_root: str, compact_every: int = 16):
-        self.orders, self.payments = orders, payments
-        self.out_root = out_root.rstrip("/")
-        self.spark = orders.sparkSession
-        self.compact_every = compact_every
-
-    def path(self, kind: str, batch_id: int) -> str:
-        return f"{self.out_root}/{kind}/batch={batch_id}"
-
-    def _done(self, batch_id: int) -> bool:
-        fs, p = _fs(self.spark, f"{self.path('state', batch_id)}/_SUCCESS")
-        return bool(fs.exists(p))
-
-    def _live_snapshots(self, before: int | None = None) -> list[int]:
-        """The last full snapshot before batch ``before`` and the deltas after it.
-
-        Batch ids are consecutive, and a batch starts only after the one
-        before it is written.
-        """
-        named = read_small(self.spark, f"{self.out_root}/_FULL")
-        full = 0 if named is None else int(named)
-        if before is None:
-            ids = []
-            while self._done(full + len(ids)):
-                ids.append(full + len(ids))
-            return ids
-        if full >= before:  # a compacting batch runs again: go back to the full snapshot before it
-            full = max(0, before - self.compact_every)
-        return [b for b in range(full, before) if self._done(b)]
-
-    def _latest(self, kind: str, columns: tuple[str, ...], before: int | None, touched: DataFrame | None = None) -> DataFrame | None:
-        ids = self._live_snapshots(before)
-        if not ids:
-            return None
-        df = self.spark.read.parquet(*[self.path(kind, b) for b in ids])
-        if touched is not None:
-            df = df.join(touched, "order_id", "left_semi")
-        # latest row per order: the batch id leads the struct, so max() picks the newest
-        rest = [c for c in columns if c != "order_id"]
-        latest = df.groupBy("order_id").agg(F.max(F.struct("batch_id", *rest)).alias("s"))
-        return latest.select("order_id", *[F.col(f"s.{c}").alias(c) for c in rest])
-
-    def state(self, before: int | None = None, touched: DataFrame | None = None) -> DataFrame | None:
-        """Latest state row per order (optionally only of the ``touched`` order ids)."""
-        return self._latest("state", STATE_COLUMNS, before, touched)
-
-    def checkouts(self, before: int | None = None) -> DataFrame | None:
-        """Latest customer details and payment ids of every order that had a checkout."""
-        return self._latest("checkouts", CHECKOUT_COLUMNS, before)
-
-    def _write(self, kind: str, batch_id: int, changed: DataFrame, prev: DataFrame | None) -> None:
-        if prev is not None:
-            changed = prev.join(changed.select("order_id"), "order_id", "left_anti").unionByName(changed)
-        changed.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(self.path(kind, batch_id))
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        payloads = batch.filter(F.col("source") == "webhook").select("event_id", "ts", "payload")
-        commands = batch.filter(F.col("source") == "command").select("event_id", "ts", "order_id", "command")
-        checkouts = self.checkouts(before=batch_id)
-        eb = EventBatch(payloads, commands, self.orders, self.payments, checkouts=checkouts,
-                        later=lambda touched: self.state(before=batch_id, touched=touched))
-        compact = (batch_id + 1) % self.compact_every == 0
-        self._write("checkouts", batch_id, eb.checkouts().select(*CHECKOUT_COLUMNS), checkouts if compact else None)
-        eb.event_log(include_created=False).write.mode("overwrite").parquet(self.path("log", batch_id))
-        eb.dead_letter().write.mode("overwrite").parquet(self.path("dead", batch_id))
-        # the state comes last: its _SUCCESS marks the whole batch as written
-        self._write("state", batch_id, eb.fold.state.select(*STATE_COLUMNS), self.state(before=batch_id) if compact else None)
-        if compact:
-            swap_small(self.spark, f"{self.out_root}/_FULL", str(batch_id))
-
-    def latest_state(self) -> DataFrame | None:
-        return self.state()
-
-
-def start(spark: SparkSession, source_dir: str, handler: OrderStateStream, checkpoint_dir: str,
-          available_now: bool = False, max_files_per_trigger: int | None = None):
-    """Start the stream over parquet feed files in ``source_dir``."""
-    reader = spark.readStream.schema(FEED_SCHEMA)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source_dir)
-    writer = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint_dir)
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
-    return writer.start()
-
-
-def replay(feed_df: DataFrame, orders: DataFrame, payments: DataFrame, work_root: str,
-           parts: int = 4, compact_every: int = 16) -> OrderStateStream:
-    """Replay a feed table as a live stream: ``parts`` time slices, each
-    written (in parallel) into the source folder and then consumed by an
-    ``availableNow`` run, so every micro-batch is one slice in arrival order.
+
+from paytrail.functions.text import or_empty
+from paytrail.operators import events as E
+from paytrail.operators.fold import STATE_COLUMNS, FoldResult
+from paytrail.session import ship_package
+from paytrail.streaming.state import CARRIED, DECISIONS, MATCHED, MatchOrders, OrderSegments, checkout_rows, compose
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SEGMENT_SECONDS = 86_400
+# tasks that one payment id's webhooks are dealt to; claims go to all of them
+SALTS = 8
+WATERMARK = "3 days"
+COMMANDS = "event_id bigint, ts timestamp_ntz, order_id string, command string"
+WEBHOOKS = MATCHED.split(", order_id")[0]
+REJECTS = "event_id bigint, ts timestamp_ntz, reject_reason string"
+
+
+# ------------------------------------------------------------- raw deliveries ---
+def delivery_lines(payloads: DataFrame) -> DataFrame:
+    """(event_id, ts, payload) as the text lines that a receiver appends to its landing files."""
+    return payloads.select(F.concat_ws("\t", F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "payload").alias("value"))
+
+
+def parse_deliveries(lines: DataFrame) -> DataFrame:
+    """Text lines -> (event_id, ts, payload).  Only the first two tabs separate."""
+    part = F.split("value", "\t", 3)
+    return lines.select(F.get(part, F.lit(0)).try_cast("bigint").alias("event_id"), F.get(part, F.lit(1)).try_cast("timestamp_ntz").alias("ts"),
+                        F.coalesce(F.get(part, F.lit(2)), F.lit("")).alias("payload"))
+
+
+def read_deliveries(spark: SparkSession, source: str, max_bytes: int | None = None) -> DataFrame:
+    """The raw stream; ``max_bytes`` bounds what one micro-batch reads."""
+    reader = spark.readStream
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
+    return parse_deliveries(reader.text(source))
+
+
+def without_redeliveries(webhooks: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """The first delivery of each envelope id; a later one is dropped while the watermark has not passed it by.
+
+    Webhooks without an envelope id are all kept.
     """
-    spark = feed_df.sparkSession
-    src, ckpt, out = (os.path.join(work_root, d) for d in ("source", "checkpoint", "out"))
-    bounds = feed_df.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    handler = OrderStateStream(orders, payments, out, compact_every)
-    if lo is None:
-        return handler
-    span = F.unix_micros(F.lit(hi).cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp")) + 1
-    rel = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(lo).cast("timestamp"))
-    sliced = feed_df.withColumn("_slice", F.least(F.floor(rel * parts / span), F.lit(parts - 1)).cast("int"))
-    for i in range(parts):
-        sliced.filter(F.col("_slice") == i).drop("_slice").write.mode("append").parquet(src)
-        q = start(spark, src, handler, ckpt, available_now=True)
-        q.awaitTermination()
-    return handler
-
-
-def run_stream(spark: SparkSession, source_dir: str, model_root: str, out_root: str,
-               trigger_seconds: int = 10, compact_every: int = 16, available_now: bool = False,
-               checkpoint_location: str | None = None):
-    """Production entry: fold a live feed folder onto stored model tables.
-
-    ``model_root`` holds tables written by ``sources.tables.write_model``;
-    the stream's checkpoint lives under ``spark.checkpoint.dir`` (shared),
-    its outputs under ``out_root``.
+    key = F.coalesce("envelope_id", F.concat(F.lit("feed_"), F.col("event_id").cast("string")))
+    # the watermark needs a time with a zone
+    keyed = webhooks.withColumn("delivery_key", key).withColumn("arrived", F.col("ts").cast("timestamp"))
+    return keyed.withWatermark("arrived", watermark).dropDuplicatesWithinWatermark(["delivery_key"]).drop("delivery_key", "arrived")
+
+
+# -------------------------------------------------------------------- matching ---
+def _index(orders: DataFrame, payments: DataFrame, key: str, other: str) -> DataFrame:
+    """key -> newest order that carries it, with the order's other payment id."""
+    o = orders.select(F.col("id").alias("order_id"), "created_at")
+    p = payments.select("order_id", key, other).filter(or_empty(F.col(key)) != "")
+    newest = F.max(F.struct("created_at", "order_id", other)).alias("n")
+    return p.join(o, "order_id").groupBy(key).agg(newest).select(key, F.col("n.order_id").alias("order_id"), F.col("n.created_at").alias("created_at"), F.col(f"n.{other}").alias(other))
+
+
+def match_rows(routed: DataFrame, orders: DataFrame, payments: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Rows for ``MatchOrders``: every webhook at its payment id, and what its checkout changes at other ids."""
+    by_intent = _index(orders, payments, "payment_intent_id", "session_id").toDF("i_key", "i_order", "i_created", "i_session")
+    by_session = _index(orders, payments, "session_id", "payment_intent_id").toDF("s_key", "s_order", "s_created", "s_intent")
+    t = F.col("type")
+    checkout = t == E.CHECKOUT_TYPE
+    r = routed.filter(t.isin(*E.PI_TYPES) | checkout)
+    r = (r.withColumn("i_id", F.when(checkout, F.col("payment_intent")).otherwise(F.col("object_id"))).withColumn("s_id", F.when(checkout, F.col("object_id")))
+         .join(by_intent, F.col("i_id") == F.col("i_key"), "left").join(by_session, F.col("s_id") == F.col("s_key"), "left"))
+    i_id, s_id = or_empty(F.col("i_id")), or_empty(F.col("s_id"))
+    order, created = F.coalesce("s_order", "i_order"), F.coalesce("s_created", "i_created")
+    old_intent = F.when(F.col("s_order").isNotNull(), F.col("s_intent")).otherwise(F.col("i_id"))
+    old_session = F.when(F.col("s_order").isNotNull(), F.col("s_id")).otherwise(F.col("i_session"))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    here = F.array(F.pmod(F.xxhash64("event_id"), F.lit(salts)).cast("int"))
+
+    def row(kind: str, key: Column, when: Column, salt: Column, index_order: Column, index_created: Column, session_order: Column) -> Column:
+        return F.when(when, F.struct(F.lit(kind).alias("kind"), key.alias("id"), salt.alias("salts"), index_order.alias("index_order"),
+                                     index_created.alias("index_created"), session_order.alias("session_order")))
+
+    none = F.lit(None).cast("string")
+    known = checkout & order.isNotNull()
+    by_i = i_id != ""
+    rows = F.array_compact(F.array(
+        row("event", F.when(by_i, F.concat(F.lit("i:"), i_id)).otherwise(F.concat(F.lit("s:"), s_id)), F.lit(True), here,
+            F.when(by_i, F.col("i_order")).otherwise(F.col("s_order")), F.when(by_i, F.col("i_created")).otherwise(F.col("s_created")), F.col("s_order")),
+        row("claim", F.concat(F.lit("i:"), i_id), known & by_i, every, order, created, none),
+        row("claim", F.concat(F.lit("s:"), s_id), known & (s_id != ""), every, order, created, none),
+        row("release", F.concat(F.lit("i:"), old_intent), known & by_i & (or_empty(old_intent) != "") & (old_intent != i_id), every, order, created, none),
+        row("release", F.concat(F.lit("s:"), old_session), known & (or_empty(old_session) != "") & (old_session != s_id), every, order, created, none)))
+    out = r.select(*CARRIED, F.explode(rows).alias("m")).select(*CARRIED, "m.*")
+    return out.select("*", F.explode("salts").alias("salt")).drop("salts")
+
+
+# ------------------------------------------------------------------- the stream ---
+class OrderStream:
+    """The four queries over a landing folder of deliveries and a folder of commands, onto stored order rows.
+
+    ``root`` takes the sinks and checkpoints.  ``partitions`` is the number of state partitions, fixed at the first start.
     """
-    from paytrail.session import checkpoint_root
-    from paytrail.sources.tables import read_model
-    tables = read_model(spark, model_root)
-    handler = OrderStateStream(tables["orders"], tables["payments"], out_root, compact_every)
-    # one streaming checkpoint per output folder, under the shared checkpoint root
-    ckpt = checkpoint_location or os.path.join(
-        checkpoint_root(spark), "streams", hashlib.sha1(out_root.encode()).hexdigest()[:16])
-    reader = spark.readStream.schema(FEED_SCHEMA).parquet(source_dir)
-    writer = reader.writeStream.foreachBatch(handler).option("checkpointLocation", ckpt)
-    writer = writer.trigger(availableNow=True) if available_now else \
-        writer.trigger(processingTime=f"{trigger_seconds} seconds")
-    return writer.start(), handler
+
+    def __init__(self, orders: DataFrame, payments: DataFrame, deliveries: str, commands: str, root: str, segment_seconds: int = SEGMENT_SECONDS,
+                 dedup: bool = False, max_bytes: int | None = None, partitions: int | None = None):
+        self.spark, self.orders, self.payments = orders.sparkSession, orders, payments
+        self.deliveries, self.commands_path, self.root = deliveries, commands, root.rstrip("/")
+        self.segment_seconds, self.dedup, self.max_bytes = segment_seconds, dedup, max_bytes
+        self.partitions = partitions
+
+    def path(self, sink: str) -> str:
+        return f"{self.root}/{sink}"
+
+    def checkpoint(self, query: str) -> str:
+        return f"{self.root}/_checkpoints/{query}"
+
+    def _sink(self, df: DataFrame, name: str, available_now: bool, trigger: str):
+        writer = df.writeStream.format("parquet").outputMode("append").option("path", self.path(name)).option("checkpointLocation", self.checkpoint(name)).queryName(f"{name} of {self.root}")
+        writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
+        with _state_settings(self.spark, self.partitions):
+            return writer.start()
+
+    def start_webhooks(self, available_now: bool = False, trigger: str = "10 seconds"):
+        ok = E.webhook_ingest(read_deliveries(self.spark, self.deliveries, self.max_bytes)).filter("reject_reason is null").drop("reject_reason", "charge")
+        return self._sink((without_redeliveries(ok) if self.dedup else ok).select(*CARRIED), "webhooks", available_now, trigger)
+
+    def start_rejects(self, available_now: bool = False, trigger: str = "10 seconds"):
+        bad = E.webhook_ingest(read_deliveries(self.spark, self.deliveries, self.max_bytes)).filter("reject_reason is not null")
+        return self._sink(bad.select("event_id", "ts", "reject_reason"), "rejects", available_now, trigger)
+
+    def start_matched(self, available_now: bool = False, trigger: str = "10 seconds"):
+        ship_package(self.spark)
+        webhooks = self.spark.readStream.schema(WEBHOOKS).parquet(self.path("webhooks"))
+        rows = match_rows(webhooks, self.orders, self.payments)
+        matched = rows.groupBy("id", "salt").transformWithState(MatchOrders(), outputStructType=MATCHED, outputMode="Append", timeMode="None")
+        return self._sink(matched, "matched", available_now, trigger)
+
+    def start_decisions(self, available_now: bool = False, trigger: str = "10 seconds"):
+        ship_package(self.spark)
+        matched = self.spark.readStream.schema(MATCHED).parquet(self.path("matched"))
+        detail = ("has_customer_details", "customer_email", "customer_name", "customer_phone", "object_id")
+        ops = E.webhook_ops(matched, *detail).select("order_id", "ts", "event_id", "op", "set_intent", *detail)
+        commands = self.spark.readStream.schema(COMMANDS).parquet(self.commands_path)
+        known = commands.join(self.orders.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+        kinds = dict(ops.dtypes)
+        mine = known.select("order_id", "ts", "event_id", F.col("command").alias("op"), *[F.lit(None).cast(kinds[c]).alias(c) for c in ("set_intent", *detail)])
+        segment = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / self.segment_seconds).alias("seg")
+        rows = ops.unionByName(mine).select("*", segment)
+        decided = rows.groupBy("order_id", "seg").transformWithState(OrderSegments(), outputStructType=DECISIONS, outputMode="Append", timeMode="None")
+        return self._sink(decided, "decisions", available_now, trigger)
+
+    def _folders(self) -> None:
+        """The folders that the queries watch, where they are not there yet."""
+        for sink, schema in (("webhooks", WEBHOOKS), ("matched", MATCHED)):
+            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(sink))
+
+    def start(self, trigger: str = "10 seconds") -> list:
+        """All four queries, running until stopped."""
+        self._folders()
+        return [f(False, trigger) for f in (self.start_webhooks, self.start_rejects, self.start_matched, self.start_decisions)]
+
+    def run_available(self) -> None:
+        """Process what has arrived, query by query, and stop."""
+        self._folders()
+        for f in (self.start_webhooks, self.start_rejects, self.start_matched, self.start_decisions):
+            f(True).awaitTermination()
+
+    # -- results --
+    def summaries(self) -> DataFrame:
+        """(order_id, seg, s) as the state store holds them."""
+        s = self.spark.read.format("statestore").option("path", self.checkpoint("decisions")).option("stateVarName", "summary").load()
+        return s.select(F.col("key.order_id").alias("order_id"), F.col("key.seg").alias("seg"), F.col("value").alias("s"))
+
+    def composed(self) -> DataFrame:
+        return compose(self.summaries(), self.orders, self.payments)
+
+    def state(self) -> DataFrame:
+        """One row of ``STATE_COLUMNS`` per order with events."""
+        return self.composed().select(*STATE_COLUMNS)
+
+    def checkouts(self) -> DataFrame:
+        """Customer details and payment ids of the orders with a checkout."""
+        return checkout_rows(self.composed(), self.orders, self.payments)
+
+    def matched(self) -> DataFrame:
+        return self.spark.read.schema(MATCHED).parquet(self.path("matched"))
+
+    def webhooks(self) -> DataFrame:
+        """Decoded webhooks and rejects, in the columns that the dead letter reads."""
+        ok = self.spark.read.schema(WEBHOOKS).parquet(self.path("webhooks")).withColumn("reject_reason", F.lit(None).cast("string"))
+        bad = self.spark.read.schema(REJECTS).parquet(self.path("rejects"))
+        return ok.unionByName(bad, allowMissingColumns=True)
+
+    def commands(self) -> DataFrame:
+        return self.spark.read.schema(COMMANDS).parquet(self.commands_path)
+
+    def decisions(self) -> DataFrame:
+        """(order_id, ts, event_id, op, accepted): every webhook and command with the outcome of the case its segment was entered in."""
+        cases = self.composed().select("order_id", F.explode("cases").alias("c")).select("order_id", "c.seg", "c.case")
+        d = self.spark.read.schema(DECISIONS).parquet(self.path("decisions"))
+        return d.join(cases, ["order_id", "seg"]).select("order_id", "ts", "event_id", "op", F.element_at("accepted", F.col("case")).alias("accepted"))
+
+    def event_log(self, include_created: bool = False) -> DataFrame:
+        """The event log rows of everything that was applied."""
+        d = self.decisions()
+        fulfills = d.filter("op = 'fulfill'").select("order_id", "ts", "event_id", "accepted")
+        refunds = d.filter("op = 'refund'").withColumnRenamed("accepted", "intent_ok")
+        return E.event_log(self.matched(), FoldResult(None, fulfills, None), refunds, self.orders, self.payments, include_created)
+
+    def dead_letter(self) -> DataFrame:
+        return E.dead_letter(self.webhooks(), self.matched(), self.commands(), self.orders)
+
+
+@contextmanager
+def _state_settings(spark: SparkSession, partitions: int | None):
+    """The state store's settings while a query starts, which takes a copy of the session's; then the user's again."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def slices(parts: int, *tables: DataFrame) -> list[list[DataFrame]]:
+    """``tables`` (with ``ts``) cut into ``parts`` slices of time, the same for all of them."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    every = tables[0].select("ts")
+    for t in tables[1:]:
+        every = every.unionByName(t.select("ts"))
+    span = every.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi")).first()
+    lo, hi = span.lo or 0, span.hi or 0
+    piece = F.least(F.floor((micros - lo) * parts / (hi - lo + 1)), F.lit(parts - 1))
+    return [[t.filter(piece == i) for t in tables] for i in range(parts)]
+
+
+def replay(payloads: DataFrame, commands: DataFrame, orders: DataFrame, payments: DataFrame, work_root: str, parts: int = 3, **settings) -> OrderStream:
+    """Replay a feed as a live stream: slices of time, each written into the landing folders and then processed to its end."""
+    stream = OrderStream(orders, payments, os.path.join(work_root, "deliveries"), os.path.join(work_root, "commands"), os.path.join(work_root, "out"), **settings)
+    for arrived, told in slices(parts, payloads, commands):
+        delivery_lines(arrived).write.mode("append").text(stream.deliveries)
+        told.select("event_id", "ts", "order_id", "command").write.mode("append").parquet(stream.commands_path)
+        stream.run_available()
+    return stream
+
+
+def replay_webhooks(payloads: DataFrame, work_root: str, parts: int = 2, **settings) -> DataFrame:
+    """The accepted webhooks of a feed replayed through the first query alone."""
+    stream = OrderStream(payloads, payloads, os.path.join(work_root, "deliveries"), "", os.path.join(work_root, "out"), **settings)
+    for (arrived,) in slices(parts, payloads):
+        delivery_lines(arrived).write.mode("append").text(stream.deliveries)
+        stream.start_webhooks(available_now=True).awaitTermination()
+    return stream.spark.read.schema(WEBHOOKS).parquet(stream.path("webhooks"))

@@ -1,93 +1,143 @@
-"""Streaming twin equals the batch fold."""
+"""The streaming queries against the batch operators."""
 
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from paytrail.operators import events as E
 from paytrail.operators.events import EventBatch
 from paytrail.operators.fold import STATE_COLUMNS
 from paytrail.session import scratch_path
 from paytrail.sources import fixtures as fx
 from paytrail.streaming import webhooks as W
 
-COLS = [c for c in STATE_COLUMNS if c != "intent_known"]
+T0 = dt.datetime(2024, 6, 15, 9, 0)
+ORDER = "id string, customer_email string, customer_name string, customer_phone string, status string, created_at timestamp_ntz, updated_at timestamp_ntz, fulfilled_at timestamp_ntz"
+PAYMENT = "order_id string, payment_intent_id string, session_id string, status string, processed_at timestamp_ntz"
+DELIVERY = "event_id bigint, ts timestamp_ntz, payload string"
 
 
-import datetime as dt
-import json
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
 
-import pytest
+
+def webhook(eid, typ, obj, envelope=None, at=None):
+    return (eid, at or T0 + dt.timedelta(minutes=eid), json.dumps({"id": envelope or f"evt_{eid}", "type": typ, "data": {"object": obj}}))
+
+
+def small(spark, root, **settings):
+    orders = spark.createDataFrame([("o1", "a@x", "Ann", None, "pending", T0, T0, None), ("o2", "z@x", None, None, "pending", T0, T0, None)], ORDER)
+    payments = spark.createDataFrame([("o1", "pi_old", "cs_1", "pending", None), ("o2", None, None, "pending", None)], PAYMENT)
+    return W.OrderStream(orders, payments, f"{root}/in", f"{root}/told", f"{root}/out", partitions=2, **settings)
+
+
+def deliver(spark, stream, webhooks, commands=()):
+    W.delivery_lines(spark.createDataFrame(webhooks, DELIVERY)).write.mode("append").text(stream.deliveries)
+    spark.createDataFrame(list(commands), W.COMMANDS).write.mode("append").parquet(stream.commands_path)
+    stream.run_available()
 
 
-@pytest.mark.parametrize("compact_every", [16, 2])
-def test_stream_equals_batch(spark, raw, compact_every):
-    orders = fx.model_orders(raw)
-    payments = fx.model_payments(raw)
+def test_stream_equals_batch_across_restarts_and_segments(spark, raw):
+    """Slices of a feed, each processed by a new object on the same checkpoints (a restart), in segments of six hours."""
+    orders, payments = fx.model_orders(raw), fx.model_payments(raw)
     payloads, commands = fx.webhook_payloads(raw), fx.model_commands(raw)
-    batch = EventBatch(payloads, commands, orders, payments).fold.state.select(*COLS)
-    handler = W.replay(W.feed(payloads, commands), orders, payments, scratch_path(spark, "stream-test"), parts=3,
-                       compact_every=compact_every)
-    stream = handler.latest_state().select(*COLS)
-    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, stream.collect()))
-    # one state snapshot per micro-batch, each batch id in its own folder
-    assert len(W.committed_batches(spark, f"{handler.out_root}/state")) == 3
-
-
-def test_retried_batch_is_idempotent(spark, raw):
-    """Re-running a micro-batch id rewrites its own output; nothing doubles."""
-    from pyspark.sql import functions as F
-    orders = fx.model_orders(raw)
-    payments = fx.model_payments(raw)
-    feed = W.feed(fx.webhook_payloads(raw), fx.model_commands(raw))
-    lo = feed.agg(F.min("ts")).first()[0]
-    first = feed.filter(F.col("ts") < F.lit(lo).cast("timestamp_ntz") + F.expr("INTERVAL 10 DAYS"))
-    second = feed.subtract(first)
-    h = W.OrderStateStream(orders, payments, scratch_path(spark, "retry-test"))
-    h(first, 0)
-    h(second, 1)
-    once = sorted(map(tuple, h.latest_state().select(*COLS).collect()))
-    log_once = spark.read.parquet(h.path("log", 1)).count()
-    h(second, 1)  # the same batch again, as after a driver failure before commit
-    assert sorted(map(tuple, h.latest_state().select(*COLS).collect())) == once
-    assert spark.read.parquet(h.path("log", 1)).count() == log_once
-    batch = EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments).fold.state.select(*COLS)
-    assert once == sorted(map(tuple, batch.collect()))
-
-
-def test_run_stream_over_stored_model(spark, raw):
-    from paytrail.sources.tables import write_model
-    root = scratch_path(spark, "run-stream")
-    orders = fx.model_orders(raw)
-    payments = fx.model_payments(raw)
-    write_model({"orders": fx.model_orders(raw), "payments": payments}, f"{root}/model")
-    W.feed(fx.webhook_payloads(raw), fx.model_commands(raw)).write.parquet(f"{root}/feed")
-    q, handler = W.run_stream(spark, f"{root}/feed", f"{root}/model", f"{root}/out", available_now=True)
-    q.awaitTermination()
-    got = sorted(map(tuple, handler.latest_state().select(*COLS).collect()))
-    want = sorted(map(tuple, EventBatch(fx.webhook_payloads(raw), fx.model_commands(raw), orders, payments)
-                      .fold.state.select(*COLS).collect()))
-    assert got == want
-
-
-@pytest.mark.parametrize("compact_every", [16, 1])
-def test_checkout_repoints_the_intent_for_later_batches(spark, compact_every):
-    """Batch 0's checkout writes a new intent id and customer; batch 1's webhook for it finds the order, one for the old id does not."""
-    t = dt.datetime(2024, 6, 15, 9, 0)
-    orders = spark.createDataFrame([("o1", "a@x", "Ann", None, "pending", t, t, None)],
-                                   "id string, customer_email string, customer_name string, customer_phone string, status string, "
-                                   "created_at timestamp_ntz, updated_at timestamp_ntz, fulfilled_at timestamp_ntz")
-    payments = spark.createDataFrame([("o1", "pi_old", "cs_1", "pending", None)],
-                                     "order_id string, payment_intent_id string, session_id string, status string, processed_at timestamp_ntz")
-
-    def webhook(eid, typ, obj):
-        return (eid, t + dt.timedelta(minutes=eid), "webhook", json.dumps({"id": f"evt_{eid}", "type": typ, "data": {"object": obj}}), None, None)
-
-    h = W.OrderStateStream(orders, payments, scratch_path(spark, "checkout-test"), compact_every)
-    h(spark.createDataFrame([webhook(1, "checkout.session.completed", {"id": "cs_1", "payment_intent": "pi_new",
-                                                                       "customer_details": {"email": "b@x", "name": "", "phone": "5"}})], W.FEED_SCHEMA), 0)
-    h(spark.createDataFrame([webhook(2, "payment_intent.succeeded", {"id": "pi_new"}),
-                             webhook(3, "payment_intent.payment_failed", {"id": "pi_old"})], W.FEED_SCHEMA), 1)
-    h(spark.createDataFrame([webhook(4, "checkout.session.completed", {"id": "cs_1", "customer_details": {"email": "c@x", "name": "Cy", "phone": ""}})],
-                            W.FEED_SCHEMA), 2)
-    s = h.latest_state().first()
-    assert (s.order_status, s.payment_status, s.applied_events) == ("paid", "succeeded", 3)
-    assert [r.event_id for r in spark.read.parquet(h.path("dead", 1)).collect()] == [3]
-    c = h.checkouts().first()
-    assert (c.customer_email, c.customer_name, c.customer_phone) == ("c@x", "Cy", "5")
-    assert (c.session_id, c.payment_intent_id) == ("cs_1", "pi_new")
+    root = scratch_path(spark, "stream-test")
+    for arrived, told in W.slices(3, payloads, commands):
+        stream = W.OrderStream(orders, payments, f"{root}/in", f"{root}/told", f"{root}/out", segment_seconds=21_600, partitions=3)
+        W.delivery_lines(arrived).write.mode("append").text(stream.deliveries)
+        told.write.mode("append").parquet(stream.commands_path)
+        stream.run_available()
+    batch = EventBatch(payloads, commands, orders, payments)
+    assert rows(stream.state()) == rows(batch.fold.state.select(*STATE_COLUMNS))
+    assert rows(stream.event_log()) == rows(batch.event_log(include_created=False))
+    assert rows(stream.dead_letter()) == rows(batch.dead_letter())
+    want = batch.checkouts().drop("n_checkouts")
+    assert rows(stream.checkouts().select(*want.columns)) == rows(want)
+    # the state is in Spark's store, several segments an order
+    assert stream.summaries().count() > stream.state().count()
+    # nothing new: another run changes nothing
+    before = rows(stream.state())
+    stream.run_available()
+    assert rows(stream.state()) == before
+
+
+def test_checkout_repoints_the_intent_for_later_batches(spark):
+    """The first checkout writes a new intent id and customer; later webhooks for it find the order, those for the old id don't."""
+    s = small(spark, scratch_path(spark, "checkout-test"))
+    deliver(spark, s, [webhook(1, "checkout.session.completed", {"id": "cs_1", "payment_intent": "pi_new", "customer_details": {"email": "b@x", "name": "", "phone": "5"}})])
+    deliver(spark, s, [webhook(2, "payment_intent.succeeded", {"id": "pi_new"}), webhook(3, "payment_intent.payment_failed", {"id": "pi_old"})])
+    deliver(spark, s, [webhook(4, "checkout.session.completed", {"id": "cs_1", "customer_details": {"email": "c@x", "name": "Cy", "phone": ""}})])
+    (state,) = s.state().collect()
+    assert (state.order_status, state.payment_status, state.applied_events) == ("paid", "succeeded", 3)
+    assert [r.event_id for r in s.dead_letter().collect()] == [3]
+    (c,) = s.checkouts().collect()
+    assert (c.customer_email, c.customer_name, c.customer_phone, c.session_id, c.payment_intent_id) == ("c@x", "Cy", "5", "cs_1", "pi_new")
+
+
+def test_guards_look_at_earlier_segments(spark):
+    """A fulfil and a refund in later segments depend on what earlier ones did."""
+    s = small(spark, scratch_path(spark, "guard-test"), segment_seconds=60)
+    command = lambda eid, order, what: (eid, T0 + dt.timedelta(minutes=eid), order, what)
+    deliver(spark, s, [webhook(1, "payment_intent.succeeded", {"id": "pi_old"})], [command(0, "o1", "fulfill"), command(2, "o2", "refund")])
+    deliver(spark, s, [webhook(5, "payment_intent.payment_failed", {"id": "pi_none"})], [command(6, "o1", "fulfill"), command(7, "o1", "fulfill"), command(8, "o1", "refund"), command(9, "o9", "refund")])
+    got = {r.order_id: r for r in s.state().collect()}
+    assert (got["o1"].order_status, got["o1"].payment_status, got["o1"].rejected_fulfills, got["o1"].rejected_refunds) == ("refunded", "refunded", 2, 0)
+    assert got["o1"].fulfilled_at == T0 + dt.timedelta(minutes=6)
+    assert (got["o2"].order_status, got["o2"].rejected_refunds) == ("pending", 1)
+    assert sorted((r.event_type, r.seq) for r in s.event_log().collect()) == [("order_fulfilled", 7), ("order_refunded", 9), ("payment_succeeded", 2)]
+    assert sorted((r.event_id, r.source) for r in s.dead_letter().collect()) == [(5, "webhook"), (9, "command")]
+
+
+def test_raw_deliveries_equal_the_batch_ingest(spark, tmp_path):
+    """Several small files a run, a bound on the bytes of a micro-batch, oversize and broken bodies, odd lines."""
+    good = [webhook(i, "payment_intent.succeeded", {"id": f"pi_{i}", "amount": i}) for i in range(40)]
+    odd = [(100, T0, "x" * 65_537), (101, T0, '{"id": "evt"'), (102, T0, ""), (103, T0, json.dumps({"type": "a\tb"})), (104, T0, "y" * 65_536)]
+    payloads = spark.createDataFrame(good + odd, DELIVERY)
+    root = scratch_path(spark, "raw-test")
+    s = W.OrderStream(payloads, payloads, f"{root}/in", "", f"{root}/out", max_bytes=2000, partitions=2)
+    for part in (payloads.filter("event_id < 20"), payloads.filter("event_id >= 20")):
+        W.delivery_lines(part.repartition(5)).write.mode("append").text(s.deliveries)
+        q = s.start_webhooks(available_now=True)
+        q.awaitTermination()
+        assert len(q.recentProgress) > 1  # the files did not come in one micro-batch
+        s.start_rejects(available_now=True).awaitTermination()
+    want = E.webhook_ingest(payloads).drop("charge")
+    assert rows(s.webhooks().select(*want.columns)) == rows(want)
+    assert {r.event_id: r.reject_reason for r in spark.read.parquet(s.path("rejects")).collect()} == {100: "payload_too_large", 101: "unreadable_payload", 102: "unreadable_payload", 104: "unreadable_payload"}
+    lines = spark.createDataFrame([("no tabs at all",), ("",), ("7\t2024-01-01T00:00:00.000001\ta\tb",)], "value string")
+    assert rows(W.parse_deliveries(lines)) == rows(spark.createDataFrame([(None, None, ""), (None, None, ""), (7, dt.datetime(2024, 1, 1, 0, 0, 0, 1), "a\tb")], DELIVERY))
+
+
+def test_a_redelivery_in_a_later_batch_is_dropped(spark):
+    """As the batch does with ``dedup=True``: the order stays fulfilled."""
+    paid = webhook(1, "payment_intent.succeeded", {"id": "pi_old"}, "evt_a")
+    again = webhook(9, "payment_intent.succeeded", {"id": "pi_old"}, "evt_a")
+    other = webhook(10, "payment_intent.payment_failed", {"id": "pi_old"}, "evt_b")
+    fulfil = (2, T0 + dt.timedelta(minutes=2), "o1", "fulfill")
+    results = {}
+    for dedup in (True, False):
+        s = small(spark, scratch_path(spark, "dedup-test"), dedup=dedup)
+        deliver(spark, s, [paid], [fulfil])
+        deliver(spark, s, [again, other])
+        batch = EventBatch(spark.createDataFrame([paid, again, other], DELIVERY), spark.createDataFrame([fulfil], W.COMMANDS), s.orders, s.payments, dedup=dedup)
+        results[dedup] = rows(s.state())
+        assert results[dedup] == rows(batch.fold.state.select(*STATE_COLUMNS))
+    assert results[True][0][1] == "fulfilled" and results[False][0][1] == "paid"
+
+
+def test_settings_are_the_users_again(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    with pytest.raises(ValueError), W._state_settings(spark, 17):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "17"
+        raise ValueError
+    assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.streaming.stateStore.providerClass"))
+
+
+def test_matching_rows_need_no_shuffle_of_events(spark, raw):
+    """Events keep to their task until they are keyed: claims go to all salts of an id, events to one."""
+    routed = E.route_webhooks(E.webhook_ingest(fx.webhook_payloads(raw)))
+    got = W.match_rows(routed, fx.model_orders(raw), fx.model_payments(raw), salts=4)
+    by = {r.kind: r for r in got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"), F.max("salt").alias("salt")).collect()}
+    assert by["event"].n == by["event"].events and by["claim"].n % 4 == 0 and by["claim"].salt == 3
