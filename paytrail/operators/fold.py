@@ -221,3 +221,14 @@ def fold_order_state(ops: DataFrame, initial: DataFrame | None = None,
                          (F.col("acc") | (F.col("prev").isNull()
                                           & F.coalesce(F.col("incoming") == "paid", F.lit(False)))).alias("accepted")))
     return FoldResult(state, decisions, segs)
+
+
+def touch_payments(ops: DataFrame, payments: DataFrame) -> DataFrame:
+    """ST10 on payments: (order_id, updated_at) of the payment rows that ``ops`` change.
+
+    Webhooks and accepted refunds write the payment's status or ids; a fulfilment writes the order alone.
+    """
+    op = F.col("op")
+    writes = op.isin("succeeded", "failed", "canceled", "checkout") | op.startswith("sync_") | ((op == "refund") & F.coalesce(F.col("intent_ok"), F.lit(False)))
+    last = ops.filter(writes).groupBy("order_id").agg(F.max("ts").alias("last"))
+    return payments.select("order_id", "updated_at").join(last, "order_id").select("order_id", F.greatest("updated_at", "last").alias("updated_at"))

@@ -99,6 +99,16 @@ def stored_rows(accepted: DataFrame, as_of) -> dict[str, DataFrame]:
     return {"orders": orders, "order_items": items, "payments": payments}
 
 
+def creation_events(accepted: DataFrame, intents: DataFrame) -> DataFrame:
+    """Log rows of new orders whose intent the provider has made: ``intents`` (request_key, payment_intent_id).
+
+    Ids are left empty; the append assigns them.
+    """
+    made = accepted.select("request_key", "order_id").join(intents, "request_key")
+    return made.select(F.lit("").alias("id"), "order_id", F.lit("order_created").alias("event_type"), F.lit("pending").alias("status"),
+                       F.to_json(F.struct("payment_intent_id")).alias("data"), F.lit(0).cast("long").alias("seq"))
+
+
 def payment_intent_requests(requests: DataFrame) -> DataFrame:
     """The outbox of intents to create for accepted orders."""
     o = accepted_orders(requests)

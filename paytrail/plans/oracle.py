@@ -59,7 +59,7 @@ m_payments AS (
 m_payments_full AS (
   SELECT order_id, payment_intent_id, session_id, amount, currency, status, method,
          CASE WHEN status IN ('succeeded', 'refunded') THEN created_at + INTERVAL 1 HOUR END AS processed_at,
-         CAST(NULL AS TIMESTAMP) AS refunded_at
+         CAST(NULL AS TIMESTAMP) AS refunded_at, created_at, created_at AS updated_at
   FROM m_payments
 ),
 m_items AS (
@@ -70,7 +70,8 @@ m_items AS (
          p.p_type AS file_type,
          CAST((l.l_partkey * 7) % 2000 + 99 AS DOUBLE) / 100.0 AS price,
          CASE WHEN l.l_linenumber = 7 THEN 0 ELSE CAST(l.l_quantity AS INTEGER) END AS quantity,
-         CAST(NULL AS VARCHAR) AS download_url
+         CAST(NULL AS VARCHAR) AS download_url,
+         l.l_shipdate AS created_at
   FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey
 ),
 m_item_cents AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paytrail.functions.status import map_provider_status
 from paytrail.operators import events as E
+from paytrail.operators.fold import touch_payments
 from paytrail.plans.base import query
 from paytrail.plans.oracle import AS_OF
 from paytrail.sources import fixtures as fx
@@ -247,6 +248,15 @@ def touch_updated_at(raw):
     return _fold(raw)[2].state.select("order_id", "updated_at", "applied_events")
 
 
+@query("touch_payments_updated_at", ORDER_STATE_CTES + """
+SELECT side.order_id, greatest(p.created_at, side.last_applied) AS updated_at
+FROM side JOIN m_payments p ON p.order_id = side.order_id WHERE side.n_applied > 0""")
+def touch_payments_updated_at(raw):
+    """ST10 for payments: updated_at = time of the last change of the payment row (statuses and ids; not fulfilments)."""
+    b = _batch(raw)
+    return touch_payments(b.ops, b.payments)
+
+
 def _iso_sql(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%fZ')"
 
@@ -300,14 +310,33 @@ def event_log(raw):
     return E.event_log(matched, fold, ops, orders, payments)
 
 
+def payment_events(raw):
+    """The stored payment-event log.  Its creation rows are thin over many years, so its folders are months."""
+    from paytrail.sources import eventlog as L
+    return raw.store.laid_out("payment_events", lambda to: L.append_events(_batch(raw).event_log(), to, 0, L.MONTH), lambda at: L.read_events(raw.spark, at))
+
+
+@query("scan_events", EVENT_LOG_CTES + "SELECT * FROM elog")
+def scan_events(raw):
+    """IO1: the stored payment events, with their declared schema."""
+    return payment_events(raw).drop("period", "batch")
+
+
+@query("events_between", EVENT_LOG_CTES + """
+SELECT * FROM elog WHERE created_at >= TIMESTAMP '2001-06-01 00:00:00' AND created_at < TIMESTAMP '2024-01-10 12:00:00'""")
+def events_between(raw):
+    """IO4 read side: events of a range of time; only the folders of its periods are read."""
+    from paytrail.sources import eventlog as L
+    return L.events_between(payment_events(raw), "2001-06-01 00:00:00", "2024-01-10 12:00:00", L.MONTH)
+
+
 @query("events_by_order", EVENT_LOG_CTES + """
 , keys AS (SELECT DISTINCT 'ORD' || CAST(user_id AS VARCHAR) AS order_id FROM events)
 SELECT order_id, seq, id AS event_id, event_type, status AS event_status, created_at
 FROM elog WHERE order_id IN (SELECT order_id FROM keys)""")
 def events_by_order(raw):
     """The whole history, all event kinds, of every order that received events, in order."""
-    matched, ops, fold, orders, payments = _fold(raw)
-    log = E.event_log(matched, fold, ops, orders, payments)
+    log = payment_events(raw)
     keys = raw.events.select(F.concat(F.lit("ORD"), F.col("user_id").cast("string")).alias("order_id"))
     from paytrail.operators.reports import events_by_order as ebo
     return ebo(log, keys)
@@ -320,10 +349,8 @@ SELECT k.tracking_id, o.id IS NOT NULL AS found, o.id AS order_id, o.status AS o
 FROM keys k LEFT JOIN m_orders o ON o.tracking_id = k.tracking_id LEFT JOIN elog e ON e.order_id = o.id""")
 def track_payment(raw):
     """Order by tracking id with its whole history, all event kinds (flat rows)."""
-    matched, ops, fold, orders, payments = _fold(raw)
-    log = E.event_log(matched, fold, ops, orders, payments)
     from paytrail.operators.reports import track_payment as tp
-    return tp(orders, log, fx.lookup_keys(raw))
+    return tp(fx.model_orders(raw), payment_events(raw), fx.lookup_keys(raw))
 
 
 # ---------------------------------------------------------- provider sync ---

@@ -10,9 +10,10 @@ from paytrail.operators import quality as D
 from paytrail.operators import reports as R
 from paytrail.plans.base import query
 from paytrail.plans.oracle import AS_OF
-from paytrail.plans.q_events import CHECKOUT_CTES, EVENT_LOG_CTES, _batch
+from paytrail.plans.q_events import CHECKOUT_CTES, EVENT_LOG_CTES, _batch, payment_events
 from paytrail.schemas import LENGTH_LIMITS
 from paytrail.sources import fixtures as fx
+from paytrail.sources import eventlog as L
 from paytrail.sources import sinks as S
 
 SQL_TABLE = {"orders": "m_orders", "order_items": "m_items", "payments": "m_payments", "payment_events": "elog"}
@@ -21,7 +22,7 @@ SQL_TABLE = {"orders": "m_orders", "order_items": "m_items", "payments": "m_paym
 def _tables(raw, with_log=True):
     t = {"orders": fx.model_orders(raw), "order_items": fx.model_items(raw), "payments": fx.model_payments(raw)}
     if with_log:
-        t["payment_events"] = _batch(raw).event_log()
+        t["payment_events"] = payment_events(raw)
     return t
 
 
@@ -213,17 +214,19 @@ def item_download_links(raw):
 SELECT * FROM elog
 UNION ALL
 SELECT 'evt_' || substr(sha256('order_created|' || {NEW_ID_SQL} || '|0'), 1, 24), {NEW_ID_SQL},
-       'order_created', 'pending', '{{}}', {AS_OF}, CAST(0 AS BIGINT)
-FROM {VALID_REQ_SQL} r""")
+       'order_created', 'pending', '{{"payment_intent_id":"' || i.id || '"}}', {AS_OF}, CAST(0 AS BIGINT)
+FROM {VALID_REQ_SQL} r JOIN m_intents i ON i.id = 'pi_' || CAST(r.k AS VARCHAR)""")
 def event_log_append(raw):
-    """IO4: the event log after appending creation events of new orders
-    (ids assigned when empty, append time stamped)."""
-    log = _batch(raw).event_log()
-    a = I.accepted_orders(fx.order_requests(raw))
-    new = a.select(F.lit("").alias("id"), "order_id", F.lit("order_created").alias("event_type"),
-                   F.lit("pending").alias("status"), F.lit(None).cast("string").alias("data"),
-                   F.lit(0).cast("long").alias("seq"))
-    return S.event_log_append(log, new, fx.AS_OF)
+    """IO4: a second batch appended to the stored log, the creation events of new orders.
+
+    The service logs a creation once the provider has made the intent, with its id; an order without one is not logged.
+    """
+    from paytrail.session import scratch_path
+    path = scratch_path(raw.spark, "event-log")
+    L.append_events(payment_events(raw), path, 0, L.MONTH)
+    intents = fx.model_provider_intents(raw).select(F.substring("id", len("pi_") + 1, 40).cast("long").alias("request_key"), F.col("id").alias("payment_intent_id"))
+    L.append_events(S.prepare_append(I.creation_events(I.accepted_orders(fx.order_requests(raw)), intents), fx.AS_OF), path, 1, L.MONTH)
+    return L.read_events(raw.spark, path).drop("period", "batch")
 
 
 @query("order_upsert", CHECKOUT_CTES.replace("SELECT u.order_id, CASE", ", ck AS (SELECT u.order_id, CASE", 1)
@@ -251,7 +254,7 @@ def order_upsert(raw):
         F.lit(1).alias("seq"))
     a = I.accepted_orders(fx.order_requests(raw))
     now = F.lit(fx.AS_OF).cast("timestamp_ntz")
-    ins = a.select(F.col("order_id").alias("id"), "customer_email", F.lit(None).cast("string").alias("customer_name"),
+    ins = a.select(F.col("order_id").alias("id"), F.lit(0).alias("seq"), "customer_email", F.lit(None).cast("string").alias("customer_name"),
                    F.lit(None).cast("string").alias("customer_phone"), F.lit("created").alias("status"),
                    now.alias("created_at"), now.alias("updated_at"))
     snapshot, _rejects = S.order_upsert(base, upd, ins)
@@ -266,7 +269,53 @@ def order_upsert_rejects(raw):
     base = fx.model_orders(raw, with_customer=False).select("id", "status", "updated_at")
     upd = fx.lookup_keys(raw).select(F.col("order_id").alias("id"), F.lit("canceled").alias("status"),
                                      F.lit(fx.AS_OF).cast("timestamp_ntz").alias("updated_at"), F.lit(1).alias("seq"))
-    return S.order_upsert(base, upd, base.limit(0))[1]
+    return S.order_upsert(base, upd, base.limit(0).withColumn("seq", F.lit(0)))[1]
+
+
+# changes of the looked-up orders, some of which are not stored: an update, a whole row and another update, in an order
+# that differs from order to order
+_MIXED_SQL = """
+, ch AS (
+  SELECT order_id AS id, 3 * (c % 7) AS seq, 'u' AS kind, 'paid' AS status FROM keyed
+  UNION ALL SELECT order_id, 3 * (c % 5) + 1, 'i', 'created' FROM keyed WHERE c % 2 = 0
+  UNION ALL SELECT order_id, 3 * (c % 3) + 5, 'u', 'canceled' FROM keyed WHERE c % 4 = 0),
+seen AS (
+  SELECT ch.*, o.id IS NOT NULL OR bool_or(kind = 'i') OVER (PARTITION BY ch.id ORDER BY seq) AS there,
+         max(CASE WHEN kind = 'i' THEN seq END) OVER (PARTITION BY ch.id) AS last_row
+  FROM ch LEFT JOIN m_orders o ON o.id = ch.id),
+fin AS (
+  SELECT id, arg_max(status, seq) AS status, bool_or(kind = 'i') AS replaced
+  FROM seen WHERE there AND (last_row IS NULL OR seq >= last_row) GROUP BY id)
+"""
+_KEYED_SQL = ", keyed AS (SELECT DISTINCT order_id, CAST(substr(order_id, 4) AS BIGINT) // 11 AS c FROM m_keys)" + _MIXED_SQL
+
+
+def _mixed(raw):
+    c = (F.substring("order_id", 4, 20).cast("long") / 11).cast("long")
+    k = fx.lookup_keys(raw).select("order_id", c.alias("c")).distinct()
+    base = fx.model_orders(raw, with_customer=False).select("id", "status")
+    upd = (k.select(F.col("order_id").alias("id"), F.lit("paid").alias("status"), (F.col("c") % 7 * 3).alias("seq"))
+           .unionByName(k.filter("c % 4 = 0").select(F.col("order_id").alias("id"), F.lit("canceled").alias("status"), (F.col("c") % 3 * 3 + 5).alias("seq"))))
+    ins = k.filter("c % 2 = 0").select(F.col("order_id").alias("id"), F.lit("created").alias("status"), (F.col("c") % 5 * 3 + 1).alias("seq"))
+    return S.order_upsert(base, upd, ins)
+
+
+@query("order_upsert_interleaved", _KEYED_SQL + """
+SELECT o.id, coalesce(f.status, o.status) AS status,
+       CASE WHEN f.id IS NULL THEN 'kept' WHEN x.n > 0 THEN 'replaced' ELSE 'updated' END AS change
+FROM m_orders o LEFT JOIN fin f ON f.id = o.id LEFT JOIN (SELECT id, count(*) FILTER (WHERE kind = 'i') AS n FROM ch GROUP BY id) x ON x.id = o.id
+UNION ALL
+SELECT id, status, 'inserted' FROM fin WHERE id NOT IN (SELECT id FROM m_orders)""")
+def order_upsert_interleaved(raw):
+    """IO5: whole rows and updates of the same orders apply in the order of ``seq``."""
+    return _mixed(raw)[0]
+
+
+@query("order_upsert_interleaved_rejects", _KEYED_SQL + """
+SELECT DISTINCT id, 'update' AS operation, 'order not found' AS reason FROM seen WHERE NOT there""")
+def order_upsert_interleaved_rejects(raw):
+    """IO5: an update before its order's first row is refused, also where a whole row follows."""
+    return _mixed(raw)[1]
 
 
 def _key(name: str, value: str) -> str:

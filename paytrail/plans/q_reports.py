@@ -38,12 +38,6 @@ def scan_payments(raw):
     return fx.model_payments(raw)
 
 
-@query("scan_events", "SELECT event_id, ts, user_id, value, kind FROM m_feed")
-def scan_events(raw):
-    """IO1: the incoming event feed (webhooks and commands), arrival order = (ts, event_id)."""
-    return fx.model_event_feed(raw)
-
-
 # --------------------------------------------------------------- statistics ---
 @query("payment_stats_store", f"""
 , s AS (

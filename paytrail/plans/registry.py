@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paytrail.plans import q_events, q_intake, q_quality, q_reports  # noqa: F401  (registers)
+from paytrail.plans import q_events, q_intake, q_quality, q_reports, q_tables  # noqa: F401  (registers)
 from paytrail.plans.base import QUERIES
 from paytrail.plans.oracle import ORACLE
 

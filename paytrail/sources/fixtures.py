@@ -104,13 +104,14 @@ def model_payments(raw: RawTables) -> DataFrame:
         F.when(pay_status.isin("succeeded", "refunded"),
                F.timestamp_add("HOUR", F.lit(1), created)).alias("processed_at"),
         F.lit(None).cast("timestamp_ntz").alias("refunded_at"),
+        created.alias("created_at"), created.alias("updated_at"),
     )
 
 
 # ----------------------------------------------------------------- items ---
 @stored("order_items", "order_id")
 def model_items(raw: RawTables) -> DataFrame:
-    li = raw.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    li = raw.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_shipdate")
     p = raw.part.select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     return li.join(p, "l_partkey", "inner").select(
         _key_id("ORD", F.col("l_orderkey")).alias("order_id"),
@@ -122,6 +123,7 @@ def model_items(raw: RawTables) -> DataFrame:
         F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(
             F.col("l_quantity").cast("int")).alias("quantity"),
         F.lit(None).cast("string").alias("download_url"),
+        F.col("l_shipdate").alias("created_at"),
     )
 
 

@@ -39,49 +39,48 @@ def event_log_append(log: DataFrame, new_events: DataFrame, as_of) -> DataFrame:
     return log.unionByName(prepare_append(new_events, as_of))
 
 
-def write_append(df: DataFrame, path: str) -> None:
-    """Append to a parquet log; each job adds new files, nothing is rewritten."""
-    df.write.mode("append").parquet(path)
-
-
 # --------------------------------------------------------------------- IO5 ---
 def order_upsert(base: DataFrame, updates: DataFrame, inserts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply ``inserts`` (whole rows) and ``updates`` (id + changed columns + seq) to ``base``.
-
-    A whole row replaces the stored row of its id; of several the greatest
-    ``seq`` wins (0 where ``inserts`` has no such column).  Then the latest
-    update of the id applies.  An empty id and an update of an id that is
-    neither stored nor inserted are rejected.  One grouped pass by id over
-    all three.  Returns (snapshot, rejects); ``change`` is kept, updated,
-    replaced or inserted.
+    """Apply ``inserts`` (whole rows + seq) and ``updates`` (id + changed columns + seq) to ``base`` in the order of ``seq``.
+
+    A whole row replaces the row of its id, and only updates after the last
+    whole row count; of these the latest wins.  ``seq`` is unique within an id
+    (an insert comes before an update of the same ``seq``).  An empty id is
+    rejected, and so is an update while its id is neither stored nor inserted
+    yet.  One grouped pass by id over all three.  Returns (snapshot, rejects);
+    ``change`` is kept, updated, replaced or inserted.
     """
+    for name, df in (("updates", updates), ("inserts", inserts)):
+        if "seq" not in df.columns:
+            raise ValueError(f"{name} need a column seq: the order in which changes apply")
     upd_cols = [c for c in updates.columns if c not in ("id", "seq")]
     row, delta = F.struct(*base.columns), F.struct(*upd_cols)
-    seq = F.col("seq").cast("long") if "seq" in inserts.columns else F.lit(0).cast("long")
+    seq = F.col("seq").cast("long")
     empty = F.coalesce(F.col("id"), F.lit("")) == ""
     schema_of = base.select(row.alias("r")).schema["r"].dataType
     none_row, none_delta = F.lit(None).cast(schema_of), F.lit(None).cast(updates.select(delta.alias("r")).schema["r"].dataType)
-    zero = F.lit(0).cast("long")
-    changes = (base.select("id", F.lit("base").alias("kind"), zero.alias("seq"), row.alias("r"), none_delta.alias("u"))
+    changes = (base.select("id", F.lit("base").alias("kind"), F.lit(None).cast("long").alias("seq"), row.alias("r"), none_delta.alias("u"))
                .unionByName(inserts.filter(~empty).select("id", F.lit("insert").alias("kind"), seq.alias("seq"),
                                                           row.cast(schema_of).alias("r"), none_delta.alias("u")))
-               .unionByName(updates.select("id", F.lit("update").alias("kind"), F.col("seq").cast("long").alias("seq"),
-                                           none_row.alias("r"), delta.alias("u"))))
+               .unionByName(updates.select("id", F.lit("update").alias("kind"), seq.alias("seq"), none_row.alias("r"), delta.alias("u"))))
     kind = F.col("kind")
+    inserted, updated = F.when(kind == "insert", F.col("seq")), F.when(kind == "update", F.col("seq"))
     g = changes.groupBy("id").agg(
         F.first(F.when(kind == "base", F.col("r")), ignorenulls=True).alias("b"),
-        F.max_by("r", F.when(kind == "insert", F.col("seq"))).alias("i"),
-        F.max_by("u", F.when(kind == "update", F.col("seq"))).alias("u"))
+        F.max_by("r", inserted).alias("i"), F.min(inserted).alias("first_insert"), F.max(inserted).alias("last_insert"),
+        F.max_by("u", updated).alias("u"), F.min(updated).alias("first_update"), F.max(updated).alias("last_update"))
     known = F.col("b").isNotNull() | F.col("i").isNotNull()
-    changed = F.col("u").isNotNull()
+    # the latest update counts if it comes after the last whole row
+    changed = F.col("last_update").isNotNull() & (F.col("last_insert").isNull() | (F.col("last_update") >= F.col("last_insert")))
+    whole = F.coalesce(F.col("i"), F.col("b"))
     snapshot = g.filter(known).select(
         "id",
-        *[F.when(changed, F.col(f"u.{c}")).otherwise(F.coalesce(F.col("i"), F.col("b"))[c]).alias(c) if c in upd_cols
-          else F.coalesce(F.col("i"), F.col("b"))[c].alias(c) for c in base.columns if c != "id"],
+        *[F.when(changed, F.col(f"u.{c}")).otherwise(whole[c]).alias(c) if c in upd_cols else whole[c].alias(c) for c in base.columns if c != "id"],
         F.when(F.col("b").isNull(), F.lit("inserted")).when(F.col("i").isNotNull(), F.lit("replaced"))
         .when(changed, F.lit("updated")).otherwise(F.lit("kept")).alias("change"))
+    early = F.col("b").isNull() & F.col("first_update").isNotNull() & (F.col("first_insert").isNull() | (F.col("first_update") < F.col("first_insert")))
     rejects = (inserts.filter(empty).select("id", F.lit("insert").alias("operation"), F.lit(MSG_EMPTY_ID).alias("reason"))
-               .unionByName(g.filter(~known).select("id", F.lit("update").alias("operation"), F.lit("order not found").alias("reason"))))
+               .unionByName(g.filter(early).select("id", F.lit("update").alias("operation"), F.lit("order not found").alias("reason"))))
     return snapshot, rejects
 
 

@@ -51,3 +51,12 @@ class ModelStore:
             df.write.mode("overwrite").parquet(path)
         self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
+
+    def laid_out(self, name: str, write: Callable[[str], None], read: Callable[[str], DataFrame]) -> DataFrame:
+        """A table that ``write`` lays out itself on first use; its files are listed once."""
+        if name not in self._tables:
+            path = f"{self.root}/{name}"
+            if not self._done(path):
+                write(path)
+            self._tables[name] = read(path)
+        return self._tables[name]

@@ -54,10 +54,10 @@ def test_upsert_rejects_and_latest_wins(spark):
     t1, t2 = T + dt.timedelta(hours=1), T + dt.timedelta(hours=2)
     upd = spark.createDataFrame([("a", "new1@x", t1, 1), ("a", "new2@x", t2, 2), ("zz", "z@x", t1, 1)],
                                 "id string, customer_email string, updated_at timestamp_ntz, seq long")
-    ins = spark.createDataFrame([("", "e@x", "created", T, T), ("b", "dup@x", "created", T, T),
-                                 ("c", "c@x", "created", T, T)],
+    ins = spark.createDataFrame([("", "e@x", "created", T, T, 0), ("b", "dup@x", "created", T, T, 0),
+                                 ("c", "c@x", "created", T, T, 0)],
                                 "id string, customer_email string, status string, created_at timestamp_ntz, "
-                                "updated_at timestamp_ntz")
+                                "updated_at timestamp_ntz, seq long")
     snap, rej = S.order_upsert(base, upd, ins)
     s = {r.id: r for r in snap.collect()}
     assert s["a"].customer_email == "new2@x" and s["a"].updated_at == t2 and s["a"].change == "updated"
