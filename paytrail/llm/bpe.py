@@ -21,7 +21,6 @@ import heapq
 import json
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from paytrail.llm.common import no_cycles, pick, small_batches
+from paytrail.llm.common import Shared, no_cycles, pick, small_batches
 
-CACHE_WORDS = 400_000
+# cached tokens and the longest that is kept: their product bounds the cache's bytes
+CACHE_WORDS, LONG_TOKEN = 300_000, 64
 # split() takes these for white space, the Unicode property does not
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -133,6 +133,8 @@ class Bpe:
     def token(self, token: str) -> tuple[int, ...]:
         """Ids of a white-space token, kept."""
         cache, pieces = self.cache, self.words(token)
+        if len(token) > LONG_TOKEN:
+            return tuple(chain.from_iterable(map(self.word, pieces)))
         if pieces == [token]:
             cache[token] = out = self.word(token)
             return out
@@ -163,28 +165,10 @@ class Bpe:
         return " ".join([strings[i] for i in ids if i in strings])
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
-def _model(shared) -> Bpe:
-    """One model per Python worker and definition."""
-    if shared.id not in _LOADED:
-        _LOADED.clear()
-        _LOADED[shared.id] = Bpe(shared.value)
-    return _LOADED[shared.id]
-
-
-class _Definition:
-    """The tokenizer file's text, broadcast once; its size is that of a vocabulary."""
-
-    def __init__(self, spark, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.value_ = spark.sparkContext.broadcast(f.read())
-        self.id = uuid.uuid4().hex
-
-    @property
-    def value(self) -> str:
-        return self.value_.value
+def _definition(spark, path: str) -> Shared:
+    """The tokenizer file's text, broadcast once; its size is that of a vocabulary.  One model per Python worker."""
+    with open(path, encoding="utf-8") as f:
+        return Shared(spark, f.read(), Bpe)
 
 
 def _id_type(df: DataFrame) -> T.DataType:
@@ -195,11 +179,11 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     """(id, ids array<int>) of every whole text."""
     src = pick(df, id_col, text_col)
     small_batches(df.sparkSession)
-    shared = _Definition(df.sparkSession, tokenizer_path)
+    shared = _definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
         no_cycles()
-        model = _model(shared)
+        model = shared.get()
         for batch in batches:
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
@@ -212,11 +196,11 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_c
     """(id, text): the decoded string of every id list; null is an empty list."""
     src = df.select(df[id_col].alias("id"), df[ids_col].alias("ids"))
     small_batches(df.sparkSession)
-    shared = _Definition(df.sparkSession, tokenizer_path)
+    shared = _definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
         no_cycles()
-        model = _model(shared)
+        model = shared.get()
         for batch in batches:
             out = [model.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["id", "text"])
@@ -233,11 +217,11 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """
     src = pick(df, id_col, text_col)
     small_batches(df.sparkSession)
-    shared = _Definition(df.sparkSession, tokenizer_path)
+    shared = _definition(df.sparkSession, tokenizer_path)
 
     def run(batches):
         no_cycles()
-        model = _model(shared)
+        model = shared.get()
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         for batch in batches:
             n, a, b = [], [], []

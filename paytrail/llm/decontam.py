@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.common import pick, small_batches, words_of
+from paytrail.llm.common import held, pick, small_batches, words_of
 
 WINDOW = 10
 CHUNK_WORDS = 20_000_000
@@ -89,8 +89,6 @@ def _chunks(benchmark: DataFrame, chunk_words: int, id_col: str, text_col: str)
     return [*out, spark.sparkContext.broadcast(items)]
 
 
-_LOADED: dict[tuple, Windows] = {}  # one chunk in memory at a time
-
 class _Scanner:
     """Scans texts against every chunk of the benchmark; lives in the tasks."""
 
@@ -104,10 +102,7 @@ class _Scanner:
         hit = np.zeros(int(lengths.sum()) + len(words), dtype=bool)
         items: dict[int, set[str]] = {}
         for k, chunk in enumerate(self.chunks):
-            if (self.token, k) not in _LOADED:
-                _LOADED.clear()
-                _LOADED[(self.token, k)] = Windows(chunk.value, self.size)
-            known = _LOADED[(self.token, k)]
+            known = held(f"{self.token}-{k}", lambda chunk=chunk: Windows(chunk.value, self.size))  # one chunk in memory at a time
             get, ids = known.vocab.get, np.zeros(len(hit), dtype=np.uint32)
             for s, w in zip(starts.tolist(), words, strict=True):
                 ids[s : s + len(w)] = [get(x, 0) for x in w]

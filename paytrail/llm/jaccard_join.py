@@ -15,6 +15,11 @@ is split by its children.  So no pair that meets in a last node is dropped.
 ``runs`` repeats the whole until the target recall: a pair is missed with chance
 exp(-runs) at depth 1, under 1 % at depth 3.
 
+The first runs' likely links are contracted before the others: a node whose sets
+lie in one component already can join nothing and is left out, and in the rest
+only sets of different components are compared.  So a group of near copies is
+compared in the first runs and then counts as one.
+
 These comparisons are by 128 one-byte min-hashes and only drop estimates far below
 the threshold (four standard deviations); of the rest they keep edges enough to
 hold the likely links together.  In each connected component of them all pairs are
@@ -41,10 +46,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.common import pick, small_batches, stored, words_of
+from paytrail.llm.common import WordHash, pick, small_batches, stored, words_of
 
 K, THRESHOLD = 5, 0.8
 RUNS, DEPTH, BUCKET = 12, 3, 32
+FIRST_RUNS = 2  # runs before the contraction
 # sets and tokens of a block that is compared with another in one task; columns of one dense lot
 BLOCK, BLOCK_TOKENS, COLUMNS = 512, 2_000_000, 4096
 SKETCH = 128
@@ -60,24 +66,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _SEEDS = _mix(np.arange(1, 4097, dtype=np.uint64) * _G)
 
 
-class WordHash:
-    """64-bit hashes of words, with a bounded cache."""
-
-    def __init__(self, limit: int = 250_000):
-        self.cache: dict[bytes, int] = {}
-        self.limit = limit
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        missing = set(words).difference(cache)
-        if len(cache) + len(missing) > self.limit:
-            cache.clear()
-            missing = set(words)
-        for w in missing:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def shingles(text: str | None, hasher: WordHash, k: int = K) -> np.ndarray:
     """Sorted distinct shingle hashes; never empty."""
     words = words_of(text)
@@ -99,8 +87,9 @@ def sketch(tokens: np.ndarray) -> bytes:
     return (_mix(low) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> list[list[int]]:
-    """Chosen paths of a set: node keys [level 1, level 2, ...], one list per end of a path, shorter where a path ends."""
+def paths(tokens: np.ndarray, first: int, runs: int, depth: int, threshold: float) -> list[list[int]]:
+    """Chosen paths of a set in ``runs`` runs from run ``first``: node keys [level 1, level 2, ...], one list per end of a
+    path, shorter where a path ends."""
     chance = min(1.0, 1.0 / (threshold * len(tokens)))
     limit = np.uint64(min(2**64 - 1, int(chance * 2.0**64)))
 
@@ -114,7 +103,7 @@ def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> list[l
         return np.concatenate(who), np.concatenate(what)
 
     out: list[list[int]] = [[]] * runs
-    nodes, owners = _SEEDS[1000 : 1000 + runs], list(range(runs))
+    nodes, owners = _SEEDS[1000 + first : 1000 + first + runs], list(range(runs))
     done: list[list[int]] = []
     for _ in range(depth):
         if not len(nodes):
@@ -127,54 +116,63 @@ def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> list[l
     return done + out
 
 
-FEATURES = "key binary, n int, sketch binary, paths array<array<long>>"
+FEATURES = "key binary, n int, sketch binary, first_paths array<array<long>>, paths array<array<long>>"
 
 
 def features(df: DataFrame, id_col: str, text_col: str, k: int, runs: int, depth: int, threshold: float) -> DataFrame:
-    """(id, key of the shingle set, its size, its sketch, its paths) of every whole text."""
+    """(id, key of the shingle set, its size, its sketch, its paths in the first runs and in the others) of every whole text."""
     src = pick(df, id_col, text_col)
+    first = min(FIRST_RUNS, runs)
 
     def run(batches):
         hasher = WordHash()
         for batch in batches:
-            key, n, sk, ps = [], [], [], []
+            key, n, sk, fs, ps = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingles(text, hasher, k)
                 key.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 n.append(len(tokens))
                 sk.append(sketch(tokens))
-                ps.append(paths(tokens, runs, depth, threshold))
+                fs.append(paths(tokens, 0, first, depth, threshold))
+                ps.append(paths(tokens, first, runs - first, depth, threshold))
+            lists = pa.list_(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(ps, pa.list_(pa.list_(pa.int64())))],
-                ["id", "key", "n", "sketch", "paths"])
+                [batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(fs, lists), pa.array(ps, lists)],
+                ["id", "key", "n", "sketch", "first_paths", "paths"])
 
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), *T._parse_datatype_string(FEATURES).fields]))
 
 
 def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block: int) -> DataFrame:
-    """(a, b) keys of likely links that connect all sets that meet in a node and are likely links there."""
+    """(a, b) keys of likely links that connect all sets that meet in a node and are likely links there.
+
+    ``sets`` (key, n, sketch, paths, root): sets of one ``root`` are connected already.
+    """
     slim = sets.select("key", "n", "sketch")
     pairs, near = [], []
-    ends = sets.select("key", F.explode("paths").alias("p"))
+    ends = sets.select("key", "root", F.explode("paths").alias("p"))
     hot = None
     for level in range(depth):
         rows = ends.filter(F.size("p") > level)
         if hot is not None:
-            rows = rows.select("key", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
+            rows = rows.select("key", "root", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
         node = F.get("p", F.lit(level))
-        members = stored(rows.select(node.alias("node"), "key").distinct(), "jaccard-members")
-        counts = members.groupBy("node").agg(F.count("*").alias("m"))
-        small = members.join(counts.filter(F.col("m").between(2, bucket)).select("node"), "node")
+        members = stored(rows.select(node.alias("node"), "key", "root").distinct(), "jaccard-members")
+        drawn = F.min(F.struct(F.xxhash64("key").alias("h"), "key", "root"))
+        nodes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), drawn.alias("d"))
+        # a node of one component joins nothing new
+        nodes = nodes.filter("m > 1 and low < high").select("node", "m", F.col("d.key").alias("c"), F.col("d.root").alias("c_root"))
+        met = stored(members.join(nodes, "node"), "jaccard-met")
         # at most ``bucket`` keys a node: the pairs of a node are bounded
-        lists = small.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        both = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+        lists = met.filter(F.col("m") <= bucket).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("keys"))
+        others = lambda x, i: F.filter(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: y["root"] != x["root"])
+        both = F.flatten(F.transform("keys", lambda x, i: F.transform(others(x, i), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
         pairs.append(lists.select(F.explode(both).alias("p")).select("p.a", "p.b"))
-        middle = members.join(counts.filter((F.col("m") > bucket) & (F.col("m") <= block)).select("node"), "node").join(slim, "key")
+        middle = met.filter((F.col("m") > bucket) & (F.col("m") <= block)).select("node", "key").join(slim, "key")
         near.append(middle.groupBy("node").applyInArrow(_inside(threshold), EDGE))
-        large = members.join(counts.filter(F.col("m") > block), "node").join(slim, "key")
-        star = stored(_star(large, threshold), "jaccard-star")
-        near.append(star.filter("near").select(F.col("key").alias("a"), F.col("c").alias("b")))
-        # the drawn member holds its likely links together: only the rest has to meet the whole node
+        star = stored(_star(met.filter(F.col("m") > block).join(slim, "key"), slim, threshold), "jaccard-star")
+        near.append(star.filter("near and root <> c_root").select(F.col("key").alias("a"), F.col("c").alias("b")))
+        # the drawn member holds its likely links and its component together: only the rest has to meet the whole node
         left = star.filter("not near").groupBy("node").agg(F.count("*").alias("r"), F.first("m").alias("m"))
         if level < depth - 1:
             hot = stored(left.filter(F.col("r") > block).select(F.col("node").alias("parent")), "jaccard-hot")
@@ -186,7 +184,7 @@ def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block
                  .withColumn("j", _block_of("key", F.ceil(F.col("m") / block))).groupBy("node", "j").agg(packed.alias("ys")))
         near.append(rest.join(whole, "node").groupBy("node", "i", "j").applyInArrow(_across(threshold), EDGE))
     out = _estimate(_union(pairs).distinct(), sets, threshold)
-    return _union([out, *near]).distinct()
+    return stored(_union([out, *near]).distinct(), "jaccard-candidates")
 
 
 EDGE = "a binary, b binary"
@@ -269,10 +267,10 @@ def _across(threshold: float):
     return run
 
 
-def _star(members: DataFrame, threshold: float) -> DataFrame:
-    """``members`` with the drawn member ``c`` of their node, and ``near``: it is a likely link, or the drawn member itself."""
-    drawn = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "sketch")).alias("d"))
-    both = members.select("node", "key", "n", "sketch", "m").join(drawn.select("node", F.col("d.key").alias("c"), F.col("d.n").alias("nc"), F.col("d.sketch").alias("sc")), "node")
+def _star(members: DataFrame, slim: DataFrame, threshold: float) -> DataFrame:
+    """``members`` with ``near``: it is a likely link of its node's drawn member ``c``, or connected to it already."""
+    both = (members.select("node", "key", "root", "n", "sketch", "m", "c", "c_root")
+            .join(slim.toDF("c", "nc", "sc"), "c"))
 
     def run(batches):
         for batch in batches:
@@ -281,9 +279,11 @@ def _star(members: DataFrame, threshold: float) -> DataFrame:
             n, m = (batch.column(c).to_numpy() for c in ("n", "nc"))
             j = ((_bytes(batch.column("sketch")) == _bytes(batch.column("sc"))).mean(axis=1) - 1 / 256) * 256 / 255
             near = (j >= threshold - _margin(threshold)) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "n", "sketch", "m", "c")), pa.array(near)], ["node", "key", "n", "sketch", "m", "c", "near"])
+            near |= np.array([a == b for a, b in zip(batch.column("root").to_pylist(), batch.column("c_root").to_pylist(), strict=True)], dtype=bool)
+            names = ["node", "key", "root", "n", "sketch", "m", "c", "c_root"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(near)], [*names, "near"])
 
-    return both.mapInArrow(run, "node long, key binary, n int, sketch binary, m long, c binary, near boolean")
+    return both.mapInArrow(run, "node long, key binary, root binary, n int, sketch binary, m long, c binary, c_root binary, near boolean")
 
 
 def _estimate(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -415,8 +415,8 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         moved = new.join(label.withColumnRenamed("root", "old"), "key").filter(F.col("root") != F.col("old")).limit(1).count()
         label = new
         if not moved:
-            break
-    return label
+            return label
+    raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, runs: int = RUNS,
@@ -426,9 +426,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     small_batches(spark)
     feats = stored(features(docs, id_col, text_col, k, runs, depth, threshold), "jaccard-features")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"))
-    sets = stored(feats.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths"))
-                  .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "paths"), "jaccard-sets")
-    likely = components(candidates(sets, depth, bucket, threshold, block))
+    same = [F.first(c).alias(c) for c in ("n", "sketch", "first_paths", "paths")]
+    sets = stored(feats.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same)
+                  .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "first_paths", "paths"), "jaccard-sets")
+    found = candidates(sets.select("key", "n", "sketch", F.col("first_paths").alias("paths"), F.col("key").alias("root")), depth, bucket, threshold, block)
+    if runs > FIRST_RUNS:
+        known = components(found)
+        contracted = stored(sets.join(known, "key", "left").select("key", "n", "sketch", "paths", F.coalesce("root", "key").alias("root")), "jaccard-contracted")
+        found = found.unionAll(candidates(contracted, depth, bucket, threshold, block))
+    likely = components(found)
     roots, partners = _exact(likely, sets, docs, feats, id_col, text_col, k, threshold, block)
     linked = roots.join(partners, "key")
     by_set = sets.select("key", "first", "copies").join(linked, "key", "left")

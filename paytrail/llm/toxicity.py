@@ -8,6 +8,8 @@ before it wrote; they are composed into one machine before any text is read:
 * reported speech: one after a reporting verb in the same clause is marked REP;
 * target: one within ``TARGET_SCOPE`` words of an address ("you ...", "... you") is marked TGT.
 
+A match that is negated or reported counts as that, whatever it is aimed at.
+
 A clause's arcs carry the lexicon's weights; a document's features are the
 weight sums of the clauses by final mark, not counts of isolated words.  A logistic
 layer with prior weights turns them into a score between 0 and 1.
@@ -28,7 +30,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.common import pick, small_batches
+from paytrail.llm.common import Shared, pick, small_batches, stored
 
 MAX_TOXIC, MAX_CLEAN = 3000, 9000
 NEGATION_SCOPE, TARGET_SCOPE = 3, 3
@@ -60,7 +61,8 @@ CLAUSE = re.compile(r"[.!?;:\n]+")
 MARKS = ("", "NEG", "REP", "TGT")
 
 # final features, with the prior means of their logistic weights
-FEATURES = {"INSULT": 3.0, "INSULT+TGT": 4.0, "INSULT+NEG": 1.0, "INSULT+REP": 1.0, "THREAT": 0.5, "THREAT+TGT": 4.0, "DENSITY": 1.0}
+FEATURES = {"INSULT": 3.0, "INSULT+TGT": 4.0, "INSULT+NEG": 1.0, "INSULT+REP": 1.0, "THREAT": 0.5, "THREAT+TGT": 4.0,
+            "THREAT+NEG": 0.2, "THREAT+REP": 0.2, "DENSITY": 1.0}
 PRIOR_BIAS, RIDGE = -3.0, 0.5
 
 
@@ -276,7 +278,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Grammar:
     small_batches(docs.sparkSession)
-    sample = training_rows(docs, labels, id_col, text_col, max_toxic, max_clean)
+    # the documents are read once: everything below reads the bounded sample
+    sample = stored(training_rows(docs, labels, id_col, text_col, max_toxic, max_clean), "toxic-sample")
 
     def sketches(batches):
         for batch in batches:
@@ -292,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for k, s in zip(row[1:], seen, strict=True):
             s.add(k)
     spark = docs.sparkSession
-    sample = sample.join(F.broadcast(spark.createDataFrame(single, f"id {kind}")), "id").dropDuplicates(["id"])
+    sample = stored(sample.join(F.broadcast(spark.createDataFrame(single, f"id {kind}")), "id").dropDuplicates(["id"]), "toxic-sample")
     grammar = Grammar(learn_stems(sample))
     names = list(FEATURES)
     token = _share(spark, grammar)
@@ -315,21 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return grammar
 
 
-_HELD: dict[str, Grammar] = {}
-
-
-class _share:
+def _share(spark, grammar: Grammar) -> Shared:
     """A grammar broadcast once (its size is bounded by the sample) and built once per worker."""
-
-    def __init__(self, spark, grammar: Grammar):
-        self.key = uuid.uuid4().hex
-        self.parts = spark.sparkContext.broadcast((grammar.stems, grammar.weights, grammar.bias))
-
-    def get(self) -> Grammar:
-        if self.key not in _HELD:
-            _HELD.clear()
-            _HELD[self.key] = Grammar(*self.parts.value)
-        return _HELD[self.key]
+    return Shared(spark, (grammar.stems, grammar.weights, grammar.bias), lambda parts: Grammar(*parts))
 
 
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -147,6 +147,24 @@ def test_one_row_of_each_class_with_null_and_repeated_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted([(0, a), (0, b), (4, c), (4, d), (7, e)])
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40)], "a binary, b binary")
+    assert {bytes(r.root) for r in jaccard_join.components(chain).collect()} == {bytes([0])}
+    with pytest.raises(RuntimeError):
+        jaccard_join.components(chain, max_rounds=1)
+
+
+def test_long_texts_and_contraction_change_nothing(spark):
+    """Groups found in the first runs, strays that only later runs can find, and very long texts."""
+    r = random.Random(5)
+    long = " ".join(f"w{r.randint(0, 9999)}" for _ in range(20_000))
+    texts = corpus() + [long, long + " tail", long.replace("w1", "v1", 3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want, n_links = brute_classes(texts)
+    got = {x.doc_id: x for x in jaccard_join.near_duplicates(df, bucket=4, block=16).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(len(texts))] == list(zip(want, n_links, strict=True))
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "other words here")], "doc_id long, text string")
     got = jaccard_join.near_duplicates(df).collect()

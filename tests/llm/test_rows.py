@@ -152,3 +152,31 @@ def test_learned_stems_separate_held_out_texts(spark):
     assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, s in score.items() if s < 0.5)
     none = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.stems == {} and toxicity.score(d.limit(0), none).count() == 0
+
+
+def test_negated_and_reported_threats_are_no_direct_ones():
+    g = toxicity.Grammar({"idiot": 2.0})
+    kinds = lambda t: set(g.features(t)) - {"DENSITY"}
+    assert kinds("i will kill you") == kinds("you i kill") == {"THREAT+TGT"}
+    assert kinds("do not kill you") == {"THREAT+NEG"} and kinds("he said he would kill you") == {"THREAT+REP"}
+    assert kinds("you never hurt") == {"THREAT+NEG"} and kinds("kill the process") == {"THREAT"}
+    assert kinds("no idiot") == {"INSULT+NEG"} and kinds("she wrote: kill you") == {"THREAT+TGT"}  # a new clause
+    direct = g.score("i will kill you")
+    assert all(g.score(t) < 0.5 < direct for t in ("do not kill you", "he said he would kill you", "kill the process"))
+
+
+def test_toxicity_of_repeated_null_and_very_long_rows(spark):
+    r = random.Random(2)
+    filler = lambda n: " ".join("".join(r.choice("bdfgklmnr") + r.choice("aeiou") for _ in range(3)) for _ in range(n))
+    bad = "you vilwretch " + filler(9)
+    rows = [(i, f"{filler(9)} you vilwretch {filler(9)}") for i in range(60)] + [(i, filler(20)) for i in range(100, 300)]
+    extra = [(None, bad), (None, None), (1, rows[1][1]), (500, "x " * 50_000 + bad), (501, "")]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string").selectExpr("*", "'s' as score", "1 as id")
+    labels = spark.createDataFrame([(i, 1 if i < 100 else 0) for i, _ in rows] + [(None, 1), (7, 0)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(got) == len(rows) + len(extra) and all(0 <= r.score <= 1 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r.score)
+    assert by[1][0] == by[1][1] and min(by[3]) > 0.5 > max(by[150]) and by[501] == [min(by[None])]
+    assert toxicity.without_toxic(docs, toxicity.train(docs, labels)).columns == docs.columns
