@@ -24,8 +24,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is over their language's limit go."""
-    model, _ = kneser_ney.fit(docs, table(spark, sf_dir, "labels"))
-    return kneser_ney.without_low_quality(docs, model)
+    return kneser_ney.good_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
