@@ -110,6 +110,13 @@ def held(key: str, build):
     return _HELD[key]
 
 
+def release() -> None:
+    """For tasks that keep nothing: drop what another operator left in this Python worker."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+
+
 class Shared:
     """A value broadcast once, opened once per Python worker by ``opened`` and kept until another operator runs there.
 

@@ -15,10 +15,11 @@ is split by its children.  So no pair that meets in a last node is dropped.
 ``runs`` repeats the whole until the target recall: a pair is missed with chance
 exp(-runs) at depth 1, under 1 % at depth 3.
 
-The first runs' likely links are contracted before the others: a node whose sets
-lie in one component already can join nothing and is left out, and in the rest
-only sets of different components are compared.  So a group of near copies is
-compared in the first runs and then counts as one.
+Before that, groups are contracted: in the top nodes of ``FIRST_RUNS`` runs every set
+is compared with the drawn member, and sets that are likely links of one member are
+connected by it.  A node whose sets are all connected already can join nothing and
+is left out, and in the rest only sets that are not are compared.  So a group of
+near copies is compared once and then counts as one.
 
 These comparisons are by 128 one-byte min-hashes and only drop estimates far below
 the threshold (four standard deviations); of the rest they keep edges enough to
@@ -46,11 +47,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paytrail.llm.common import WordHash, pick, small_batches, stored, words_of
+from paytrail.llm.common import WordHash, pick, release, small_batches, stored, words_of
 
 K, THRESHOLD = 5, 0.8
 RUNS, DEPTH, BUCKET = 12, 3, 32
-FIRST_RUNS = 2  # runs before the contraction
+FIRST_RUNS = 4  # runs whose top nodes are contracted
 # sets and tokens of a block that is compared with another in one task; columns of one dense lot
 BLOCK, BLOCK_TOKENS, COLUMNS = 512, 2_000_000, 4096
 SKETCH = 128
@@ -87,9 +88,8 @@ def sketch(tokens: np.ndarray) -> bytes:
     return (_mix(low) & np.uint64(0xFF)).astype(np.uint8).tobytes()
 
 
-def paths(tokens: np.ndarray, first: int, runs: int, depth: int, threshold: float) -> list[list[int]]:
-    """Chosen paths of a set in ``runs`` runs from run ``first``: node keys [level 1, level 2, ...], one list per end of a
-    path, shorter where a path ends."""
+def paths(tokens: np.ndarray, runs: int, depth: int, threshold: float) -> list[list[int]]:
+    """Chosen paths of a set: node keys [level 1, level 2, ...], one list per end of a path, shorter where a path ends."""
     chance = min(1.0, 1.0 / (threshold * len(tokens)))
     limit = np.uint64(min(2**64 - 1, int(chance * 2.0**64)))
 
@@ -103,7 +103,7 @@ def paths(tokens: np.ndarray, first: int, runs: int, depth: int, threshold: floa
         return np.concatenate(who), np.concatenate(what)
 
     out: list[list[int]] = [[]] * runs
-    nodes, owners = _SEEDS[1000 + first : 1000 + first + runs], list(range(runs))
+    nodes, owners = _SEEDS[1000 : 1000 + runs], list(range(runs))
     done: list[list[int]] = []
     for _ in range(depth):
         if not len(nodes):
@@ -116,15 +116,16 @@ def paths(tokens: np.ndarray, first: int, runs: int, depth: int, threshold: floa
     return done + out
 
 
-FEATURES = "key binary, n int, sketch binary, first_paths array<array<long>>, paths array<array<long>>"
+FEATURES = "key binary, n int, sketch binary, tops array<long>, paths array<array<long>>"
 
 
 def features(df: DataFrame, id_col: str, text_col: str, k: int, runs: int, depth: int, threshold: float) -> DataFrame:
-    """(id, key of the shingle set, its size, its sketch, its paths in the first runs and in the others) of every whole text."""
+    """(id, key of the shingle set, its size, its sketch, its top nodes in the first runs, its paths) of every whole text."""
     src = pick(df, id_col, text_col)
     first = min(FIRST_RUNS, runs)
 
     def run(batches):
+        release()
         hasher = WordHash()
         for batch in batches:
             key, n, sk, fs, ps = [], [], [], [], []
@@ -133,16 +134,35 @@ def features(df: DataFrame, id_col: str, text_col: str, k: int, runs: int, depth
                 key.append(xxhash.xxh3_128_digest(tokens.tobytes()))
                 n.append(len(tokens))
                 sk.append(sketch(tokens))
-                fs.append(paths(tokens, 0, first, depth, threshold))
-                ps.append(paths(tokens, first, runs - first, depth, threshold))
-            lists = pa.list_(pa.list_(pa.int64()))
+                ps.append(paths(tokens, runs, depth, threshold))
+                fs.append([p[0] for p in paths(tokens, first, 1, threshold) if p])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(fs, lists), pa.array(ps, lists)],
-                ["id", "key", "n", "sketch", "first_paths", "paths"])
+                [batch.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sk, pa.binary()), pa.array(fs, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.list_(pa.int64())))],
+                ["id", "key", "n", "sketch", "tops", "paths"])
 
     return src.mapInArrow(run, T.StructType([T.StructField("id", src.schema["id"].dataType), *T._parse_datatype_string(FEATURES).fields]))
 
 
+def _met(members: DataFrame) -> DataFrame:
+    """``members`` (node, key, root) of the nodes whose sets are not all connected, with their number ``m`` and a drawn member."""
+    drawn = F.min(F.struct(F.xxhash64("key").alias("h"), "key", "root"))
+    nodes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), drawn.alias("d"))
+    nodes = nodes.filter("m > 1 and low < high").select("node", "m", F.col("d.key").alias("c"), F.col("d.root").alias("c_root"))
+    return stored(members.join(nodes, "node"), "jaccard-met")
+
+
+def contracted(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(``sets`` with a ``root``, edges (a, b)): likely links of drawn members; sets of one root are connected by the edges."""
+    slim = sets.select("key", "n", "sketch")
+    members = stored(sets.select(F.explode("tops").alias("node"), "key", F.col("key").alias("root")).distinct(), "jaccard-members")
+    star = _star(_met(members).join(slim, "key"), slim, threshold)
+    edges = stored(star.filter("near and key <> c").select(F.col("key").alias("a"), F.col("c").alias("b")).distinct(), "jaccard-tops")
+    up = edges.groupBy("a").agg(F.min("b").alias("up"))
+    # one step further: the member that the first one is linked to
+    root = up.join(up.toDF("up", "top"), "up", "left").select(F.col("a").alias("key"), F.coalesce("top", "up").alias("root"))
+    return stored(sets.join(root, "key", "left").select("key", "n", "sketch", "paths", F.coalesce("root", "key").alias("root")), "jaccard-contracted"), edges
+
+
 def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block: int) -> DataFrame:
     """(a, b) keys of likely links that connect all sets that meet in a node and are likely links there.
 
@@ -158,11 +178,7 @@ def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block
             rows = rows.select("key", "root", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
         node = F.get("p", F.lit(level))
         members = stored(rows.select(node.alias("node"), "key", "root").distinct(), "jaccard-members")
-        drawn = F.min(F.struct(F.xxhash64("key").alias("h"), "key", "root"))
-        nodes = members.groupBy("node").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), drawn.alias("d"))
-        # a node of one component joins nothing new
-        nodes = nodes.filter("m > 1 and low < high").select("node", "m", F.col("d.key").alias("c"), F.col("d.root").alias("c_root"))
-        met = stored(members.join(nodes, "node"), "jaccard-met")
+        met = _met(members)
         # at most ``bucket`` keys a node: the pairs of a node are bounded
         lists = met.filter(F.col("m") <= bucket).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("keys"))
         others = lambda x, i: F.filter(F.slice(F.col("keys"), i + 2, F.size("keys")), lambda y: y["root"] != x["root"])
@@ -273,6 +289,7 @@ def _star(members: DataFrame, slim: DataFrame, threshold: float) -> DataFrame:
             .join(slim.toDF("c", "nc", "sc"), "c"))
 
     def run(batches):
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -312,6 +329,7 @@ def _tokens(wanted: DataFrame, docs: DataFrame, feats: DataFrame, id_col: str, t
     texts = src.join(owners, F.col("id").eqNullSafe(F.col("owner")), "left_semi").select("text")
 
     def sets(batches):
+        release()
         hasher = WordHash()
         for batch in batches:
             tokens = [shingles(t, hasher, k) for t in batch.column(0).to_pylist()]
@@ -360,17 +378,20 @@ def _exact(label: DataFrame, sets: DataFrame, docs: DataFrame, feats: DataFrame,
     whole = size.join(_tokens(size, docs, feats, id_col, text_col, k), "key")
 
     def alone(table):
+        release()
         keys, copies = table["key"].to_pylist(), table["copies"].to_numpy()
         links = _linked([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], None, threshold)
         return _counted(keys, _forest(links), links @ copies)
 
     def within(table):
+        release()
         keys, copies = table["key"].to_pylist(), table["copies"].to_numpy()
         links = _linked([np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()], None, threshold)
         found = _counted(keys, _forest(links), links @ copies)
         return table.append_column("b", found["b"]).append_column("links", found["links"])
 
     def crossed(table):
+        release()
         x, y = (table[c].combine_chunks().flatten() for c in ("xs", "ys"))
         (kx, ky), (bx, by) = ([z.field(c).to_pylist() for z in (x, y)] for c in ("key", "b"))
         cx, cy = (z.field("copies").to_numpy() for z in (x, y))
@@ -426,15 +447,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     small_batches(spark)
     feats = stored(features(docs, id_col, text_col, k, runs, depth, threshold), "jaccard-features")
     place = F.struct(F.col("id").isNull().alias("x"), F.col("id"))
-    same = [F.first(c).alias(c) for c in ("n", "sketch", "first_paths", "paths")]
+    same = [F.first(c).alias(c) for c in ("n", "sketch", "tops", "paths")]
     sets = stored(feats.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same)
-                  .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "first_paths", "paths"), "jaccard-sets")
-    found = candidates(sets.select("key", "n", "sketch", F.col("first_paths").alias("paths"), F.col("key").alias("root")), depth, bucket, threshold, block)
-    if runs > FIRST_RUNS:
-        known = components(found)
-        contracted = stored(sets.join(known, "key", "left").select("key", "n", "sketch", "paths", F.coalesce("root", "key").alias("root")), "jaccard-contracted")
-        found = found.unionAll(candidates(contracted, depth, bucket, threshold, block))
-    likely = components(found)
+                  .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "tops", "paths"), "jaccard-sets")
+    grouped, edges = contracted(sets, threshold)
+    likely = components(edges.unionAll(candidates(grouped, depth, bucket, threshold, block)).distinct())
     roots, partners = _exact(likely, sets, docs, feats, id_col, text_col, k, threshold, block)
     linked = roots.join(partners, "key")
     by_set = sets.select("key", "first", "copies").join(linked, "key", "left")
