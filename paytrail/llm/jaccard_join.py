@@ -186,7 +186,10 @@ def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block
         pairs.append(lists.select(F.explode(both).alias("p")).select("p.a", "p.b"))
         middle = met.filter((F.col("m") > bucket) & (F.col("m") <= block)).select("node", "key").join(slim, "key")
         near.append(middle.groupBy("node").applyInArrow(_inside(threshold), EDGE))
-        star = stored(_star(met.filter(F.col("m") > block).join(slim, "key"), slim, threshold), "jaccard-star")
+        large = met.filter(F.col("m") > block)
+        if large.isEmpty():
+            break  # no node goes on to its children
+        star = stored(_star(large.join(slim, "key"), slim, threshold), "jaccard-star")
         near.append(star.filter("near and root <> c_root").select(F.col("key").alias("a"), F.col("c").alias("b")))
         # the drawn member holds its likely links and its component together: only the rest has to meet the whole node
         left = star.filter("not near").groupBy("node").agg(F.count("*").alias("r"), F.first("m").alias("m"))
@@ -199,6 +202,8 @@ def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block
         whole = (star.select("node", "key", "n", "sketch").join(left, "node")
                  .withColumn("j", _block_of("key", F.ceil(F.col("m") / block))).groupBy("node", "j").agg(packed.alias("ys")))
         near.append(rest.join(whole, "node").groupBy("node", "i", "j").applyInArrow(_across(threshold), EDGE))
+        if level < depth - 1 and hot.isEmpty():
+            break
     out = _estimate(_union(pairs).distinct(), sets, threshold)
     return stored(_union([out, *near]).distinct(), "jaccard-candidates")
 
@@ -441,8 +446,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, threshold: float = THRESHOLD, runs: int = RUNS,
-            depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(features per document, (key, first id, copies, root, partners) per set): the join itself; ``root`` is the key of the class."""
+            depth: int = DEPTH, bucket: int = BUCKET, block: int = BLOCK, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(features per document, (key, first id, copies, root, partners) per set): the join itself; ``root`` is the key of the class.
+
+    Without ``counted`` the numbers of links are left out.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     feats = stored(features(docs, id_col, text_col, k, runs, depth, threshold), "jaccard-features")
@@ -453,6 +461,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     grouped, edges = contracted(sets, threshold)
     likely = components(edges.unionAll(candidates(grouped, depth, bucket, threshold, block)).distinct())
     roots, partners = _exact(likely, sets, docs, feats, id_col, text_col, k, threshold, block)
+    if not counted:
+        by_set = sets.select("key", "first", "copies").join(roots, "key", "left")
+        return feats.select("id", "key"), stored(by_set.select("key", "first", "copies", F.coalesce("root", "key").alias("root")), "jaccard-classes")
     linked = roots.join(partners, "key")
     by_set = sets.select("key", "first", "copies").join(linked, "key", "left")
     return feats.select("id", "key"), stored(by_set.select("key", "first", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("partners", F.lit(0)).alias("partners")), "jaccard-classes")
@@ -472,7 +483,7 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows of one id and one set go by their JSON form.  A row is found by its id where no other row has it, else by id and set.
     """
-    feats, sets = classes(docs, id_col, text_col, k=k, **settings)
+    feats, sets = classes(docs, id_col, text_col, k=k, counted=False, **settings)
     place = F.struct(F.col("first").isNull().alias("x"), "first", "key")
     best = sets.groupBy("root").agg(F.min(place).alias("h")).select(F.col("h.first").alias("__pt_id"), F.col("h.key").alias("__pt_key"))
     best = stored(best, "jaccard-best")
