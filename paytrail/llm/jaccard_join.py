@@ -152,7 +152,8 @@ def _met(members: DataFrame) -> DataFrame:
 
 
 def contracted(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(``sets`` with a ``root``, edges (a, b)): likely links of drawn members; sets of one root are connected by the edges."""
+    """((key, root) of the sets that are not their own root, edges (a, b)): likely links of drawn members; sets of one root
+    are connected by the edges."""
     slim = sets.select("key", "n", "sketch")
     members = stored(sets.select(F.explode("tops").alias("node"), "key", F.col("key").alias("root")).distinct(), "jaccard-members")
     star = _star(_met(members).join(slim, "key"), slim, threshold)
@@ -160,24 +161,26 @@ def contracted(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]
     up = edges.groupBy("a").agg(F.min("b").alias("up"))
     # one step further: the member that the first one is linked to
     root = up.join(up.toDF("up", "top"), "up", "left").select(F.col("a").alias("key"), F.coalesce("top", "up").alias("root"))
-    return stored(sets.join(root, "key", "left").select("key", "n", "sketch", "paths", F.coalesce("root", "key").alias("root")), "jaccard-contracted"), edges
+    return stored(root, "jaccard-contracted"), edges
 
 
-def candidates(sets: DataFrame, depth: int, bucket: int, threshold: float, block: int) -> DataFrame:
+def candidates(sets: DataFrame, root: DataFrame, depth: int, bucket: int, threshold: float, block: int) -> DataFrame:
     """(a, b) keys of likely links that connect all sets that meet in a node and are likely links there.
 
-    ``sets`` (key, n, sketch, paths, root): sets of one ``root`` are connected already.
+    ``root`` (key, root): sets of one root are connected already; a set that is not there is its own root.
     """
     slim = sets.select("key", "n", "sketch")
     pairs, near = [], []
-    ends = sets.select("key", "root", F.explode("paths").alias("p"))
+    ends = sets.select("key", F.explode("paths").alias("p"))
     hot = None
     for level in range(depth):
         rows = ends.filter(F.size("p") > level)
         if hot is not None:
-            rows = rows.select("key", "root", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
+            rows = rows.select("key", "p", F.get("p", F.lit(level - 1)).alias("parent")).join(hot, "parent").drop("parent")
         node = F.get("p", F.lit(level))
-        members = stored(rows.select(node.alias("node"), "key", "root").distinct(), "jaccard-members")
+        # the slim rows meet the roots, not the sets with their paths; one shuffle by key serves the join and the distinct
+        members = rows.select(node.alias("node"), "key").join(root, "key", "left").select("node", "key", F.coalesce("root", "key").alias("root"))
+        members = stored(members.distinct(), "jaccard-members")
         met = _met(members)
         # at most ``bucket`` keys a node: the pairs of a node are bounded
         lists = met.filter(F.col("m") <= bucket).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("key", "root"))).alias("keys"))
@@ -458,8 +461,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     same = [F.first(c).alias(c) for c in ("n", "sketch", "tops", "paths")]
     sets = stored(feats.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("copies"), *same)
                   .select("key", F.col("first.id").alias("first"), "copies", "n", "sketch", "tops", "paths"), "jaccard-sets")
-    grouped, edges = contracted(sets, threshold)
-    likely = components(edges.unionAll(candidates(grouped, depth, bucket, threshold, block)).distinct())
+    root, edges = contracted(sets, threshold)
+    likely = components(edges.unionAll(candidates(sets, root, depth, bucket, threshold, block)).distinct())
     roots, partners = _exact(likely, sets, docs, feats, id_col, text_col, k, threshold, block)
     if not counted:
         by_set = sets.select("key", "first", "copies").join(roots, "key", "left")
