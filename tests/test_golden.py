@@ -118,7 +118,7 @@ def test_bulk_inserts(spark):
     ins = spark.range(1000).select(F.concat(F.lit("ORD"), F.col("id").cast("string")).alias("id"),
                                    F.lit("bulk@example.com").alias("customer_email"), F.lit("created").alias("status"),
                                    F.lit(T).cast("timestamp_ntz").alias("created_at"),
-                                   F.lit(T).cast("timestamp_ntz").alias("updated_at"))
+                                   F.lit(T).cast("timestamp_ntz").alias("updated_at"), F.col("id").alias("seq"))
     upd = spark.createDataFrame([], "id string, customer_email string, updated_at timestamp_ntz, seq long")
     snap, rej = S.order_upsert(base, upd, ins)
     assert snap.count() == 1000 and rej.count() == 0
