@@ -8,6 +8,8 @@ import re
 import zipfile
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -37,19 +39,50 @@ ITEMS = [(1, "one two three four five"), (10, "Alpha BETA gamma"), (2, "xx"), (3
 TEXTS = ["zero one two three four five six", "alpha, beta; gamma!", "XX xx yy", "", None, "ÉTÉ été straße NAÏVE", "one two three x two three four", "été Straße naïve " * 3, "!!!"]
 
 
-@pytest.mark.parametrize("chunk", [3, 10_000])
+@pytest.mark.parametrize("chunk", [120, 1_000_000])
 def test_decontamination_equals_brute_force(spark, chunk):
-    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_hit int")
+    rows = [(i, t, 7) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame([*rows, (0, TEXTS[0], 8), (None, TEXTS[0], 9), (None, "clean", 9)], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for r in decontam.scan(docs, bench, size=3, chunk_words=chunk).collect():
-        assert (r.n_words, r.n_hit, list(r.item_ids)) == brute_hits(TEXTS[r.doc_id], ITEMS, 3), r.doc_id
-    left = decontam.decontaminate(docs, bench, size=3)
+    got = decontam.scan(docs, bench, size=3, chunk_bytes=chunk).collect()
+    assert len(got) == len(rows) + 3
+    for r in got:
+        if r.doc_id is not None:
+            assert (r.n_words, r.n_hit, list(r.item_ids)) == brute_hits(TEXTS[r.doc_id], ITEMS, 3), r.doc_id
+            assert r.n_items == len(r.item_ids) and r.contaminated == (r.n_hit > 0)
+    assert sorted((r.n_words, r.n_hit) for r in got if r.doc_id is None) == [(1, 0), (7, 5)]
+    left = decontam.decontaminate(docs, bench, size=3, chunk_bytes=chunk)
     assert left.columns == docs.columns
-    assert sorted(r.doc_id for r in left.collect()) == [i for i, t in enumerate(TEXTS) if not brute_hits(t, ITEMS, 3)[1]]
-    cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans", size=3).collect()}
+    clean = [i for i, t in enumerate(TEXTS) if not brute_hits(t, ITEMS, 3)[1]]
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == [-1, *clean]
+    cut = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, mode="spans", size=3, chunk_bytes=chunk).collect()}
     assert cut[0] == "zero  six" and cut[4] is None and cut[8] == "!!!"
+
+
+def test_decontamination_of_empty_tables_and_long_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontam.scan(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontam.scan(docs.limit(0), bench).count() == 0
+    assert decontam.decontaminate(docs.limit(0), bench, chunk_bytes=120).count() == 0
+    long = spark.createDataFrame([(1, "filler word " * 200_000 + "one two three " + "x " * 100_000), (2, "y" * 3_000_000)], "doc_id long, text string")
+    for chunk in (150, 1_000_000):
+        assert sorted(tuple(r)[:4] for r in decontam.scan(long, bench, size=3, chunk_bytes=chunk).collect()) == [(1, 500_003, 3, 1), (2, 1, 0, 0)]
+
+
+def test_windows_are_cut_and_chunked_in_spark(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontam.windows(bench, 3)
+    assert sorted(map(tuple, found.collect()))[:2] == [(1, "xx", "2"), (3, "alpha beta gamma", "10")]
+    assert found.count() == 3 + 1 + 1 + 1 + 1
+    parts = decontam._chunks(found, 60)
+    assert len(parts) > 1 and sorted(r for p in parts for r in map(tuple, p.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam, "_hash", lambda grams: np.zeros(len(grams), dtype=np.uint64))
+    packed = decontam.pack(pa.table({"n": pa.array([2, 2, 2], pa.int32()), "words": ["a b", "b c", "a b"], "item": ["1", "2", "3"]}))
+    assert decontam.Windows(packed).scan(["x a b c", "b c", "c b", None]) == [(4, [[1, 4]], ["1", "2", "3"]), (2, [[0, 2]], ["2"]), (2, [], []), (0, [], [])]
 
 
 def brute_shard(key, weights):
