@@ -33,12 +33,12 @@ from array import array
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paytrail.llm.bpe import byte_alphabet
-from paytrail.llm.common import make_folder, no_cycles, pick, shuffle_partitions, small_batches, write_file
+from paytrail.llm.common import make_folder, no_cycles, pick, shuffle_partitions, small_batches, stored, write_file
 from paytrail.session import scratch_path
 
 MAGIC = b"PTTOK1\0\0"
@@ -206,6 +206,7 @@ class LibraryEncoder:
 _ENCODER: dict[str, LibraryEncoder] = {}
 
 MANIFEST = "part int, seq int, n_docs long, n_ids long"
+FILE_NAME = "tok-%07d-%07d.bin"
 
 
 def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = 2, id_col: str = "doc_id",
@@ -236,7 +237,7 @@ def write_token_files(df: DataFrame, tokenizer_path: str, folder: str, end_id: i
 
         def flush():
             nonlocal docs, lengths, ids, size, seq
-            write_file(f"{folder}/tok-{part:07d}-{seq:07d}.bin", file_bytes(docs, lengths, np.frombuffer(b"".join(ids), dtype="<u4")), attempt)
+            write_file(f"{folder}/{FILE_NAME % (part, seq)}", file_bytes(docs, lengths, np.frombuffer(b"".join(ids), dtype="<u4")), attempt)
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(docs)], pa.int64()), pa.array([size], pa.int64())], ["part", "seq", "n_docs", "n_ids"])
             docs, lengths, ids, size, seq = [], [], [], 0, seq + 1
             return row
@@ -278,15 +279,16 @@ def token_files(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, id_c
                 file_ids: int = FILE_IDS, folder: str | None = None) -> DataFrame:
     """Write the files, read them back: (doc_id, start, n_tokens, ids_crc32) per document.
 
-    Runs the writing job; the driver keeps one offset per file.
+    Runs the writing job.  The manifest is stored; a file's start is its place in its part plus the ids of the
+    parts before (one row a part), joined by file name.
     """
     spark = df.sparkSession
     folder = folder or scratch_path(spark, "tokens")
-    files = sorted(map(tuple, write_token_files(df, tokenizer_path, folder, end_id, id_col, text_col, file_ids).collect()))
-    offsets, before = [], 0
-    for part, seq, _, n in files:
-        offsets.append((f"tok-{part:07d}-{seq:07d}.bin", before))
-        before += n
-    at = spark.createDataFrame(offsets, "file string, before long")
-    out = read_token_files(spark, folder).join(F.broadcast(at), "file")
+    manifest = stored(write_token_files(df, tokenizer_path, folder, end_id, id_col, text_col, file_ids), "token-manifest")
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("parts_before"))
+    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    at = (manifest.withColumn("inside", inside).join(parts, "part")
+          .select(F.format_string(FILE_NAME, "part", "seq").alias("file"), (F.col("parts_before") + F.col("inside")).alias("before")))
+    out = read_token_files(spark, folder).join(at, "file")
     return out.select(F.col("doc_id").alias(id_col), (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
