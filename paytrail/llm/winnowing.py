@@ -14,12 +14,15 @@ Defined results: a null text is an empty text with an empty fingerprint; the
 likeness of two fingerprints is the Jaccard similarity of their hash sets, 1 for
 two empty ones and 0 for an empty and a non-empty one; equal texts have equal
 fingerprints; repeated rows are each reported.  Neighbouring documents are those
-next to each other by (id, text), nulls first, wherever they are stored; after
-the last comes the first; a single document follows itself.
+next to each other by (id, xxhash64 of the text, text), null ids first, wherever they
+are stored; after the last comes the first; a single document follows itself.  Rows
+that are equal in id and text stay in one lot.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from paytrail.llm.common import let, pick, shuffle_partitions
 
 K = 5
 WINDOW = 16
+SAMPLE_PER_LOT = 400
 WORD = r"[\p{L}\p{N}]+"
 
 
@@ -103,38 +107,62 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fp.select(id_col, "n_chars", "fp.hashes", "fp.positions")
 
 
-def _lots(df: DataFrame, n: int) -> Column:
-    """Lot of a row: how many of n quantiles of the ids lie below its id.  The quantiles come from one scan of the ids."""
-    cuts = df.select(F.percentile_approx("id", F.lit([i / n for i in range(1, n)]), 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return F.when(F.col("id").isNull() | F.lit(not cuts), F.lit(0)).otherwise(
-        F.coalesce(F.size(F.filter(F.lit(cuts or [0]), lambda c: c < F.col("id"))), F.lit(0)))
+def _numbers(values: list, kind: str) -> Column:
+    """An array of constants as one literal, folded by the optimizer, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _layout(df: DataFrame, lots: int) -> tuple[list[int], int]:
+    """How rows are dealt: the quantiles of the ids (an id that holds several lots' rows stands there several times), and the number
+    of lots for null ids: one number a lot.  The quantiles come from about SAMPLE_PER_LOT ids a lot; they decide only how even the
+    lots are, never a result.
+    """
+    n, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col("id").isNull())).first()
+    ids = df.select("id").sample(min(1.0, SAMPLE_PER_LOT * lots / max(n, 1)), 7)
+    shares = _numbers([i / lots for i in range(1, lots)], "double")
+    cuts = ids.agg(F.percentile_approx("id", shares, max(10_000, 4 * lots))).first()[0] or []
+    return sorted(cuts), -(-lots * nulls // max(n, 1))
+
+
+def _lot(layout: tuple[list[int], int]) -> Column:
+    """Lot of a row; lots ascend as (id, hash) does.  An id, or null, that holds the rows of m lots is cut into m by its texts' hashes."""
+    (points, null_lots), x = layout, F.col("id")
+    step = math.isqrt(len(points)) + 1
+    cuts, coarse = _numbers(points, "bigint"), _numbers(points[::step], "bigint")
+
+    def below(test) -> Column:
+        """How many cuts pass, of which the first ones do: first among the coarse, then in the stretch between two of them."""
+        return let(F.size(F.filter(coarse, test)), lambda b: F.when(b == 0, F.lit(0)).otherwise(
+            (b - 1) * step + F.size(F.filter(F.slice(cuts, (b - 1) * step + 1, F.lit(step)), test))))
+
+    def part(m: Column) -> Column:
+        share = F.col("hash").cast("double") / F.lit(2.0 ** 64) + 0.5
+        return F.greatest(F.least(F.floor(share * m).cast("int"), m - 1), F.lit(0))
+
+    known = let(below(lambda c: c < x), lambda low: low + part(below(lambda c: c <= x) - low))
+    return F.when(x.isNull(), part(F.lit(null_lots)) - null_lots).otherwise(known)
 
 
 def with_next(df: DataFrame, derive: dict[str, Column], lots: int) -> DataFrame:
-    """(id, text, derived columns) with ``next_text`` and ``next_<derived>`` of the next row by (id, text).
+    """(id, text, derived columns) with ``next_text`` and ``next_<derived>`` of the next row by (id, hash of the text, text).
 
-    One shuffle into lots of neighbouring ids.  The first row of every lot (one a lot, found by a scan of the ids)
-    is copied behind the last row of the lot before, so nothing is joined.
+    One shuffle into lots of neighbouring rows.  The first row of every lot is copied behind the last row of the lot before:
+    a scan finds the first id of each lot, a window over these (one row a lot) the lot before, and the rows with that id are met
+    by a broadcast join of one row a lot.
     """
-    src = df.select("id", "text").withColumn("lot", _lots(df, lots))
-    heads = src.groupBy("lot").agg(F.min("id").alias("first"), F.max(F.col("id").isNull()).alias("null")).orderBy("lot").collect()
-    body = src.withColumn("behind", F.lit(False))
-    if heads:
-        used = [r["lot"] for r in heads]
-        before = F.create_map(*[F.lit(x) for lot, prev in zip(used, used[-1:] + used[:-1], strict=True) for x in (lot, prev)])
-        firsts = [r["first"] for r in heads if not r["null"]]
-        wanted = F.col("id").isin(firsts) if firsts else F.lit(False)
-        nulls = [r["lot"] for r in heads if r["null"]]
-        if nulls:
-            wanted = wanted | F.col("id").isNull()
-        first = (src.filter(wanted).groupBy("lot").agg(F.min(F.struct(F.col("id").isNotNull().alias("a"), "id", F.col("text").isNotNull().alias("b"), "text")).alias("f"))
-                 .select(F.col("f.id").alias("id"), F.col("f.text").alias("text"), F.element_at(before, F.col("lot")).alias("lot"), F.lit(True).alias("behind")))
-        body = body.unionAll(first)
-    rows = body.select("*", *[c.alias(n) for n, c in derive.items()])
-    order = Window.partitionBy("lot").orderBy("behind", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    lots = max(2, lots)
+    src = df.select("id", "text", F.xxhash64("text").alias("hash")).withColumn("lot", _lot(_layout(df, lots)))
+    heads = src.groupBy("lot").agg(F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("null"))
+    ring = Window.orderBy("lot")
+    heads = heads.select(F.col("lot").alias("head_lot"), F.when(~F.col("null"), F.col("least")).alias("head_id"),
+                         F.coalesce(F.lag("lot").over(ring), F.max("lot").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    first = (src.join(F.broadcast(heads), (F.col("lot") == F.col("head_lot")) & F.col("id").eqNullSafe(F.col("head_id")))
+             .groupBy("before").agg(F.min(F.struct("id", "hash", F.col("text").isNotNull().alias("known"), "text")).alias("f"))
+             .select("f.id", "f.text", "f.hash", F.col("before").alias("lot"), F.lit(True).alias("behind")))
+    rows = src.withColumn("behind", F.lit(False)).unionByName(first).select("*", *[c.alias(n) for n, c in derive.items()])
+    order = Window.partitionBy("lot").orderBy("behind", F.col("id").asc_nulls_first(), "hash", F.col("text").asc_nulls_first())
     names = ["text", *derive]
-    return rows.select("*", *[F.lead(n).over(order).alias(f"next_{n}") for n in names]).filter(~F.col("behind")).drop("lot", "behind")
+    return rows.select("*", *[F.lead(n).over(order).alias(f"next_{n}") for n in names]).filter(~F.col("behind")).drop("lot", "hash", "behind")
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
@@ -142,7 +170,7 @@ def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the next document's first ones), with the likeness to the edited text and to the next document."""
     spark = df.sparkSession
     src = pick(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    both = with_next(src, {"fp": fingerprint(F.col("text"), k, window)}, max(2, shuffle_partitions(spark)))
+    both = with_next(src, {"fp": fingerprint(F.col("text"), k, window)}, shuffle_partitions(spark))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from paytrail.llm import winnowing
 
@@ -91,3 +92,23 @@ def test_shared_run_of_window_plus_k_words_shares_a_hash(spark):
     df = spark.createDataFrame([(1, "p q r " + shared + " s t"), (2, "u " + shared + " v w x y")], "doc_id long, text string")
     a, b = (set(r.hashes) for r in winnowing.fingerprints(df).collect())
     assert a & b
+
+
+@pytest.mark.parametrize("lots", [2, 7, 40])
+def test_neighbours_equal_a_sort_with_hot_ids_null_ids_and_many_lots(spark, lots):
+    rows = [(i % 90 * 11 - 300, f"t{i}") for i in range(180)] + [(5, f"hot {i}") for i in range(150)] + [(None, f"none {i}") for i in range(120)] + [(7, None), (7, "")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    got = winnowing.with_next(df, {"n": F.length("text")}, lots).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, 42 if r[1] is None else signed(xxhash.xxh64_intdigest(r[1].encode(), seed=42)), r[1] is not None, r[1] or "")
+    order = sorted(rows, key=key)
+    wanted = sorted((key(r), key(n)[2:]) for r, n in zip(order, order[1:] + order[:1], strict=True))
+    assert sorted((key((r.id, r.text)), key((None, r.next_text))[2:]) for r in got) == wanted
+    assert all(r.next_n == (None if r.next_text is None else len(r.next_text)) for r in got)
+
+
+def test_a_hot_id_is_dealt_over_several_lots(spark):
+    rows = [(i, f"t{i}") for i in range(100)] + [(50, f"hot {i}") for i in range(100)] + [(None, f"none {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("hash", F.xxhash64("text"))
+    lot = winnowing._lot(winnowing._layout(df, 30))
+    size = {r.lot: r["count"] for r in df.groupBy(lot.alias("lot")).count().collect()}
+    assert max(size.values()) <= 40 and len(size) >= 25
