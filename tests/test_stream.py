@@ -141,3 +141,30 @@ def test_matching_rows_need_no_shuffle_of_events(spark, raw):
     got = W.match_rows(routed, fx.model_orders(raw), fx.model_payments(raw), salts=4)
     by = {r.kind: r for r in got.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"), F.max("salt").alias("salt")).collect()}
     assert by["event"].n == by["event"].events and by["claim"].n % 4 == 0 and by["claim"].salt == 3
+
+
+def test_keys_share_a_bucket_and_a_bucket_is_read_in_one_pass(spark, monkeypatch):
+    """Many ids and orders in one call of a processor: the results follow the key, not the bucket, also in later micro-batches."""
+    from paytrail.streaming import state as S
+
+    one = lambda *key: F.lit(0).alias("bucket")
+    monkeypatch.setattr(W, "bucket", one)
+    n = 30
+    orders = spark.createDataFrame([(f"o{i}", "a@x", None, None, "pending", T0, T0, None) for i in range(n)], ORDER)
+    payments = spark.createDataFrame([(f"o{i}", f"pi_{i}", f"cs_{i}", "pending", None) for i in range(n)], PAYMENT)
+    root = scratch_path(spark, "bucket-test")
+    s = W.OrderStream(orders, payments, f"{root}/in", f"{root}/told", f"{root}/out", partitions=2)
+    deliver(spark, s, [webhook(i, "checkout.session.completed", {"id": f"cs_{i}", "payment_intent": f"new_{i}", "customer_details": {"email": "é\"\t"}}) for i in range(0, n, 3)])
+    deliver(spark, s, [webhook(100, "payment_intent.payment_failed", {"id": "new_3"}), webhook(101, "payment_intent.succeeded", {"id": "pi_4"})])  # few keys: asked one by one
+    deliver(spark, s, [webhook(200 + i, "payment_intent.succeeded", {"id": f"new_{i}" if i % 2 else f"pi_{i}", "amount": 2**60 + i}) for i in range(n)])
+    entries = s.summaries().filter("seg is not null").select("order_id", "seg")
+    assert entries.count() == entries.distinct().count()
+    got = {r.event_id: r.order_id for r in s.matched().collect()}
+    assert got[100] == "o3" and got[101] == "o4"
+    for i in range(n):  # every third order's intent id is the new one
+        claimed = i % 3 == 0
+        assert got[200 + i] == (f"o{i}" if claimed == bool(i % 2) else None), i
+    assert {r.amount for r in s.matched().filter("event_id >= 200").collect()} == {2**60 + i for i in range(n)}
+    assert {r.customer_email for r in s.matched().filter("event_id < 100").collect()} == {"é\"\t"}
+    assert {k.order_id for k in s.state().filter("payment_status = 'succeeded'").collect()} == {f"o{i}" for i in range(n) if (i % 3 == 0) == bool(i % 2)} | {"o4"}
+    assert S.BUCKETS > 1
