@@ -168,3 +168,57 @@ def test_keys_share_a_bucket_and_a_bucket_is_read_in_one_pass(spark, monkeypatch
     assert {r.customer_email for r in s.matched().filter("event_id < 100").collect()} == {"é\"\t"}
     assert {k.order_id for k in s.state().filter("payment_status = 'succeeded'").collect()} == {f"o{i}" for i in range(n) if (i % 3 == 0) == bool(i % 2)} | {"o4"}
     assert S.BUCKETS > 1
+
+
+def test_many_entries_take_few_calls_to_the_state():
+    """A micro-batch of many keys writes far fewer rows than keys; a key later reads and writes its own row alone."""
+    from paytrail.streaming.state import Entries
+
+    calls = {"get": 0, "put": 0, "all": 0}
+
+    class Map(dict):
+        def iterator(self):
+            calls["all"] += 1
+            return iter(list(self.items()))
+
+        def getValue(self, k):
+            calls["get"] += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            calls["put"] += 1
+            self[k] = v
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, v):
+            self.kept = v
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+    def batch(keys, value):
+        calls.update(get=0, put=0, all=0)
+        before = e.read({k: [] for k in keys})
+        e.write({k: [value] for k in keys})
+        return before
+
+    e = Entries(Handle(), "owners", 2)
+    keys = [(f"ö{i}", None if i % 10 == 0 else i) for i in range(3000)]
+    assert batch(keys[:1000], "a") == {}
+    assert calls["put"] <= 100
+    assert batch(keys[:3], "b") == {k: ["a"] for k in keys[:3]}
+    assert calls["put"] <= 3 and calls["get"] <= 3 and calls["all"] == 0
+    assert batch(keys, "c") == {k: ["b"] if k in keys[:3] else ["a"] for k in keys[:1000]}   # the rows are dealt anew
+    assert calls["put"] <= 300 and calls["all"] <= 2
+    assert batch([], "d") == {} and calls["put"] == 0
+    assert e.read({k: [] for k in keys}) == {k: ["c"] for k in keys}
+    assert sum(len(json.loads(v[0])) for v in e.map.values()) == 3000
