@@ -45,3 +45,14 @@ def test_one_webhook_type_is_filtered_before_matching(spark):
     from conftest import SF_SMALL
     p = _plan(entry.queries()["apply_payment_failed"](spark, SF_SMALL))
     assert "Scan ExistingRDD" not in p and "payment_intent.payment_failed" in p
+
+
+def test_enum_check_builds_only_the_tables_it_checks(spark, monkeypatch):
+    from paytrail.plans import q_quality as Q
+
+    empty = {t: spark.createDataFrame([], "status string, method string") for t in Q.MODEL}
+    built = []
+    for t in Q.MODEL:
+        monkeypatch.setitem(Q.MODEL, t, lambda raw, t=t: built.append(t) or empty[t])
+    assert Q.check_enums(None).count() == 4
+    assert built == ["orders", "payments", "payment_events"]
