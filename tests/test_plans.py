@@ -1,7 +1,11 @@
 """Physical-plan properties that matter at scale."""
 
+from conftest import SF_SMALL
+from pyspark.sql import functions as F
+
 from paytrail.operators import reports as R
 from paytrail.sources import fixtures as fx
+from paytrail.sources.tables import RawTables
 
 
 def _plan(df):
@@ -47,6 +51,19 @@ def test_one_webhook_type_is_filtered_before_matching(spark):
     assert "Scan ExistingRDD" not in p and "payment_intent.payment_failed" in p
 
 
+def test_lines_are_shuffled_narrow_and_gathered_after_one_shuffle(spark):
+    """Lines are dealt by order before ids and prices are made of their keys; a document gathers its lines in the shuffle's reader."""
+    raw = RawTables(spark, SF_SMALL, store=False)
+    plan = fx.model_items(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning(l_orderkey" in plan
+    items = spark.createDataFrame([("o1", i, f"p{i}", "n", "t", 1.0, 1, None) for i in (2, 1, 3)] * 2,
+                                  "order_id string, line_no int, product_id string, product_name string, file_type string, price double, quantity int, download_url string")
+    nested = R.assemble_orders(fx.model_orders(raw).limit(1).withColumn("id", F.lit("o1")), items, fx.model_payments(raw))
+    gather = [x for x in nested._jdf.queryExecution().executedPlan().toString().splitlines() if "collect_list" in x or "Exchange hashpartitioning(order_id" in x]
+    assert ["collect_list" in x for x in gather[:3]] == [True, True, False]   # final and partial step, then the exchange
+    assert [x.product_id for x in nested.first()["items"]] == ["p1", "p1", "p2", "p2", "p3", "p3"]
+
+
 def test_enum_check_builds_only_the_tables_it_checks(spark, monkeypatch):
     from paytrail.plans import q_quality as Q
 
