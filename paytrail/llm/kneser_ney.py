@@ -1,17 +1,21 @@
 """Quality classifier: interpolated modified Kneser-Ney n-gram perplexity.
 
-Training (trusted rows only): the n-grams of up to ``order`` words are keyed by
-64-bit hashes and counted in hash-sharded tables.  Spark aggregates and joins
-them by key: raw counts at the highest order, continuation counts below, counts
-of counts for the three discounts of each order, sums and discount masses per
-context.  The training text is bounded by ``max_train_docs`` rows (documented
-bound of the fit, chosen by a hash of the document id), so the finished tables
-are bounded as well; they are broadcast as sorted key shards.
-
-Scoring: every whole text is exploded into its n-grams, each shard's keys are
-joined to the n-grams of that shard by binary search, and the log probabilities
-are summed per document.  A word outside the table gets the interpolated uniform
-share.  Perplexity is the exponential of the mean negative log probability.
+Training (all trusted rows outside fold 0, equal texts once): the n-grams of up to ``order`` words are keyed by
+64-bit hashes and counted in hash shards, one level after the other, in rows packed as in ``backoff``:
+
+1. the texts are stored in blocks of at most ``BLOCK_WORDS`` words; a block sends each shard its distinct n-grams of
+   the highest order with their counts, and the shard adds them up;
+2. the shard tells every block the totals of its n-grams and names one block the owner of each: an n-gram is one
+   kind, whatever number of blocks hold it.  The owner adds it to its two (n-1)-grams: one more word before the last
+   n - 1 words (the continuation count, the count of the next level), and one more word of that count after the first
+   n - 1 (the sums and discount masses of contexts).  These go to the shards of the next level, down to single words.
+
+The shards of all levels are the model, a stored file each; it grows with the training text and is never in one place.  Counts of counts give the three discounts of each order.
+
+Scoring: in ``LOTS`` lots of documents, so that what is under way stays a part of the input, blocks send the shards the
+distinct n-grams of every whole text, the shards answer with the counts, and the block sums the log probabilities per
+document.  A word outside the model gets the interpolated uniform share.  Perplexity is the exponential of the mean
+negative log probability.
 
 Threshold: per language, the ``quantile`` of the perplexities of all trusted rows
 outside the training fold (of all trusted rows where a language has none there);
@@ -23,21 +27,31 @@ mean says little.  Quantiles use Spark's mergeable summaries over all such rows.
 Defined results: a null or empty text has no words, perplexity null and is kept;
 a null language is a language of its own; rows without a label are scored but
 never trained on; without trusted rows every document is kept; repeated rows are
-each reported; other columns are not read.
+each reported; other columns are not read.  ``docs`` must be a stored table: it is read twice, block by block.
 """
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from paytrail.llm.common import Shared, WordHash, pick, small_batches, stored
+from paytrail.llm.backoff import SHARD_WORDS, _cuts, _pack_counts, _pack_sorted, _unpack_counts, _unpack_sorted
+from paytrail.llm.common import WordHash, file_system, make_folder, pick, release, shuffle_partitions, small_batches, stored, write_file
+from paytrail.operators.broadcast import broadcast_if_few, estimated_size_bytes
+from paytrail.session import scratch_path
 
 ORDER = 3
-MAX_TRAIN_DOCS = 2000
+BLOCK_WORDS = 1_000_000
+# documents are scored in so many lots, one after the other; stored ones of few bytes in fewer
+LOTS = 12
+LOT_BYTES = 16 * 1024 * 1024
 QUANTILE = 0.995
 PRIOR_WORDS = 20
 # trusted rows over all languages that a language's own rows are weighed against
@@ -54,23 +68,23 @@ def _mix(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def contexts(texts: list[str | None], order: int, hasher: WordHash) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(words per text, keys[n] = the key of the n words that end at each position, ctx[n] = the key of the n words before it).
-
-    Texts start with ``order - 1`` start marks, so every position has all orders.
-    """
+def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(words per text, hashes of all words)."""
     words = [(t or "").split() for t in texts]
     counts = np.array([len(w) for w in words], dtype=np.int64)
+    return counts, np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), dtype=np.uint64, count=int(counts.sum()))
+
+
+def _grams(counts: np.ndarray, flat: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(keys[n] = the key of the n words that end at each position, ctx[n] = the key of the n words before it).
+
+    Texts start with ``order - 1`` start marks, so every position has all orders.  The n words before a position have
+    the key that the same n words have where they end.
+    """
     pad = order - 1
-    total = int(counts.sum()) + pad * len(words)
-    h, real, at = np.full(total, _START, dtype=np.uint64), np.zeros(total, dtype=bool), 0
-    for w in words:
-        at += pad
-        if w:
-            h[at : at + len(w)] = hasher(w)
-            real[at : at + len(w)] = True
-            at += len(w)
-    where = np.flatnonzero(real)
+    where = np.arange(len(flat)) + np.repeat(pad * np.arange(1, len(counts) + 1), counts)
+    h = np.full(len(flat) + pad * len(counts), _START, dtype=np.uint64)
+    h[where] = flat
 
     def key(n: int, shift: int) -> np.ndarray:
         out = np.full(len(where), np.uint64(n), dtype=np.uint64)
@@ -78,7 +92,29 @@ def contexts(texts: list[str | None], order: int, hasher: WordHash) -> tuple[np.
             out = _mix(out, h[where - back - shift])
         return out
 
-    return counts, [key(n, 0) for n in range(order + 1)], [key(n, 1) for n in range(order)]
+    return [key(n, 0) for n in range(order + 1)], [key(n, 1) for n in range(order)]
+
+
+def contexts(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(words per text, keys, ctx) of texts, see ``_grams``."""
+    counts, flat = _hashes(texts)
+    return counts, *_grams(counts, flat, order)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting is faster than ``np.unique``, which hashes."""
+    s = np.sort(x)
+    return s[np.concatenate([np.ones(min(1, len(s)), dtype=bool), s[1:] != s[:-1]])]
+
+
+def _distinct_back(x: np.ndarray, first: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, index of a place of each, with ``first`` its first one, index into the distinct values)."""
+    by = np.argsort(x, kind="stable" if first else None)
+    s = x[by]
+    new = np.concatenate([np.ones(min(1, len(s)), dtype=bool), s[1:] != s[:-1]])
+    back = np.empty(len(x), dtype=np.int64)
+    back[by] = np.cumsum(new) - 1
+    return s[new], by[new], back
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -93,60 +129,254 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [x if 0.0 < x < i else i / 2 for i, x in enumerate(raw, 1)]
 
 
-def train_tables(texts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """From (text): alphas (n, key, alpha) and gammas (n, ctx, gamma) of the interpolated model.
+# ---------------------------------------------------------------- packed rows ---
+# a row between blocks and shards: level 0 holds a block's words (``keys``) and its documents' rows (``cols``); the others
+# n-grams of ``level`` words, as sorted keys or in the order of the keys that the block sent, with columns of counts;
+# the model's own rows have block -1
+PIECE = "block long, level int, shard int, size long, keys binary, cols array<binary>"
+_PIECE = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("shard", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("cols", pa.list_(pa.binary()))])
+MODEL = -1
+
+
+def _pieces(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PIECE)], schema=_PIECE)
+
+
+def _rows(table: pa.Table) -> list[tuple]:
+    return list(zip(*(table.column(f.name).to_pylist() for f in _PIECE), strict=True))
+
+
+def _dump(counts: np.ndarray, flat: np.ndarray) -> bytes:
+    """A block's words: lengths, distinct hashes and the words as numbers of these, by byte planes."""
+    known, _, code = _distinct_back(flat)
+    head = np.array([len(counts), len(flat), len(known)], dtype="<i8").tobytes()
+    planes = code.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + counts.astype("<i8").tobytes() + planes + _pack_sorted(known))
+
+
+def _load(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    docs, n, distinct = np.frombuffer(raw, "<i8", 3).tolist()
+    counts, at = np.frombuffer(raw, "<i8", docs, 24), 24 + 8 * docs
+    planes, at = np.frombuffer(raw, "u1", 4 * n, at), at + 4 * n
+    known = _unpack_sorted(raw[at:], distinct)
+    return counts, known[np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()]
+
+
+def _blocks(batches, block_words: int, text_at: int = 0):
+    """(block number, its rows without the text, words per text, hashes of all words) of a task's rows."""
+    release()
+    part, seq = TaskContext.get().partitionId(), 0
+    rows, counts, flat, n = [], [], [], 0
+    for batch in batches:
+        for start in range(0, batch.num_rows, 64):  # texts may be long
+            few = batch.slice(start, 64)
+            c, h = _hashes(few.column(text_at).to_pylist())
+            if rows and n + len(h) > block_words:
+                yield part << 20 | seq, pa.Table.from_batches(rows), np.concatenate(counts), np.concatenate(flat)
+                rows, counts, flat, n, seq = [], [], [], 0, seq + 1
+            rows.append(few.select([i for i in range(few.num_columns) if i != text_at]))
+            counts.append(c)
+            flat.append(h)
+            n += len(h)
+    if rows:
+        yield part << 20 | seq, pa.Table.from_batches(rows), np.concatenate(counts), np.concatenate(flat)
+
+
+def _to_shards(block: int, level: int, keys: np.ndarray, cols: list[np.ndarray], shards: int) -> list[tuple]:
+    """Sorted keys and their columns, one row a shard."""
+    cuts = _cuts(keys, shards).tolist()
+    return [(block, level, s, b - a, _pack_sorted(keys[a:b]), [_pack_counts(c[a:b]) for c in cols])
+            for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
 
-    p(w | ctx) = alpha(ctx w) + gamma(ctx) * p(w | shorter ctx), at the lowest order + gamma / vocabulary.
+
+def _together(rows: list[tuple], cols: int) -> list[np.ndarray]:
+    """A block's answers of one level, in the order of its keys."""
+    rows = sorted(rows, key=lambda r: r[2])
+    return [np.concatenate([np.zeros(0, dtype=np.int64), *(_unpack_counts(r[5][i]) for r in rows)]) for i in range(cols)]
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes the shuffle files of every finished job: what the next one needs is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+# -------------------------------------------------------------------- training ---
+def _climb(counts: np.ndarray, flat: np.ndarray, order: int, answers: dict) -> tuple[int, np.ndarray, list[np.ndarray]]:
+    """(level, distinct keys, columns) that a block sends next, after the ``answers`` (totals, owned) of higher levels.
+
+    The highest level has one column, the count.  The lower ones have the continuation count, the kinds of n-grams that
+    begin with these words and have count 1, 2, or 3 and more, and the sum of their counts.
+    """
+    keys, ctx = _grams(counts, flat, order)
+    level = order
+    own, at, back = _distinct_back(keys[order])
+    cols = [np.bincount(back, minlength=len(own))]
+    while level in answers:
+        total, owned = answers[level]
+        if len(total) != len(own):
+            raise ValueError("the answers are not those of this block")
+        owned = owned > 0
+        here, c = at[owned], total[owned]
+        level -= 1
+        k = len(here)
+        own, first, back = _distinct_back(np.concatenate([keys[level][here], ctx[level][here]]), first=True)
+        size = len(own)
+        ends, begins = back[:k], back[k:]
+        cols = [np.bincount(ends, minlength=size), *(np.bincount(begins[x], minlength=size) for x in (c == 1, c == 2, c > 2)),
+                np.bincount(begins, weights=c, minlength=size).astype(np.int64)]
+        # where such words end; those that only begin an n-gram have no owner
+        at = here[np.where(first < k, first, 0)] if k else first
+    return level, own, cols
+
+
+def _model_file(root: str, level: int, shard: int) -> str:
+    return f"{root}/{level}-{shard}"
+
+
+def _read_shard(root: str, level: int, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sorted keys, columns) of a stored shard."""
+    fs, path = file_system(_model_file(root, level, shard))
+    with fs.open_input_file(path) as f, pa.ipc.open_stream(f) as r:
+        row = _rows(r.read_all())[0]
+    return _unpack_sorted(row[4], row[3]), [_unpack_counts(c) for c in row[5]]
+
+
+def _add_up(table: pa.Table, root: str) -> pa.Table:
+    """A shard of one level, stored: every block's totals and what it owns, and as the model's row the kinds with count
+    1, 2, 3 and 4, all kinds, and the sum of counts."""
+    rows = _rows(table)
+    level, shard = rows[0][1], rows[0][2]
+    known, _, back = _distinct_back(np.concatenate([_unpack_sorted(r[4], r[3]) for r in rows]))
+    cols = [np.concatenate([_unpack_counts(r[5][i]) for r in rows]) for i in range(len(rows[0][5]))]
+    sums = []
+    for c in cols:
+        total = np.zeros(len(known), dtype=np.int64)
+        np.add.at(total, back, c)
+        sums.append(total)
+    # the first block that counted a key owns it
+    counted = np.flatnonzero(cols[0] > 0)
+    owned = np.zeros(len(back), dtype=np.int64)
+    owned[counted[_distinct_back(back[counted], first=True)[1]]] = 1
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PIECE) as out:
+        out.write_table(_pieces([(MODEL, level, shard, len(known), _pack_sorted(known), [_pack_counts(c) for c in sums])]))
+    write_file(_model_file(root, level, shard), sink.getvalue().to_pybytes(), str(TaskContext.get().taskAttemptId()))
+    seen = [*(int((sums[0] == i).sum()) for i in (1, 2, 3, 4)), int((sums[0] > 0).sum()), int(sums[0].sum())]
+    answers = [(MODEL, level, shard, len(known), np.array(seen, dtype="<i8").tobytes(), [])]
+    for r, end in zip(rows, np.cumsum([r[3] for r in rows]).tolist(), strict=True):
+        answers.append((r[0], level, shard, r[3], b"", [_pack_counts(sums[0][back[end - r[3] : end]]), _pack_counts(owned[end - r[3] : end])]))
+    return _pieces(answers)
+
+
+class Model:
+    """The stored shards of all levels, with the discounts of every order and the number of words.
+
+    ``shards`` is how many ranges of the keys there are, ``present`` the (level, shard) that hold any; ``first`` is the sum
+    of counts and the discount mass of the empty context.
     """
-    small_batches(texts.sparkSession)
 
-    def explode(batches):
-        hasher = WordHash()
+    def __init__(self, order: int, root: str, shards: int, present: list[tuple[int, int]], discounts: dict, first: tuple[int, float], vocabulary: int):
+        self.order, self.root, self.shards, self.present = order, root, shards, frozenset(present)
+        self.discounts, self.first, self.vocabulary = discounts, first, vocabulary
+
+
+def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_WORDS, shards: int | None = None) -> Model:
+    """The model of (text)."""
+    spark = texts.sparkSession
+    small_batches(spark)
+
+    def cut(batches):
+        for number, _, counts, flat in _blocks(batches, block_words):
+            yield from _pieces([(number, 0, 0, len(flat), _dump(counts, flat), [])]).to_batches()
+
+    with _shuffles_removed(spark):
+        blocks = stored(texts.mapInArrow(cut, PIECE), "kn-blocks")
+        total = blocks.agg(F.sum("size")).first()[0] or 0
+        n_shards = shards or max(2 * shuffle_partitions(spark), -(-total // SHARD_WORDS))
+
+        def send(table: pa.Table) -> pa.Table:
+            rows = _rows(table)
+            counts, flat = _load(next(r[4] for r in rows if r[1] == 0))
+            answers = {n: _together([r for r in rows if r[1] == n], 2) for n in {r[1] for r in rows} - {0}}
+            level, keys, cols = _climb(counts, flat, order, answers)
+            return _pieces(_to_shards(rows[0][0], level, keys, cols, n_shards))
+
+        root = scratch_path(spark, "kn-model")
+        make_folder(root)
+        source, present, found = blocks, [], {}
+        kinds, first = 0, (0, 0.0)
+        for n in range(order, 0, -1):
+            sent = source.groupBy("block").applyInArrow(send, PIECE)
+            level = stored(sent.groupBy("shard").applyInArrow(lambda t: _add_up(t, root), PIECE), f"kn-level{n}")
+            # six numbers a shard
+            seen = level.filter(F.col("block") == MODEL).select("shard", "keys").collect()
+            n1, n2, n3, n4, kinds, words = np.sum([np.zeros(6, dtype=np.int64), *(np.frombuffer(r[1], "<i8") for r in seen)], axis=0).tolist()
+            present += [(n, r[0]) for r in seen]
+            d = found[n] = discounts(n1, n2, n3, n4)
+            first = (words, n1 * d[0] + n2 * d[1] + (kinds - n1 - n2) * d[2])
+            source = source.unionAll(level.filter(F.col("block") != MODEL))
+    return Model(order, root, n_shards, present, found, first, kinds + 1)
+
+
+def _less(c: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts without their discounts; 0 stays 0."""
+    return c - np.array([0.0, *d])[np.minimum(c, 3)]
+
+
+def train_tables(texts: DataFrame, order: int = ORDER, **settings) -> tuple[DataFrame, DataFrame]:
+    """From (text): alphas (n, key, alpha) and gammas (n, ctx, gamma) of the interpolated model, row by row.
+
+    p(w | ctx) = alpha(ctx w) + gamma(ctx) * p(w | shorter ctx), at the lowest order + gamma / vocabulary.  ``alpha`` is
+    the discounted count alone; ``total`` of the context in the gammas divides it.
+    """
+    model = train_model(texts, order, **settings)
+    d, root, spark = model.discounts, model.root, texts.sparkSession
+
+    def counts(batches):
+        for batch in batches:
+            for level, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, (c, *_) = _read_shard(root, level, shard)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full((c > 0).sum(), level, dtype=np.int32)), _signed(keys[c > 0]), pa.array(_less(c, d[level])[c > 0])], ["n", "key", "alpha"])
+
+    def contexts_of(batches):
         for batch in batches:
-            _, key, ctx = contexts(batch.column(0).to_pylist(), order, hasher)
-            arrays = [_signed(key[order]), _signed(ctx[order - 1])]
-            # the suffixes: the same position's n-gram and context of every lower order
-            arrays += [_signed(x) for n in range(order - 1, 0, -1) for x in (key[n], ctx[n - 1])]
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = ["key", "ctx"] + [f"{x}{n}" for n in range(order - 1, 0, -1) for x in ("key", "ctx")]
-    raw = texts.mapInArrow(explode, ", ".join(f"{n} long" for n in names))
-    table = stored(raw.groupBy(*names).agg(F.count("*").alias("c")), "kn-grams")
-    alphas, gammas = [], []
-    for n in range(order, 0, -1):
-        counts = table.select("key", "ctx", "c")
-        few = {int(r[0]): r[1] for r in counts.filter("c <= 4").groupBy("c").count().collect()}
-        n1, n2, n3, n4 = (few.get(i, 0) for i in (1, 2, 3, 4))
-        d = discounts(n1, n2, n3, n4)
-        cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        sums = counts.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(cut).alias("mass"))
-        alphas.append(counts.join(sums, "ctx").select(F.lit(n).alias("n"), "key", ((F.col("c") - cut) / F.col("total")).alias("alpha")))
-        gammas.append(sums.select(F.lit(n).alias("n"), "ctx", (F.col("mass") / F.col("total")).alias("gamma")))
-        if n > 1:
-            # continuation counts: how many different words stand before each lower n-gram
-            rest = [c for c in table.columns if c not in ("key", "ctx", "c")]
-            table = stored(table.groupBy(*rest).agg(F.count("*").alias("c")).withColumnsRenamed({f"key{n - 1}": "key", f"ctx{n - 1}": "ctx"}), "kn-grams")
-    a, g = alphas[0], gammas[0]
-    for x, y in zip(alphas[1:], gammas[1:], strict=True):
-        a, g = a.unionAll(x), g.unionAll(y)
-    return a, g
+            for level, shard in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if level < order:
+                    keys, (_, *n, total) = _read_shard(root, level, shard)
+                    on = total > 0
+                    mass = sum(x * y for x, y in zip(n, d[level + 1], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), level + 1, dtype=np.int32)), _signed(keys[on]), pa.array(mass[on] / total[on]), pa.array(total[on])], ["n", "ctx", "gamma", "total"])
+
+    empty = int(_grams(np.array([1]), np.zeros(1, dtype=np.uint64), order)[1][0].view(np.int64)[0])
+    words, mass = model.first
+    top = spark.createDataFrame([(1, empty, mass / words, words)] if words else [], "n int, ctx long, gamma double, total long")
+    shards = spark.createDataFrame(sorted(model.present), "level int, shard int")
+    return shards.mapInArrow(counts, "n int, key long, alpha double"), shards.mapInArrow(contexts_of, "n int, ctx long, gamma double, total long").unionAll(top)
 
 
 class Tables:
-    """The finished tables as sorted keys, cut into shards by the keys' top bits."""
+    """The finished tables of a small model in one place, as sorted keys, cut into shards by the keys' top bits."""
 
-    def __init__(self, order: int, alphas: dict, gammas: dict):
-        self.order, self.alphas, self.gammas = order, alphas, gammas
+    def __init__(self, order: int, alphas: dict, gammas: dict, totals: dict):
+        self.order, self.alphas, self.gammas, self.totals = order, alphas, gammas, totals
         self.vocabulary = sum(len(k) for k, _ in alphas[1]) + 1
 
     @classmethod
     def collect(cls, order: int, alphas: DataFrame, gammas: DataFrame, shards: int = SHARDS) -> Tables:
         def load(df: DataFrame, key: str, value: str) -> dict:
-            t = df.select("n", key, F.col(value).cast("float")).toArrow()
+            t = df.select("n", key, F.col(value).cast("double")).toArrow()
             n, k, v = (t.column(i).to_numpy() for i in range(3))
             out = {}
             for i in range(1, order + 1):
-                keys, values = k[n == i].view(np.uint64), v[n == i].astype(np.float32)
+                keys, values = k[n == i].view(np.uint64), v[n == i]
                 by = np.argsort(keys, kind="stable")
                 keys, values = keys[by], values[by]
                 cuts = np.searchsorted(keys >> np.uint64(60), np.arange(1, shards, dtype=np.uint64))
@@ -155,7 +385,7 @@ class Tables:
 
         if shards != 16:
             raise ValueError("shards are the 16 values of the keys' four top bits")
-        tables = cls(order, load(alphas, "key", "alpha"), load(gammas, "ctx", "gamma"))
+        tables = cls(order, load(alphas, "key", "alpha"), load(gammas, "ctx", "gamma"), load(gammas, "ctx", "total"))
         pa.default_memory_pool().release_unused()  # the driver keeps nothing of the transfer
         return tables
 
@@ -173,25 +403,20 @@ class Tables:
                 out[where[hit]] = values[k[hit]]
         return out
 
-    def log_probs(self, texts: list[str | None], hasher: WordHash) -> tuple[np.ndarray, np.ndarray]:
-        """(words, sum of natural log probabilities) per text."""
-        counts, keys, ctx = contexts(texts, self.order, hasher)
+    def log_probs(self, texts: list[str | None], hasher: WordHash | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(words, sum of natural log probabilities) per text; words are hashed here, ``hasher`` is not needed."""
+        counts, keys, ctx = contexts(texts, self.order)
         p = np.full(int(counts.sum()), 1.0 / self.vocabulary)
         for n in range(1, self.order + 1):
             # n-grams repeat: each distinct key is joined once
             k, back = np.unique(keys[n], return_inverse=True)
             c, cback = np.unique(ctx[n - 1], return_inverse=True)
-            p = self.join(self.alphas[n], k, 0.0)[back] + self.join(self.gammas[n], c, 1.0)[cback] * p
+            p = self.join(self.alphas[n], k, 0.0)[back] / self.join(self.totals[n], c, 1.0)[cback] + self.join(self.gammas[n], c, 1.0)[cback] * p
         sums = np.zeros(len(counts))
         np.add.at(sums, np.repeat(np.arange(len(counts)), counts), np.log(p))
         return counts, sums
 
 
-def _held(spark, tables: Tables) -> Shared:
-    """The tables, broadcast once (bounded by the training text) and opened once per worker, with a hasher."""
-    return Shared(spark, tables, lambda t: (t, WordHash()))
-
-
 def trusted_labels(labels: DataFrame, id_col: str, hold_out: int = 5) -> DataFrame:
     """(id, fold): rows labelled good and never bad; fold 0 is kept out of training."""
     fold = (F.crc32(F.col("id").cast("string").cast("binary")) % hold_out).cast("int")
@@ -199,26 +424,100 @@ def trusted_labels(labels: DataFrame, id_col: str, hold_out: int = 5) -> DataFra
             .groupBy("id").agg(F.min("q").alias("q")).filter("q = 1").select("id", fold.alias("fold")))
 
 
-def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, max_train_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Tables:
-    chosen = trusted_labels(labels, id_col).filter("fold <> 0").orderBy(F.xxhash64(F.lit("train"), "id"), "id").limit(max_train_docs)
-    # at most max_train_docs ids: the proven bound of this broadcast
-    texts = pick(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("text").distinct()
-    return Tables.collect(order, *train_tables(texts, order))
-
-
-def perplexities(docs: DataFrame, held: Shared, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, n_words, log_prob) of every whole text."""
-    small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-
-    def run(batches):
-        for batch in batches:
-            own, hasher = held.get()
-            n, s = own.log_probs(batch.column(1).to_pylist(), hasher)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(s, pa.float64())], ["id", "lang", "n_words", "log_prob"])
-
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), T.StructField("lang", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-    return src.mapInArrow(run, schema)
+def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the whole texts of all trusted rows outside fold 0; equal texts count once."""
+    chosen = broadcast_if_few(trusted_labels(labels, id_col).filter("fold <> 0").select("id"))
+    return train_model(pick(docs, id_col, text_col).join(chosen, "id", "left_semi").select("text").distinct(), order)
+
+
+# --------------------------------------------------------------------- scoring ---
+def _answer(table: pa.Table, root: str, present: frozenset) -> pa.Table:
+    """A shard: the model's counts of the n-grams that blocks ask for; 0 for unknown ones, no columns where the shard has none of the level."""
+    out, level_of, found, cols = [], None, np.zeros(0, dtype=np.uint64), []
+    for block, level, shard, size, keys, _ in sorted(_rows(table), key=lambda r: r[1]):
+        if (level, shard) not in present:
+            out.append((block, level, shard, size, b"", []))
+            continue
+        if level != level_of:
+            level_of, (found, cols) = level, _read_shard(root, level, shard)
+        asked = _unpack_sorted(keys, size)
+        at = np.minimum(np.searchsorted(found, asked), len(found) - 1)
+        hit = found[at] == asked
+        out.append((block, level, shard, size, b"", [_pack_counts(np.where(hit, c[at], 0)) for c in cols]))
+    return _pieces(out)
+
+
+def _asked(keys: list[np.ndarray], ctx: list[np.ndarray], n: int, order: int) -> np.ndarray:
+    return keys[n] if n == order else np.concatenate([keys[n], ctx[n]])
+
+
+def _log_probs(counts: np.ndarray, flat: np.ndarray, order: int, discounts: dict, first: tuple[int, float], vocabulary: int, answers: dict) -> np.ndarray:
+    """Sums of log probabilities per text; ``answers[n]`` gives the columns of the block's distinct keys of level n."""
+    keys, ctx = _grams(counts, flat, order)
+    p, n_words = np.full(len(flat), 1.0 / vocabulary), len(flat)
+    words, mass = first
+    total, gamma = np.full(n_words, float(max(words, 1))), np.full(n_words, mass / words if words else 1.0)
+    for n in range(1, order + 1):
+        asked, _, back = _distinct_back(_asked(keys, ctx, n, order))
+        cols = answers[n]
+        if len(cols[0]) != len(asked):
+            raise ValueError("the documents changed between the two readings")
+        p = _less(cols[0], discounts[n])[back[:n_words]] / total + gamma * p
+        if n < order:
+            t = cols[4]
+            m = sum(x * y for x, y in zip(cols[1:4], discounts[n + 1], strict=True))
+            after = back[n_words:]
+            total, gamma = np.maximum(t, 1)[after].astype(float), np.where(t > 0, m / np.maximum(t, 1), 1.0)[after]
+    sums = np.zeros(len(counts))
+    np.add.at(sums, np.repeat(np.arange(len(counts)), counts), np.log(p))
+    return sums
+
+
+def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                 lots: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(id, lang, text_hash, n_words, log_prob) of every whole text, stored."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    order, shards, root, present, discounts, first, vocabulary = model.order, model.shards, model.root, model.present, model.discounts, model.first, model.vocabulary
+    src = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    src = src.withColumn("text_hash", F.xxhash64("text"))
+    lots = lots or max(1, min(LOTS, (estimated_size_bytes(src) or LOTS * LOT_BYTES) // LOT_BYTES))
+    widths = {n: 1 if n == order else 5 for n in range(1, order + 1)}
+
+    def ask(batches):
+        for number, _, counts, flat in _blocks(batches, block_words):
+            keys, ctx = _grams(counts, flat, order)
+            for n in range(1, order + 1):
+                yield from _pieces(_to_shards(number, n, _distinct(_asked(keys, ctx, n, order)), [], shards)).to_batches()
+
+    def words(batches):
+        for number, rows, counts, flat in _blocks(batches, block_words):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            yield from _pieces([(number, 0, 0, len(flat), _dump(counts, flat), [sink.getvalue().to_pybytes()])]).to_batches()
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        own = next(r for r in rows if r[1] == 0)
+        counts, flat = _load(own[4])
+        answers = {}
+        for n, width in widths.items():
+            answers[n] = _together([r if r[5] else (*r[:5], [_pack_counts(np.zeros(r[3], dtype=np.int64))] * width) for r in rows if r[1] == n], width)
+        sums = _log_probs(counts, flat, order, discounts, first, vocabulary, answers)
+        t = pa.ipc.open_stream(own[5][0]).read_all()
+        return t.append_column("n_words", pa.array(counts, pa.int64())).append_column("log_prob", pa.array(sums, pa.float64()))
+
+    kind = src.schema["id"].dataType.simpleString()
+    out = f"id {kind}, lang string, text_hash long, n_words long, log_prob double"
+    parts = None
+    with _shuffles_removed(spark):
+        for lot in range(lots):
+            few = src.filter(F.pmod(F.xxhash64("id", "text_hash"), F.lit(lots)) == lot)
+            answered = few.mapInArrow(ask, PIECE).groupBy("shard").applyInArrow(lambda t: _answer(t, root, present), PIECE)
+            part = stored(few.mapInArrow(words, PIECE).unionAll(answered).groupBy("block").applyInArrow(add, out), "kn-scores")
+            parts = part if parts is None else parts.unionAll(part)
+    return parts
 
 
 def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id") -> dict:
@@ -253,10 +552,10 @@ def thresholds(scored: DataFrame, labels: DataFrame, quantile: float = QUANTILE,
 
 
 class Classifier:
-    """The broadcast tables and the limits."""
+    """The model and the limits."""
 
-    def __init__(self, held: Shared | None, limits: dict):
-        self.held, self.limits = held, limits
+    def __init__(self, model: Model | None, limits: dict):
+        self.model, self.limits = model, limits
 
     def rate(self, lang: str | None, n: int, log_prob: float) -> tuple[float, float] | None:
         """(shrunk mean negative log probability, limit), or none for a text that is not judged."""
@@ -267,12 +566,12 @@ class Classifier:
         return (-log_prob + PRIOR_WORDS * mean) / (n + PRIOR_WORDS), limit
 
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, max_train_docs: int = MAX_TRAIN_DOCS,
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER,
         id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[Classifier, DataFrame]:
     """The classifier and the scores of all documents, written once, from which its limits were taken."""
-    held = _held(docs.sparkSession, train(docs, labels, order, max_train_docs, id_col, text_col))
-    scored = stored(perplexities(docs, held, id_col, text_col, lang_col), "kn-scores")
-    return Classifier(held, thresholds(scored, labels, quantile, id_col)), scored
+    model = train(docs, labels, order, id_col, text_col)
+    scored = perplexities(docs, model, id_col, text_col, lang_col)
+    return Classifier(model, thresholds(scored, labels, quantile, id_col)), scored
 
 
 def _rate_and_limit(model: Classifier, lang: Column, n_words: Column, log_prob: Column) -> tuple[Column, Column]:
@@ -294,44 +593,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **setti
                          rate.alias("rate"), limit.alias("threshold"), F.coalesce(rate <= limit, F.lit(True)).alias("keep"))
 
 
-def good_rows(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, max_train_docs: int = MAX_TRAIN_DOCS,
-              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with all columns, without the rows whose rate is over their language's limit; every text is scored once.
+def _kept(docs: DataFrame, scored: DataFrame, model: Classifier, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``docs`` without the rows whose rate is over their language's limit; rows of one id may have different texts."""
+    rate, limit = _rate_and_limit(model, F.col("lang"), F.col("n_words"), F.col("log_prob"))
+    gone = scored.filter(rate > limit).select("id", "lang", "text_hash").distinct()
+    same = (docs[id_col].eqNullSafe(gone["id"]) & docs[lang_col].cast("string").eqNullSafe(gone["lang"])
+            & (F.xxhash64(docs[text_col].cast("string")) == gone["text_hash"]))
+    return docs.join(broadcast_if_few(gone), same, "left_anti")
 
-    The scored rows are written with their texts, since rows of one id may have different texts.
-    """
-    small_batches(docs.sparkSession)
-    held = _held(docs.sparkSession, train(docs, labels, order, max_train_docs, id_col, text_col))
-    columns = docs.columns
-    k, names = columns.index(text_col), ["__words", "__log_prob"]
-    while set(names) & set(columns):  # never a column of the documents
-        names = [f"_{n}" for n in names]
-
-    def run(batches):
-        for batch in batches:
-            own, hasher = held.get()
-            n, s = own.log_probs(batch.column(k).cast(pa.string()).to_pylist(), hasher)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(s, pa.float64())], [*columns, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), T.StructField(names[1], T.DoubleType())])
-    rows = stored(docs.mapInArrow(run, schema), "kn-rows")
-    scored = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(names[0]).alias("n_words"), F.col(names[1]).alias("log_prob"))
-    model = Classifier(held, thresholds(scored, labels, quantile, id_col))
-    rate, limit = _rate_and_limit(model, F.col(lang_col).cast("string"), F.col(names[0]), F.col(names[1]))
-    return rows.filter(F.coalesce(rate <= limit, F.lit(True))).select(*columns)
+def good_rows(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER,
+              id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with all columns, without the rows whose rate is over their language's limit; every text is scored once."""
+    model, scored = fit(docs, labels, quantile, order, id_col, text_col, lang_col)
+    return _kept(docs, scored, model, id_col, text_col, lang_col)
 
 
-def without_low_quality(docs: DataFrame, model: Classifier, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def without_low_quality(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with all columns, without the rows whose rate is over their language's limit."""
-    small_batches(docs.sparkSession)
-    held, rates = model.held, Classifier(None, model.limits)
-    k, m = docs.columns.index(text_col), docs.columns.index(lang_col)
-
-    def run(batches):
-        for batch in batches:
-            own, hasher = held.get()
-            n, s = own.log_probs(batch.column(k).to_pylist(), hasher)
-            got = [rates.rate(lang, a, b) for lang, a, b in zip(batch.column(m).to_pylist(), n.tolist(), s.tolist(), strict=True)]
-            yield batch.filter(pa.array([x is None or x[0] <= x[1] for x in got], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return _kept(docs, perplexities(docs, model.model, id_col, text_col, lang_col), model, id_col, text_col, lang_col)

@@ -119,3 +119,28 @@ def test_without_trusted_rows_and_empty_tables(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
     assert [r.keep for r in kn.classify(docs, labels).collect()] == [True]
     assert kn.classify(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_trusted_row_outside_the_fold_is_counted(spark):
+    """No bound on the training text: 2600 texts of words of their own, some equal, rows in many small blocks."""
+    data = [(i, f"a{i % 2500} b{i % 2500} a{i % 2500}", "en") for i in range(2600)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in data], "doc_id long, quality int")
+    inside = {r.id for r in kn.trusted_labels(labels, "doc_id").filter("fold <> 0").collect()}
+    texts = {t for i, t, _ in data if i in inside}
+    assert len(texts) > 2000
+    model = kn.train(docs, labels, order=2)
+    assert model.vocabulary == len({w for t in texts for w in t.split()}) + 1
+
+
+def test_blocks_and_lots_do_not_change_the_scores(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*TRAIN, *TRAIN[:3], "a b q", "zz", "", None])], "doc_id long, text string, lang string").repartition(3)
+    texts = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(2)
+    model = kn.train_model(texts, 3, block_words=7, shards=5)
+    got = {r.id: (r.n_words, r.log_prob) for r in kn.perplexities(docs, model, lots=2, block_words=9).collect()}
+    p = brute(TRAIN, 3)
+    assert len(got) == docs.count()
+    for i, t, _ in docs.collect():
+        w = ["<s>"] * 2 + (t or "").split()
+        want = sum(math.log(p(tuple(w[j - 2 : j + 1]))) for j in range(2, len(w)))
+        assert got[i] == (len(w) - 2, pytest.approx(want, abs=1e-9))
