@@ -27,7 +27,7 @@ mean says little.  Quantiles use Spark's mergeable summaries over all such rows.
 Defined results: a null or empty text has no words, perplexity null and is kept;
 a null language is a language of its own; rows without a label are scored but
 never trained on; without trusted rows every document is kept; repeated rows are
-each reported; other columns are not read.  ``docs`` must be a stored table: it is read twice, block by block.
+each reported; other columns are not read. 
 """
 
 from __future__ import annotations
@@ -42,15 +42,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paytrail.llm.backoff import SHARD_WORDS, _cuts, _pack_counts, _pack_sorted, _unpack_counts, _unpack_sorted
+from paytrail.llm.backoff import _cuts, _pack_counts, _pack_sorted, _unpack_counts, _unpack_sorted
 from paytrail.llm.common import WordHash, file_system, make_folder, pick, release, shuffle_partitions, small_batches, stored, write_file
 from paytrail.operators.broadcast import broadcast_if_few, estimated_size_bytes
 from paytrail.session import scratch_path
 
 ORDER = 3
 BLOCK_WORDS = 1_000_000
+# a shard for so many words of the training text at least, for so many bytes of documents to be scored, and none for fewer words
+SHARD_WORDS, SHARD_BYTES, FEW_WORDS = 500_000, 32 * 1024 * 1024, 50_000
 # documents are scored in so many lots, one after the other; stored ones of few bytes in fewer
-LOTS = 12
+LOTS = 16
 LOT_BYTES = 16 * 1024 * 1024
 QUANTILE = 0.995
 PRIOR_WORDS = 20
@@ -75,30 +77,30 @@ def _hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.fromiter((xxhash.xxh3_64_intdigest(x) for w in words for x in w), dtype=np.uint64, count=int(counts.sum()))
 
 
-def _grams(counts: np.ndarray, flat: np.ndarray, order: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """(keys[n] = the key of the n words that end at each position, ctx[n] = the key of the n words before it).
+def _grams(counts: np.ndarray, flat: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(grams[n] = the key of the n words that end at each place, the places of the words).
 
-    Texts start with ``order - 1`` start marks, so every position has all orders.  The n words before a position have
-    the key that the same n words have where they end.
+    Texts start with ``order - 1`` start marks, which have places too.  The words before a word end one place earlier.
     """
     pad = order - 1
     where = np.arange(len(flat)) + np.repeat(pad * np.arange(1, len(counts) + 1), counts)
-    h = np.full(len(flat) + pad * len(counts), _START, dtype=np.uint64)
-    h[where] = flat
-
-    def key(n: int, shift: int) -> np.ndarray:
-        out = np.full(len(where), np.uint64(n), dtype=np.uint64)
+    size = len(flat) + pad * len(counts)
+    h = np.full(size + order, _START, dtype=np.uint64)
+    h[where + order] = flat
+    out = []
+    for n in range(order + 1):
+        key = np.full(size, np.uint64(n), dtype=np.uint64)
         for back in range(n - 1, -1, -1):
-            out = _mix(out, h[where - back - shift])
-        return out
-
-    return [key(n, 0) for n in range(order + 1)], [key(n, 1) for n in range(order)]
+            key = _mix(key, h[order - back : order - back + size])
+        out.append(key)
+    return out, where
 
 
 def contexts(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(words per text, keys, ctx) of texts, see ``_grams``."""
+    """(words per text, keys[n] = the key of the n words that end at each word, ctx[n] = the key of the n words before it)."""
     counts, flat = _hashes(texts)
-    return counts, *_grams(counts, flat, order)
+    grams, where = _grams(counts, flat, order)
+    return counts, [g[where] for g in grams], [np.zeros_like(flat)] + [g[where - 1] for g in grams[1:order]]
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -215,9 +217,10 @@ def _climb(counts: np.ndarray, flat: np.ndarray, order: int, answers: dict) -> t
     The highest level has one column, the count.  The lower ones have the continuation count, the kinds of n-grams that
     begin with these words and have count 1, 2, or 3 and more, and the sum of their counts.
     """
-    keys, ctx = _grams(counts, flat, order)
+    grams, where = _grams(counts, flat, order)
     level = order
-    own, at, back = _distinct_back(keys[order])
+    own, at, back = _distinct_back(grams[order][where])
+    at = where[at]
     cols = [np.bincount(back, minlength=len(own))]
     while level in answers:
         total, owned = answers[level]
@@ -227,7 +230,7 @@ def _climb(counts: np.ndarray, flat: np.ndarray, order: int, answers: dict) -> t
         here, c = at[owned], total[owned]
         level -= 1
         k = len(here)
-        own, first, back = _distinct_back(np.concatenate([keys[level][here], ctx[level][here]]), first=True)
+        own, first, back = _distinct_back(np.concatenate([grams[level][here], grams[level][here - 1]]), first=True)
         size = len(own)
         ends, begins = back[:k], back[k:]
         cols = [np.bincount(ends, minlength=size), *(np.bincount(begins[x], minlength=size) for x in (c == 1, c == 2, c > 2)),
@@ -288,8 +291,8 @@ class Model:
         self.discounts, self.first, self.vocabulary = discounts, first, vocabulary
 
 
-def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_WORDS, shards: int | None = None) -> Model:
-    """The model of (text)."""
+def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_WORDS, shards: int | None = None, asked_bytes: int = 0) -> Model:
+    """The model of (text); ``asked_bytes`` is about the stored size of the documents that it will score."""
     spark = texts.sparkSession
     small_batches(spark)
 
@@ -300,11 +303,13 @@ def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_W
     with _shuffles_removed(spark):
         blocks = stored(texts.mapInArrow(cut, PIECE), "kn-blocks")
         total = blocks.agg(F.sum("size")).first()[0] or 0
-        n_shards = shards or max(2 * shuffle_partitions(spark), -(-total // SHARD_WORDS))
+        n_shards = shards or max(-(-total // SHARD_WORDS), asked_bytes // SHARD_BYTES, min(2 * shuffle_partitions(spark), total // FEW_WORDS), 1)
+        # small blocks are taken together
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(max(1, 4 * total // block_words))))
 
         def send(table: pa.Table) -> pa.Table:
             rows = _rows(table)
-            counts, flat = _load(next(r[4] for r in rows if r[1] == 0))
+            counts, flat = (np.concatenate(x) for x in zip(*(_load(raw) for raw in sorted(r[4] for r in rows if r[1] == 0)), strict=True))
             answers = {n: _together([r for r in rows if r[1] == n], 2) for n in {r[1] for r in rows} - {0}}
             level, keys, cols = _climb(counts, flat, order, answers)
             return _pieces(_to_shards(rows[0][0], level, keys, cols, n_shards))
@@ -355,9 +360,8 @@ def train_tables(texts: DataFrame, order: int = ORDER, **settings) -> tuple[Data
                     mass = sum(x * y for x, y in zip(n, d[level + 1], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), level + 1, dtype=np.int32)), _signed(keys[on]), pa.array(mass[on] / total[on]), pa.array(total[on])], ["n", "ctx", "gamma", "total"])
 
-    empty = int(_grams(np.array([1]), np.zeros(1, dtype=np.uint64), order)[1][0].view(np.int64)[0])
     words, mass = model.first
-    top = spark.createDataFrame([(1, empty, mass / words, words)] if words else [], "n int, ctx long, gamma double, total long")
+    top = spark.createDataFrame([(1, 0, mass / words, words)] if words else [], "n int, ctx long, gamma double, total long")
     shards = spark.createDataFrame(sorted(model.present), "level int, shard int")
     return shards.mapInArrow(counts, "n int, key long, alpha double"), shards.mapInArrow(contexts_of, "n int, ctx long, gamma double, total long").unionAll(top)
 
@@ -426,15 +430,19 @@ def trusted_labels(labels: DataFrame, id_col: str, hold_out: int = 5) -> DataFra
 
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the whole texts of all trusted rows outside fold 0; equal texts count once."""
+    size = estimated_size_bytes(docs) or 0  # a frame without statistics has an absurd one
     chosen = broadcast_if_few(trusted_labels(labels, id_col).filter("fold <> 0").select("id"))
-    return train_model(pick(docs, id_col, text_col).join(chosen, "id", "left_semi").select("text").distinct(), order)
+    return train_model(pick(docs, id_col, text_col).join(chosen, "id", "left_semi").select("text").distinct(), order, asked_bytes=size if size < 1 << 50 else 0)
 
 
 # --------------------------------------------------------------------- scoring ---
 def _answer(table: pa.Table, root: str, present: frozenset) -> pa.Table:
     """A shard: the model's counts of the n-grams that blocks ask for; 0 for unknown ones, no columns where the shard has none of the level."""
     out, level_of, found, cols = [], None, np.zeros(0, dtype=np.uint64), []
-    for block, level, shard, size, keys, _ in sorted(_rows(table), key=lambda r: r[1]):
+    for block, level, shard, size, keys, asks in sorted(_rows(table), key=lambda r: r[1]):
+        if level == 0:
+            out.append((block, level, shard, size, keys, asks))
+            continue
         if (level, shard) not in present:
             out.append((block, level, shard, size, b"", []))
             continue
@@ -447,27 +455,34 @@ def _answer(table: pa.Table, root: str, present: frozenset) -> pa.Table:
     return _pieces(out)
 
 
-def _asked(keys: list[np.ndarray], ctx: list[np.ndarray], n: int, order: int) -> np.ndarray:
-    return keys[n] if n == order else np.concatenate([keys[n], ctx[n]])
+def _asked(counts: np.ndarray, where: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of words and those before a word, where each word is among them): what n-grams below ``order`` are asked for."""
+    asked = np.zeros(len(where) + (order - 1) * len(counts), dtype=bool)
+    asked[where] = True
+    asked[where - 1] = True
+    return np.flatnonzero(asked), (np.cumsum(asked) - 1)[where]
 
 
 def _log_probs(counts: np.ndarray, flat: np.ndarray, order: int, discounts: dict, first: tuple[int, float], vocabulary: int, answers: dict) -> np.ndarray:
     """Sums of log probabilities per text; ``answers[n]`` gives the columns of the block's distinct keys of level n."""
-    keys, ctx = _grams(counts, flat, order)
-    p, n_words = np.full(len(flat), 1.0 / vocabulary), len(flat)
+    grams, where = _grams(counts, flat, order)
+    places, at = _asked(counts, where, order)
+    p = np.full(len(flat), 1.0 / vocabulary)
     words, mass = first
-    total, gamma = np.full(n_words, float(max(words, 1))), np.full(n_words, mass / words if words else 1.0)
+    total, gamma = float(max(words, 1)), float(np.float32(mass / words)) if words else 1.0
     for n in range(1, order + 1):
-        asked, _, back = _distinct_back(_asked(keys, ctx, n, order))
+        asked, _, back = _distinct_back(grams[n][where if n == order else places])
         cols = answers[n]
         if len(cols[0]) != len(asked):
-            raise ValueError("the documents changed between the two readings")
-        p = _less(cols[0], discounts[n])[back[:n_words]] / total + gamma * p
+            raise ValueError("the answers are not those of this block")
+        # in single precision, as tables would hold them
+        p = (_less(cols[0], discounts[n])[back if n == order else back[at]] / total).astype(np.float32).astype(float) + gamma * p
         if n < order:
-            t = cols[4]
-            m = sum(x * y for x, y in zip(cols[1:4], discounts[n + 1], strict=True))
-            after = back[n_words:]
-            total, gamma = np.maximum(t, 1)[after].astype(float), np.where(t > 0, m / np.maximum(t, 1), 1.0)[after]
+            t = np.maximum(cols[4], 1).astype(float)
+            m = np.where(cols[4] > 0, sum(x * y for x, y in zip(cols[1:4], discounts[n + 1], strict=True)), 1.0)
+            # the place before a word is the one before it among the asked
+            before = back[at - 1]
+            total, gamma = t[before], (m / t).astype(np.float32).astype(float)[before]
     sums = np.zeros(len(counts))
     np.add.at(sums, np.repeat(np.arange(len(counts)), counts), np.log(p))
     return sums
@@ -485,17 +500,16 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     widths = {n: 1 if n == order else 5 for n in range(1, order + 1)}
 
     def ask(batches):
-        for number, _, counts, flat in _blocks(batches, block_words):
-            keys, ctx = _grams(counts, flat, order)
-            for n in range(1, order + 1):
-                yield from _pieces(_to_shards(number, n, _distinct(_asked(keys, ctx, n, order)), [], shards)).to_batches()
-
-    def words(batches):
         for number, rows, counts, flat in _blocks(batches, block_words):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema) as out:
                 out.write_table(rows)
-            yield from _pieces([(number, 0, 0, len(flat), _dump(counts, flat), [sink.getvalue().to_pybytes()])]).to_batches()
+            # the block's words pass by a shard on their way to its answers
+            yield from _pieces([(number, 0, number % shards, len(flat), _dump(counts, flat), [sink.getvalue().to_pybytes()])]).to_batches()
+            grams, where = _grams(counts, flat, order)
+            places, _ = _asked(counts, where, order)
+            for n in range(1, order + 1):
+                yield from _pieces(_to_shards(number, n, _distinct(grams[n][where if n == order else places]), [], shards)).to_batches()
 
     def add(table: pa.Table) -> pa.Table:
         rows = _rows(table)
@@ -515,7 +529,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         for lot in range(lots):
             few = src.filter(F.pmod(F.xxhash64("id", "text_hash"), F.lit(lots)) == lot)
             answered = few.mapInArrow(ask, PIECE).groupBy("shard").applyInArrow(lambda t: _answer(t, root, present), PIECE)
-            part = stored(few.mapInArrow(words, PIECE).unionAll(answered).groupBy("block").applyInArrow(add, out), "kn-scores")
+            part = stored(answered.groupBy("block").applyInArrow(add, out), "kn-scores")
             parts = part if parts is None else parts.unionAll(part)
     return parts
 
