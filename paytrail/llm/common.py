@@ -7,13 +7,16 @@ Spark itself or through ``pyarrow.fs``, never through a machine-local folder.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,8 @@ from paytrail.session import scratch_path
 
 # rows per Arrow batch: texts may be long, so a batch holds few of them
 TEXT_BATCH_ROWS = 512
+# bytes of one Arrow batch: rows may be packed blocks, and the JVM and the worker both hold a whole batch outside the heap
+BATCH_BYTES = 8 * 1024 * 1024
 
 # every byte that is not part of an ASCII letter, ASCII digit or non-ASCII character becomes a
 # space; A-Z become a-z.  Bytes of 0x80 and above are word bytes, so UTF-8 characters stay whole.
@@ -45,6 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Before any Python task: bound what one Arrow batch of texts holds, and ship this package to the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     _ship(spark)
 
 
@@ -104,17 +110,40 @@ def held(key: str, build):
     Workers are used again by later stages and operators: what another operator left is dropped before ``build`` runs.
     """
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        release()
         _HELD[key] = build()
     return _HELD[key]
 
 
 def release() -> None:
-    """For tasks that keep nothing: drop what another operator left in this Python worker."""
+    """For tasks that keep nothing: drop what another operator left in this Python worker, and give free memory back.
+
+    Workers are used again by all operators; the allocator would keep what the largest block of any of them once took.
+    Called for every group, it gives back at most once a second.
+    """
     if _HELD:
         _HELD.clear()
         gc.collect()
+    _give_back()
+
+
+_LIBC: list = []  # the C library and when memory was given back
+TRIM_EVERY = 1.0  # seconds
+
+
+def _give_back() -> None:
+    if not _LIBC:
+        # Arrow's buffers come from the same allocator, so that one call serves all
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library keeps its own rules
+            trim = None
+        _LIBC[:] = [trim, 0.0]
+    trim, at = _LIBC
+    if trim is not None and time.monotonic() - at >= TRIM_EVERY:
+        trim(0)
+        _LIBC[1] = time.monotonic()
 
 
 class Shared:
@@ -136,10 +165,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a lineage cut that survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+    return stored_at(df, scratch_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
+    """``stored`` under a path that the caller removes when nothing reads it any more."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:
@@ -176,3 +208,9 @@ def write_file(uri: str, content: bytes, attempt: str) -> None:
 def make_folder(uri: str) -> None:
     fs, path = file_system(uri)
     fs.create_dir(path, recursive=True)
+
+
+def remove_folder(uri: str) -> None:
+    """Remove a scratch folder that this operator made and nothing reads any more."""
+    fs, path = file_system(uri)
+    fs.delete_dir(path)

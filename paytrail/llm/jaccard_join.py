@@ -277,6 +277,7 @@ def _edges(keys: list[bytes], label: np.ndarray) -> pa.Table:
 def _inside(threshold: float):
     """All pairs of one node: edges that hold its likely links together."""
     def run(table):
+        release()
         n, s = table["n"].to_numpy(), _bytes(table["sketch"])
         return _edges(table["key"].to_pylist(), _forest(_likely(n, s, n, s, threshold)))
     return run
@@ -285,6 +286,7 @@ def _inside(threshold: float):
 def _across(threshold: float):
     """All pairs of two blocks of a node."""
     def run(table):
+        release()
         x, y = (table[c].combine_chunks().flatten() for c in ("xs", "ys"))
         links = _likely(x.field("n").to_numpy(), _bytes(x.field("sketch")), y.field("n").to_numpy(), _bytes(y.field("sketch")), threshold)
         return _edges(x.field("key").to_pylist() + y.field("key").to_pylist(), _forest(_square(links)))
@@ -318,6 +320,7 @@ def _estimate(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9).select("a", "b", "sa", "sb"))
 
     def run(batches):
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue

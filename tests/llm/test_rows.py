@@ -213,3 +213,26 @@ def test_toxicity_of_repeated_null_and_very_long_rows(spark):
         by.setdefault(r.doc_id, []).append(r.score)
     assert by[1][0] == by[1][1] and min(by[3]) > 0.5 > max(by[150]) and by[501] == [min(by[None])]
     assert toxicity.without_toxic(docs, toxicity.train(docs, labels)).columns == docs.columns
+
+
+def test_a_worker_gives_its_memory_back_to_the_next_operator():
+    """What an operator held, and the free memory that the allocator keeps, is gone when the next one starts."""
+    import subprocess
+    import sys
+
+    from paytrail.llm import common
+
+    code = """
+import re
+from paytrail.llm import common
+def mb():
+    return int(re.search(r"Rss:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+held = common.held("a", lambda: [bytes(50_000) for _ in range(4000)])
+last = [bytes(60_000)]  # keeps the top of the heap in use
+full = mb()
+del held
+common._LIBC[1] = 0.0
+common.release()
+assert full - mb() > 150, (full, mb())
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=common.__file__.rsplit("/paytrail/", 1)[0])
