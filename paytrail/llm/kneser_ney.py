@@ -3,14 +3,15 @@
 Training (all trusted rows outside fold 0, equal texts once): the n-grams of up to ``order`` words are keyed by
 64-bit hashes and counted in hash shards, one level after the other, in rows packed as in ``backoff``:
 
-1. the texts are stored in blocks of at most ``BLOCK_WORDS`` words; a block sends each shard its distinct n-grams of
-   the highest order with their counts, and the shard adds them up;
+1. the texts' words are stored in blocks of at most ``BLOCK_WORDS`` words, a file each; a block sends each shard its
+   distinct n-grams of the highest order with their counts, and the shard adds them up;
 2. the shard tells every block the totals of its n-grams and names one block the owner of each: an n-gram is one
    kind, whatever number of blocks hold it.  The owner adds it to its two (n-1)-grams: one more word before the last
    n - 1 words (the continuation count, the count of the next level), and one more word of that count after the first
    n - 1 (the sums and discount masses of contexts).  These go to the shards of the next level, down to single words.
 
-The shards of all levels are the model, a stored file each; it grows with the training text and is never in one place.  Counts of counts give the three discounts of each order.
+The shards of all levels are the model, a stored file each; it grows with the training text and is never in one place.
+The blocks and their answers are removed when it is whole.  Counts of counts give the three discounts of each order.
 
 Scoring: in ``LOTS`` lots of documents, so that what is under way stays a part of the input, blocks send the shards the
 distinct n-grams of every whole text, the shards answer with the counts, and the block sums the log probabilities per
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paytrail.llm.backoff import _cuts, _pack_counts, _pack_sorted, _unpack_counts, _unpack_sorted
-from paytrail.llm.common import WordHash, file_system, make_folder, pick, release, shuffle_partitions, small_batches, stored, write_file
+from paytrail.llm.common import WordHash, file_system, make_folder, pick, release, remove_folder, shuffle_partitions, small_batches, stored, stored_at, write_file
 from paytrail.operators.broadcast import broadcast_if_few, estimated_size_bytes
 from paytrail.session import scratch_path
 
@@ -51,6 +52,7 @@ ORDER = 3
 BLOCK_WORDS = 1_000_000
 # a shard for so many words of the training text at least, for so many bytes of documents to be scored, and none for fewer words
 SHARD_WORDS, SHARD_BYTES, FEW_WORDS = 500_000, 32 * 1024 * 1024, 50_000
+MOST_TASKS = 10_000
 # documents are scored in so many lots, one after the other; stored ones of few bytes in fewer
 LOTS = 16
 LOT_BYTES = 16 * 1024 * 1024
@@ -244,6 +246,12 @@ def _model_file(root: str, level: int, shard: int) -> str:
     return f"{root}/{level}-{shard}"
 
 
+def _read(uri: str) -> bytes:
+    fs, path = file_system(uri)
+    with fs.open_input_file(path) as f:
+        return f.read()
+
+
 def _read_shard(root: str, level: int, shard: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(sorted keys, columns) of a stored shard."""
     fs, path = file_system(_model_file(root, level, shard))
@@ -255,6 +263,7 @@ def _read_shard(root: str, level: int, shard: int) -> tuple[np.ndarray, list[np.
 def _add_up(table: pa.Table, root: str) -> pa.Table:
     """A shard of one level, stored: every block's totals and what it owns, and as the model's row the kinds with count
     1, 2, 3 and 4, all kinds, and the sum of counts."""
+    release()
     rows = _rows(table)
     level, shard = rows[0][1], rows[0][2]
     known, _, back = _distinct_back(np.concatenate([_unpack_sorted(r[4], r[3]) for r in rows]))
@@ -296,20 +305,29 @@ def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_W
     spark = texts.sparkSession
     small_batches(spark)
 
+    made = [scratch_path(spark, "kn-words"), scratch_path(spark, "kn-blocks")]
+    make_folder(made[0])
+
     def cut(batches):
+        # every level reads the blocks' words where they were written once: only their file names are shuffled
+        attempt = str(TaskContext.get().taskAttemptId())
         for number, _, counts, flat in _blocks(batches, block_words):
-            yield from _pieces([(number, 0, 0, len(flat), _dump(counts, flat), [])]).to_batches()
+            name = f"{made[0]}/{number}-{attempt}"
+            write_file(name, _dump(counts, flat), attempt)
+            yield from _pieces([(number, 0, 0, len(flat), name.encode(), [])]).to_batches()
 
     with _shuffles_removed(spark):
-        blocks = stored(texts.mapInArrow(cut, PIECE), "kn-blocks")
+        blocks = stored_at(texts.mapInArrow(cut, PIECE), made[1])
         total = blocks.agg(F.sum("size")).first()[0] or 0
         n_shards = shards or max(-(-total // SHARD_WORDS), asked_bytes // SHARD_BYTES, min(2 * shuffle_partitions(spark), total // FEW_WORDS), 1)
         # small blocks are taken together
-        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(max(1, 4 * total // block_words))))
+        taken = max(1, 4 * total // block_words)
+        blocks = blocks.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(taken)))
 
         def send(table: pa.Table) -> pa.Table:
+            release()
             rows = _rows(table)
-            counts, flat = (np.concatenate(x) for x in zip(*(_load(raw) for raw in sorted(r[4] for r in rows if r[1] == 0)), strict=True))
+            counts, flat = (np.concatenate(x) for x in zip(*(_load(_read(name.decode())) for name in sorted(r[4] for r in rows if r[1] == 0)), strict=True))
             answers = {n: _together([r for r in rows if r[1] == n], 2) for n in {r[1] for r in rows} - {0}}
             level, keys, cols = _climb(counts, flat, order, answers)
             return _pieces(_to_shards(rows[0][0], level, keys, cols, n_shards))
@@ -319,8 +337,10 @@ def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_W
         source, present, found = blocks, [], {}
         kinds, first = 0, (0, 0.0)
         for n in range(order, 0, -1):
-            sent = source.groupBy("block").applyInArrow(send, PIECE)
-            level = stored(sent.groupBy("shard").applyInArrow(lambda t: _add_up(t, root), PIECE), f"kn-level{n}")
+            # the rows are small, the blocks are not: partitions by number, which are not merged by the size of rows
+            sent = source.repartition(min(taken, MOST_TASKS), "block").groupBy("block").applyInArrow(send, PIECE)
+            made.append(scratch_path(spark, f"kn-level{n}"))
+            level = stored_at(sent.groupBy("shard").applyInArrow(lambda t: _add_up(t, root), PIECE), made[-1])
             # six numbers a shard
             seen = level.filter(F.col("block") == MODEL).select("shard", "keys").collect()
             n1, n2, n3, n4, kinds, words = np.sum([np.zeros(6, dtype=np.int64), *(np.frombuffer(r[1], "<i8") for r in seen)], axis=0).tolist()
@@ -328,6 +348,9 @@ def train_model(texts: DataFrame, order: int = ORDER, block_words: int = BLOCK_W
             d = found[n] = discounts(n1, n2, n3, n4)
             first = (words, n1 * d[0] + n2 * d[1] + (kinds - n1 - n2) * d[2])
             source = source.unionAll(level.filter(F.col("block") != MODEL))
+    # the model is whole in its own files
+    for path in made:
+        remove_folder(path)
     return Model(order, root, n_shards, present, found, first, kinds + 1)
 
 
@@ -438,6 +461,7 @@ def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, id_col: str =
 # --------------------------------------------------------------------- scoring ---
 def _answer(table: pa.Table, root: str, present: frozenset) -> pa.Table:
     """A shard: the model's counts of the n-grams that blocks ask for; 0 for unknown ones, no columns where the shard has none of the level."""
+    release()
     out, level_of, found, cols = [], None, np.zeros(0, dtype=np.uint64), []
     for block, level, shard, size, keys, asks in sorted(_rows(table), key=lambda r: r[1]):
         if level == 0:
@@ -512,6 +536,7 @@ def perplexities(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
                 yield from _pieces(_to_shards(number, n, _distinct(grams[n][where if n == order else places]), [], shards)).to_batches()
 
     def add(table: pa.Table) -> pa.Table:
+        release()
         rows = _rows(table)
         own = next(r for r in rows if r[1] == 0)
         counts, flat = _load(own[4])

@@ -144,3 +144,16 @@ def test_blocks_and_lots_do_not_change_the_scores(spark):
         w = ["<s>"] * 2 + (t or "").split()
         want = sum(math.log(p(tuple(w[j - 2 : j + 1]))) for j in range(2, len(w)))
         assert got[i] == (len(w) - 2, pytest.approx(want, abs=1e-4))
+
+
+def test_training_keeps_the_model_alone_and_shuffles_no_words(spark):
+    """The words of a block are a file that every level reads; when the model is whole, only its own files are left."""
+    import os
+
+    from paytrail.session import checkpoint_root
+
+    root = checkpoint_root(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(root))
+    model = kn.train_model(spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3), 3, block_words=7, shards=2)
+    left = {x for x in set(os.listdir(root)) - before if x.startswith("kn-")}
+    assert left == {os.path.basename(model.root)}
